@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from lodestack.llm import line_dedup, sharding
+from lodestack.llm import line_dedup, packing, sharding, token_store
 
 
 def queries() -> dict:
     return {
         "op2_line_dedup": line_dedup.op2_line_dedup,
         "op3_sharding": sharding.op3_sharding,
+        "op5_token_store": token_store.op5_token_store,
+        "op10_packing": packing.op10_packing,
     }
 
 
