@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestack.llm import line_dedup, packing, sharding, token_store
+from lodestack.llm import line_dedup, ngram_join, packing, sharding, token_store
 
 
 def queries() -> dict:
@@ -10,9 +10,10 @@ def queries() -> dict:
         "op2_line_dedup": line_dedup.op2_line_dedup,
         "op3_sharding": sharding.op3_sharding,
         "op5_token_store": token_store.op5_token_store,
+        "op7_ngram_join": ngram_join.op7_ngram_join,
         "op10_packing": packing.op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.ORACLE}
+    return {"op2_line_dedup": line_dedup.ORACLE, "op7_ngram_join": ngram_join.ORACLE}
