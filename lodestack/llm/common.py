@@ -10,12 +10,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The white space of the contracts, [\x20\x09-\x0D].
-SPACE = " \t\n\x0b\x0c\r"
-_UPPER = {c: c + 32 for c in range(65, 91)}
-_FLAT = _UPPER | {ord(c): " " for c in SPACE}
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one where none is named."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -42,26 +36,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def words(text: str | None) -> list[str]:
-    """Runs of [^\\x20\\x09-\\x0D], A-Z lower-cased; none for null."""
-    return [w for w in text.translate(_FLAT).split(" ") if w] if text else []
-
-
-class WordHasher(dict):
-    """64-bit hashes of words; the memory of it is bounded."""
+def raw(text: str | bytes | None) -> bytes:
+    return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
 
-    LIMIT = 400_000
 
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
-
-    def hashes(self, ws: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, ws), np.uint64, len(ws))
+def words(text: str | bytes | None) -> list[bytes]:
+    """Runs of [^\\x20\\x09-\\x0D], A-Z lower-cased, as UTF-8; none for null."""
+    return raw(text).lower().split()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -85,6 +66,57 @@ def shingle_hashes(word_hashes: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BLANK = np.zeros(256, bool)
+_BLANK[[32, 9, 10, 11, 12, 13]] = True
+_LETTER = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_BASE = 0x5851F42D4C957F2D
+_powers: list[np.ndarray] = []
+
+
+def _powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64."""
+    if not _powers or len(_powers[0]) < n:
+        made = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            p = np.full(max(n, 1 << 20), base, np.uint64)
+            p[0] = 1
+            made.append(np.cumprod(p, dtype=np.uint64))
+        _powers[:] = made
+    return _powers[0], _powers[1]
+
+
+def word_hashes(texts) -> list[np.ndarray]:
+    """For each text (null: empty) the 64-bit hashes of its words, all texts at once."""
+    own = [raw(t) for t in texts]
+    data = b" ".join(own)
+    a = _LOWER[np.frombuffer(data, np.uint8)]
+    blank = np.ones(len(a) + 2, bool)
+    blank[1:-1] = _BLANK[a]
+    starts = np.flatnonzero(blank[:-1] & ~blank[1:])
+    ends = np.flatnonzero(~blank[:-1] & blank[1:])
+    power, inverse = _powers_of(len(a))
+    sums = np.zeros(len(a) + 1, np.uint64)
+    np.cumsum(_LETTER[a] * power[: len(a)], out=sums[1:])
+    h = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)) if len(starts) else starts.astype(np.uint64)
+    lengths = np.fromiter((len(t) + 1 for t in own), np.int64, len(own))
+    return np.split(h, np.searchsorted(starts, np.cumsum(lengths)[:-1])) if own else []
+
+
+def hashed_texts(batches, name: str = "text", most: int = 1 << 20):
+    """Slices of the batches with the word hashes of their texts: about `most` bytes at a time."""
+    for batch in batches:
+        texts = batch.column(name).cast(pa.binary())
+        held, at, size = [], 0, 0
+        for n, text in enumerate(texts):
+            held.append(t := text.as_py() or b"")
+            size += len(t)
+            if size >= most or n + 1 == len(texts):
+                yield batch.slice(at, len(held)), word_hashes(held)
+                held, at, size = [], n + 1, 0
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     return h.astype(np.uint64).view(np.int64)
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm import rtree
-from lodestack.llm.common import WordHasher, column, materialise, mix, shingle_hashes, signed, table, words
+from lodestack.llm.common import column, hashed_texts, materialise, shingle_hashes, signed, table, word_hashes
 from lodestack.llm.graph import components
 
 BLOCK = 2048  # members of a cell or cluster that one task joins with as many others
@@ -40,9 +40,9 @@ _PROBED = np.uint64(1 << 63)  # shingles below this are counted for the order; p
 SETS = "doc_id long, node long, n int, keys array<bigint>, point binary"
 
 
-def shingles(text: str | None, hasher: WordHasher, k: int) -> np.ndarray:
+def shingles(text: str | None, k: int) -> np.ndarray:
     """The sorted distinct hashes of a text's k-word shingles."""
-    return np.unique(shingle_hashes(hasher.hashes(words(text)), k))
+    return np.unique(shingle_hashes(word_hashes([text])[0], k))
 
 
 def node_of(s: np.ndarray) -> int:
@@ -54,7 +54,7 @@ def node_of(s: np.ndarray) -> int:
 
 def _common(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held, waiting, seen, total = WordHasher(), Counter(), [], 0, 0
+        held, waiting, seen, total = Counter(), [], 0, 0
 
         def count() -> None:
             nonlocal waiting, seen
@@ -62,9 +62,9 @@ def _common(k: int):
             held.update(dict(zip(values[times > 1].tolist(), times[times > 1].tolist())))
             waiting, seen = [], 0
 
-        for batch in batches:
-            for text in batch.column(0):
-                s = shingles(text.as_py(), hasher, k)
+        for _, texts in hashed_texts(batches):
+            for h in texts:
+                s = np.unique(shingle_hashes(h, k))
                 total += len(s)
                 s = s[s < _PROBED]
                 waiting.append(s)
@@ -93,33 +93,30 @@ def common_shingles(texts: DataFrame, k: int) -> np.ndarray:
 
 def _sets(k: int, num: int, den: int, common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, late = WordHasher(), common.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                piece = batch.slice(at, 1000)
-                nodes, sizes, keys, points = [], [], [], []
-                for text in piece.column(1):
-                    s = shingles(text.as_py(), hasher, k)
-                    n = len(s)
-                    sizes.append(n)
-                    if not n:
-                        nodes.append(None)
-                        keys.append(None)
-                        points.append(None)
-                        continue
-                    first = n + num * n // -den + 1  # n - ceil(n * num / den) + 1
-                    if len(late):
-                        common_here = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s
-                        ordered = np.concatenate([s[~common_here], s[common_here]])
-                    else:
-                        ordered = s
-                    nodes.append(node_of(s))
-                    keys.append(signed(ordered[:first]))
-                    points.append(rtree.point(s).tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), column(nodes, pa.int64()), column(sizes, pa.int32()), column(keys, pa.list_(pa.int64())), column(points, pa.binary())],
-                    ["doc_id", "node", "n", "keys", "point"],
-                )
+        late = common.value
+        for piece, texts in hashed_texts(batches):
+            nodes, sizes, keys, points = [], [], [], []
+            for h in texts:
+                s = np.unique(shingle_hashes(h, k))
+                n = len(s)
+                sizes.append(n)
+                if not n:
+                    nodes.append(None)
+                    keys.append(None)
+                    points.append(None)
+                    continue
+                first = n + num * n // -den + 1  # n - ceil(n * num / den) + 1
+                ordered = s
+                if len(late):
+                    common_here = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s
+                    ordered = np.concatenate([s[~common_here], s[common_here]])
+                nodes.append(node_of(s))
+                keys.append(signed(ordered[:first]))
+                points.append(rtree.point(s).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [piece.column("doc_id"), column(nodes, pa.int64()), column(sizes, pa.int32()), column(keys, pa.list_(pa.int64())), column(points, pa.binary())],
+                ["doc_id", "node", "n", "keys", "point"],
+            )
 
     return run
 
@@ -239,14 +236,11 @@ def _full_sets(k: int, named: bool):
     """Sets of texts; with `named`, of those rows whose text has the set that `node` names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                piece = batch.slice(at, 500)
-                made = [s for x in piece.column("text") if len(s := shingles(x.as_py(), hasher, k)) or named]
-                nodes = [node_of(s) for s in made]
-                out = pa.RecordBatch.from_arrays([column(nodes, pa.int64()), column([s.tobytes() for s in made], pa.binary())], ["node", "set"])
-                yield out.filter(pa.array([x == y for x, y in zip(nodes, piece.column("node").to_pylist())], pa.bool_())) if named else out
+        for piece, texts in hashed_texts(batches):
+            made = [s for h in texts if len(s := np.unique(shingle_hashes(h, k))) or named]
+            nodes = [node_of(s) for s in made]
+            out = pa.RecordBatch.from_arrays([column(nodes, pa.int64()), column([s.tobytes() for s in made], pa.binary())], ["node", "set"])
+            yield out.filter(pa.array([x == y for x, y in zip(nodes, piece.column("node").to_pylist())], pa.bool_())) if named else out
 
     return run
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lodestack.llm import line_dedup, ngram_join, packing, sharding, token_store
+from lodestack.llm import decontaminate, line_dedup, ngram_join, packing, sharding, token_store
 
 
 def queries() -> dict:
     return {
+        "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_line_dedup": line_dedup.op2_line_dedup,
         "op3_sharding": sharding.op3_sharding,
         "op5_token_store": token_store.op5_token_store,
