@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestack.llm import decontaminate, line_dedup, ngram_join, packing, sharding, token_store
+from lodestack.llm import decontaminate, line_dedup, ngram_join, packing, sharding, token_store, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_line_dedup": line_dedup.op2_line_dedup,
         "op3_sharding": sharding.op3_sharding,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op5_token_store": token_store.op5_token_store,
         "op7_ngram_join": ngram_join.op7_ngram_join,
         "op10_packing": packing.op10_packing,
