@@ -87,11 +87,13 @@ def _powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def word_hashes(texts) -> list[np.ndarray]:
+def word_hashes(texts, lower: bool = True) -> list[np.ndarray]:
     """For each text (null: empty) the 64-bit hashes of its words, all texts at once."""
     own = [raw(t) for t in texts]
     data = b" ".join(own)
-    a = _LOWER[np.frombuffer(data, np.uint8)]
+    a = np.frombuffer(data, np.uint8)
+    if lower:
+        a = _LOWER[a]
     blank = np.ones(len(a) + 2, bool)
     blank[1:-1] = _BLANK[a]
     starts = np.flatnonzero(blank[:-1] & ~blank[1:])
@@ -104,7 +106,7 @@ def word_hashes(texts) -> list[np.ndarray]:
     return np.split(h, np.searchsorted(starts, np.cumsum(lengths)[:-1])) if own else []
 
 
-def hashed_texts(batches, name: str = "text", most: int = 1 << 20):
+def hashed_texts(batches, name: str = "text", most: int = 1 << 20, lower: bool = True):
     """Slices of the batches with the word hashes of their texts: about `most` bytes at a time."""
     for batch in batches:
         texts = batch.column(name).cast(pa.binary())
@@ -113,7 +115,7 @@ def hashed_texts(batches, name: str = "text", most: int = 1 << 20):
             held.append(t := text.as_py() or b"")
             size += len(t)
             if size >= most or n + 1 == len(texts):
-                yield batch.slice(at, len(held)), word_hashes(held)
+                yield batch.slice(at, len(held)), word_hashes(held, lower)
                 held, at, size = [], n + 1, 0
 
 
@@ -158,3 +160,42 @@ def numbered(df: DataFrame, order: list[str], weight: str, start: str, per_bucke
         .withColumn(start, (F.col("_ahead") + F.col("_before")).cast("long"))
         .drop("_bucket", "_before", "_ahead")
     )
+
+
+def units(batches, names: list[str], rows_at_once: int = 20_000):
+    """Tables of whole units (rows equal in the whole-number columns `names`, by which the input
+    is sorted) and where each unit starts. At most one unit is held beyond `rows_at_once` rows."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+
+    def cut(t: pa.Table) -> np.ndarray:
+        change = np.zeros(t.num_rows, bool)
+        change[0] = True
+        for n in names:
+            v = t.column(n).to_numpy()
+            change[1:] |= v[1:] != v[:-1]
+        return np.flatnonzero(change)
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows += batch.num_rows
+        if rows > rows_at_once:
+            t = pa.Table.from_batches(held).combine_chunks()
+            at = cut(t)
+            if at[-1]:
+                yield t.slice(0, at[-1]), at[:-1]
+                t = t.slice(at[-1])
+                held, rows = t.to_batches(), t.num_rows
+    if held:
+        t = pa.Table.from_batches(held).combine_chunks()
+        yield t, cut(t)
+
+
+def in_blocks(members: DataFrame, unit: list[str], counts: DataFrame, most: int) -> DataFrame:
+    """Deal the rows of units into blocks of about `most` rows and each block into the pairs of
+    blocks it belongs to: columns block, and bi <= bj. `counts` has the unit and its size m."""
+    blocks = members.join(counts, unit).withColumn("parts", F.ceil(F.col("m") / most).cast("int")).drop("m")
+    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    return blocks.withColumn("other", other).withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")}).drop("parts", "other")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm import rtree
-from lodestack.llm.common import column, hashed_texts, materialise, shingle_hashes, signed, table, word_hashes
+from lodestack.llm.common import column, hashed_texts, in_blocks, materialise, shingle_hashes, signed, table, units, word_hashes
 from lodestack.llm.graph import components
 
 BLOCK = 2048  # members of a cell or cluster that one task joins with as many others
@@ -121,35 +121,6 @@ def _sets(k: int, num: int, den: int, common):
     return run
 
 
-def _units(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole units (rows equal in `names`, which the input is sorted by) and where they start."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
-
-    def cut(t: pa.Table) -> np.ndarray:
-        change = np.zeros(t.num_rows, bool)
-        change[0] = True
-        for n in names:
-            v = t.column(n).to_numpy()
-            change[1:] |= v[1:] != v[:-1]
-        return np.flatnonzero(change)
-
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            rows += batch.num_rows
-        if rows > 20_000:
-            t = pa.Table.from_batches(held).combine_chunks()
-            at = cut(t)
-            if at[-1]:
-                yield t.slice(0, at[-1]), at[:-1]
-                held = t.slice(at[-1]).to_batches()
-                rows = t.num_rows - at[-1]
-    if held:
-        t = pa.Table.from_batches(held).combine_chunks()
-        yield t, cut(t)
-
-
 def _stars(nodes: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     root = rtree.forest(len(nodes), i, j)
     at = np.flatnonzero(root != np.arange(len(nodes)))
@@ -163,7 +134,7 @@ def _edges_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 
 def _join_cells(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, at in _units(batches, ["key", "bi", "bj"]):
+        for t, at in units(batches, ["key", "bi", "bj"]):
             nodes, n, block, bi, bj = (t.column(c).to_numpy() for c in ("node", "n", "block", "bi", "bj"))
             points = rtree.loaded(np.frombuffer(b"".join(t.column("point").to_pylist()), "<u2").reshape(-1, rtree.DIMS))
             n, ends, found = n.astype(np.int64), np.append(at[1:], len(nodes)), []
@@ -215,7 +186,7 @@ def _overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarra
 
 def _verify(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, at in _units(batches, ["cluster", "bi", "bj"]):
+        for t, at in units(batches, ["cluster", "bi", "bj"]):
             nodes, block, bi, bj = (t.column(c).to_numpy() for c in ("node", "block", "bi", "bj"))
             blobs, found = t.column("set"), []
             for s, e in zip(at, [*at[1:], len(nodes)]):
@@ -245,18 +216,6 @@ def _full_sets(k: int, named: bool):
     return run
 
 
-def _in_blocks(members: DataFrame, unit: str, counts: DataFrame) -> DataFrame:
-    """Deal the rows of large units into blocks and pairs of blocks; `counts` has unit and m."""
-    blocks = members.join(counts, unit).withColumn("parts", F.ceil(F.col("m") / BLOCK).cast("int")).drop("m")
-    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    return (
-        blocks.withColumn("other", other)
-        .withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")})
-        .drop("parts", "other")
-    )
-
-
 def links(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """sets: doc_id, node, n per row of `docs`. edges: a, b, verified links between nodes, enough
     to connect every two nodes that a chain of links connects."""
@@ -273,7 +232,7 @@ def links(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataF
     points = real.join(inside, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("point").alias("point"))
     large = F.col("m") > BLOCK
     small_cells = cells.where(~large).select("key", "node", F.lit(0).alias("block"), F.lit(0).alias("bi"), F.lit(0).alias("bj"))
-    large_cells = _in_blocks(cells.where(large).select("key", "node"), "key", cells.where(large).select("key", "m").distinct())
+    large_cells = in_blocks(cells.where(large).select("key", "node"), ["key"], cells.where(large).select("key", "m").distinct(), BLOCK)
     dealt = small_cells.unionByName(large_cells).join(points, "node").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
     near = dealt.select("key", "bi", "bj", "block", "node", "n", "point").mapInArrow(_join_cells(num, den), "a long, b long")
     clusters = components(near).select("node", F.col("comp").alias("cluster"))
@@ -281,7 +240,7 @@ def links(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataF
     counts = clusters.groupBy("cluster").agg(F.count("*").alias("m"))
     named = real.join(clusters, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     full = _sets_of(docs, named, k)
-    members = _in_blocks(clusters, "cluster", counts).join(full, "node").repartition("cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj")
+    members = in_blocks(clusters, ["cluster"], counts, BLOCK).join(full, "node").repartition("cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj")
     edges = members.select("cluster", "bi", "bj", "block", "node", "set").mapInArrow(_verify(num, den), "a long, b long")
     return sets.select("doc_id", "node", "n"), edges
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestack.llm import decontaminate, line_dedup, ngram_join, packing, sharding, token_store, toxicity
+from lodestack.llm import decontaminate, embed_dedup, licenses, line_dedup, ngram_join, packing, sharding, token_store, toxicity
 
 
 def queries() -> dict:
@@ -13,9 +13,11 @@ def queries() -> dict:
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_token_store": token_store.op5_token_store,
         "op7_ngram_join": ngram_join.op7_ngram_join,
+        "op8_embedding_dedup": embed_dedup.op8_embedding_dedup,
+        "op9_license_scan": licenses.op9_license_scan,
         "op10_packing": packing.op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.ORACLE, "op7_ngram_join": ngram_join.ORACLE}
+    return {"op2_line_dedup": line_dedup.ORACLE, "op7_ngram_join": ngram_join.ORACLE, "op8_embedding_dedup": embed_dedup.ORACLE}
