@@ -180,11 +180,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` without the rows that give a benchmark item away; rows without doc_id are judged by
-    their own text like all others."""
-    keyed = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "decontaminate")
-    leaks = find_leaks(keyed.select(F.col("_row").alias("doc_id"), "text"), benchmark, threshold).select(F.col("doc_id").alias("_row")).distinct()
-    return keyed.join(leaks, "_row", "left_anti").drop("_row")
+    """`docs` without the rows that give a benchmark item away; every row is judged by its own text."""
+    spark = docs.sparkSession
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    for rows in _blocks(benchmark):
+        block = spark.sparkContext.broadcast(Block(rows))
+
+        def clean(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            for piece, texts in hashed_texts(batches):
+                yield piece.filter(pa.array([next(block.value.leaks(t, threshold), None) is None for t in texts], pa.bool_()))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestack.llm import decontaminate, embed_dedup, licenses, line_dedup, ngram_join, packing, sharding, token_store, toxicity
+from lodestack.llm import decontaminate, embed_dedup, licenses, line_dedup, ngram_join, packing, perplexity, sharding, token_store, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_sharding": sharding.op3_sharding,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_token_store": token_store.op5_token_store,
+        "op6_perplexity": perplexity.op6_perplexity,
         "op7_ngram_join": ngram_join.op7_ngram_join,
         "op8_embedding_dedup": embed_dedup.op8_embedding_dedup,
         "op9_license_scan": licenses.op9_license_scan,
