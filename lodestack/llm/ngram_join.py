@@ -30,12 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import rtree
+from lodestack.llm import bloom, rtree
 from lodestack.llm.common import column, hashed_texts, in_blocks, materialise, shingle_hashes, signed, table, units, word_hashes
 from lodestack.llm.graph import components
 
 BLOCK = 2048  # members of a cell or cluster that one task joins with as many others
-COMMON = 200_000  # shingles put last in the order, at most
+HEAVY = 512  # shingles; a larger set counts as several members of its cluster
+COMMON = 500_000  # shingles put last in the order, at most
 _PROBED = np.uint64(1 << 63)  # shingles below this are counted for the order; prefixes rarely reach beyond
 SETS = "doc_id long, node long, n int, keys array<bigint>, point binary"
 
@@ -54,7 +55,7 @@ def node_of(s: np.ndarray) -> int:
 
 def _common(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, waiting, seen, total = Counter(), [], 0, 0
+        held, waiting, seen = Counter(), [], 0
 
         def count() -> None:
             nonlocal waiting, seen
@@ -65,7 +66,6 @@ def _common(k: int):
         for _, texts in hashed_texts(batches):
             for h in texts:
                 s = np.unique(shingle_hashes(h, k))
-                total += len(s)
                 s = s[s < _PROBED]
                 waiting.append(s)
                 seen += len(s)
@@ -76,19 +76,28 @@ def _common(k: int):
                             del held[h]
         if waiting:
             count()
-        h = np.fromiter([0, *held], np.uint64)
-        yield pa.RecordBatch.from_arrays([column(signed(h), pa.int64()), column([total, *held.values()], pa.int64())], ["h", "c"])
+        h = np.fromiter(held, np.uint64, len(held))
+        yield pa.RecordBatch.from_arrays([column(signed(h), pa.int64()), column(list(held.values()), pa.int64())], ["h", "c"])
 
     return run
 
 
 def common_shingles(texts: DataFrame, k: int) -> np.ndarray:
-    """Shingles that many texts share, at most COMMON: those counted more often than once in
-    `all shingles / COMMON` (and than 32 times). Hash 0 carries the number of all shingles."""
-    counted = materialise(texts.mapInArrow(_common(k), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "shingle-counts")
-    total = counted.where("h = 0").agg(F.sum("c")).first()[0] or 0
-    rows = counted.where(F.col("h") != 0).where(F.col("c") > max(32, total // COMMON)).select("h").collect()
-    return np.sort(np.array([r["h"] for r in rows], np.int64).view(np.uint64))
+    """Shingles that many texts share: all that were counted more than 32 times, or, where these
+    are more than COMMON, the most frequent of them, as many whole counts as stay within COMMON."""
+    counted = materialise(texts.mapInArrow(_common(k), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 32"), "shingle-counts")
+    # Counts in steps of a sixteenth of a power of two: at most a thousand rows, whatever the corpus.
+    step = F.floor(F.log2("c") * 16)
+    least, total = None, 0
+    for r in counted.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():
+        total += r["n"]
+        if total > COMMON:
+            break
+        least = r["step"]
+    if least is None:
+        return np.zeros(0, np.uint64)
+    found = counted.where(step >= least).select("h").toArrow().column("h").to_numpy()
+    return np.sort(found.view(np.uint64))
 
 
 def _sets(k: int, num: int, den: int, common):
@@ -136,19 +145,20 @@ def _join_cells(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in units(batches, ["key", "bi", "bj"]):
             nodes, n, block, bi, bj = (t.column(c).to_numpy() for c in ("node", "n", "block", "bi", "bj"))
-            points = rtree.loaded(np.frombuffer(b"".join(t.column("point").to_pylist()), "<u2").reshape(-1, rtree.DIMS))
-            n, ends, found = n.astype(np.int64), np.append(at[1:], len(nodes)), []
+            points, ends, found = rtree.Points(t.column("point").to_pylist(), n), np.append(at[1:], len(nodes)), []
+            n = points.sizes
             size = ends - at
             unit = np.repeat(np.arange(len(at)), size)
             for lag in range(1, 8):  # cells no larger than a page: every pair, all cells at once
                 i = np.flatnonzero((unit[lag:] == unit[:-lag]) & (size[unit[lag:]] <= 8))
                 if not len(i):
                     break
-                ok = rtree.may_link(points, n, n, i, i + lag, num, den)
+                i = i[rtree.may_link(points.base, n, n, i, i + lag, num, den)]
+                ok = points.refine(i, i + lag, num, den)
                 found.append((nodes[i[ok]], nodes[i[ok] + lag]))
             for s, e in zip(at[size > 8], ends[size > 8]):
                 across = block[s:e] if bi[s] != bj[s] else None
-                found.append(_stars(nodes[s:e], *rtree.join(points[s:e], n[s:e], num, den, across)))
+                found.append(_stars(nodes[s:e], *rtree.join(points, slice(s, e), num, den, across)))
             a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
             pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
             yield _edges_batch([(pair[:, 0], pair[:, 1])])
@@ -186,15 +196,15 @@ def _overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarra
 
 def _verify(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, at in units(batches, ["cluster", "bi", "bj"]):
+        for t, at in units(batches, ["cluster", "bi", "bj"], 1_000):
             nodes, block, bi, bj = (t.column(c).to_numpy() for c in ("node", "block", "bi", "bj"))
             blobs, found = t.column("set"), []
             for s, e in zip(at, [*at[1:], len(nodes)]):
                 sets = [np.frombuffer(x.as_py(), np.uint64) for x in blobs.slice(s, e - s)]
                 n = np.array([len(x) for x in sets], np.int64)
-                points = rtree.loaded(np.stack([rtree.point(x) for x in sets]))
+                points = rtree.Points([rtree.point(x).tobytes() for x in sets], n)
                 across = block[s:e] if bi[s] != bj[s] else None
-                i, j = rtree.join(points, n, num, den, across)
+                i, j = rtree.join(points, slice(0, len(n)), num, den, across)
                 shared = _overlaps(sets, i, j)
                 ok = shared * (num + den) >= num * (n[i] + n[j])
                 found.append(_stars(nodes[s:e], i[ok], j[ok]))
@@ -203,15 +213,19 @@ def _verify(num: int, den: int):
     return run
 
 
-def _full_sets(k: int, named: bool):
-    """Sets of texts; with `named`, of those rows whose text has the set that `node` names."""
+def _full_sets(k: int, wanted, nameless: bool):
+    """node and set of the rows whose doc_id may be wanted, and of rows without one if any is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece, texts in hashed_texts(batches):
-            made = [s for h in texts if len(s := np.unique(shingle_hashes(h, k))) or named]
-            nodes = [node_of(s) for s in made]
-            out = pa.RecordBatch.from_arrays([column(nodes, pa.int64()), column([s.tobytes() for s in made], pa.binary())], ["node", "set"])
-            yield out.filter(pa.array([x == y for x, y in zip(nodes, piece.column("node").to_pylist())], pa.bool_())) if named else out
+        def chosen() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column("doc_id")
+                keep = wanted.value.holds(ids.fill_null(0).to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(keep | (ids.is_null().to_numpy(zero_copy_only=False) & nameless)))
+
+        for _, texts in hashed_texts(chosen()):
+            made = [s for h in texts if len(s := np.unique(shingle_hashes(h, k)))]
+            yield pa.RecordBatch.from_arrays([column([node_of(s) for s in made], pa.int64()), column([s.tobytes() for s in made], pa.binary())], ["node", "set"])
 
     return run
 
@@ -237,9 +251,12 @@ def links(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataF
     near = dealt.select("key", "bi", "bj", "block", "node", "n", "point").mapInArrow(_join_cells(num, den), "a long, b long")
     clusters = components(near).select("node", F.col("comp").alias("cluster"))
     clusters = materialise(clusters, "clusters")
-    counts = clusters.groupBy("cluster").agg(F.count("*").alias("m"))
-    named = real.join(clusters, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    full = _sets_of(docs, named, k)
+    named = real.join(clusters, "node").groupBy("cluster", "node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    named = materialise(named, "cluster-members")
+    counts = named.groupBy("cluster").agg(F.sum(F.ceil(F.col("n") / HEAVY)).alias("m"))
+    ids = named.agg(F.count("*").alias("n"), F.count("doc_id").alias("named")).first()
+    wanted = spark.sparkContext.broadcast(bloom.build(named.select("doc_id"), ids["n"]))
+    full = docs.mapInArrow(_full_sets(k, wanted, ids["n"] > ids["named"]), "node long, set binary")
     members = in_blocks(clusters, ["cluster"], counts, BLOCK).join(full, "node").repartition("cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj")
     edges = members.select("cluster", "bi", "bj", "block", "node", "set").mapInArrow(_verify(num, den), "a long, b long")
     return sets.select("doc_id", "node", "n"), edges

@@ -9,7 +9,7 @@ rows; what is bounded is the vocabulary, whose unigram probabilities and back-of
 gets as arrays. Bigram counts are not bounded and stay in shards: log P(w|v) is what a word has
 without its bigram, log b(v) p(w), plus a gain where the bigram was seen, and the gains are joined
 by shard to the documents' bigrams and summed per document. Bigrams that were never seen are mostly
-told apart before that by a Bloom filter of fixed size, whose errors cost work only.
+told apart before that by a Bloom filter of bounded size, whose errors cost work only.
 
 A document is kept when its perplexity is at most the quantile QUANTILE of the held-out trusted
 documents of its language and length band; a band with fewer than LEAST of these takes its
@@ -30,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestack.llm import bloom
 from lodestack.llm.common import column, hashed_texts, materialise, mix, signed, table
 
 VOCABULARY, QUANTILE, LEAST, HOLD_OUT = 200_000, 0.995, 100, 10
 SHARD_BYTES = 48 << 20
-BLOOM_BITS = 1 << 25
 BANDS = (16, 64, 256)
 PACKED = "shard int, kind int, row long, doc_id long, lang string, n long, base double, data binary"
 
@@ -111,32 +111,8 @@ def _numbers(df: DataFrame, size: int, key: str, names: list[str]) -> np.ndarray
 class Model:
     """Arrays over the vocabulary and the class of other words, and the table of bigram gains."""
 
-    def __init__(self, vocabulary, log_p, log_b, bloom, gains: DataFrame):
-        self.vocabulary, self.log_p, self.log_b, self.bloom, self.gains = vocabulary, log_p, log_b, bloom, gains
-
-
-def _bloom_places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = mix(keys)
-    return (h % np.uint64(BLOOM_BITS)).astype(np.int64), ((h >> np.uint64(34)) % np.uint64(BLOOM_BITS)).astype(np.int64)
-
-
-def _bloom_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(BLOOM_BITS, bool)
-    for batch in batches:
-        for places in _bloom_places(batch.column(0).to_numpy().view(np.uint64)):
-            bits[places] = True
-    if bits.any():
-        words = np.packbits(bits).reshape(-1, 4096)
-        yield pa.RecordBatch.from_arrays([column(np.arange(len(words)), pa.int32()), column([w.tobytes() for w in words], pa.binary())], ["at", "bits"])
-
-
-def _bloom_union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for at, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            part = np.frombuffer(bits, np.uint8)
-            held[at] = held[at] | part if at in held else part
-    yield pa.RecordBatch.from_arrays([column(list(held), pa.int32()), column([b.tobytes() for b in held.values()], pa.binary())], ["at", "bits"])
+    def __init__(self, vocabulary, log_p, log_b, seen: bloom.Bloom, gains: DataFrame):
+        self.vocabulary, self.log_p, self.log_b, self.seen, self.gains = vocabulary, log_p, log_b, seen, gains
 
 
 def train(trusted: DataFrame, size: int = VOCABULARY) -> Model:
@@ -150,7 +126,7 @@ def train(trusted: DataFrame, size: int = VOCABULARY) -> Model:
     bigrams = materialise(trusted.mapInArrow(_bigram_counts(words), "v long, w long, n long").groupBy("v", "w").agg(F.sum("n").alias("n")), "bigram-counts")
     v1 = len(vocabulary) + 1
     of = lambda k: F.sum(F.when(F.col("n") == k, 1).otherwise(0))
-    n1, n2, n3, n4 = (x or 0 for x in bigrams.agg(*[of(k).alias(f"n{k}") for k in range(1, 5)]).first())
+    n_seen, n1, n2, n3, n4 = (x or 0 for x in bigrams.agg(F.count("*"), *[of(k).alias(f"n{k}") for k in range(1, 5)]).first())
     d = discounts(n1, n2, n3, n4)
     # Continuation counts: in how many contexts a word was seen.
     [followers] = _numbers(bigrams.groupBy("w").agg(F.count("*").alias("c")), v1, "w", ["c"])
@@ -179,19 +155,14 @@ def train(trusted: DataFrame, size: int = VOCABULARY) -> Model:
             yield pa.RecordBatch.from_arrays([column(signed(keys), pa.int64()), column(gain, pa.float64())], ["key", "gain"])
 
     gained = bigrams.mapInArrow(gains, "key long, gain double")
-    parts = gained.select("key").coalesce(16).mapInArrow(_bloom_part, "at int, bits binary")
-    parts = parts.repartition("at").mapInArrow(_bloom_union, "at int, bits binary").toArrow()  # BLOOM_BITS at most
-    bloom = np.zeros((BLOOM_BITS // 8 // 4096, 4096), np.uint8)
-    for at, bits in zip(parts.column("at").to_pylist(), parts.column("bits").to_pylist()):
-        bloom[at] = np.frombuffer(bits, np.uint8)
-    return Model(vocabulary, log_p, log_b, bloom.ravel(), gained)
+    return Model(vocabulary, log_p, log_b, bloom.build(gained.select("key"), int(n_seen)), gained)
 
 
 def _scored(shared, shards: int):
     """One row per document with what it has without bigrams, and its bigrams by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, log_p, log_b, bloom = shared.value
+        vocabulary, log_p, log_b, seen = shared.value
         for piece, texts in hashed_texts(batches, lower=False):
             columns: list[list] = [[] for _ in range(8)]
 
@@ -207,9 +178,7 @@ def _scored(shared, shards: int):
                 base = log_p[ids].sum() + log_b[ids[:-1]].sum() + log_b[-1]
                 put(row % shards, 1, row, doc, lang, len(ids), float(base), None)
                 keys = _keys(ids)
-                one, two = _bloom_places(keys)
-                bit = lambda at: (bloom[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
-                keys = keys[(bit(one) & bit(two)).astype(bool)]
+                keys = keys[seen.holds(keys)]
                 if len(keys):
                     to = (mix(keys) >> np.uint64(8)) % np.uint64(shards)
                     order = np.lexsort((keys, to))
@@ -274,7 +243,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(32, size // SHARD_BYTES)
-    shared = spark.sparkContext.broadcast((model.vocabulary, model.log_p, model.log_b, model.bloom))
+    shared = spark.sparkContext.broadcast((model.vocabulary, model.log_p, model.log_b, model.seen))
     sent = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_scored(shared, shards), PACKED)
     both = sent.unionByName(model.gains.mapInArrow(_packed_gains(shards), PACKED))
     parts = both.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_gained, "row long, doc_id long, lang string, n long, log_p double")

@@ -1,29 +1,65 @@
 """R-tree over count vectors, for joins of sets that must share most of their elements.
 
-A point holds how many of a set's elements fall in each of DIMS hash groups. What two sets share
-is at most the sum of the coordinate-wise minima of their points; what any two sets below two
-nodes share is at most that sum over the nodes' upper corners. Both are held against the overlap
-that the sizes ask for.
+A point holds how many of a set's elements fall in each of a number of hash groups: more groups
+for larger sets, always a power of two, so that a longer point folds into a shorter one. What two
+sets share is at most the sum of the coordinate-wise minima of their points; what any two sets
+below two nodes share is at most that sum over the nodes' upper corners. Both are held against the
+overlap that the sizes ask for. Trees are built over points folded to LEAST groups; pairs that they
+leave are looked at again with as many groups as both points have.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-DIMS, FANOUT, LEAF = 64, 8, 16
-_FULL = 65_535  # a count that reached the width of its column stands for any larger one
+LEAST, MOST, EACH, FANOUT, LEAF = 32, 512, 16, 8, 16
+_FULL = 255  # a count that reached the width of its column stands for any larger one
 _CHUNK = 16_384
 
 
 def point(hashes: np.ndarray) -> np.ndarray:
-    counts = np.bincount((hashes & np.uint64(DIMS - 1)).astype(np.int64), minlength=DIMS)
-    return np.minimum(counts, _FULL).astype("<u2")
-
-
-def loaded(points: np.ndarray) -> np.ndarray:
-    wide = points.astype(np.int32)
-    wide[wide == _FULL] = 1 << 24
-    return wide
+    dims = LEAST
+    while dims < MOST and dims * EACH < len(hashes):
+        dims *= 2
+    counts = np.bincount((hashes & np.uint64(dims - 1)).astype(np.int64), minlength=dims)
+    return np.minimum(counts, _FULL).astype(np.uint8)
+
+
+class Points:
+    """Points of one or more lengths and the sizes of their sets."""
+
+    def __init__(self, raw: list[bytes], sizes: np.ndarray):
+        self.sizes = sizes.astype(np.int64)
+        self.dims = np.fromiter(map(len, raw), np.int64, len(raw))
+        self.folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        wider: tuple[np.ndarray, np.ndarray] | None = None
+        for d in sorted({*self.dims.tolist(), LEAST}, reverse=True):
+            own = np.flatnonzero(self.dims == d)
+            x = np.frombuffer(b"".join(raw[k] for k in own), np.uint8).reshape(len(own), d).astype(np.int32)
+            x[x == _FULL] = 1 << 22
+            if wider is not None:
+                own = np.concatenate([own, wider[0]])
+                x = np.concatenate([x, wider[1].reshape(len(wider[0]), -1, d).sum(1)])
+            place = np.full(len(raw), -1)
+            place[own] = np.arange(len(own))
+            wider = own, x
+            self.folded[d] = place, x
+        place, x = self.folded[LEAST]
+        self.base = x[place]
+
+    def refine(self, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
+        """Which pairs the bound leaves with all the groups that both points have."""
+        ok = np.ones(len(i), bool)
+        both = np.minimum(self.dims[i], self.dims[j])
+        for d, (place, x) in self.folded.items():
+            at = np.flatnonzero(both == d) if d > LEAST else []
+            if len(at):
+                a, b = i[at], j[at]
+                for s in range(0, len(at), _CHUNK // (d // LEAST)):
+                    k = slice(s, s + _CHUNK // (d // LEAST))
+                    shared = np.minimum(x[place[a[k]]], x[place[b[k]]]).sum(1, dtype=np.int64)
+                    ok[at[k]] = shared * (num + den) >= num * (self.sizes[a[k]] + self.sizes[b[k]])
+        return ok
 
 
 def may_link(top, low, high, i, j, num: int, den: int) -> np.ndarray:
@@ -45,8 +81,10 @@ def _packed(points: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.concatenate([(part := order[s : s + slab])[np.lexsort((points[part, axes[1]], points[part, axes[0]]))] for s in range(0, len(order), slab)])
 
 
-def join(points: np.ndarray, sizes: np.ndarray, num: int, den: int, block: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i, j) that the bound can't rule out; with `block`, only pairs across blocks."""
+def join(of: Points, members: slice, num: int, den: int, block: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (i, j) among `members` that the bound can't rule out, counted from the first of
+    them; with `block`, only pairs across blocks."""
+    points, sizes = of.base[members], of.sizes[members]
     order = _packed(points, sizes)
     levels = [(points[order], sizes[order], sizes[order])]
     step = LEAF
@@ -70,7 +108,11 @@ def join(points: np.ndarray, sizes: np.ndarray, num: int, den: int, block: np.nd
                 keep = block[order[a]] != block[order[b]]
                 a, b = a[keep], b[keep]
             ok = may_link(top, low, high, a, b, num, den)
-            found.append((a[ok], b[ok]))
+            a, b = a[ok], b[ok]
+            if depth == 0:
+                ok = of.refine(order[a] + members.start, order[b] + members.start, num, den)
+                a, b = a[ok], b[ok]
+            found.append((a, b))
         i, j = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
     if len(levels) == 1:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
