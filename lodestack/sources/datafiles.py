@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from lodestack.functions.text import platform_name, trimmed
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 #: Explicit, as inference reads all-digit checksums as numbers and a single dump as a struct.
 GAME = "_name string, description string, rom array<struct<_name: string, _size: string, _crc: string, _md5: string, _sha1: string>>"
@@ -67,43 +67,47 @@ def software(spark: SparkSession, path: str) -> DataFrame:
 _TOKEN = re.compile(r'"([^"]*)"|([()])|([^\s()"]+)')
 
 
-@udtf(returnType="entry int, kind string, key string, value string, dump int")
-class GameList:
-    """Blocks of a game list, `word ( key value key ( ... ) )`, as rows of keys and values; dump
-    numbers the rom blocks of an entry. A file that ends inside a block is an error."""
-
-    def eval(self, text: str) -> Iterator[tuple]:
-        stack: list[list] = []  # [name, pending key]
-        entry, dump, kind, word = -1, -1, "", None
-        for quoted, bracket, plain in _TOKEN.findall(text or ""):
-            if bracket == "(":
-                if not stack:
-                    entry, dump, kind = entry + 1, -1, word or ""
-                elif stack[-1][1] == "rom":
-                    dump += 1
-                stack.append([stack[-1][1] if stack else kind, None])
-            elif bracket == ")":
-                if not stack:
-                    raise ValueError("a block ends that did not begin")
-                stack.pop()
-                if stack:
-                    stack[-1][1] = None
-            elif not stack:
-                word = plain or quoted
-            elif stack[-1][1] is None:
-                stack[-1][1] = plain or quoted
-            else:
-                yield entry, kind, stack[-1][1], quoted or plain, dump if len(stack) > 1 else -1
+def blocks(text: str | None) -> Iterator[tuple]:
+    """Blocks of a game list, `word ( key value key ( ... ) )`, as (entry, kind, key, value, dump);
+    dump numbers the rom blocks of an entry. A file that ends inside a block is an error."""
+    stack: list[list] = []  # [name, pending key]
+    entry, dump, kind, word = -1, -1, "", None
+    for quoted, bracket, plain in _TOKEN.findall(text or ""):
+        if bracket == "(":
+            if not stack:
+                entry, dump, kind = entry + 1, -1, word or ""
+            elif stack[-1][1] == "rom":
+                dump += 1
+            stack.append([stack[-1][1] if stack else kind, None])
+        elif bracket == ")":
+            if not stack:
+                raise ValueError("a block ends that did not begin")
+            stack.pop()
+            if stack:
                 stack[-1][1] = None
-        if stack:
-            raise ValueError("the list ends inside a block")
+        elif not stack:
+            word = plain or quoted
+        elif stack[-1][1] is None:
+            stack[-1][1] = plain or quoted
+        else:
+            yield entry, kind, stack[-1][1], quoted or plain, dump if len(stack) > 1 else -1
+            stack[-1][1] = None
+    if stack:
+        raise ValueError("the list ends inside a block")
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32()]
+    for batch in batches:
+        rows = [(file, *r) for file, text in zip(*(c.to_pylist() for c in batch.columns)) for r in blocks(text)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["file", "entry", "kind", "key", "value", "dump"])
 
 
 def game_list(spark: SparkSession, path: str) -> DataFrame:
     """name and dumps (array of checksums) of the games of block-structured lists, entries of one
     name merged in the order they appear; nameless entries are left out."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("body"))
-    rows = files.lateralJoin(GameList(F.col("body").outer())).where("kind = 'game'")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    rows = files.mapInArrow(_rows, "file string, entry int, kind string, key string, value string, dump int").where("kind = 'game'")
     names = rows.where("key = 'name' and dump = -1").groupBy("file", "entry").agg(F.min("value").alias("name")).where("trim(name) <> ''")
     dumps = rows.where("dump >= 0 and key = 'sha1'").groupBy("file", "entry", "dump").agg(F.min(F.lower("value")).alias("sha1"))
     joined = names.join(dumps, ["file", "entry"], "left").groupBy("file", "name").agg(F.array_sort(F.collect_list(F.when(F.col("sha1").isNotNull(), F.struct("entry", "dump", "sha1")))).alias("d"))
