@@ -60,8 +60,46 @@ def build(keys: DataFrame, n: int) -> Bloom:
                 held[at] = held[at] | page if at in held else page
         yield pa.RecordBatch.from_arrays([column(list(held), pa.int32()), column([b.tobytes() for b in held.values()], pa.binary())], ["at", "bits"])
 
-    parts = keys.coalesce(16).mapInArrow(part, "at int, bits binary").repartition("at").mapInArrow(union, "at int, bits binary").toArrow()
+    parts = keys.coalesce(8).mapInArrow(part, "at int, bits binary").repartition("at").mapInArrow(union, "at int, bits binary").toArrow()
     bits = np.zeros((size // 8 // PAGE, PAGE), np.uint8)
     for at, page in zip(parts.column("at").to_pylist(), parts.column("bits").to_pylist()):
         bits[at] = np.frombuffer(page, np.uint8)
     return Bloom(bits.ravel())
+
+
+def sift(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose long column `key` may be among the one column of `keys`, and rows where it is not
+    (nulls too). A join of the first with `keys` settles what is left; the others need none, so long
+    texts of rows that don't matter are never shuffled."""
+    held = rows.sparkSession.sparkContext.broadcast(build(keys, keys.count()))
+
+    def part(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column(key)
+                found = held.value.holds(ids.fill_null(0).to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(found == wanted))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    return part(True), part(False)
+
+
+def among(rows: DataFrame, key: str, keys: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """Rows whose long column `key` is among the one column of `keys` (distinct, not null). Up to
+    `most` keys (16 MB) go to the tasks as they are and no row is shuffled; beyond, rows are sifted
+    by a Bloom filter and joined."""
+    if keys.count() > most:
+        return sift(rows, key, keys)[0].join(keys, key, "left_semi")
+    known = np.sort(keys.toArrow().column(0).to_numpy())
+    held = rows.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(key)
+            values = ids.fill_null(0).to_numpy()
+            at = np.minimum(np.searchsorted(held.value, values), max(len(held.value) - 1, 0))
+            found = held.value[at] == values if len(held.value) else np.zeros(len(values), bool)
+            yield batch.filter(pa.array(found & ids.is_valid().to_numpy(zero_copy_only=False)))
+
+    return rows.mapInArrow(run, rows.schema)

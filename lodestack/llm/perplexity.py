@@ -7,8 +7,9 @@ and punctuation included. The vocabulary is the VOCABULARY most frequent words o
 by the number of its word types, so that unknown words are rare words. Statistics cover all trusted
 rows; what is bounded is the vocabulary, whose unigram probabilities and back-off weights every task
 gets as arrays. Bigram counts are not bounded and stay in shards: log P(w|v) is what a word has
-without its bigram, log b(v) p(w), plus a gain where the bigram was seen, and the gains are joined
-by shard to the documents' bigrams and summed per document. Bigrams that were never seen are mostly
+without its bigram, log b(v) p(w), plus a gain where the bigram was seen. Every task has the gains
+of the FREQUENT most frequent bigrams; those of all others are joined by shard to the documents'
+bigrams and summed per document. Bigrams that were never seen are mostly
 told apart before that by a Bloom filter of bounded size, whose errors cost work only.
 
 A document is kept when its perplexity is at most the quantile QUANTILE of the held-out trusted
@@ -35,7 +36,9 @@ from lodestack.llm.common import column, hashed_texts, materialise, mix, signed,
 
 VOCABULARY, QUANTILE, LEAST, HOLD_OUT = 200_000, 0.995, 100, 10
 SHARD_BYTES = 48 << 20
+FREQUENT = 500_000  # bigrams whose gains every task has, at most
 BANDS = (16, 64, 256)
+_BITS = np.uint64(18)  # of a word's place; the vocabulary and two more have to fit
 PACKED = "shard int, kind int, row long, doc_id long, lang string, n long, base double, data binary"
 
 
@@ -65,9 +68,19 @@ def _ids(h: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[at] == h, at, len(vocabulary)).astype(np.int64)
 
 
-def _keys(ids: np.ndarray) -> np.ndarray:
-    """A text's bigrams; its first word follows the word before all texts, id 2**31."""
-    return (np.concatenate([[1 << 31], ids[:-1]]).astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64)
+def _keys(ids: np.ndarray, start: int) -> np.ndarray:
+    """A text's bigrams as numbers of 36 bits; its first word follows `start`, the word before all texts."""
+    return (np.append(start, ids[:-1]).astype(np.uint64) << _BITS) | ids.astype(np.uint64)
+
+
+def _bytes_of(keys: np.ndarray) -> bytes:
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _keys_of(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
 
 
 def _bigram_counts(vocabulary):
@@ -76,12 +89,12 @@ def _bigram_counts(vocabulary):
 
         def batch_of() -> pa.RecordBatch:
             k, n = np.unique(np.concatenate(waiting), return_counts=True)
-            return pa.RecordBatch.from_arrays([column((k >> np.uint64(32)).astype(np.int64), pa.int64()), column((k & np.uint64(0xFFFFFFFF)).astype(np.int64), pa.int64()), column(n, pa.int64())], ["v", "w", "n"])
+            return pa.RecordBatch.from_arrays([column(signed(k), pa.int64()), column(n, pa.int32())], ["key", "n"])
 
         for _, texts in hashed_texts(batches, lower=False):
-            waiting += [_keys(_ids(h, words)) for h in texts if len(h)]
+            waiting += [_keys(_ids(h, words), len(words) + 1) for h in texts if len(h)]
             size += sum(len(h) for h in texts)
-            if size > 2_000_000 and waiting:
+            if size > 4_000_000 and waiting:
                 yield batch_of()
                 waiting, size = [], 0
         if waiting:
@@ -109,10 +122,23 @@ def _numbers(df: DataFrame, size: int, key: str, names: list[str]) -> np.ndarray
 
 
 class Model:
-    """Arrays over the vocabulary and the class of other words, and the table of bigram gains."""
+    """Arrays over the vocabulary and the class of other words, gains of frequent bigrams, a filter
+    for the others and the table of their gains."""
+
+    def __init__(self, vocabulary, log_p, log_b, frequent, seen: bloom.Bloom, gains: DataFrame):
+        self.vocabulary, self.log_p, self.log_b, self.frequent, self.seen, self.gains = vocabulary, log_p, log_b, frequent, seen, gains
+
 
-    def __init__(self, vocabulary, log_p, log_b, seen: bloom.Bloom, gains: DataFrame):
-        self.vocabulary, self.log_p, self.log_b, self.seen, self.gains = vocabulary, log_p, log_b, seen, gains
+def _least_frequent(bigrams: DataFrame, most: int) -> int:
+    """The count from which on bigrams are frequent: all of these are at most `most`."""
+    step = F.least(F.col("n"), F.lit(10_000))
+    total, least = 0, 10_001
+    for r in bigrams.groupBy(step.alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("n")).collect():  # 10,000 rows at most
+        total += r["rows"]
+        if total > most:
+            break
+        least = r["n"]
+    return least
 
 
 def train(trusted: DataFrame, size: int = VOCABULARY) -> Model:
@@ -123,22 +149,22 @@ def train(trusted: DataFrame, size: int = VOCABULARY) -> Model:
     vocabulary = np.sort(top.column("h").to_numpy().view(np.uint64))
     types = max(0, counted.count() - len(vocabulary)) + 1
     words = spark.sparkContext.broadcast(vocabulary)
-    bigrams = materialise(trusted.mapInArrow(_bigram_counts(words), "v long, w long, n long").groupBy("v", "w").agg(F.sum("n").alias("n")), "bigram-counts")
+    bigrams = trusted.mapInArrow(_bigram_counts(words), "key long, n int").groupBy("key").agg(F.sum("n").alias("n"))
+    bigrams = materialise(bigrams, "bigram-counts")
+    v, w = F.shiftright("key", int(_BITS)), F.col("key").bitwiseAND((1 << int(_BITS)) - 1)
     v1 = len(vocabulary) + 1
     of = lambda k: F.sum(F.when(F.col("n") == k, 1).otherwise(0))
-    n_seen, n1, n2, n3, n4 = (x or 0 for x in bigrams.agg(F.count("*"), *[of(k).alias(f"n{k}") for k in range(1, 5)]).first())
+    n1, n2, n3, n4 = (x or 0 for x in bigrams.agg(*[of(k).alias(f"n{k}") for k in range(1, 5)]).first())
     d = discounts(n1, n2, n3, n4)
     # Continuation counts: in how many contexts a word was seen.
-    [followers] = _numbers(bigrams.groupBy("w").agg(F.count("*").alias("c")), v1, "w", ["c"])
+    [followers] = _numbers(bigrams.groupBy(w.alias("w")).agg(F.count("*").alias("c")), v1, "w", ["c"])
     dc = discounts(*((followers == k).sum() for k in range(1, 5)))
     total = max(followers.sum(), 1.0)
     taken = dc[np.minimum(followers, 3).astype(int)]
     p = (followers - taken) / total + (taken.sum() / total if followers.any() else 1.0) / v1
     p[-1] /= types
-    by_context = bigrams.where(F.col("v") < (1 << 31)).groupBy("v").agg(F.sum("n").alias("c"), of(1).alias("a"), of(2).alias("b"), F.sum(F.when(F.col("n") > 2, 1).otherwise(0)).alias("m"))
-    c, a, b, m = _numbers(by_context, v1, "v", ["c", "a", "b", "m"])
-    first = bigrams.where(F.col("v") == (1 << 31)).agg(F.sum("n"), of(1), of(2), F.sum(F.when(F.col("n") > 2, 1).otherwise(0))).first()
-    c, a, b, m = (np.append(x, y or 0) for x, y in zip((c, a, b, m), first))  # the start of a text is the last context
+    by_context = bigrams.groupBy(v.alias("v")).agg(F.sum("n").alias("c"), of(1).alias("a"), of(2).alias("b"), F.sum(F.when(F.col("n") > 2, 1).otherwise(0)).alias("m"))
+    c, a, b, m = _numbers(by_context, v1 + 1, "v", ["c", "a", "b", "m"])  # the last context is the start of a text
     backoff = np.where(c > 0, (d[1] * a + d[2] * b + d[3] * m) / np.maximum(c, 1), 1.0)
     log_p, log_b = np.log(p), np.log(backoff)
     fixed = spark.sparkContext.broadcast((p, backoff, c, d, types))
@@ -146,23 +172,27 @@ def train(trusted: DataFrame, size: int = VOCABULARY) -> Model:
     def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, backoff, c, d, types = fixed.value
         for batch in batches:
-            v, w, n = (batch.column(x).to_numpy() for x in ("v", "w", "n"))
-            at = np.where(v < (1 << 31), v, len(c) - 1)
+            keys, n = batch.column("key").to_numpy(), batch.column("n").to_numpy()
+            v, w = keys >> int(_BITS), keys & ((1 << int(_BITS)) - 1)
             share = np.where(w == len(p) - 1, types, 1)  # a word outside has its part of what its class has
-            low = backoff[at] * p[w]
-            gain = np.log((n - d[np.minimum(n, 3)]) / c[at] / share + low) - np.log(low)
-            keys = (v.astype(np.uint64) << np.uint64(32)) | w.astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([column(signed(keys), pa.int64()), column(gain, pa.float64())], ["key", "gain"])
+            low = backoff[v] * p[w]
+            gain = np.log((n - d[np.minimum(n, 3)]) / c[v] / share + low) - np.log(low)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), column(gain.astype(np.float32), pa.float32())], ["key", "gain"])
 
-    gained = bigrams.mapInArrow(gains, "key long, gain double")
-    return Model(vocabulary, log_p, log_b, bloom.build(gained.select("key"), int(n_seen)), gained)
+    least = _least_frequent(bigrams, FREQUENT)
+    top = bigrams.where(F.col("n") >= least).select("key", "n").mapInArrow(gains, "key long, gain float").toArrow()  # FREQUENT rows at most
+    order = np.argsort(top.column("key").to_numpy())
+    frequent = top.column("key").to_numpy()[order].view(np.uint64), top.column("gain").to_numpy()[order]
+    rest = bigrams.where(F.col("n") < least)
+    seen = bloom.build(rest.select("key"), rest.count())
+    return Model(vocabulary, log_p, log_b, frequent, seen, rest.select("key", "n").mapInArrow(gains, "key long, gain float"))
 
 
 def _scored(shared, shards: int):
     """One row per document with what it has without bigrams, and its bigrams by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, log_p, log_b, seen = shared.value
+        vocabulary, log_p, log_b, (top, gains), seen = shared.value
         for piece, texts in hashed_texts(batches, lower=False):
             columns: list[list] = [[] for _ in range(8)]
 
@@ -176,8 +206,13 @@ def _scored(shared, shards: int):
                     continue
                 ids = _ids(h, vocabulary)
                 base = log_p[ids].sum() + log_b[ids[:-1]].sum() + log_b[-1]
+                keys = _keys(ids, len(vocabulary) + 1)
+                if len(top):
+                    at = np.minimum(np.searchsorted(top, keys), len(top) - 1)
+                    known = top[at] == keys
+                    base += gains[at[known]].sum(dtype=np.float64)
+                    keys = keys[~known]
                 put(row % shards, 1, row, doc, lang, len(ids), float(base), None)
-                keys = _keys(ids)
                 keys = keys[seen.holds(keys)]
                 if len(keys):
                     to = (mix(keys) >> np.uint64(8)) % np.uint64(shards)
@@ -185,7 +220,7 @@ def _scored(shared, shards: int):
                     keys, to = keys[order], to[order]
                     at = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
                     for s, e in zip(at, [*at[1:], len(keys)]):
-                        put(int(to[s]), 1, row, None, None, None, None, keys[s:e].tobytes())
+                        put(int(to[s]), 1, row, None, None, None, None, _bytes_of(keys[s:e]))
             yield pa.RecordBatch.from_arrays(
                 [column(x, t) for x, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.binary()))],
                 ["shard", "kind", "row", "doc_id", "lang", "n", "base", "data"],
@@ -201,7 +236,7 @@ def _packed_gains(shards: int):
             to = ((mix(keys.view(np.uint64)) >> np.uint64(8)) % np.uint64(shards)).astype(np.int32)
             order = np.argsort(to, kind="stable")
             at = np.flatnonzero(np.append(True, to[order][1:] != to[order][:-1])) if len(to) else []
-            rows = [(int(to[o[0]]), keys[o].tobytes() + gain[o].astype("<f8").tobytes()) for o in (order[s:e] for s, e in zip(at, [*at[1:], len(order)]))] if len(to) else []
+            rows = [(int(to[o[0]]), _bytes_of(keys[o]) + gain[o].astype("<f4").tobytes()) for o in (order[s:e] for s, e in zip(at, [*at[1:], len(order)]))] if len(to) else []
             n = len(rows)
             none = lambda t: pa.nulls(n, t)
             yield pa.RecordBatch.from_arrays(
@@ -221,8 +256,8 @@ def _gained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if s != shard:
                 shard, parts, keys, gains = s, [], np.zeros(0, np.uint64), np.zeros(0)
             if kind == 0:
-                half = len(data) // 2
-                parts.append((np.frombuffer(data[:half], np.uint64), np.frombuffer(data[half:], "<f8")))
+                n = len(data) // 9
+                parts.append((_keys_of(data[: 5 * n]), np.frombuffer(data[5 * n :], "<f4").astype(np.float64)))
                 continue
             if parts:
                 keys, gains = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
@@ -231,7 +266,7 @@ def _gained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if data is None:
                 out.append((row, doc, lang, n, base))
             elif len(keys):
-                own = np.frombuffer(data, np.uint64)
+                own = _keys_of(data)
                 at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
                 out.append((row, None, None, None, float(gains[at][keys[at] == own].sum())))
         yield pa.RecordBatch.from_arrays([column([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64()))], ["row", "doc_id", "lang", "n", "log_p"])
@@ -243,7 +278,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(32, size // SHARD_BYTES)
-    shared = spark.sparkContext.broadcast((model.vocabulary, model.log_p, model.log_b, model.seen))
+    shared = spark.sparkContext.broadcast((model.vocabulary, model.log_p, model.log_b, model.frequent, model.seen))
     sent = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_scored(shared, shards), PACKED)
     both = sent.unionByName(model.gains.mapInArrow(_packed_gains(shards), PACKED))
     parts = both.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_gained, "row long, doc_id long, lang string, n long, log_p double")
@@ -257,8 +292,9 @@ def _held_out():
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, size: int = VOCABULARY) -> DataFrame:
     """doc_id, lang, n_words, perplexity, limit and kept of every row of `docs`."""
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
-    trusted = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(good, "doc_id")
+    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    good = materialise(good, "trusted-ids")
+    trusted = bloom.among(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id", good)
     model = train(trusted.where(~_held_out()).select("text"), size)
     scored = materialise(score(docs, model), "perplexities")
     band = F.lit(len(BANDS))

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestack.llm import bloom
 from lodestack.llm.common import column, hashed_texts, materialise, mix, shingle_hashes, table
 
 TRAIN_ROWS, LEXICON, LETTERS_AN_ERROR = 6_000, 2_000, 5
@@ -113,7 +114,7 @@ class Automaton:
             kid = self.kids[node].get(c)
             if kid is not None and now.get(kid, 9) > e:
                 now[kid] = e
-            if node and e + 1 <= self.most[node] and now.get(node, 9) > e + 1:
+            if e + 1 <= self.most[node] and now.get(node, 9) > e + 1:
                 now[node] = e + 1  # a letter too many
             for other in self.kids[node].values():
                 if e + 1 <= self.most[other] and now.get(other, 9) > e + 1:
@@ -234,11 +235,11 @@ def _evidence_of(terms, misspelled, hits) -> float:
     """Full weight for clear hits, learned weights for misspelled ones; quotations add up to one QUOTED."""
     total, quoted = 0.0, 0.0
     for term, errors, is_quoted in hits:
-        weight = 1.0 if not errors else misspelled.get((term, errors), misspelled.get(errors, 0.5))
+        weight = 1.0 if not errors else misspelled.get((term, errors), 0.5)
         if is_quoted:
             quoted = max(quoted, QUOTED * weight)
         else:
-            total += weight if not errors else weight * 0.75
+            total += weight
     return total + quoted
 
 
@@ -263,7 +264,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows_a_class: int = TRAIN_
     n = {r["toxic"]: r["n"] for r in ids.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("toxic") == 1, rows_a_class / max(1, n.get(1, 0))).otherwise(rows_a_class / max(1, n.get(0, 0)))
     chosen = ids.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < share * 1_000_000)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id").select("text", "toxic")
+    chosen = materialise(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"), "toxicity-labels")
+    texts = bloom.among(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id", chosen.select("doc_id").distinct())
+    return texts.join(chosen, "doc_id").select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows_a_class: int = TRAIN_ROWS) -> Model:
@@ -296,8 +299,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_a_class: int = TRAIN_ROWS) -> M
 
     seen: dict = {}
     for r in train.mapInArrow(facts, "term string, errors int, toxic int").groupBy("term", "errors", "toxic").agg(F.count("*").alias("n")).collect():
-        for key in ((r["term"], r["errors"]), r["errors"]):
-            seen.setdefault(key, [0, 0])[r["toxic"]] += r["n"]
+        seen.setdefault((r["term"], r["errors"]), [0, 0])[r["toxic"]] += r["n"]
     misspelled = {k: (t + 1) / (t + even * o + 2) for k, (o, t) in seen.items()}
 
     def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
