@@ -6,7 +6,7 @@ of `docs`. run() writes each result as Parquet to the shared folder and reads it
 
 from __future__ import annotations
 
-from lodestack.llm import decontaminate, line_dedup, ngram_join, packing, toxicity
+from lodestack.llm import bloom, decontaminate, line_dedup, ngram_join, packing, toxicity
 from lodestack.llm.common import materialise, table
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,10 +25,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of smallest doc_id."""
+    """Of each group of near-duplicates the document of smallest doc_id; rows of one doc_id are one
+    document, and stay or go together."""
     found = materialise(ngram_join.jaccard_components(docs), "near-copies")
-    lost = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+    lost = materialise(found.where("doc_id <> component_id").select("doc_id").distinct(), "lost")
+    maybe, others = bloom.sift(docs, "doc_id", lost)
+    return others.unionByName(maybe.join(lost, "doc_id", "left_anti")).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
