@@ -34,7 +34,7 @@ from lodestack.llm import bloom, rtree
 from lodestack.llm.common import column, hashed_texts, in_blocks, materialise, shingle_hashes, signed, table, units, word_hashes
 from lodestack.llm.graph import components
 
-BLOCK = 2048  # members of a cell or cluster that one task joins with as many others
+BLOCK = 1024  # members of a cell or cluster that one task joins with as many others
 HEAVY = 512  # shingles; a larger set counts as several members of its cluster
 COMMON = 500_000  # shingles put last in the order, at most
 _PROBED = np.uint64(1 << 63)  # shingles below this are counted for the order; prefixes rarely reach beyond
@@ -69,9 +69,9 @@ def _common(k: int):
                 s = s[s < _PROBED]
                 waiting.append(s)
                 seen += len(s)
-                if seen > 2_000_000:
+                if seen > 500_000:
                     count()
-                    if len(held) > 1_000_000:  # forget the rarest; an order is all that depends on it
+                    if len(held) > 250_000:  # forget the rarest; an order is all that depends on it
                         for h in [h for h, c in held.items() if c < 4]:
                             del held[h]
         if waiting:
@@ -181,7 +181,7 @@ def _overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarra
     owner, which = owner[shared], column_of[which[shared]]
     out = np.zeros(len(i), np.int64)
     a, b = place[i], place[j]
-    width = max(256, 8_000_000 // len(used))
+    width = max(256, 2_000_000 // len(used))
     for s in range(0, int((times > 1).sum()), width):
         here = (which >= s) & (which < s + width)
         x = np.zeros((len(used), width), np.float32)

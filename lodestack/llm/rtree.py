@@ -99,9 +99,9 @@ def join(of: Points, members: slice, num: int, den: int, block: np.ndarray | Non
         fan = LEAF if depth == 0 else FANOUT
         grid = np.arange(fan)
         found = []
-        for s in range(0, len(i), 4096):
-            a = (i[s : s + 4096, None] * fan + grid)[:, :, None].repeat(fan, 2).ravel()
-            b = (j[s : s + 4096, None] * fan + grid)[:, None, :].repeat(fan, 1).ravel()
+        for s in range(0, len(i), 1024):
+            a = (i[s : s + 1024, None] * fan + grid)[:, :, None].repeat(fan, 2).ravel()
+            b = (j[s : s + 1024, None] * fan + grid)[:, None, :].repeat(fan, 1).ravel()
             keep = (a < len(low)) & (b < len(low)) & ((a < b) if depth == 0 else (a <= b))
             a, b = a[keep], b[keep]
             if depth == 0 and block is not None:

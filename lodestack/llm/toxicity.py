@@ -125,7 +125,7 @@ class Automaton:
 
     def match(self, word: str) -> tuple[int, str] | None:
         """(errors, term) of the closest term, or None."""
-        if len(self.sets) > 200_000:
+        if len(self.sets) > 20_000:
             self._clear()
         state, best = self.start, None
         for c in word:
@@ -165,7 +165,7 @@ def _quoted(ws: list[str], at: int) -> bool:
 class Finder:
     """hits() of texts, with a bounded memory of words."""
 
-    MEMORY = 400_000
+    MEMORY = 100_000
 
     def __init__(self, terms: dict[str, bool]):
         self.automaton = Automaton(terms)
