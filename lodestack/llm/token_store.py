@@ -48,26 +48,36 @@ def merkle(leaves: list[bytes]) -> bytes:
     return leaves[0] if leaves else digest(b"")
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
-    h = mix(ids.astype(np.uint64) + np.uint64(1))
-    roll = np.zeros(n, np.uint64)
-    for i in range(WINDOW):
-        roll[i:] += h[: n - i] << np.uint64(i)
-    found = np.flatnonzero((mix(roll) & np.uint64(MEAN - 1)) == 0) + 1
-    ends, last = [], 0
-    for end in [*found.tolist(), n]:
+_MIXED = mix(np.arange(1, 65_537, dtype=np.uint64))
+
+
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places behind which the rolling hash of the last WINDOW ids allows a cut. Several streams may
+    follow each other in `ids`: a stream's first places are never used, as chunks have LEAST ids."""
+    h = _MIXED[ids]
+    roll = h.copy()
+    for i in range(1, WINDOW):
+        roll[i:] += h[:-i] << np.uint64(i)
+    return np.flatnonzero((mix(roll) & np.uint64(MEAN - 1)) == 0) + 1
+
+
+def ends(found: list[int], n: int) -> list[int]:
+    """Ends of the chunks of a stream of n ids with marks `found`."""
+    out, last = [], 0
+    for end in [*found, n]:
         while end - last > MOST:
             last += MOST
-            ends.append(last)
+            out.append(last)
         if end - last >= LEAST or end == n:
             if end > last:
-                ends.append(end)
+                out.append(end)
             last = end
-    return ends
+    return out
+
+
+def cuts(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of an id stream."""
+    return ends(marks(ids).tolist(), len(ids)) if len(ids) > WINDOW else [len(ids)]
 
 
 def _parts(path: str):
@@ -77,9 +87,13 @@ def _parts(path: str):
             for at in range(0, batch.num_rows, 512):
                 rows: list[tuple] = []
                 piece = batch.slice(at, 512)
-                for doc, ids in zip(piece.column(0).to_pylist(), tokens.ids_of(piece.column(1), path)):
+                streams = list(tokens.ids_of(piece.column(1), path))
+                starts = np.cumsum([0, *map(len, streams)])
+                allowed = marks(np.concatenate([*streams, np.zeros(WINDOW, "<u2")]))
+                first = np.searchsorted(allowed, starts, "right")
+                for k, (doc, ids) in enumerate(zip(piece.column(0).to_pylist(), streams)):
                     keys, start = [], 0
-                    for end in cuts(ids):
+                    for end in ends((allowed[first[k] : first[k + 1]] - starts[k]).tolist(), len(ids)):
                         data = ids[start:end].tobytes()
                         keys.append(key := digest(data))
                         if key not in seen:

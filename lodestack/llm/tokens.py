@@ -18,7 +18,7 @@ import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
-_MEMORY = 200_000  # pre-tokens remembered by a worker, some 30 MB
+_MEMORY = 400_000  # pre-tokens remembered by a worker, some 60 MB
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
