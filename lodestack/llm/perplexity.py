@@ -2,15 +2,15 @@
 
 The model is trained on trusted text: rows labelled of good quality and not toxic, all of them but
 a tenth that is held out (by a hash of doc_id) for the thresholds. Words are as written, capitals
-and punctuation included. The vocabulary is the VOCABULARY most frequent words of the trusted text
-(ties by hash); all other words are one class, and a word of it has its class's probability divided
-by the number of its word types, so that unknown words are rare words. Statistics cover all trusted
-rows; what is bounded is the vocabulary, whose unigram probabilities and back-off weights every task
-gets as arrays. Bigram counts are not bounded and stay in shards: log P(w|v) is what a word has
-without its bigram, log b(v) p(w), plus a gain where the bigram was seen. Every task has the gains
-of the FREQUENT most frequent bigrams; those of all others are joined by shard to the documents'
-bigrams and summed per document. Bigrams that were never seen are mostly
-told apart before that by a Bloom filter of bounded size, whose errors cost work only.
+and punctuation included. Statistics cover all trusted rows and all their words: log P(w|v) is what
+a word has without its bigram, log b(v) p(w), plus a gain where the bigram was seen. Words that were
+never seen share one class. Every task has the probabilities and back-off weights of the VOCABULARY
+most frequent words (ties by hash) as arrays and the gains of the FREQUENT most frequent bigrams.
+Those of all other words, the rare ones, and of all other bigrams stay in shards by hash, are joined
+there to the documents' words and bigrams and summed per document. What was never seen is mostly told
+apart before that by a Bloom filter of bounded size, whose errors cost work only. A caller of `train`
+may ask for a vocabulary of `size` words: all others then are the class, and a word of it has its
+class's probability divided by the number of its word types.
 
 A document is kept when its perplexity is at most the quantile QUANTILE of the held-out trusted
 documents of its language and length band; a band with fewer than LEAST of these takes its
@@ -39,7 +39,9 @@ SHARD_BYTES = 48 << 20
 FREQUENT = 500_000  # bigrams whose gains every task has, at most
 BANDS = (16, 64, 256)
 _BITS = np.uint64(18)  # of a word's place; the vocabulary and two more have to fit
-PACKED = "shard int, kind int, row long, doc_id long, lang string, n long, base double, data binary"
+_RARE = np.uint64(1 << 63)  # set in what names a rare word, 63 bits of its hash
+_WORD, _LAST = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
+PACKED = "shard int, kind int, row long, doc_id long, lang string, n long, base double, data binary, rare binary"
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,6 +75,18 @@ def _keys(ids: np.ndarray, start: int) -> np.ndarray:
     return (np.append(start, ids[:-1]).astype(np.uint64) << _BITS) | ids.astype(np.uint64)
 
 
+def _named(h: np.ndarray, ids: np.ndarray, start: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts and words of a text's bigrams with a rare word (place `size`): places or names of rare words."""
+    w = np.where(ids == size, h | _RARE, ids.astype(np.uint64))
+    v = np.append(np.uint64(start), w[:-1])
+    any_rare = (v | w) >= _RARE
+    return v[any_rare], w[any_rare]
+
+
+def _pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(mix(v) * np.uint64(0x9E3779B97F4A7C15) + w)
+
+
 def _bytes_of(keys: np.ndarray) -> bytes:
     return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
@@ -83,26 +97,46 @@ def _keys_of(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _bigram_counts(vocabulary):
+def _bigram_counts(vocabulary, whole: bool):
+    """Bigrams of frequent words as one number and 0, others as what names their two words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, waiting, size = vocabulary.value, [], 0
+        words, waiting, rare, size = vocabulary.value, [], [], 0
 
         def batch_of() -> pa.RecordBatch:
             k, n = np.unique(np.concatenate(waiting), return_counts=True)
-            return pa.RecordBatch.from_arrays([column(signed(k), pa.int64()), column(n, pa.int32())], ["key", "n"])
+            other = np.zeros(len(k), np.uint64)
+            if rare:
+                v, w = (np.concatenate([r[i] for r in rare]) for i in (0, 1))
+                _, at, m = np.unique(_pair_keys(v, w), return_index=True, return_counts=True)
+                k, other, n = np.append(k, v[at]), np.append(other, w[at]), np.append(n, m)
+            return pa.RecordBatch.from_arrays([column(signed(k), pa.int64()), column(signed(other), pa.int64()), column(n, pa.int32())], ["key", "other", "n"])
 
         for _, texts in hashed_texts(batches, lower=False):
-            waiting += [_keys(_ids(h, words), len(words) + 1) for h in texts if len(h)]
+            for h in texts:
+                if len(h):
+                    ids = _ids(h, words)
+                    keys = _keys(ids, len(words) + 1)
+                    if whole and (ids == len(words)).any():
+                        keys = keys[_inside(ids, len(words))]
+                        rare.append(_named(h, ids, len(words) + 1, len(words)))
+                    waiting.append(keys)
             size += sum(len(h) for h in texts)
             if size > 4_000_000 and waiting:
                 yield batch_of()
-                waiting, size = [], 0
+                waiting, rare, size = [], [], 0
         if waiting:
             yield batch_of()
 
     return run
 
 
+def _inside(ids: np.ndarray, size: int) -> np.ndarray:
+    """Which bigrams of a text have frequent words only."""
+    frequent = ids < size
+    return frequent & np.append(True, frequent[:-1])
+
+
 def discounts(n1: float, n2: float, n3: float, n4: float) -> np.ndarray:
     """Modified Kneser-Ney discounts of counts 0, 1, 2, and 3 or more."""
     if not n1:
@@ -122,11 +156,12 @@ def _numbers(df: DataFrame, size: int, key: str, names: list[str]) -> np.ndarray
 
 
 class Model:
-    """Arrays over the vocabulary and the class of other words, gains of frequent bigrams, a filter
-    for the others and the table of their gains."""
+    """Arrays over frequent words and the class of others, gains of frequent bigrams, a filter for
+    what is in shards, the table of other bigrams' gains and that of what rare words have beyond
+    the class and of the gains of their bigrams (none where `whole` is false)."""
 
-    def __init__(self, vocabulary, log_p, log_b, frequent, seen: bloom.Bloom, gains: DataFrame):
-        self.vocabulary, self.log_p, self.log_b, self.frequent, self.seen, self.gains = vocabulary, log_p, log_b, frequent, seen, gains
+    def __init__(self, vocabulary, log_p, log_b, frequent, seen: bloom.Bloom, gains: DataFrame, rare: DataFrame, whole: bool):
+        self.vocabulary, self.log_p, self.log_b, self.frequent, self.seen, self.gains, self.rare, self.whole = vocabulary, log_p, log_b, frequent, seen, gains, rare, whole
 
 
 def _least_frequent(bigrams: DataFrame, most: int) -> int:
@@ -141,30 +176,41 @@ def _least_frequent(bigrams: DataFrame, most: int) -> int:
     return least
 
 
-def train(trusted: DataFrame, size: int = VOCABULARY) -> Model:
-    """The model of all rows of `trusted` (text)."""
-    spark = trusted.sparkSession
+def train(trusted: DataFrame, size: int | None = None) -> Model:
+    """The model of all rows of `trusted` (text), over all their words or the `size` most frequent."""
+    spark, whole = trusted.sparkSession, size is None
     counted = materialise(trusted.mapInArrow(_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "word-counts")
-    top = counted.orderBy(F.col("n").desc(), "h").limit(size).select("h").toArrow()  # `size` numbers at most
+    top = counted.orderBy(F.col("n").desc(), "h").limit(VOCABULARY if whole else size).select("h").toArrow()  # that many numbers at most
     vocabulary = np.sort(top.column("h").to_numpy().view(np.uint64))
-    types = max(0, counted.count() - len(vocabulary)) + 1
+    outside = max(0, counted.count() - len(vocabulary))
+    types = 1 if whole else outside + 1
     words = spark.sparkContext.broadcast(vocabulary)
-    bigrams = trusted.mapInArrow(_bigram_counts(words), "key long, n int").groupBy("key").agg(F.sum("n").alias("n"))
+    bigrams = trusted.mapInArrow(_bigram_counts(words, whole), "key long, other long, n int").groupBy("key", "other").agg(F.sum("n").alias("n"))
     bigrams = materialise(bigrams, "bigram-counts")
-    v, w = F.shiftright("key", int(_BITS)), F.col("key").bitwiseAND((1 << int(_BITS)) - 1)
+    common = (F.col("key") >= 0) & (F.col("other") >= 0)
+    v = F.when(common, F.shiftright("key", int(_BITS))).otherwise(F.col("key"))
+    w = F.when(common, F.col("key").bitwiseAND((1 << int(_BITS)) - 1)).otherwise(F.col("other"))
     v1 = len(vocabulary) + 1
     of = lambda k: F.sum(F.when(F.col("n") == k, 1).otherwise(0))
     n1, n2, n3, n4 = (x or 0 for x in bigrams.agg(*[of(k).alias(f"n{k}") for k in range(1, 5)]).first())
     d = discounts(n1, n2, n3, n4)
     # Continuation counts: in how many contexts a word was seen.
-    [followers] = _numbers(bigrams.groupBy(w.alias("w")).agg(F.count("*").alias("c")), v1, "w", ["c"])
-    dc = discounts(*((followers == k).sum() for k in range(1, 5)))
-    total = max(followers.sum(), 1.0)
-    taken = dc[np.minimum(followers, 3).astype(int)]
-    p = (followers - taken) / total + (taken.sum() / total if followers.any() else 1.0) / v1
+    follow = materialise(bigrams.groupBy(w.alias("w")).agg(F.count("*").alias("f")), "followers")
+    seen_in = lambda k: F.sum(F.when(F.col("f") == k, 1).otherwise(0))
+    *f, total = (x or 0 for x in follow.agg(*[seen_in(k).alias(f"f{k}") for k in range(1, 5)], F.sum(F.when(F.col("f") > 2, 1).otherwise(0)).alias("more"), F.sum("f").alias("total")).first())
+    dc = discounts(*f[:4])
+    spare = (dc[1] * f[0] + dc[2] * f[1] + dc[3] * f[4]) / total if total else 1.0
+    spread = spare / (v1 + outside if whole else v1)
+
+    def p_of(followers: np.ndarray) -> np.ndarray:
+        return (followers - dc[np.minimum(followers, 3).astype(int)]) / max(total, 1) + spread
+
+    [followers] = _numbers(follow.where("w >= 0"), v1, "w", ["f"])
+    p = p_of(followers)
     p[-1] /= types
     by_context = bigrams.groupBy(v.alias("v")).agg(F.sum("n").alias("c"), of(1).alias("a"), of(2).alias("b"), F.sum(F.when(F.col("n") > 2, 1).otherwise(0)).alias("m"))
-    c, a, b, m = _numbers(by_context, v1 + 1, "v", ["c", "a", "b", "m"])  # the last context is the start of a text
+    by_context = materialise(by_context, "contexts")
+    c, a, b, m = _numbers(by_context.where("v >= 0"), v1 + 1, "v", ["c", "a", "b", "m"])  # the last context is the start of a text
     backoff = np.where(c > 0, (d[1] * a + d[2] * b + d[3] * m) / np.maximum(c, 1), 1.0)
     log_p, log_b = np.log(p), np.log(backoff)
     fixed = spark.sparkContext.broadcast((p, backoff, c, d, types))
@@ -179,69 +225,128 @@ def train(trusted: DataFrame, size: int = VOCABULARY) -> Model:
             gain = np.log((n - d[np.minimum(n, 3)]) / c[v] / share + low) - np.log(low)
             yield pa.RecordBatch.from_arrays([batch.column("key"), column(gain.astype(np.float32), pa.float32())], ["key", "gain"])
 
-    least = _least_frequent(bigrams, FREQUENT)
-    top = bigrams.where(F.col("n") >= least).select("key", "n").mapInArrow(gains, "key long, gain float").toArrow()  # FREQUENT rows at most
+    def own_backoff(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        c, a, b, m = (batch.column(n).fill_null(0).to_numpy().astype(float) for n in ("c", "a", "b", "m"))
+        return c, np.where(c > 0, (d[1] * a + d[2] * b + d[3] * m) / np.maximum(c, 1), 1.0)
+
+    def rare_gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, backoff, c, d, _ = fixed.value
+        for batch in batches:
+            v, w, n = (batch.column(k).to_numpy() for k in ("key", "other", "n"))
+            own_c, own_b = own_backoff(batch)
+            at = np.maximum(v, 0)
+            n_v, b_v = np.where(v < 0, own_c, c[at]), np.where(v < 0, own_b, backoff[at])
+            low = b_v * np.where(w < 0, p_of(batch.column("f").fill_null(0).to_numpy()), p[np.maximum(w, 0)])
+            gain = np.log((n - d[np.minimum(n, 3)]) / n_v + low) - np.log(low)
+            yield pa.RecordBatch.from_arrays([column(signed(_pair_keys(v.view(np.uint64), w.view(np.uint64))), pa.int64()), column(gain.astype(np.float32), pa.float32())], ["key", "gain"])
+
+    def rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What a rare word has beyond the class, and what it has too much where no word follows."""
+        for batch in batches:
+            name = batch.column("w").to_numpy().view(np.uint64)
+            weight = np.log(own_backoff(batch)[1])
+            beyond = np.log(p_of(batch.column("f").to_numpy())) - np.log(fixed.value[0][-1]) + weight
+            keys, gain = np.append(mix(name + _WORD), mix(name + _LAST)), np.append(beyond, -weight)
+            yield pa.RecordBatch.from_arrays([column(signed(keys), pa.int64()), column(gain.astype(np.float32), pa.float32())], ["key", "gain"])
+
+    def rare_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v, w = (batch.column(k).to_numpy().view(np.uint64) for k in ("key", "other"))
+            yield pa.RecordBatch.from_arrays([column(signed(_pair_keys(v, w)), pa.int64())], ["key"])
+
+    def word_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            name = batch.column("w").to_numpy().view(np.uint64)
+            yield pa.RecordBatch.from_arrays([column(signed(np.append(mix(name + _WORD), mix(name + _LAST))), pa.int64())], ["key"])
+
+    frequent_only, others = bigrams.where(common).select("key", "n"), bigrams.where(~common)
+    least = _least_frequent(frequent_only, FREQUENT)
+    top = frequent_only.where(F.col("n") >= least).mapInArrow(gains, "key long, gain float").toArrow()  # FREQUENT rows at most
     order = np.argsort(top.column("key").to_numpy())
     frequent = top.column("key").to_numpy()[order].view(np.uint64), top.column("gain").to_numpy()[order]
-    rest = bigrams.where(F.col("n") < least)
-    seen = bloom.build(rest.select("key"), rest.count())
-    return Model(vocabulary, log_p, log_b, frequent, seen, rest.select("key", "n").mapInArrow(gains, "key long, gain float"))
+    rest = frequent_only.where(F.col("n") < least)
+    # Only rare words are joined, so no key has more rows than a rare word has bigrams.
+    rare_f, rare_c = follow.where("w < 0"), by_context.where("v < 0")
+    of_v = F.col("key") == F.col("v")
+    of_w = F.col("other") == F.col("w")
+    none = lambda *names: {n: F.lit(None).cast("long") for n in names}
+    columns = ["key", "other", "n", "c", "a", "b", "m", "f"]
+    both = others.where("key < 0 and other < 0").join(rare_c, of_v).join(rare_f, of_w).select(*columns)
+    first = others.where("key < 0 and other >= 0").join(rare_c, of_v).withColumns(none("f")).select(*columns)
+    second = others.where("key >= 0").join(rare_f, of_w).withColumns(none("c", "a", "b", "m")).select(*columns)
+    rare = both.unionByName(first).unionByName(second).mapInArrow(rare_gains, "key long, gain float")
+    rare = rare.unionByName(rare_f.join(rare_c, F.col("w") == F.col("v"), "left").mapInArrow(rare_words, "key long, gain float"))
+    keys = rest.select("key").unionByName(others.select("key", "other").mapInArrow(rare_keys, "key long")).unionByName(rare_f.select("w").mapInArrow(word_keys, "key long"))
+    seen = bloom.build(keys, rest.count() + others.count() + 2 * rare_f.count())
+    return Model(vocabulary, log_p, log_b, frequent, seen, rest.mapInArrow(gains, "key long, gain float"), rare, whole)
 
 
 def _scored(shared, shards: int):
     """One row per document with what it has without bigrams, and its bigrams by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, log_p, log_b, (top, gains), seen = shared.value
+        vocabulary, log_p, log_b, (top, gains), seen, whole = shared.value
         for piece, texts in hashed_texts(batches, lower=False):
-            columns: list[list] = [[] for _ in range(8)]
+            columns: list[list] = [[] for _ in range(9)]
 
             def put(*row) -> None:
                 for held, x in zip(columns, row):
                     held.append(x)
 
+            def deal(row: int, keys: np.ndarray, rare: bool) -> None:
+                keys = keys[seen.holds(keys)]
+                if len(keys):
+                    to = (mix(keys) >> np.uint64(8)) % np.uint64(shards)
+                    order = np.lexsort((keys, to))
+                    keys, to = keys[order], to[order]
+                    at = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+                    for s, e in zip(at, [*at[1:], len(keys)]):
+                        data = keys[s:e].astype("<u8").tobytes() if rare else _bytes_of(keys[s:e])
+                        put(int(to[s]), 1, row, None, None, None, None, None if rare else data, data if rare else None)
+
             for row, doc, lang, h in zip(*(piece.column(n).to_pylist() for n in ("row", "doc_id", "lang")), texts):
                 if not len(h):
-                    put(row % shards, 1, row, doc, lang, 0, 0.0, None)
+                    put(row % shards, 1, row, doc, lang, 0, 0.0, None, None)
                     continue
                 ids = _ids(h, vocabulary)
                 base = log_p[ids].sum() + log_b[ids[:-1]].sum() + log_b[-1]
                 keys = _keys(ids, len(vocabulary) + 1)
+                outside = h[ids == len(vocabulary)] | _RARE if whole else h[:0]
+                if len(outside):
+                    keys = keys[_inside(ids, len(vocabulary))]
+                    own = [mix(outside + _WORD), _pair_keys(*_named(h, ids, len(vocabulary) + 1, len(vocabulary)))]
+                    if ids[-1] == len(vocabulary):
+                        own.append(mix(outside[-1:] + _LAST))
+                    deal(row, np.concatenate(own), True)
                 if len(top):
                     at = np.minimum(np.searchsorted(top, keys), len(top) - 1)
                     known = top[at] == keys
                     base += gains[at[known]].sum(dtype=np.float64)
                     keys = keys[~known]
-                put(row % shards, 1, row, doc, lang, len(ids), float(base), None)
-                keys = keys[seen.holds(keys)]
-                if len(keys):
-                    to = (mix(keys) >> np.uint64(8)) % np.uint64(shards)
-                    order = np.lexsort((keys, to))
-                    keys, to = keys[order], to[order]
-                    at = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
-                    for s, e in zip(at, [*at[1:], len(keys)]):
-                        put(int(to[s]), 1, row, None, None, None, None, _bytes_of(keys[s:e]))
+                put(row % shards, 1, row, doc, lang, len(ids), float(base), None, None)
+                deal(row, keys, False)
             yield pa.RecordBatch.from_arrays(
-                [column(x, t) for x, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.binary()))],
-                ["shard", "kind", "row", "doc_id", "lang", "n", "base", "data"],
+                [column(x, t) for x, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.binary(), pa.binary()))],
+                ["shard", "kind", "row", "doc_id", "lang", "n", "base", "data", "rare"],
             )
 
     return run
 
 
-def _packed_gains(shards: int):
+def _packed_gains(shards: int, rare: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, gain = batch.column("key").to_numpy(), batch.column("gain").to_numpy()
             to = ((mix(keys.view(np.uint64)) >> np.uint64(8)) % np.uint64(shards)).astype(np.int32)
             order = np.argsort(to, kind="stable")
             at = np.flatnonzero(np.append(True, to[order][1:] != to[order][:-1])) if len(to) else []
-            rows = [(int(to[o[0]]), _bytes_of(keys[o]) + gain[o].astype("<f4").tobytes()) for o in (order[s:e] for s, e in zip(at, [*at[1:], len(order)]))] if len(to) else []
+            rows = [(int(to[o[0]]), (keys[o].astype("<i8").tobytes() if rare else _bytes_of(keys[o])) + gain[o].astype("<f4").tobytes()) for o in (order[s:e] for s, e in zip(at, [*at[1:], len(order)]))] if len(to) else []
             n = len(rows)
             none = lambda t: pa.nulls(n, t)
+            data = [column([r[1] for r in rows], pa.binary()), none(pa.binary())]
             yield pa.RecordBatch.from_arrays(
-                [column([r[0] for r in rows], pa.int32()), column([0] * n, pa.int32()), none(pa.int64()), none(pa.int64()), none(pa.string()), none(pa.int64()), none(pa.float64()), column([r[1] for r in rows], pa.binary())],
-                ["shard", "kind", "row", "doc_id", "lang", "n", "base", "data"],
+                [column([r[0] for r in rows], pa.int32()), column([0] * n, pa.int32()), none(pa.int64()), none(pa.int64()), none(pa.string()), none(pa.int64()), none(pa.float64()), *(data[::-1] if rare else data)],
+                ["shard", "kind", "row", "doc_id", "lang", "n", "base", "data", "rare"],
             )
 
     return run
@@ -249,24 +354,31 @@ def _packed_gains(shards: int):
 
 def _gained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document and shard the sum of gains. Input: by shard, a shard's gains before its documents."""
-    shard, parts, keys, gains = None, [], np.zeros(0, np.uint64), np.zeros(0)
+    shard, parts, held = None, ([], []), [None, None]
     for batch in batches:
         out = []
-        for s, kind, row, doc, lang, n, base, data in zip(*(c.to_pylist() for c in batch.columns)):
+        for s, kind, row, doc, lang, n, base, data, rare in zip(*(c.to_pylist() for c in batch.columns)):
             if s != shard:
-                shard, parts, keys, gains = s, [], np.zeros(0, np.uint64), np.zeros(0)
+                shard, parts, held = s, ([], []), [None, None]
             if kind == 0:
-                n = len(data) // 9
-                parts.append((_keys_of(data[: 5 * n]), np.frombuffer(data[5 * n :], "<f4").astype(np.float64)))
+                if data is not None:
+                    n = len(data) // 9
+                    parts[0].append((_keys_of(data[: 5 * n]), np.frombuffer(data[5 * n :], "<f4").astype(np.float64)))
+                else:
+                    n = len(rare) // 12
+                    parts[1].append((np.frombuffer(rare[: 8 * n], "<u8"), np.frombuffer(rare[8 * n :], "<f4").astype(np.float64)))
                 continue
-            if parts:
-                keys, gains = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-                order = np.argsort(keys)
-                keys, gains, parts = keys[order], gains[order], []
-            if data is None:
+            for k, found in enumerate(parts):
+                if found:
+                    keys, gains = np.concatenate([p[0] for p in found]), np.concatenate([p[1] for p in found])
+                    order = np.argsort(keys)
+                    held[k] = keys[order], gains[order]
+                    found.clear()
+            if data is None and rare is None:
                 out.append((row, doc, lang, n, base))
-            elif len(keys):
-                own = _keys_of(data)
+            elif held[data is None] is not None:
+                keys, gains = held[data is None]
+                own = np.frombuffer(rare, "<u8") if data is None else _keys_of(data)
                 at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
                 out.append((row, None, None, None, float(gains[at][keys[at] == own].sum())))
         yield pa.RecordBatch.from_arrays([column([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64()))], ["row", "doc_id", "lang", "n", "log_p"])
@@ -278,9 +390,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(32, size // SHARD_BYTES)
-    shared = spark.sparkContext.broadcast((model.vocabulary, model.log_p, model.log_b, model.frequent, model.seen))
+    shared = spark.sparkContext.broadcast((model.vocabulary, model.log_p, model.log_b, model.frequent, model.seen, model.whole))
     sent = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_scored(shared, shards), PACKED)
-    both = sent.unionByName(model.gains.mapInArrow(_packed_gains(shards), PACKED))
+    both = sent.unionByName(model.gains.mapInArrow(_packed_gains(shards, False), PACKED))
+    if model.whole:
+        both = both.unionByName(model.rare.mapInArrow(_packed_gains(shards, True), PACKED))
     parts = both.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_gained, "row long, doc_id long, lang string, n long, log_p double")
     whole = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("lang").alias("lang"), F.max("n").alias("n_words"), F.sum("log_p").alias("log_p"))
     return whole.select("doc_id", "lang", "n_words", F.when(F.col("n_words") > 0, -F.col("log_p") / F.col("n_words")).alias("log_ppl"))
@@ -290,7 +404,7 @@ def _held_out():
     return F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(HOLD_OUT)) == 0
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, size: int = VOCABULARY) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, size: int | None = None) -> DataFrame:
     """doc_id, lang, n_words, perplexity, limit and kept of every row of `docs`."""
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     good = materialise(good, "trusted-ids")

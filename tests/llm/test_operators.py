@@ -291,6 +291,40 @@ def test_perplexity_equals_a_plain_model(spark):
             assert got[i] == pytest.approx(-sum(math.log(p(a, b)) for a, b in zip(ws, ws[1:])) / (len(ws) - 1), rel=1e-6)
 
 
+@pytest.mark.parametrize("frequent, texts, each", [(20, 120, 4), (200_000, 2100, 100)])
+def test_no_word_type_is_merged(spark, monkeypatch, frequent, texts, each):
+    monkeypatch.setattr(perplexity, "VOCABULARY", frequent)
+    rng = random.Random(15)
+    trusted = []
+    for i in range(texts):
+        ws = prose(rng, 20, 60) + [f"u{i}x{k}" for k in range(each)] + [f"twice{i // 2}"] * (i % 3)
+        rng.shuffle(ws)
+        trusted.append(" ".join(ws))
+    model = perplexity.train(spark.createDataFrame([(t,) for t in trusted], "text string"))
+    tests = [*trusted[:40], "w1 never u3x1", "u3x1 u3x2 w1", "never", "u2x0", ""]
+    got = {r["doc_id"]: r["log_ppl"] for r in perplexity.score(docs_of(spark, list(enumerate(tests))), model).collect()}
+    counts = Counter()
+    for t in trusted:
+        ws = ["<start>", *t.split()]
+        counts.update(zip(ws, ws[1:]))
+    d = perplexity.discounts(*(sum(c == k for c in counts.values()) for k in range(1, 5)))
+    follow, n, free = Counter(w for _, w in counts), Counter(), Counter()
+    for (v, _), c in counts.items():
+        n[v] += c
+        free[v] += d[min(c, 3)]
+    dc = perplexity.discounts(*(sum(c == k for c in follow.values()) for k in range(1, 5)))
+    total, spare = sum(follow.values()), sum(dc[min(c, 3)] for c in follow.values())
+    assert len(follow) > frequent == len(model.vocabulary)
+
+    def p(v, w):
+        low = (follow[w] - dc[min(follow[w], 3)]) / total + spare / total / (len(follow) + 1)
+        return (max(counts[v, w] - d[min(counts[v, w], 3)], 0) + free[v] * low) / n[v] if n[v] else low
+
+    for i, t in enumerate(tests):
+        ws = ["<start>", *t.split()]
+        assert got[i] == (None if len(ws) == 1 else pytest.approx(-sum(math.log(p(a, b)) for a, b in zip(ws, ws[1:])) / (len(ws) - 1), rel=1e-6))
+
+
 def test_quality_keeps_trusted_kinds_and_drops_noise(spark):
     rng = random.Random(11)
     rows = [(i, " ".join(prose(rng, 120, 300))) for i in range(1500)] + [(2000 + i, " ".join(f"Q{rng.random()}" for _ in range(100))) for i in range(50)]
