@@ -4,9 +4,11 @@ Texts become id streams; a rolling hash over the last eight ids cuts each stream
 places that depend on content only, so equal passages give equal chunks wherever they stand. A
 chunk is stored once, under its BLAKE2 digest. A document is a recipe: the digests of its chunks
 in order and the Merkle root over them. Recipes are written in ascending doc_id order with the
-place of each document in the one long stream; a manifest holds a Merkle root per recipe file
-and one over all of them. Reading verifies every chunk against its digest, every recipe against
-its root and every recipe file against the manifest, and gives back the documents' checksums.
+place of each document in the one long stream; a manifest holds a Merkle root per recipe file,
+over doc_id, start, n and root of its recipes, and one root over all files comes from it. Reading
+verifies every chunk against its digest, every recipe against its root, every recipe file against
+the manifest and, where the store's root is given, the manifest against that; it gives back the
+documents' checksums.
 
 Files under the store's folder: `parts/kind=1` chunks (key, n, 16-bit little-endian ids in
 data), `recipes` (doc_id, start, n, keys, root), `manifest` (file order, first and last doc_id,
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +37,7 @@ from lodestack.llm.common import column, mix, new_path, numbered, table
 MEAN, LEAST, MOST, WINDOW = 512, 128, 4096, 8
 KEY = 16
 PART = "kind int, doc_id long, route long, key binary, n long, data binary, root binary"
+MANIFEST = "file string, first_start long, last_start long, documents long, root binary"
 RECIPE = "doc_id long, start long, n long, keys binary, root binary"
 
 
@@ -170,14 +174,16 @@ def write_store(docs: DataFrame, folder: str, vocabulary: str | None = None) ->
     ordered = numbered(recipes, ["doc_id", "n", "root"], "n", "start").select("doc_id", "start", "n", "keys", "root")
     ordered.repartitionByRange("start").sortWithinPartitions("start").write.parquet(f"{folder}/recipes")
     # Places come from written files, so the manifest describes files and not a plan.
-    stored = spark.read.schema(RECIPE).parquet(f"{folder}/recipes").withColumn("file", F.col("_metadata.file_name"))
-    made = (
-        stored.repartition("file").sortWithinPartitions("file", "start").mapInArrow(_manifest_by_file, "file string, first_start long, last_start long, documents long, root binary")
-    )
-    made.write.parquet(f"{folder}/manifest")
+    _manifest_of(spark, folder).write.parquet(f"{folder}/manifest")
     return store_root(spark, folder)
 
 
+def _manifest_of(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest that the recipe files as they are now should have."""
+    stored = spark.read.schema(RECIPE).parquet(f"{folder}/recipes").select("doc_id", "start", "n", "root", F.col("_metadata.file_name").alias("file"))
+    return stored.repartition("file").sortWithinPartitions("file", "start", "doc_id", "n", "root").mapInArrow(_manifest_by_file, MANIFEST)
+
+
 def _manifest_by_file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per recipe file, from rows in the order of file and start."""
     name, roots, first, last, rows = None, [], None, None, []
@@ -187,11 +193,11 @@ def _manifest_by_file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             rows.append((name, first, last, len(roots), merkle(roots)))
 
     for batch in batches:
-        for file, start, root in zip(*(batch.column(c).to_pylist() for c in ("file", "start", "root"))):
+        for file, doc, start, n, root in zip(*(batch.column(c).to_pylist() for c in ("file", "doc_id", "start", "n", "root"))):
             if file != name:
                 close()
                 name, roots, first = file, [], start
-            roots.append(root)
+            roots.append(digest(f"{doc} {start} {n} ".encode() + (root or b"")))
             last = start
     close()
     kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
@@ -200,13 +206,26 @@ def _manifest_by_file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 def store_root(spark: SparkSession, folder: str) -> bytes:
     """Root over the manifest: one small row per recipe file."""
-    rows = spark.read.parquet(f"{folder}/manifest").orderBy("first_start").select("root").collect()
-    return merkle([bytes(r["root"]) for r in rows])
-
-
-def read_store(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, from verified files. A chunk or
-    recipe that does not match its digest, or is missing, makes the read fail."""
+    rows = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").orderBy("first_start", "file").collect()
+    return merkle([digest(f"{r['file']} {r['first_start']} {r['last_start']} {r['documents']} ".encode() + bytes(r["root"])) for r in rows])
+
+
+def verify_manifest(spark: SparkSession, folder: str, root: bytes | None = None) -> None:
+    """Raise where recipe files differ from the manifest, or the manifest from the store's root."""
+    if root is not None and store_root(spark, folder) != root:
+        raise ValueError("the manifest does not match the store's root")
+    names = ["first_start", "last_start", "documents", "root"]
+    now = _manifest_of(spark, folder).select("file", F.struct(*names).alias("now"))
+    then = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").select("file", F.struct(*names).alias("then"))
+    wrong = now.join(then, "file", "full_outer").where(~F.col("now").eqNullSafe(F.col("then"))).select("file").take(1)
+    if wrong:
+        raise ValueError(f"the recipe file {wrong[0]['file']} does not match the manifest")
+
+
+def read_store(spark: SparkSession, folder: str, root: bytes | None = None) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document, from verified files. A chunk, recipe
+    or recipe file that does not match its digest, or is missing, makes the read fail, as does a
+    manifest other than that of the store's `root`, as write_store returned it."""
     recipes = spark.read.schema(RECIPE).parquet(f"{folder}/recipes")
     chunks = spark.read.schema("doc_id long, key binary, n long, data binary, root binary, kind int").parquet(f"{folder}/parts").where("kind = 1")
     sums = chunks.select("key", "n", "data").mapInArrow(_chunk_sums, "key binary, n long, crc long")
@@ -216,7 +235,13 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
     totals = per_doc.mapInArrow(_document_sums, "start long, n_tokens long, ids_crc32 long")
     out = recipes.select("doc_id", "start", "n").join(totals, "start")
     checked = F.when(F.col("n") == F.col("n_tokens"), F.col("n_tokens")).otherwise(F.raise_error(F.lit("a recipe's length differs from its chunks'")).cast("long"))
-    return out.select("doc_id", "start", checked.alias("n_tokens"), "ids_crc32")
+    out = out.select("doc_id", "start", checked.alias("n_tokens"), "ids_crc32")
+    try:
+        verify_manifest(spark, folder, root)
+    except AnalysisException:  # no manifest at all: damage to chunks and recipes is told first
+        out.write.format("noop").mode("overwrite").save()
+        raise
+    return out
 
 
 def read_ids(spark: SparkSession, folder: str, doc_ids: DataFrame) -> DataFrame:
@@ -236,5 +261,5 @@ def read_ids(spark: SparkSession, folder: str, doc_ids: DataFrame) -> DataFrame:
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "token-store")
-    write_store(table(spark, sf_dir, "documents").select("doc_id", "text"), folder)
-    return read_store(spark, folder)
+    root = write_store(table(spark, sf_dir, "documents").select("doc_id", "text"), folder)
+    return read_store(spark, folder, root)

@@ -1,8 +1,11 @@
 import functools
+import pathlib
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from lodestack.llm import packing, token_store, tokens
 from lodestack.llm.common import new_path
@@ -68,6 +71,24 @@ def test_store_notices_damage(spark, docs):
         token_store.read_store(spark, other).collect()
 
 
+@pytest.mark.parametrize("damage", ["lost", "doc_id", "start", "manifest"])
+def test_store_notices_changed_recipe_files(spark, docs, damage):
+    folder = new_path(spark, "store")
+    root = token_store.write_store(docs, folder)
+    assert token_store.read_store(spark, folder, root).count() == docs.count()
+    kind = "manifest" if damage == "manifest" else "recipes"
+    file = next(p for p in sorted(pathlib.Path(folder.removeprefix("file://"), kind).glob("*.parquet")) if pq.read_metadata(p).num_rows)
+    rows = pq.read_table(file, partitioning=None)
+    file.unlink()
+    file.with_name(f".{file.name}.crc").unlink()
+    if damage in ("doc_id", "start"):
+        at = rows.column_names.index(damage)
+        rows = rows.set_column(at, damage, pa.array([(x or 0) + 1000 for x in rows.column(damage).to_pylist()], pa.int64()))
+        pq.write_table(rows, file)
+    with pytest.raises(Exception, match="manifest"):
+        token_store.read_store(spark, folder, root).collect()
+
+
 def test_chunks_follow_content():
     ids = np.random.default_rng(1).integers(0, 50000, 20000).astype("<u2")
     moved = np.concatenate([ids[:37], ids])
