@@ -221,6 +221,22 @@ def match_candidates(candidates, releases):
     return matching.best(candidates, releases)
 
 
+@_query(
+    "candidates",
+    "release_editions",
+    sql=_PAIRS
+    + """, top AS (SELECT *, max(score) OVER (PARTITION BY ct, cp, cr, ce) AS best FROM scored WHERE score > 0), tied AS (SELECT * FROM top WHERE score = best),
+    one AS (SELECT *, min(game_id) OVER s = max(game_id) OVER s AS same FROM tied WINDOW s AS (PARTITION BY ct, cp, cr, ce)),
+    pick AS (SELECT *, row_number() OVER (PARTITION BY ct, cp, cr, ce ORDER BY CASE WHEN same THEN CASE WHEN lower(re) <> 'standard' THEN 1 ELSE 0 END END, CASE WHEN same THEN CASE rr WHEN 'World' THEN 0 WHEN 'USA' THEN 1 WHEN 'Europe' THEN 2 WHEN 'Japan' THEN 3 ELSE 4 END END,
+      CASE WHEN same THEN rr END, release_id) AS rn FROM one)
+    SELECT candidate_id, coalesce(release_id, (SELECT min(id) FROM release_editions)) AS release_id, coalesce(score, 0) AS score,
+      CASE WHEN coalesce(score, 0) < 50 THEN 'low' WHEN NOT same OR least(e2, e3, e4) < 0 THEN 'medium' WHEN score >= 80 THEN 'high' ELSE 'medium' END AS confidence
+    FROM candidates c LEFT JOIN (SELECT * FROM pick WHERE rn = 1) p ON c.title = ct AND c.platform = cp AND c.region = cr AND c.edition = ce""",
+)
+def match_every_candidate(candidates, releases):
+    return matching.matched(candidates, releases)
+
+
 @_query(
     "candidates",
     "release_editions",

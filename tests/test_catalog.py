@@ -76,6 +76,22 @@ def test_matching_rules(spark):
     assert matching.best(c.limit(0), r).count() == 0
 
 
+def test_every_candidate_has_a_match(spark):
+    c = spark.createDataFrame(
+        [(1, "Quest", "Game Boy", "USA", "Standard"), (3, "Quest", "Other", "USA", "Standard"), (4, "Quest", "Other", "Japan", "Deluxe"), (6, "", "MAME", "Japan", "x"), (7, "None", "x", "USA", "y"), (8, None, None, "Europe", "Deluxe")],
+        "candidate_id long, title string, platform string, region string, edition string",
+    )
+    r = spark.createDataFrame(
+        [(9, 5, "Else", "NES", "Brazil", "Standard"), (10, 1, "quest ", "Game Boy", "USA", "Standard"), (30, 4, "Solo", "MAME", "Europe", "Deluxe")],
+        "id long, game_id long, title string, platform string, region string, edition string",
+    )
+    rows = lambda c, r: {x["candidate_id"]: (x["release_id"], x["score"], x["confidence"]) for x in registry.match_every_candidate(c, r).collect()}
+    assert rows(c, r) == {1: (10, 100, "high"), 3: (10, 40, "low"), 4: (9, 0, "low"), 6: (30, 10, "low"), 7: (9, 0, "low"), 8: (30, 20, "low")}
+    assert set(rows(c, r.limit(0)).values()) == {(None, 0, "low")}
+    one_game = spark.createDataFrame([(1, 1, "A", "P", "Japan", "Deluxe"), (2, 1, "A", "P", "USA", "Standard")], r.schema)
+    assert rows(c.where("candidate_id = 7"), one_game) == {7: (2, 0, "low")}
+
+
 def test_linking(spark):
     rec = spark.createDataFrame([(1, "s1", "A", "P", "R", "E", "d1"), (2, "s1", "A", "P", "R", "E", None), (3, "s1", "Z", "P", "R", "E", None)], "record_id long, source_id string, title string, platform string, region string, edition string, dump_set string")
     known = spark.createDataFrame([(10, "s2", "B", "p", "r", "e", "d1"), (11, "s2", "a ", "p", "r", "e", None), (12, "s3", "a", "p", "r", "e", None)], "release_id long, source_id string, title string, platform string, region string, edition string, dump_set string")
