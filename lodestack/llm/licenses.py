@@ -1,10 +1,13 @@
 """Licence scans: passages against templates by the Dice coefficient of their word bigrams.
 
-Passages are the lines of a text, its paragraphs of several lines (between blank lines) and the
-whole text. Passages and templates are normalised to lower-case words without punctuation, and
+Passages are the lines of a text, its paragraphs of several lines (between lines that are blank but
+for comment marks), the whole text, and windows of its words wherever a template matches inside or
+across these. Of windows that share half of their joint span the best is kept; a window in a line or
+paragraph found for the same licence is not told again. Passages and templates are normalised to lower-case words without punctuation, and
 compared as sets of word bigrams; a one-word text is its own bigram. A Dice coefficient of t or
-more asks for sizes within t / (2 - t) and (2 - t) / t of each other, which prunes templates
-before anything is compared, and templates that share no bigram are never looked at.
+more asks for sizes within t / (2 - t) and (2 - t) / t of each other, and for t / (2 - t) of the
+template's bigrams in the text, which prunes templates before anything is compared. A window starts
+and ends with a bigram of its template, as others at its ends only lower the coefficient.
 
 Cases. Null, empty or blank text: no rows. Equal best templates: the first name in order. Rows of
 one doc_id are scanned each for itself; a null doc_id is carried. An empty table or no templates:
@@ -14,6 +17,7 @@ no rows. Other columns take no part.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -22,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm.common import column, table
+from lodestack.llm.licence_texts import TEXTS
 
 LEAST_DICE = 0.8
 FOUND = "doc_id long, licence string, dice double, passage string, first_line int, n_lines int"
@@ -37,6 +42,9 @@ TEMPLATES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "all-rights-reserved": ["All rights reserved."],
 }
+for _name, _texts in TEXTS.items():
+    TEMPLATES.setdefault(_name, []).extend(_texts)
+MARKS = " \t\r\f\v#*/;%!-<>\"'"  # what a comment puts on an empty line
 _WORD = re.compile(r"\w+")
 
 
@@ -49,26 +57,30 @@ class Templates:
     def __init__(self, templates: dict[str, list[str]], least: float):
         self.least = least
         self.all = [(name, bigrams(t)) for name, texts in sorted(templates.items()) for t in texts if bigrams(t)]
-        sizes = [len(b) for _, b in self.all] or [0]
-        self.low, self.high = min(sizes) * least / (2 - least), max(sizes) * (2 - least) / least
         self.by_bigram = defaultdict(list)
         for n, (_, b) in enumerate(self.all):
             for g in b:
                 self.by_bigram[g].append(n)
-        self.words = {w for _, b in self.all for g in b for w in g}
+        self.least_shared = [len(b) * least / (2 - least) - 1e-9 for _, b in self.all]
 
-    def best(self, passage: str) -> tuple[str, float] | None:
+    def possible(self, ws: list[str]) -> set[int]:
+        """Templates of which a text of these words has enough bigrams for any passage to match."""
+        shared = defaultdict(int)
+        for found in (set(zip(ws, ws[1:])), {(w,) for w in ws}):
+            for g in found & self.by_bigram.keys():
+                for n in self.by_bigram[g]:
+                    shared[n] += 1
+        return {n for n, k in shared.items() if k >= self.least_shared[n]}
+
+    def best(self, passage: str, among: set[int]) -> tuple[str, float] | None:
         ws = _WORD.findall(passage.lower())
-        if self.words.isdisjoint(ws):
-            return None
         found = frozenset(zip(ws, ws[1:])) if len(ws) > 1 else frozenset((w,) for w in ws)
         size = len(found)
-        if not self.low <= size <= self.high:
-            return None
         shared = defaultdict(int)
         for g in found:
             for n in self.by_bigram.get(g, ()):
-                shared[n] += 1
+                if n in among:
+                    shared[n] += 1
         best = None
         for n in sorted(shared):
             m = len(self.all[n][1])
@@ -79,23 +91,73 @@ class Templates:
                 best = (self.all[n][0], dice)
         return best
 
+    def _reach(self, pairs: list, at, template: frozenset) -> tuple[float, int]:
+        """Best coefficient of a window from the first of the places `at` to one of them, and that place."""
+        m, seen, shared, best, last = len(template), set(), set(), (0.0, -1), None
+        for k in at:
+            between = () if last is None else pairs[min(last, k) : max(last, k)]
+            seen.update(between)
+            seen.add(pairs[k])
+            shared.add(pairs[k])
+            last = k
+            if len(seen) * self.least > (2 - self.least) * m:
+                break
+            dice = 2 * len(shared) / (len(seen) + m)
+            if dice > best[0]:
+                best = (dice, k)
+        return best
+
+    def windows(self, ws: list[str], among: set[int]) -> list[tuple[float, str, int, int]]:
+        """(dice, licence, first word, last word) of windows that match a template."""
+        pairs, found = list(zip(ws, ws[1:])), []
+        for n in sorted(among):
+            name, template = self.all[n]
+            at = [k for k, g in enumerate(pairs) if g in template]
+            i = 0
+            while i < len(at):
+                dice, end = self._reach(pairs, (at[k] for k in range(i, len(at))), template)
+                if dice < self.least:
+                    i += 1
+                    continue
+                j = bisect_left(at, end)
+                dice, start = self._reach(pairs, (at[k] for k in range(j, -1, -1)), template)
+                found.append((dice, name, start, end + 1))
+                i = j + 1
+        kept: list[tuple[float, str, int, int]] = []
+        for hit in sorted(found, key=lambda x: (-x[0], x[2] - x[3], x[1])):
+            _, _, a, b = hit
+            if all(2 * (min(b, d) - max(a, c) + 1) < max(b, d) - min(a, c) + 1 for _, _, c, d in kept):
+                kept.append(hit)
+        return sorted(kept, key=lambda x: x[2:])
+
     def scan(self, text: str):
         """(licence, dice, kind, first line, lines) of each passage that matches a template."""
-        lines = text.split("\n")
+        all_words = _WORD.findall(text.lower())
+        among = self.possible(all_words)
+        if not among:
+            return
+        lines, told = text.split("\n"), []
         start, paragraphs = None, []
         for n, line in enumerate([*lines, ""]):
-            if hit := self.best(line):
+            if hit := self.best(line, among):
                 yield *hit, "line", n, 1
-            if line.strip():
+                told.append((hit[0], n, n + 1))
+            if line.strip(MARKS):
                 start = n if start is None else start
             elif start is not None:
                 paragraphs.append((start, n))
                 start = None
         for a, b in paragraphs:
-            if b - a > 1 and (hit := self.best(" ".join(lines[a:b]))):
+            if b - a > 1 and (hit := self.best(" ".join(lines[a:b]), among)):
                 yield *hit, "paragraph", a, b - a
-        if len(paragraphs) > 1 and (hit := self.best(" ".join(lines))):
+                told.append((hit[0], a, b))
+        if len(paragraphs) > 1 and (hit := self.best(" ".join(lines), among)):
             yield *hit, "text", 0, len(lines)
+        line_of = [n for n, line in enumerate(lines) for _ in _WORD.findall(line.lower())]
+        for dice, name, start, end in self.windows(all_words, among):
+            a, b = line_of[start], line_of[end] + 1
+            if not any(name == x and c <= a and b <= d for x, c, d in told):
+                yield name, dice, "window", a, b - a
 
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least: float = LEAST_DICE) -> DataFrame:

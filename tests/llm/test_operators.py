@@ -379,6 +379,24 @@ def test_licences_equal_brute_force(spark):
     assert [(r["passage"], r["first_line"], r["n_lines"]) for r in licenses.scan(split).collect()] == [("paragraph", 2, 2), ("text", 0, 6)]
 
 
+def test_licences_inside_lines_and_across_them(spark):
+    mit = licenses.TEMPLATES["MIT"][-1].split()
+    block = "\n".join("# " + " ".join(mit[i : i + 9]) if i % 36 else "#" + "\n# " + " ".join(mit[i : i + 9]) for i in range(0, len(mit), 9))
+    rows = [
+        (1, "See below. Copyright 2021 A. Author. Released under the MIT License. And more of it."),
+        (2, "some prose comes first and then this work is licensed\nunder the GNU General Public License, version 3. It goes on\nfor a line more and another few words"),
+        (3, f"x = 1\n{block}\ny = 2"),
+        (4, "some words\n" + licenses.TEMPLATES["GPL-3.0"][2] + " and other words"),
+        (5, "here This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License. " + "more words follow " * 5),
+        (6, "the licence of the rights is reserved under a version " * 30),
+    ]
+    got = {}
+    for r in licenses.scan(docs_of(spark, rows)).collect():
+        got.setdefault(r["doc_id"], set()).add((r["licence"], r["first_line"]))
+    assert got[1] == {("MIT", 0)} and got[2] == {("GPL-3.0", 0)} and got[5] == {("CC-BY-NC-4.0", 0)} and 6 not in got
+    assert any(name == "MIT" for name, _ in got[3]) and ("GPL-3.0", 1) in got[4]
+
+
 # --- pipeline ------------------------------------------------------------------------------------
 
 
