@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Settings while a table is written.
+WRITING: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one where none is named."""
+    """The folder that driver and executors share. Where none is named, one of this machine's in
+    local mode; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -23,15 +32,43 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+@contextmanager
+def writing(spark: SparkSession):
+    before = {k: spark.conf.get(k, None) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it: work before it is not run again
     when an executor is lost, and what follows sees the same rows each time."""
     path = new_path(df.sparkSession, name)
-    writer = df.write.partitionBy(by) if by else df.write
-    writer.parquet(path)
+    with writing(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that `df` doesn't have (names are alike whatever their case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def set_aside(df: DataFrame, names: list[str]) -> DataFrame:
+    """`df` with its columns of these names called <name>_input, so that an operator can add its own."""
+    for c in df.columns:
+        if c.lower() in names:
+            df = df.withColumnRenamed(c, fresh(df, c + "_input"))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -127,39 +164,37 @@ def column(values, kind: pa.DataType) -> pa.Array:
     return pa.array(values, type=kind)
 
 
-def numbered(df: DataFrame, order: list[str], weight: str, start: str, per_bucket: int = 200_000) -> DataFrame:
-    """Add `start`: the sum of `weight` over all rows before this one by `order` (first column
-    a number, nulls first). No single task sees all rows: ranges of the first column get their
-    sums, the sums of the few ranges are added up, and windows run inside each range. `df` must
-    be a written table, as it is read twice. Rows that agree in all of `order` follow each other
-    in any order."""
+def numbered(df: DataFrame, order: list[str], weight: str, start: str, rows_a_part: int = 200_000) -> DataFrame:
+    """Add `start`: the sum of `weight` over all rows before this one by `order` (nulls first). The
+    rows are dealt into ranges of the whole order and of a number of their own, so that not even
+    rows that agree in all of it have to meet in one task; ranges are summed while they are written
+    and the sums of the few ranges are added up. `df` must be a written table."""
+    from pyspark import TaskContext
+
+    n = max(1, min(4096, df.count() // rows_a_part + 1))
+    rows = df.withColumn("_tie", F.monotonically_increasing_id())
+    by = [*(F.col(c).asc_nulls_first() for c in order), F.col("_tie")]
+    schema = rows.drop("_tie").schema.add("_part", "integer").add("_before", "long").add("_upto", "long")
+
+    def sums(batches):
+        part, total = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            upto = total + np.cumsum(batch.column(weight).to_numpy().astype(np.int64))
+            if len(upto):
+                before, total = np.append(total, upto[:-1]), int(upto[-1])
+            else:
+                before = upto
+            own = [batch.column(c) for c in schema.names[:-3]]
+            yield pa.RecordBatch.from_arrays([*own, column(np.full(len(upto), part), pa.int32()), column(before, pa.int64()), column(upto, pa.int64())], schema.names)
+
+    dealt = materialise(rows.repartitionByRange(n, *by).sortWithinPartitions(*by).mapInArrow(sums, schema), "numbered")
     from pyspark.sql import Window
 
-    key = order[0]
-    found = df.agg(F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-    n = max(1, found["n"])
-    parts = max(1, min(4096, n // per_bucket + 1))
-    cuts = []
-    if parts > 1 and found["lo"] is not None:
-        cuts = sorted({int(c) for c in df.approxQuantile(key, [i / parts for i in range(1, parts)], 0.0005)})
-    if cuts:
-        bucket = F.coalesce(F.array_size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(key))), F.lit(0))
-    else:
-        bucket = F.lit(0)
-    df = df.withColumn("_bucket", bucket)
-    small = df.groupBy("_bucket").agg(F.sum(weight).alias("_sum"))
-    ahead = small.select(
-        "_bucket",
-        F.coalesce(F.sum("_sum").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"),
-    )
-    inside = Window.partitionBy("_bucket").orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    before = F.coalesce(F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return (
-        df.withColumn("_before", before)
-        .join(F.broadcast(ahead), "_bucket")  # at most 4,096 rows
-        .withColumn(start, (F.col("_ahead") + F.col("_before")).cast("long"))
-        .drop("_bucket", "_before", "_ahead")
-    )
+    small = dealt.groupBy("_part").agg(F.max("_upto").alias("_sum"))
+    ahead = F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    small = small.select("_part", F.coalesce(ahead, F.lit(0)).alias("_ahead"))
+    out = dealt.join(F.broadcast(small), "_part")  # a row per range: some 4,096 at most
+    return out.withColumn(start, (F.col("_ahead") + F.col("_before")).cast("long")).drop("_part", "_before", "_upto", "_ahead")
 
 
 def units(batches, names: list[str], rows_at_once: int = 20_000):
