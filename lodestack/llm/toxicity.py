@@ -1,9 +1,9 @@
 """Toxicity by a lexicon trie and Levenshtein automata.
 
 The lexicon is learned from labelled training rows: word beginnings that toxic documents hold and
-others don't (in at least
-SUPPORT training rows and SHARE of the toxic ones, near copies counted once), each grown to the longest beginning that still stands for the same documents. A term
-that mostly is a whole word has to match whole words; a stem matches any word that begins with it.
+others don't (in at least SUPPORT training rows and SHARE of the toxic ones, near copies counted
+once), each grown to the longest beginning that still stands for the same documents, and whole words
+of any length. A term that mostly is a whole word has to match whole words; a stem matches any word that begins with it.
 All terms make one trie; the Levenshtein automata of all terms are run on it together, as sets of
 (trie node, errors) states that are worked out when first met. A term allows an error for each
 LETTERS_AN_ERROR letters, so misspelled terms are caught and short ones are not stretched.
@@ -13,12 +13,15 @@ it counts as a quotation and weighs QUOTED of a hit. The weights of misspelled h
 of each level of evidence are learned from the training rows.
 
 Training uses at most about TRAIN_ROWS labelled rows of each class, chosen by a hash of doc_id, and
-never rows of the held-out part. The lexicon has at most LEXICON terms, those of most support.
+never rows of the held-out part. All terms that these rows support are the lexicon: TRAIN_ROWS bounds
+it, as a term needs SHARE of the toxic ones. Near copies are rows of one class that agree in SIGNS
+min-hashes of their five-word shingles; the one of smallest doc_id is the witness.
 
 Cases. Null, empty or blank text: no evidence, the score of a text without hits. A null doc_id is
 scored as text is and belongs to no part (held_out false). Rows of one doc_id are scored each for
 itself. Without labelled rows of both classes nothing is known and every score is 0. An empty table
-gives no rows. Other columns take no part.
+gives no rows. Other columns take no part; those called score, predicted or evidence come out of
+`score` as score_input and so on, and `drop_toxic` leaves all columns as they are.
 """
 
 from __future__ import annotations
@@ -34,10 +37,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestack.llm import bloom
-from lodestack.llm.common import column, hashed_texts, materialise, mix, shingle_hashes, table
+from lodestack.llm.common import column, fresh, hashed_texts, materialise, mix, set_aside, shingle_hashes, table
 
-TRAIN_ROWS, LEXICON, LETTERS_AN_ERROR = 6_000, 2_000, 5
-SHORTEST, LONGEST, SUPPORT, SHARE, PURITY = 4, 16, 8, 0.01, 0.95
+TRAIN_ROWS, LETTERS_AN_ERROR, SIGNS = 6_000, 5, 4
+SHORTEST, STEM, SUPPORT, SHARE, PURITY = 4, 16, 8, 0.01, 0.95  # STEM: letters of the longest stem
 QUOTED, WINDOW, THRESHOLD = 0.2, 8, 0.3
 #: Letters that stand for others in disguised words (fixed values).
 _DISGUISE = str.maketrans("01345789@$!", "oieastbgasi")
@@ -65,6 +68,8 @@ class Automaton:
     """The Levenshtein automata of all terms on their trie, as one deterministic automaton whose
     states are made when met. `terms` maps a term to whether it is a stem."""
 
+    MEMORY = 150_000  # (node, errors) pairs in all states, some 40 MB
+
     def __init__(self, terms: dict[str, bool]):
         self.kids: list[dict[str, int]] = [{}]
         self.ends: dict[int, tuple[str, bool, int]] = {}
@@ -83,6 +88,7 @@ class Automaton:
         self._clear()
 
     def _clear(self) -> None:
+        self.held = 0
         self.states: dict[frozenset, int] = {}
         self.sets: list[dict[int, int]] = []
         self.next: list[dict[str, int]] = []
@@ -101,6 +107,7 @@ class Automaton:
         key = frozenset(now.items())
         if key not in self.states:
             self.states[key] = len(self.sets)
+            self.held += len(now) + 4
             self.sets.append(now)
             self.next.append({})
             hits = [(e, *self.ends[n]) for n, e in now.items() if n in self.ends and e <= self.ends[n][2]]
@@ -125,7 +132,7 @@ class Automaton:
 
     def match(self, word: str) -> tuple[int, str] | None:
         """(errors, term) of the closest term, or None."""
-        if len(self.sets) > 20_000:
+        if self.held > self.MEMORY:
             self._clear()
         state, best = self.start, None
         for c in word:
@@ -165,7 +172,7 @@ def _quoted(ws: list[str], at: int) -> bool:
 class Finder:
     """hits() of texts, with a bounded memory of words."""
 
-    MEMORY = 100_000
+    MEMORY = 60_000  # words
 
     def __init__(self, terms: dict[str, bool]):
         self.automaton = Automaton(terms)
@@ -199,21 +206,24 @@ def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = set()
             for w in {fold(w) for w in (text or "").split()}:
                 if len(w) >= SHORTEST:
-                    found.update(w[:n] for n in range(SHORTEST, min(len(w), LONGEST) + 1))
-                    if len(w) <= LONGEST:
-                        found.add(w + " ")
+                    found.update(w[:n] for n in range(SHORTEST, min(len(w), STEM) + 1))
+                    found.add(w + " ")
             counts[toxic].update(found)
     rows = [(w, n, toxic) for toxic, c in counts.items() for w, n in c.items()]
     yield pa.RecordBatch.from_arrays([column([r[0] for r in rows], pa.string()), column([r[1] for r in rows], pa.int64()), column([r[2] for r in rows], pa.int32())], ["w", "n", "toxic"])
 
 
-def _traits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two min-hashes of each text's five-word shingles; near copies share them."""
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the SIGNS min-hashes of their text's five-word shingles; near copies mostly share them all."""
     for piece, texts in hashed_texts(batches):
-        grams = [shingle_hashes(h, 5) for h in texts]
-        one = [int(g.min()) >> 1 if len(g) else 0 for g in grams]
-        two = [int(mix(g).min()) >> 1 if len(g) else 0 for g in grams]
-        yield pa.RecordBatch.from_arrays([piece.column("text"), piece.column("toxic"), column(one, pa.int64()), column(two, pa.int64())], ["text", "toxic", "one", "two"])
+        signs = []
+        for h in texts:
+            g, own = shingle_hashes(h, 5), []
+            for _ in range(SIGNS):
+                own.append(int(g.min()) if len(g) else 0)
+                g = mix(g + np.uint64(1))
+            signs.append(b"".join(x.to_bytes(8, "little") for x in own))
+        yield pa.RecordBatch.from_arrays([*piece.columns, column(signs, pa.binary())], [*piece.schema.names, "signs"])
 
 
 def _lexicon(counted: list[tuple[str, int, int]]) -> dict[str, bool]:
@@ -228,6 +238,9 @@ def _lexicon(counted: list[tuple[str, int, int]]) -> dict[str, bool]:
         while more := [x for x in kids.get(w, ()) if toxic[x] >= 0.9 * toxic[w]]:
             w = max(more)
         terms[w] = toxic.get(w + " ", 0) < 0.9 * toxic[w]
+    for w in (w[:-1] for w in toxic if w[-1] == " "):  # whole words that no stem stands for
+        if w not in terms and not any(terms.get(w[:n]) for n in range(SHORTEST, len(w))):
+            terms[w] = False
     return terms
 
 
@@ -258,7 +271,7 @@ class Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows_a_class: int = TRAIN_ROWS) -> DataFrame:
-    """text and toxic of labelled rows outside the held-out part, about `rows_a_class` of each class."""
+    """doc_id, text and toxic of labelled rows outside the held-out part, about `rows_a_class` of each class."""
     part = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
     ids = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(part != 2)
     n = {r["toxic"]: r["n"] for r in ids.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -266,12 +279,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows_a_class: int = TRAIN_
     chosen = ids.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < share * 1_000_000)
     chosen = materialise(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"), "toxicity-labels")
     texts = bloom.among(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id", chosen.select("doc_id").distinct())
-    return texts.join(chosen, "doc_id").select("text", "toxic")
+    return texts.join(chosen, "doc_id").select("doc_id", "text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows_a_class: int = TRAIN_ROWS) -> Model:
-    rows = training_rows(docs, labels, rows_a_class).mapInArrow(_traits, "text string, toxic int, one long, two long")
-    alone = rows.dropDuplicates(["toxic", "one"]).dropDuplicates(["toxic", "two"])  # copies of one text are one witness
+    rows = training_rows(docs, labels, rows_a_class).mapInArrow(_signed, "doc_id long, text string, toxic int, signs binary")
+    alone = rows.groupBy("toxic", "signs").agg(F.min_by("text", F.struct("doc_id", "text")).alias("text"))  # copies of one text are one witness
     train = materialise(alone.select("text", "toxic"), "toxicity-training")
     sizes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
@@ -281,11 +294,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_a_class: int = TRAIN_ROWS) -> M
     # A class may have more training rows than the other; count as if they were alike.
     even = sizes[1] / sizes[0]
     strong = counted.where(F.col("t") >= max(SUPPORT, SHARE * sizes[1])).where(F.col("t") >= PURITY * (F.col("t") + even * F.col("o")))
-    strong = strong.orderBy(F.col("t").desc(), "w").limit(LONGEST * LEXICON)  # a term has no more beginnings than LONGEST
-    rows = [(r["w"], r["t"], int(even * r["o"])) for r in strong.collect()]
-    terms = _lexicon(rows)
-    support = dict((w, t) for w, t, _ in rows)
-    terms = dict(sorted(terms.items(), key=lambda x: (-support.get(x[0], 0), x[0]))[:LEXICON])
+    terms = _lexicon([(r["w"], r["t"], int(even * r["o"])) for r in strong.collect()])  # the training rows bound it
 
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(terms)
@@ -320,19 +329,31 @@ def fit(docs: DataFrame, labels: DataFrame, rows_a_class: int = TRAIN_ROWS) -> M
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """`docs` with score (0 to 1), predicted, and evidence, the weight of the hits found."""
-    docs = docs.drop("score", "predicted", "evidence")
-    schema = docs.withColumn("text", F.col("text").cast("string")).schema
-    schema = T.StructType([*schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.DoubleType())])
+    docs = set_aside(docs, ["score", "predicted", "evidence"]).withColumn("text", F.col("text").cast("string"))
+    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(model.terms)
         for batch in batches:
-            made = [model.score(finder.hits(t)) for t in batch.column("text").to_pylist()]
+            made = [model.score(finder.hits(t.as_py())) for t in batch.column("text")]
             scores = [s for s, _ in made]
             new = [column(scores, pa.float64()), column([int(s >= THRESHOLD) for s in scores], pa.int32()), column([e for _, e in made], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], schema.names)
 
-    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
+
+
+def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of `docs` that the model does not predict as toxic, every column as it is."""
+    name = fresh(docs, "as_text")
+    rows = docs.withColumn(name, F.col("text").cast("string"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(model.terms)
+        for batch in batches:
+            yield batch.filter(pa.array([model.score(finder.hits(t.as_py()))[0] < THRESHOLD for t in batch.column(name)], pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema).drop(name)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
