@@ -7,7 +7,8 @@ other fits; an item that at most one other fits, with the longest that does; and
 as long as the best triple where no fourth item fits. Best fit, longest first, packs the rest,
 many equal sequences at a time. The plan is a list of runs: "the r-th to s-th piece of length L
 go to sequences b, b+1, ... at offset o". Pieces are numbered within their length by sums over
-groups that fit one task and look their run up.
+groups that fit one task and look their run up; a group is a share of the rows of one length by a
+number that rows were given when they were written, so equal rows don't meet in one either.
 
 Cases. Null or empty text: one piece with the end id only. Only texts longer than the capacity
 are cut; the first piece takes what is left over. Rows of one doc_id are packed each for itself.
@@ -29,19 +30,22 @@ from lodestack.llm.common import column, materialise, table
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+TEXTS_AT_ONCE = 512
 
 
 def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        told = 0
+        for batch in (b.slice(at, TEXTS_AT_ONCE) for b in batches for at in range(0, b.num_rows, TEXTS_AT_ONCE)):
             rows: list[tuple] = []
             for doc, ids in zip(batch.column(0).to_pylist(), tokens.ids_of(batch.column(1), path)):
                 first = len(ids) % capacity or capacity
                 edges = [0, *range(first, len(ids) + 1, capacity)]
                 for k, (a, b) in enumerate(zip(edges, edges[1:])):
-                    rows.append((doc, k, a, b - a, tokens.crc32_of(ids[a:b])))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([column([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                    rows.append((doc, k, a, b - a, tokens.crc32_of(ids[a:b]), told))
+                    told += 1
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([column([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "told"])
 
     return run
 
@@ -80,43 +84,41 @@ class Plan:
                 n = left[length] // 2 if other == length else min(left[length], left[other])
                 if n:
                     self._open([length, other], n)
-        self.fixed = self.sequences
-        while left:
-            big, order = max(left), sorted(left)
-            small = []
-            for length in order:  # the smallest three items besides the big one
-                small += [length] * min(3, left[length] - (length == big))
-                if len(small) >= 3:
-                    break
-            room = c - big
-            if not small or small[0] > room:
-                self._open([big], 1 if not small else left[big])
-            elif len(small) < 2 or small[0] + small[1] > room:
-                other = order[bisect.bisect_right(order, room) - 1]
-                if other == big:
-                    n = left[big] // 2
-                    if not n:
-                        order.remove(big)
-                        other = order[bisect.bisect_right(order, room) - 1]
-                        n = 1
-                    self._open([big, other], n)
-                else:
-                    self._open([big, other], min(left[big], left[other]))
-            elif len(small) < 3 or sum(small) > room:
-                fits = order[: bisect.bisect_right(order, room)]
-                one, two = fits[-1], 0
-                for a in fits:
-                    i = bisect.bisect_right(fits, room - a) - 1
-                    if i >= 0 and (fits[i] != a or left[a] > 1):
-                        two = max(two, a + fits[i])
-                    elif i >= 1:
-                        two = max(two, a + fits[i - 1])
-                if one < two or one == big:
-                    break
-                self._open([big, one], min(left[big], left[one]))
-            else:
+        self.fixed, found = self.sequences, True
+        while found and left:  # until a whole pass fixes nothing
+            found = False
+            for length in sorted(left, reverse=True):
+                while length in left and (chosen := self._dominating(length)):
+                    self._open(*chosen)
+                    self.fixed, found = self.sequences, True
+
+    def _dominating(self, big: int) -> tuple[list[int], int] | None:
+        """The sequence that dominates every other one with an item of length `big`, and how often it
+        can be made; None where more than two others fit beside it or none dominates."""
+        left, order, room = self.left, sorted(self.left), self.capacity - big
+        small: list[int] = []
+        for length in order:  # the smallest three items besides this one
+            small += [length] * min(3, left[length] - (length == big))
+            if len(small) >= 3:
                 break
-            self.fixed = self.sequences
+        if not small or small[0] > room:
+            return [big], 1 if not small else left[big]
+        if len(small) >= 3 and sum(small[:3]) <= room:
+            return None
+        fits = [x for x in order[: bisect.bisect_right(order, room)] if x != big or left[big] > 1]
+        one = fits[-1]
+        if len(small) >= 2 and small[0] + small[1] <= room:  # two may fit beside it
+            two = 0
+            for a in fits:
+                i = bisect.bisect_right(fits, room - a) - 1
+                spare = left[a] - (a == big) > 1
+                if i >= 0 and fits[i] == a and not spare:
+                    i -= 1
+                if i >= 0:
+                    two = max(two, a + fits[i])
+            if one < two:
+                return None
+        return [big, one], left[big] // 2 if one == big else min(left[big], left[one])
 
     def best_fit(self) -> None:
         rooms: list[int] = []  # sorted spaces that some sequence has left
@@ -176,22 +178,21 @@ def _lookup(runs: list[tuple[int, int, int, int, int]]):
     return run
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, rows_per_group: int = 200_000) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, rows_per_group: int = 50_000) -> DataFrame:
     """One row per piece with its sequence and place."""
     vocabulary = vocabulary or tokens.vocabulary_path()
-    made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(vocabulary, capacity), PIECES)
+    spark = docs.sparkSession
+    made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(vocabulary, capacity), PIECES + ", told long")
     pieces = materialise(made, "packing-pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # `capacity` rows at most
     plan = Plan(counts, capacity).solve()
-    hot = {k: -(-n // rows_per_group) for k, n in counts.items() if n > rows_per_group}
-    split = F.lit(1)
-    for length, parts in sorted(hot.items()):
-        split = F.when(F.col("length") == length, parts).otherwise(split)
-    grouped = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece"), split))
+    parts = spark.createDataFrame([(k, -(-n // rows_per_group)) for k, n in counts.items()], "length long, _parts long")
+    grouped = pieces.join(F.broadcast(parts), "length")  # a row per length
+    grouped = grouped.withColumn("_group", F.pmod(F.xxhash64("doc_id", "told"), F.col("_parts"))).drop("_parts")
     per = grouped.groupBy("length", "_group").agg(F.count("*").alias("_n"))
     ahead = F.sum("_n").over(Window.partitionBy("length").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1))
     firsts = per.select("length", "_group", F.coalesce(ahead, F.lit(0)).alias("_first"))
-    inside = Window.partitionBy("length", "_group").orderBy("doc_id", "piece", "start", "ids_crc32")
+    inside = Window.partitionBy("length", "_group").orderBy("doc_id", "piece", "start", "ids_crc32", "told")
     ranked = (
         grouped.withColumn("_place", F.row_number().over(inside) - 1)
         .join(firsts, ["length", "_group"])

@@ -10,13 +10,13 @@ verifies every chunk against its digest, every recipe against its root, every re
 the manifest and, where the store's root is given, the manifest against that; it gives back the
 documents' checksums.
 
-Files under the store's folder: `parts/kind=1` chunks (key, n, 16-bit little-endian ids in
-data), `recipes` (doc_id, start, n, keys, root), `manifest` (file order, first and last doc_id,
+Files under the store's folder: `parts/kind=1` chunks (key, n, little-endian ids in data, of 16 bits
+or, where the vocabulary is larger, 32), `recipes` (doc_id, start, n, keys, root), `manifest` (file order, first and last doc_id,
 documents, root).
 
 Cases. Null or empty text: only the end id. Very long texts are one document of many chunks.
 A null doc_id comes first in the order. Rows of one doc_id are stored one after the other,
-shorter ones first. An empty table gives an empty store. Other columns take no part.
+shorter ones first; equal rows in any order. An empty table gives an empty store. Other columns take no part.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm import tokens
-from lodestack.llm.common import column, mix, new_path, numbered, table
+from lodestack.llm.common import column, mix, new_path, numbered, table, writing
 
 MEAN, LEAST, MOST, WINDOW = 512, 128, 4096, 8
 KEY = 16
@@ -58,7 +58,7 @@ _MIXED = mix(np.arange(1, 65_537, dtype=np.uint64))
 def marks(ids: np.ndarray) -> np.ndarray:
     """Places behind which the rolling hash of the last WINDOW ids allows a cut. Several streams may
     follow each other in `ids`: a stream's first places are never used, as chunks have LEAST ids."""
-    h = _MIXED[ids]
+    h = _MIXED[ids] if ids.dtype.itemsize == 2 else mix(ids.astype(np.uint64) + np.uint64(1))
     roll = h.copy()
     for i in range(1, WINDOW):
         roll[i:] += h[:-i] << np.uint64(i)
@@ -86,14 +86,15 @@ def cuts(ids: np.ndarray) -> list[int]:
 
 def _parts(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()  # no more than one task's chunks
+        told = 0
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 rows: list[tuple] = []
+                seen: set[bytes] = set()
                 piece = batch.slice(at, 512)
                 streams = list(tokens.ids_of(piece.column(1), path))
                 starts = np.cumsum([0, *map(len, streams)])
-                allowed = marks(np.concatenate([*streams, np.zeros(WINDOW, "<u2")]))
+                allowed = marks(np.concatenate([*streams, np.zeros(WINDOW, streams[0].dtype)]))
                 first = np.searchsorted(allowed, starts, "right")
                 for k, (doc, ids) in enumerate(zip(piece.column(0).to_pylist(), streams)):
                     keys, start = [], 0
@@ -104,8 +105,9 @@ def _parts(path: str):
                             seen.add(key)
                             rows.append((1, None, int.from_bytes(key[:8], "little", signed=True), key, end - start, data, None))
                         start = end
-                    route = int.from_bytes(digest(str(doc).encode())[:8], "little", signed=True)
-                    rows.append((0, doc, route, None, len(ids), b"".join(keys), merkle(keys)))
+                    root, told = merkle(keys), told + 1
+                    route = int.from_bytes(digest(root + told.to_bytes(8, "little"))[:8], "little", signed=True)  # recipes go anywhere
+                    rows.append((0, doc, route, None, len(ids), b"".join(keys), root))
                 kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
                 names = ["kind", "doc_id", "route", "key", "n", "data", "root"]
                 yield pa.RecordBatch.from_arrays([column([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
@@ -114,22 +116,25 @@ def _parts(path: str):
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows dealt by key, only the first of each chunk."""
-    seen: set[bytes] = set()
+    """Of rows in the order of their keys, only the first of each chunk."""
+    last = None
     for batch in batches:
         keep = []
         for key in batch.column("key").to_pylist():
-            keep.append(key is None or key not in seen)
-            if key is not None:
-                seen.add(key)
+            keep.append(key is None or key != last)
+            last = key
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
+def _ids(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, "<u4" if len(data) == 4 * n else "<u2")
+
+
 def _chunk_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         crcs = []
         for key, n, data in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "data"))):
-            ids = np.frombuffer(data, "<u2")
+            ids = _ids(data, n)
             if digest(data) != key or len(ids) != n:
                 raise ValueError(f"chunk {key.hex()} does not hold what its digest says")
             crcs.append(zlib.crc32(ids.astype("<u4").tobytes()))
@@ -168,13 +173,15 @@ def write_store(docs: DataFrame, folder: str, vocabulary: str | None = None) ->
     vocabulary = vocabulary or tokens.vocabulary_path()
     parts = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_parts(vocabulary), PART)
     schema = parts.schema
-    parts.repartition("route").mapInArrow(_once, schema).drop("route").write.partitionBy("kind").parquet(f"{folder}/parts")
+    with writing(spark):
+        parts.repartition("route").sortWithinPartitions("key").mapInArrow(_once, schema).drop("route").write.partitionBy("kind").parquet(f"{folder}/parts")
     found = spark.read.schema("doc_id long, key binary, n long, data binary, root binary, kind int").parquet(f"{folder}/parts")
     recipes = found.where("kind = 0").select("doc_id", "n", F.col("data").alias("keys"), "root")
     ordered = numbered(recipes, ["doc_id", "n", "root"], "n", "start").select("doc_id", "start", "n", "keys", "root")
-    ordered.repartitionByRange("start").sortWithinPartitions("start").write.parquet(f"{folder}/recipes")
-    # Places come from written files, so the manifest describes files and not a plan.
-    _manifest_of(spark, folder).write.parquet(f"{folder}/manifest")
+    with writing(spark):
+        ordered.repartitionByRange("start").sortWithinPartitions("start").write.parquet(f"{folder}/recipes")
+        # Places come from written files, so the manifest describes files and not a plan.
+        _manifest_of(spark, folder).write.parquet(f"{folder}/manifest")
     return store_root(spark, folder)
 
 
@@ -247,13 +254,13 @@ def read_store(spark: SparkSession, folder: str, root: bytes | None = None) -> D
 def read_ids(spark: SparkSession, folder: str, doc_ids: DataFrame) -> DataFrame:
     """doc_id, start and ids (array of int) of the documents named in `doc_ids`."""
     recipes = spark.read.schema(RECIPE).parquet(f"{folder}/recipes").join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
-    chunks = spark.read.parquet(f"{folder}/parts").where("kind = 1").select("key", "data")
+    chunks = spark.read.parquet(f"{folder}/parts").where("kind = 1").select("key", "n", "data")
     uses = recipes.select("start", "keys", "root").mapInArrow(_recipe_keys, "start long, at int, key binary")
-    parts = uses.join(chunks, "key").groupBy("start").agg(F.array_sort(F.collect_list(F.struct("at", "data"))).alias("p"))
+    parts = uses.join(chunks, "key").groupBy("start").agg(F.array_sort(F.collect_list(F.struct("at", "n", "data"))).alias("p"))
 
     def unpack(batches):
         for batch in batches:
-            ids = [np.frombuffer(b"".join(x["data"] for x in p), "<u2").astype(np.int32) for p in batch.column("p").to_pylist()]
+            ids = [np.concatenate([_ids(x["data"], x["n"]) for x in p]).astype(np.int32) for p in batch.column("p").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("start"), pa.array(ids, pa.list_(pa.int32()))], ["start", "ids"])
 
     return recipes.select("doc_id", "start").join(parts.mapInArrow(unpack, "start long, ids array<int>"), "start").select("doc_id", "start", "ids")

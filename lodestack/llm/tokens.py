@@ -3,13 +3,15 @@
 The byte-level BPE works on pre-tokens, each on its own, so ids of a pre-token are looked up in
 a bounded per-worker memory and the library's model is asked only for pre-tokens not met before.
 Texts with characters beyond Latin-1, for which the fast splitting is not written, go to the
-library whole. Strings of special tokens inside a text are ordinary text.
+library whole, as do texts that hold the string of an added token (the library gives such a string
+its own id) and all texts where the vocabulary file asks for anything but plain byte-level BPE.
+Ids are 16-bit numbers, 32-bit ones where a vocabulary has more than 65,536.
 """
 
 from __future__ import annotations
 
+import json
 import re
-import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -42,32 +44,38 @@ def _byte_letters() -> list[str]:
 
 
 class Encoder:
-    """encode() gives the ids of texts as little-endian 16-bit strings."""
+    """encode() gives the ids of texts as bytes, little-endian numbers of type `kind`."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        if self.tokenizer.get_vocab_size() > 1 << 16:
-            raise ValueError("vocabularies of more than 65,536 ids are not supported")
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.model = self.tokenizer.model
+        made = json.loads(self.tokenizer.to_str())
+        before, model = made["pre_tokenizer"] or {}, made["model"]
+        plain_model = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+        plain_split = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        self.fast = plain_model and plain_split and not made["normalizer"] and not made["truncation"] and not made["padding"]
+        self.added = re.compile("|".join(re.escape(t["content"]) for t in made["added_tokens"]) or r"(?!)")
         self.find = _pattern().findall
         self.letters = _byte_letters()
         self.known: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def _learn(self, tokens: set[str]) -> None:
         letter, tokenize = self.letters.__getitem__, self.model.tokenize
         for token in tokens:
             ids = [x.id for x in tokenize("".join(map(letter, token.encode())))]
-            self.known[token] = struct.pack(f"<{len(ids)}H", *ids)
+            self.known[token] = np.asarray(ids, self.kind).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if not self.fast or self.added.search(text):
+            return self._whole(text)
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
@@ -98,9 +106,9 @@ def encoder(path: str) -> Encoder:
 def ids_of(texts, path: str) -> Iterator[np.ndarray]:
     """For each text (null: empty) its ids and the end id."""
     code = encoder(path)
-    end = struct.pack("<H", END)
+    end = np.array([END], code.kind).tobytes()
     for text in texts:
-        yield np.frombuffer(code.encode(text.as_py() if hasattr(text, "as_py") else text) + end, "<u2")
+        yield np.frombuffer(code.encode(text.as_py() if hasattr(text, "as_py") else text) + end, code.kind)
 
 
 def crc32_of(ids: np.ndarray) -> int:
