@@ -10,7 +10,9 @@ pairs do so more often.
 Equal vectors become one node first. A task that meets a pair in one bucket works out the pair's
 collisions in all tables and keeps it only in the first of them, so no pair is sent anywhere: what
 leaves a task is each node's number of links and star edges of what is connected. Buckets of more
-than BLOCK nodes are joined in pairs of blocks by as many tasks.
+than BLOCK nodes are joined in pairs of blocks by as many tasks. Vectors of single precision travel
+as such and are compared in double precision; the few large buckets are known before the vectors
+are dealt, so each copy of a vector is shuffled once.
 
 Cases. Vectors that are null, zero, or hold nulls, NaN or infinities: no links, a component of
 their own. Vectors of different lengths never link. Rows of one vec_id count as vectors of their
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import column, in_blocks, materialise, table, units
+from lodestack.llm.common import column, materialise, table, units
 from lodestack.llm.graph import components
 from lodestack.llm.rtree import forest
 
@@ -61,35 +63,38 @@ class Projections:
         return signs @ weight, x @ self.lines
 
 
-def unit_vectors(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), -1)
+def unit_vectors(raw: list[bytes], kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)  # neither overflow nor underflow in the norm
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        packed = []
-        for v in batch.column(1):
-            x = v.as_py()
-            x = np.array(x, np.float64) if x and None not in x else None
-            packed.append((x + 0.0).astype("<f8").tobytes() if x is not None and np.isfinite(x).all() and x.any() else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), column(packed, pa.binary())], ["vec_id", "vector"])
+def _valid(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = []
+            for v in batch.column(1):
+                x = v.as_py()
+                x = np.array(x, np.float64) if x and None not in x else None
+                packed.append((x + 0.0).astype(kind).tobytes() if x is not None and np.isfinite(x).all() and x.any() else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), column(packed, pa.binary())], ["vec_id", "vector"])
+
+    return run
 
 
-def _buckets(bits: int, tables: int):
+def _buckets(bits: int, tables: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, Projections] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 piece = batch.slice(at, 512)
                 vectors = piece.column("vector").to_pylist()
-                dims = np.array([len(v) for v in vectors]) // 8
+                dims = np.array([len(v) for v in vectors]) // np.dtype(kind).itemsize
                 for dim in np.unique(dims).tolist():
                     rows = np.flatnonzero(dims == dim)
                     if dim not in held:
                         held[dim] = Projections(dim, bits, tables)
-                    codes, _ = held[dim].of(unit_vectors([vectors[r] for r in rows]))
+                    codes, _ = held[dim].of(unit_vectors([vectors[r] for r in rows], kind))
                     own = piece.take(pa.array(rows.repeat(tables)))
                     yield pa.RecordBatch.from_arrays(
                         [column(np.tile(np.arange(tables), len(rows)), pa.int32()), column((codes * 65_536 + dim % 65_536).ravel(), pa.int64()), *own.columns],
@@ -99,7 +104,7 @@ def _buckets(bits: int, tables: int):
     return run
 
 
-def _collide(bits: int, tables: int, window: float, least: float):
+def _collide(bits: int, tables: int, window: float, least: float, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, Projections] = {}
         for t, at in units(batches, ["t", "code", "bi", "bj"], 4_000):
@@ -109,12 +114,12 @@ def _collide(bits: int, tables: int, window: float, least: float):
                 if e - s < 2:
                     continue
                 raw = vectors.slice(s, e - s).to_pylist()
-                dim = len(raw[0]) // 8
-                if any(len(v) != 8 * dim for v in raw):
+                dim = len(raw[0]) // np.dtype(kind).itemsize
+                if any(len(v) != len(raw[0]) for v in raw):
                     raise ValueError("vectors of 65,536 numbers or more are not supported")
                 if dim not in held:
                     held[dim] = Projections(dim, bits, tables)
-                x = unit_vectors(raw)
+                x = unit_vectors(raw, kind)
                 code, place = held[dim].of(x)
                 own, n, k = nodes[s:e], copies[s:e], int(which[s])
                 order = np.argsort(place[:, k], kind="stable")
@@ -157,18 +162,21 @@ def _collide(bits: int, tables: int, window: float, least: float):
 
 def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of `vectors` (vec_id, embedding)."""
+    kind = "<f4" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = materialise(rows.mapInArrow(_valid, "vec_id long, vector binary"), "vectors")
+    rows = materialise(rows.mapInArrow(_valid(kind), "vec_id long, vector binary"), "vectors")
     classes = rows.where("vector is not null").groupBy("vector").agg(F.count("*").alias("copies"))
     classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
     n = classes.count()
     bits, tables, window = calibrated(n, least)
-    spread = classes.select("node", "copies", "vector").mapInArrow(_buckets(bits, tables), "t int, code long, node long, copies long, vector binary")
-    sizes = classes.select("node", "copies", "vector").mapInArrow(_buckets(bits, tables), "t int, code long, node long, copies long, vector binary")
-    sizes = sizes.groupBy("t", "code").agg(F.count("*").alias("m")).where("m > 1")
-    dealt = in_blocks(spread, ["t", "code"], sizes, BLOCK).repartition("t", "code", "bi", "bj").sortWithinPartitions("t", "code", "bi", "bj")
+    spread = classes.select("node", "copies", "vector").mapInArrow(_buckets(bits, tables, kind), "t int, code long, node long, copies long, vector binary")
+    large = materialise(spread.groupBy("t", "code").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK), "large-buckets")
+    parts = F.coalesce(F.ceil(F.col("m") / BLOCK).cast("int"), F.lit(1))
+    blocks = spread.join(large, ["t", "code"], "left").withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int"))
+    pairs = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")})
+    dealt = pairs.repartition("t", "code", "bi", "bj").sortWithinPartitions("t", "code", "bi", "bj")
     dealt = dealt.select("t", "code", "bi", "bj", "block", "node", "copies", "vector")
-    found = materialise(dealt.mapInArrow(_collide(bits, tables, window, least), "node long, other long, links long"), "collisions")
+    found = materialise(dealt.mapInArrow(_collide(bits, tables, window, least, kind), "node long, other long, links long"), "collisions")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     placed = classes.join(links, "node", "left").join(named, "node", "left")

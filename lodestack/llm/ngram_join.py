@@ -262,15 +262,6 @@ def links(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataF
     return sets.select("doc_id", "node", "n"), edges
 
 
-def _sets_of(docs: DataFrame, named: DataFrame, k: int) -> DataFrame:
-    """node and set of the named nodes. A node that has only rows without doc_id is looked for
-    among the sets of all such rows."""
-    by_id = docs.join(named.where("doc_id is not null"), "doc_id").select("node", "text").mapInArrow(_full_sets(k, True), "node long, set binary")
-    nameless = docs.where("doc_id is null").select(F.lit(0).cast("long").alias("node"), "text").mapInArrow(_full_sets(k, False), "node long, set binary")
-    nameless = nameless.join(named.where("doc_id is null"), "node", "left_semi")
-    return by_id.unionByName(nameless).groupBy("node").agg(F.first("set").alias("set"))
-
-
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, n_shingles and component_id of every row: texts link when their sets' Jaccard
     similarity is num/den or more."""
