@@ -7,7 +7,8 @@ from collections import Counter
 import numpy as np
 import pytest
 from lodestack.llm import bloom, decontaminate, embed_dedup, graph, licenses, line_dedup, ngram_join, perplexity, rtree, sharding, toxicity
-from lodestack.llm.common import word_hashes, words
+from pyspark.sql import functions as F
+from lodestack.llm.common import new_path, word_hashes, words
 
 ODD = [(None, "no id at all here"), (1, None), (2, ""), (3, " \t\n"), (4, "Ünï cødé\x0b words\x0c here"), (4, "repeated id"), (5, "x"), (6, "long " * 20_000)]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -137,8 +138,9 @@ def slow_tiles(a, b, least):
 
 def test_tiles_equal_the_plain_greedy_form():
     rng = random.Random(2)
-    for _ in range(60):
-        a = [rng.randint(0, 3) if rng.random() < 0.2 else rng.randint(0, 60) for _ in range(rng.randint(6, 40))]
+    for trial in range(90):
+        kinds = 60 if trial % 3 else 2
+        a = [rng.randint(0, 3) if rng.random() < 0.2 else rng.randint(0, kinds) for _ in range(rng.randint(6, 40))]
         b = [rng.randint(0, 60) for _ in range(10)]
         for _ in range(3):
             s = rng.randrange(len(a))
@@ -149,7 +151,33 @@ def test_tiles_equal_the_plain_greedy_form():
         for at in (0, 1):
             used = [x for t in tiles for x in range(t[at], t[at] + t[2])]
             assert len(used) == len(set(used))
-        assert sum(t[2] for t in tiles) >= 0.9 * slow_tiles(a, b, 4)
+        assert sum(t[2] for t in tiles) == slow_tiles(a, b, 4)
+
+
+@pytest.mark.parametrize("hits", [3, 1 << 16])
+def test_leaks_equal_brute_force_with_repeated_seeds(spark, monkeypatch, hits):
+    monkeypatch.setattr(decontaminate, "HITS", hits)
+    rng = random.Random(16)
+    items = [(1, "alpha beta gamma delta eps " * 20), (2, "one two three " * 24), (3, "word " * 60), (4, " ".join(prose(rng, 40, 30))), (5, "a b"), (6, " ".join(prose(rng, 30, 3)))]
+    rows = [(10 + i, t) for i, (_, t) in enumerate(items)] + [(20, "word " * 29), (21, "word " * 31), (22, "one two three " * 11), (None, "x a b x"), (None, "x a b x")]
+    rows += [(30 + i, " ".join(prose(rng, 60, rng.choice([3, 30])))) for i in range(25)]
+    expected = Counter()
+    for d, t in rows:
+        for i, x in items:
+            covered = slow_tiles(words(x), words(t), min(5, len(words(x))))
+            if covered >= 0.5 * len(words(x)):
+                expected[d, i, covered] += 1
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(k + 9, k) for k in range(1, 7)} <= {(d, i) for d, i, _ in expected}
+    for most in (1 << 20, 0):  # one block; a shuffle join on seeds
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", most)
+        got = Counter((r["doc_id"], r["item_id"], r["tiled_words"]) for r in decontaminate.find_leaks(docs_of(spark, rows), bench).collect())
+        assert got == expected
+        docs = docs_of(spark, [*rows, *ODD]).withColumnRenamed("source", "row")
+        kept = decontaminate.drop_leaking(docs, bench)
+        assert kept.columns == docs.columns
+        leaking = {t for (d, t) in rows if any(slow_tiles(words(x), words(t), min(5, len(words(x)))) >= 0.5 * len(words(x)) for _, x in items)}
+        assert Counter(r["text"] for r in kept.collect()) == Counter(t for _, t in [*rows, *ODD] if t not in leaking)
 
 
 def test_leaks_are_found_reordered_and_clean_text_is_left(spark):
@@ -168,7 +196,9 @@ def test_leaks_are_found_reordered_and_clean_text_is_left(spark):
 # --- lines, shards -------------------------------------------------------------------------------
 
 
-def test_line_dedup_equals_brute_force(spark):
+@pytest.mark.parametrize("hot", [0, 1, 100_000])
+def test_line_dedup_equals_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
     rng = random.Random(6)
     lines = ["short", "  A line that repeats  ", "a LINE that repeats", "unique one %d", "", "Zehn zeichen", "é" * 10]
     rows = [(100 - i, "\n".join((x % i if "%" in x else x) for x in rng.choices(lines, k=rng.randint(1, 8)))) for i in range(40)] + [(1, None), (2, "")]
@@ -184,6 +214,11 @@ def test_line_dedup_equals_brute_force(spark):
         expected.append((d, len(own), len(own) - len(kept), "\n".join(kept)))
     got = line_dedup.dedup_lines(docs_of(spark, rows)).select("doc_id", "n_lines", "n_dropped", "text").collect()
     assert sorted(tuple(r) for r in got) == sorted(expected)
+    own = docs_of(spark, rows).withColumnsRenamed({"lang": "N_lines", "source": "doc", "n_chars": "lost"})
+    clashing = line_dedup.dedup_lines(own)
+    assert clashing.columns == ["doc_id", "text", "N_lines_input", "doc", "lost", "n_lines", "n_dropped"]
+    assert sorted(r["n_dropped"] for r in clashing.where("N_lines_input = 'en'").collect()) == sorted(e[2] for e in expected)
+    assert line_dedup.dedup_lines(own, counts=False).columns == own.columns
     assert line_dedup.dedup_lines(docs_of(spark, ODD)).count() == len(ODD)
     assert line_dedup.dedup_lines(docs_of(spark, [])).count() == 0
 
@@ -200,11 +235,40 @@ def test_shards_are_near_equal_and_gapless(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     by_id = {r["doc_id"]: r for r in out}
     assert by_id[3]["text_crc32"] in (zlib.crc32(rows[3][1].encode()), zlib.crc32(ODD[3][1].encode()))
+    assert all(r["size"] == len((dict(rows[:9000]).get(r["doc_id"]) or "").encode()) + 1 for r in out if (r["doc_id"] or 0) > 10)
     moved = sharding.rebalance(sharding.first_map(16), [1] * sharding.SLOTS, 17)
     assert max(Counter(moved).values()) - min(Counter(moved).values()) <= 1
     assert sharding.shard(docs_of(spark, [])).count() == 0
 
 
+def test_later_runs_edit_the_stored_map(spark):
+    rng = random.Random(17)
+    path = new_path(spark, "map")
+    rows = [(i, "x" * rng.randint(0, 300)) for i in range(5000)]
+    first = {r["doc_id"]: r["shard"] for r in sharding.shard(docs_of(spark, rows), 8, path).collect()}
+    version, before = sharding.load_map(spark, path)
+    again = {r["doc_id"]: r["shard"] for r in sharding.shard(docs_of(spark, rows), 8, path).collect()}
+    assert again == first and sharding.load_map(spark, path)[0] == version
+    rows += [(9000 + i, "y" * 900) for i in range(400)]
+    later = {r["doc_id"]: (r["shard"], r["virtual_slot"]) for r in sharding.shard(docs_of(spark, rows), 9, path, rows_per_group=1).collect()}
+    newer, after = sharding.load_map(spark, path)
+    assert newer == version + 1 and sharding.load_map(spark, path, version)[1] == before
+    edited = {s for s in range(sharding.SLOTS) if before[s] != after[s]}
+    assert all((shard != first[d]) == (slot in edited) for d, (shard, slot) in later.items() if d in first) and len(edited) < sharding.SLOTS / 2
+    assert sharding.load_map(spark, path + "-none") is None
+
+
+def test_one_id_for_all_rows(spark):
+    rows = [(None, "same text of one hot key") for _ in range(300)] + [(7, f"text {i % 3} of seven words in all") for i in range(200)]
+    out = sharding.shard(docs_of(spark, rows), 4, rows_per_group=20).collect()
+    slots = {}
+    for r in out:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert len(out) == 500 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    got = Counter(tuple(r) for r in ngram_join.jaccard_components(docs_of(spark, rows)).collect())
+    assert sum(got.values()) == 500 and {k[2] for k in got if k[0] == 7} == {7}
+
+
 # --- toxicity ------------------------------------------------------------------------------------
 
 
@@ -245,7 +309,11 @@ def test_toxicity_learns_terms_and_spares_quotations(spark):
     model = toxicity.fit(docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     assert set(model.terms) == {"snarlish", "grumble", "wobblerous"}
     tests = [(1, "you sn4rlish thing"), (2, "they are wobblreous"), (3, 'he said "snarlish" to them'), (4, "plain w1 w2 words"), (5, "snaaaarlish"), *ODD]
-    out = toxicity.score(docs_of(spark, tests), model)
+    own = docs_of(spark, tests).withColumnsRenamed({"lang": "Score", "source": "evidence"})
+    out = toxicity.score(own, model)
+    assert out.columns == ["doc_id", "text", "Score_input", "evidence_input", "n_chars", "score", "predicted", "evidence"]
+    left = toxicity.drop_toxic(own, model)
+    assert left.columns == own.columns and {r["text"] for r in left.where("Score = 'en'").collect()} == {tests[2][1], tests[3][1], *(t for _, t in ODD)}
     got = {r["text"]: r for r in out.collect()}
     assert [got[t]["predicted"] for _, t in tests[:5]] == [1, 1, 0, 0, 1]
     assert all(got[t]["predicted"] == 0 and 0 <= got[t]["score"] <= 1 for _, t in ODD)
@@ -344,7 +412,10 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
         x = np.array(rows[rng.integers(0, 20)][1])
         rows.append((900 + i, (x / np.linalg.norm(x) + 0.02 * rng.standard_normal(32)).tolist()))
     rows += [(2000, rows[3][1]), (2001, [2 * v for v in rows[3][1]]), (2002, None), (2003, [0.0] * 32), (2004, [float("nan")] * 32), (2005, [1.0, None]), (2006, []), (2007, [1.0, 2.0]), (None, rows[5][1]), (2000, rows[3][1])]
-    got = embed_dedup.near_duplicates(spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, n_links string")).collect()
+    table = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, n_links string")
+    single = embed_dedup.near_duplicates(table.withColumn("embedding", F.col("embedding").cast("array<float>")))
+    got = embed_dedup.near_duplicates(table).collect()
+    assert len(single.collect()) == len(got) == single.distinct().count() + 1
     good = [(i, np.array(v)) for i, v in rows if v and None not in v and np.isfinite(v).all() and any(v)]
     n_links, found, pairs = Counter(), Counter({r["vec_id"]: 0 for r in got}), 0
     for i, (a, x) in enumerate(good):
@@ -414,7 +485,7 @@ def test_pipeline_decisions_take_effect(spark, tmp_path):
     near = rows[1][1].split()
     near[40] = "changed"
     rows += [(1001, rows[1][1] + " "), (1002, " ".join(near)), (1003, f"{rows[2][1].upper()}x {item}"), (1004, "a line shared by both\n" + " ".join(prose(rng, 50, 3000))), (1005, "A line shared by both\n" + " ".join(prose(rng, 50, 3000))), *((i and i + 5000, t) for i, t in ODD)]
-    docs_of(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    docs_of(spark, rows).withColumns({c: F.lit("own") for c in ("score", "n_lines", "doc", "row", "node")}).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(7, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), []
@@ -425,7 +496,7 @@ def test_pipeline_decisions_take_effect(spark, tmp_path):
         docs = spark.read.parquet(out)
         kept.append({r["doc_id"] for r in docs.select("doc_id").collect()})
         if name != "best-fit packing":
-            assert docs.columns == before.columns
+            assert docs.columns == before.columns and docs.where("score = 'own' and n_lines = 'own' and doc = 'own'").count() == docs.count()
     toxic = {i for i in range(800) if i % 4 == 0}
     everything = {i for i, _ in rows}
     assert kept[0] == everything - toxic and kept[1] == kept[0]

@@ -8,16 +8,14 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from lodestack.llm import packing, token_store, tokens
-from lodestack.llm.common import new_path
+from lodestack.llm.common import materialise, new_path, numbered
 
 
 @functools.cache
 def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokens.vocabulary_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokens.vocabulary_path())
 
 
 def whole(text):
@@ -41,7 +39,26 @@ def test_fast_encoding_equals_the_library():
     code = tokens.Encoder(tokens.vocabulary_path())
     for _ in range(3000):
         text = "".join(rng.choice("ab c'sS\n\t \xa0\x85\x1c12é²ªß.,!<|endoftext|>\xad\x00'll re ve☃") for _ in range(rng.randint(0, 40)))
-        assert np.frombuffer(code.encode(text), "<u2").tolist() == whole(text)[:-1]
+        if rng.random() < 0.2:
+            text += rng.choice(["<|endoftext|>", " <|endoftext|><|endoftext|> x"])
+        assert np.frombuffer(code.encode(text), code.kind).tolist() == whole(text)[:-1]
+
+
+@pytest.mark.parametrize("change", ["prefix", "lower", "wide"])
+def test_other_vocabulary_files_are_followed(tmp_path, change):
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    other = Tokenizer.from_file(tokens.vocabulary_path())
+    if change == "prefix":
+        other.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    elif change == "lower":
+        other.normalizer = normalizers.Lowercase()
+    else:
+        other.add_tokens([f"<extra{i}>" for i in range(20_000)])
+    other.save(str(tmp_path / "t.json"))
+    code = tokens.Encoder(str(tmp_path / "t.json"))
+    for text in ("Some Text <extra19999> and more", "", "x"):
+        assert np.frombuffer(code.encode(text), code.kind).tolist() == other.encode(text, add_special_tokens=False).ids
 
 
 def test_store_round_trip(spark, docs):
@@ -130,6 +147,25 @@ def test_packing_places_every_piece(spark, docs):
     assert check_packing(packing.pack(docs, rows_per_group=1).collect(), TEXTS)
 
 
+def test_packing_with_every_length_hot_and_one_id(spark):
+    texts = [(None, " word" * n) for n in range(2047) for _ in range(2)]
+    rows = packing.pack(spark.createDataFrame(texts, "doc_id long, text string"), rows_per_group=1).collect()
+    assert len(rows) == len(texts) and sorted(r["length"] for r in rows) == sorted(n + 1 for n in range(2047) for _ in range(2))
+    assert check_packing(rows, []) == -(-sum(r["length"] for r in rows) // 2048)
+
+
+@pytest.mark.parametrize("rows_a_part", [1, 7])
+def test_numbering_of_one_hot_key(spark, rows_a_part):
+    rows = [(None, 3)] * 20 + [(5, 2)] * 10 + [(1, 1), (9, 4)]
+    df = materialise(spark.createDataFrame(rows, "k long, w long"), "rows")
+    got = sorted((r["start"], r["k"], r["w"]) for r in numbered(df, ["k", "w"], "w", "start", rows_a_part).collect())
+    at = 0
+    for (start, k, w), (ek, ew) in zip(got, sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))):
+        assert (start, k, w) == (at, ek, ew)
+        at += w
+    assert numbered(df.limit(0), ["k"], "w", "start").count() == 0
+
+
 def least(counts, capacity):
     """Fewest sequences, by trying everything."""
     from functools import cache
