@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodestack.llm.common import column, mix
+from lodestack.llm.common import column, lean, mix
 
 EACH, LEAST, MOST = 16, 1 << 16, 1 << 26  # bits for a key; bits of a filter, 8 MB at most
 PAGE = 4096
@@ -44,11 +44,11 @@ def build(keys: DataFrame, n: int) -> Bloom:
         size *= 2
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(size, bool)
+        bits = np.zeros(size // 8, np.uint8)
         for batch in batches:
             for at in Bloom.places(batch.column(0).drop_null().to_numpy().view(np.uint64), size):
-                bits[at] = True
-        pages = np.packbits(bits).reshape(-1, PAGE)
+                np.bitwise_or.at(bits, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+        pages = bits.reshape(-1, PAGE)
         used = np.flatnonzero(pages.any(1))
         yield pa.RecordBatch.from_arrays([column(used, pa.int32()), column([pages[k].tobytes() for k in used], pa.binary())], ["at", "bits"])
 
@@ -60,7 +60,7 @@ def build(keys: DataFrame, n: int) -> Bloom:
                 held[at] = held[at] | page if at in held else page
         yield pa.RecordBatch.from_arrays([column(list(held), pa.int32()), column([b.tobytes() for b in held.values()], pa.binary())], ["at", "bits"])
 
-    parts = keys.coalesce(8).mapInArrow(part, "at int, bits binary").repartition("at").mapInArrow(union, "at int, bits binary").toArrow()
+    parts = keys.coalesce(8).mapInArrow(lean(part), "at int, bits binary").repartition("at").mapInArrow(lean(union), "at int, bits binary").toArrow()
     bits = np.zeros((size // 8 // PAGE, PAGE), np.uint8)
     for at, page in zip(parts.column("at").to_pylist(), parts.column("bits").to_pylist()):
         bits[at] = np.frombuffer(page, np.uint8)
@@ -80,7 +80,7 @@ def sift(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFra
                 found = held.value.holds(ids.fill_null(0).to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False)
                 yield batch.filter(pa.array(found == wanted))
 
-        return rows.mapInArrow(run, rows.schema)
+        return rows.mapInArrow(lean(run), rows.schema)
 
     return part(True), part(False)
 
@@ -102,4 +102,4 @@ def among(rows: DataFrame, key: str, keys: DataFrame, most: int = 2_000_000) ->
             found = held.value[at] == values if len(held.value) else np.zeros(len(values), bool)
             yield batch.filter(pa.array(found & ids.is_valid().to_numpy(zero_copy_only=False)))
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(lean(run), rows.schema)

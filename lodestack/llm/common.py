@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -12,8 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Settings while a table is written.
-WRITING: dict[str, str] = {}
+#: Set while a table is written: its shuffle files go when it is there, as nothing reads them again;
+#: and texts reach Python workers some thousands at a time, which bounds their memory.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -117,7 +119,7 @@ def _powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
         made = []
         for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(max(n, 1 << 20), base, np.uint64)
+            p = np.full(max(n, 1 << 18), base, np.uint64)
             p[0] = 1
             made.append(np.cumprod(p, dtype=np.uint64))
         _powers[:] = made
@@ -143,7 +145,7 @@ def word_hashes(texts, lower: bool = True) -> list[np.ndarray]:
     return np.split(h, np.searchsorted(starts, np.cumsum(lengths)[:-1])) if own else []
 
 
-def hashed_texts(batches, name: str = "text", most: int = 1 << 20, lower: bool = True):
+def hashed_texts(batches, name: str = "text", most: int = 1 << 18, lower: bool = True):
     """Slices of the batches with the word hashes of their texts: about `most` bytes at a time."""
     for batch in batches:
         texts = batch.column(name).cast(pa.binary())
@@ -187,7 +189,7 @@ def numbered(df: DataFrame, order: list[str], weight: str, start: str, rows_a_pa
             own = [batch.column(c) for c in schema.names[:-3]]
             yield pa.RecordBatch.from_arrays([*own, column(np.full(len(upto), part), pa.int32()), column(before, pa.int64()), column(upto, pa.int64())], schema.names)
 
-    dealt = materialise(rows.repartitionByRange(n, *by).sortWithinPartitions(*by).mapInArrow(sums, schema), "numbered")
+    dealt = materialise(rows.repartitionByRange(n, *by).sortWithinPartitions(*by).mapInArrow(lean(sums), schema), "numbered")
     from pyspark.sql import Window
 
     small = dealt.groupBy("_part").agg(F.max("_upto").alias("_sum"))
@@ -197,11 +199,36 @@ def numbered(df: DataFrame, order: list[str], weight: str, start: str, rows_a_pa
     return out.withColumn(start, (F.col("_ahead") + F.col("_before")).cast("long")).drop("_part", "_before", "_upto", "_ahead")
 
 
-def units(batches, names: list[str], rows_at_once: int = 20_000):
+def give_back(everything: bool) -> None:
+    """Return free memory to the machine; `everything`: with what is kept between batches."""
+    if everything:
+        _powers.clear()
+    pa.default_memory_pool().release_unused()
+    if everything and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)
+
+
+def lean(run):
+    """`run` for a Python worker that gives memory back when its task is over: workers stay for further
+    tasks, and allocators would keep what the largest batch took."""
+
+    def kept_small(batches):
+        try:
+            for out in run(batches):
+                yield out
+                give_back(False)
+        finally:
+            give_back(True)
+
+    return kept_small
+
+
+def units(batches, names: list[str], rows_at_once: int = 20_000, bytes_at_once: int = 4 << 20):
     """Tables of whole units (rows equal in the whole-number columns `names`, by which the input
-    is sorted) and where each unit starts. At most one unit is held beyond `rows_at_once` rows."""
+    is sorted) and where each unit starts. At most one unit is held beyond `rows_at_once` rows or
+    `bytes_at_once`."""
     held: list[pa.RecordBatch] = []
-    rows = 0
+    rows = size = 0
 
     def cut(t: pa.Table) -> np.ndarray:
         change = np.zeros(t.num_rows, bool)
@@ -215,13 +242,14 @@ def units(batches, names: list[str], rows_at_once: int = 20_000):
         if batch.num_rows:
             held.append(batch)
             rows += batch.num_rows
-        if rows > rows_at_once:
+            size += batch.nbytes
+        if rows > rows_at_once or size > bytes_at_once:
             t = pa.Table.from_batches(held).combine_chunks()
             at = cut(t)
             if at[-1]:
                 yield t.slice(0, at[-1]), at[:-1]
                 t = t.slice(at[-1])
-                held, rows = t.to_batches(), t.num_rows
+                held, rows, size = t.to_batches(), t.num_rows, t.nbytes
     if held:
         t = pa.Table.from_batches(held).combine_chunks()
         yield t, cut(t)

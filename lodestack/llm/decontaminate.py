@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm import bloom
-from lodestack.llm.common import column, fresh, hashed_texts, materialise, mix, shingle_hashes, signed, table, word_hashes
+from lodestack.llm.common import column, fresh, hashed_texts, lean, materialise, mix, shingle_hashes, signed, table, word_hashes
 
 SEED, THRESHOLD, BLOCK_BYTES = 5, 0.5, 8 << 20
 HITS = 1 << 16  # places of equal seeds looked at at a time
@@ -199,9 +199,9 @@ def _joined(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     meet by their seeds in a shuffle, and each pair that shares one is tiled. A Bloom filter of bounded
     size spares most seeds of documents the way."""
     items = materialise(items.withColumn("row", F.monotonically_increasing_id()), "benchmark-rows")
-    ours = materialise(items.mapInArrow(lambda b: _seeds(b, ()), "seed long, row long"), "benchmark-seeds")
+    ours = materialise(items.mapInArrow(lean(lambda b: _seeds(b, ())), "seed long, row long"), "benchmark-seeds")
     seen = items.sparkSession.sparkContext.broadcast(bloom.build(ours.select("seed"), ours.count()))
-    theirs = docs.mapInArrow(lambda b: _seeds(b, tuple(range(1, SEED + 1)), seen), "seed long, row long")
+    theirs = docs.mapInArrow(lean(lambda b: _seeds(b, tuple(range(1, SEED + 1)), seen)), "seed long, row long")
     pairs = theirs.withColumnRenamed("row", "doc").join(ours, "seed").select("doc", "row").distinct()
     texts = pairs.join(items.withColumnRenamed("text", "item"), "row").drop("row").join(docs.withColumnRenamed("row", "doc"), "doc")
 
@@ -219,7 +219,7 @@ def _joined(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
             made = _leak_rows(rows)
             yield pa.RecordBatch.from_arrays([*made.columns, column(owners, pa.int64())], [*made.schema.names, "row"])
 
-    return texts.mapInArrow(tile, LEAKS + ", row long")
+    return texts.mapInArrow(lean(tile), LEAKS + ", row long")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -227,7 +227,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items, size = _items(benchmark)
     if size <= BLOCK_BYTES:
-        return docs.mapInArrow(_held_against(_block(items), threshold), LEAKS)
+        return docs.mapInArrow(lean(_held_against(_block(items), threshold)), LEAKS)
     docs = materialise(docs.withColumn("row", F.monotonically_increasing_id()), "numbered-documents")
     return _joined(docs, items, threshold).drop("row")
 
@@ -243,7 +243,7 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
             for piece, texts in hashed_texts(batches):
                 yield piece.filter(pa.array([next(block.value.leaks(t, threshold), None) is None for t in texts], pa.bool_()))
 
-        return docs.mapInArrow(clean, docs.schema)
+        return docs.mapInArrow(lean(clean), docs.schema)
     name = fresh(docs, "row")
     rows = materialise(docs.withColumn(name, F.monotonically_increasing_id()), "numbered-documents")
     found = _joined(rows.select(F.col(name).alias("row"), F.lit(None).cast("long").alias("doc_id"), "text"), items, threshold)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import column, materialise, table, units
+from lodestack.llm.common import column, lean, materialise, table, units
 from lodestack.llm.graph import components
 from lodestack.llm.rtree import forest
 
@@ -164,19 +164,19 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of `vectors` (vec_id, embedding)."""
     kind = "<f4" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = materialise(rows.mapInArrow(_valid(kind), "vec_id long, vector binary"), "vectors")
+    rows = materialise(rows.mapInArrow(lean(_valid(kind)), "vec_id long, vector binary"), "vectors")
     classes = rows.where("vector is not null").groupBy("vector").agg(F.count("*").alias("copies"))
     classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
     n = classes.count()
     bits, tables, window = calibrated(n, least)
-    spread = classes.select("node", "copies", "vector").mapInArrow(_buckets(bits, tables, kind), "t int, code long, node long, copies long, vector binary")
+    spread = classes.select("node", "copies", "vector").mapInArrow(lean(_buckets(bits, tables, kind)), "t int, code long, node long, copies long, vector binary")
     large = materialise(spread.groupBy("t", "code").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK), "large-buckets")
     parts = F.coalesce(F.ceil(F.col("m") / BLOCK).cast("int"), F.lit(1))
     blocks = spread.join(large, ["t", "code"], "left").withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int"))
     pairs = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")})
     dealt = pairs.repartition("t", "code", "bi", "bj").sortWithinPartitions("t", "code", "bi", "bj")
     dealt = dealt.select("t", "code", "bi", "bj", "block", "node", "copies", "vector")
-    found = materialise(dealt.mapInArrow(_collide(bits, tables, window, least, kind), "node long, other long, links long"), "collisions")
+    found = materialise(dealt.mapInArrow(lean(_collide(bits, tables, window, least, kind)), "node long, other long, links long"), "collisions")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     placed = classes.join(links, "node", "left").join(named, "node", "left")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import column, table
+from lodestack.llm.common import column, lean, table
 from lodestack.llm.licence_texts import TEXTS
 
 LEAST_DICE = 0.8
@@ -171,7 +171,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least: fl
             rows = [(d, *hit) for d, t in zip(batch.column(0).to_pylist(), batch.column(1)) for hit in index.scan(t.as_py() or "")]
             yield pa.RecordBatch.from_arrays([column([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, FOUND)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), FOUND)
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lodestack.llm import bloom
-from lodestack.llm.common import column, fresh, materialise, set_aside, table
+from lodestack.llm.common import column, fresh, lean, materialise, set_aside, table
 
 HOT = 100_000  # hashes that go to the tasks, some 20 MB as a dictionary
 _STRIP = b" \t\n\x0b\x0c\r"
@@ -58,7 +58,7 @@ def _line_hashes(min_chars: int, seen=None, hot: dict | None = None):
                     continue
                 own = {k for k in _keys(text, min_chars) if k}
                 if hot is not None:
-                    own.difference_update(hot.value)
+                    own = [k for k in own if k not in hot.value]
                 keys += own
                 docs += [doc] * len(own)
             h = np.frombuffer(b"".join(keys), ">i8").astype(np.int64).reshape(-1, 2)
@@ -114,7 +114,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, counts: bool = True) -> Da
     spark = docs.sparkSession
     docs = (set_aside(docs, ["n_lines", "n_dropped"]) if counts else docs).withColumns({"text": F.col("text").cast("string"), "doc_id": F.col("doc_id").cast("long")})
     texts = docs.select("doc_id", "text")
-    shared = texts.mapInArrow(_line_hashes(min_chars), "h1 long, h2 long, doc long").groupBy("h1", "h2")
+    shared = texts.mapInArrow(lean(_line_hashes(min_chars)), "h1 long, h2 long, doc long").groupBy("h1", "h2")
     shared = shared.agg(F.min("doc").alias("owner"), F.max("doc").alias("last"), F.count("*").alias("n")).where("owner < last").drop("last")
     shared = materialise(shared, "shared-lines")
     least = _hottest(shared, HOT)
@@ -127,17 +127,17 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, counts: bool = True) -> Da
     cold = shared.where(F.col("n") < least)
     n_cold = cold.count()
     if not n_cold:
-        return docs.mapInArrow(_rebuild(min_chars, hot, None, schema.names, counts), schema)
+        return docs.mapInArrow(lean(_rebuild(min_chars, hot, None, schema.names, counts)), schema)
     seen = spark.sparkContext.broadcast(bloom.build(cold.select("h1"), n_cold))
-    lines = texts.mapInArrow(_line_hashes(min_chars, seen, hot), "h1 long, h2 long, doc long")
+    lines = texts.mapInArrow(lean(_line_hashes(min_chars, seen, hot)), "h1 long, h2 long, doc long")
     lost = lines.join(cold, ["h1", "h2"]).where("doc > owner")
     key = F.concat(*[F.unhex(F.lpad(F.hex(c), 16, "0")) for c in ("h1", "h2")])
     lost = materialise(lost.groupBy("doc").agg(F.collect_set(key).alias("keys")).withColumnRenamed("doc", "doc_id"), "lost-lines")
     maybe, others = bloom.sift(docs, "doc_id", lost.select("doc_id"))
     drop = fresh(docs, "lost")
     joined = maybe.join(lost.withColumnRenamed("keys", drop), "doc_id", "left").select(*docs.columns, drop)
-    rest = others.mapInArrow(_rebuild(min_chars, hot, None, schema.names, counts), schema)
-    return rest.union(joined.mapInArrow(_rebuild(min_chars, hot, drop, schema.names, counts), schema))
+    rest = others.mapInArrow(lean(_rebuild(min_chars, hot, None, schema.names, counts)), schema)
+    return rest.union(joined.mapInArrow(lean(_rebuild(min_chars, hot, drop, schema.names, counts)), schema))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm import bloom, rtree
-from lodestack.llm.common import column, hashed_texts, in_blocks, materialise, shingle_hashes, signed, table, units, word_hashes
+from lodestack.llm.common import column, hashed_texts, in_blocks, lean, materialise, shingle_hashes, signed, table, units, word_hashes
 from lodestack.llm.graph import components
 
 BLOCK = 1024  # members of a cell or cluster that one task joins with as many others
@@ -69,9 +69,9 @@ def _common(k: int):
                 s = s[s < _PROBED]
                 waiting.append(s)
                 seen += len(s)
-                if seen > 500_000:
+                if seen > 200_000:
                     count()
-                    if len(held) > 250_000:  # forget the rarest; an order is all that depends on it
+                    if len(held) > 120_000:  # forget the rarest; an order is all that depends on it
                         for h in [h for h, c in held.items() if c < 4]:
                             del held[h]
         if waiting:
@@ -85,7 +85,7 @@ def _common(k: int):
 def common_shingles(texts: DataFrame, k: int) -> np.ndarray:
     """Shingles that many texts share: all that were counted more than 32 times, or, where these
     are more than COMMON, the most frequent of them, as many whole counts as stay within COMMON."""
-    counted = materialise(texts.mapInArrow(_common(k), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 32"), "shingle-counts")
+    counted = materialise(texts.mapInArrow(lean(_common(k)), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 32"), "shingle-counts")
     # Counts in steps of a sixteenth of a power of two: at most a thousand rows, whatever the corpus.
     step = F.floor(F.log2("c") * 16)
     least, total = None, 0
@@ -236,7 +236,7 @@ def links(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataF
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     late = spark.sparkContext.broadcast(common_shingles(docs.select("text"), k))  # at most COMMON numbers
-    sets = materialise(docs.mapInArrow(_sets(k, num, den, late), SETS), "shingle-sets")
+    sets = materialise(docs.mapInArrow(lean(_sets(k, num, den, late)), SETS), "shingle-sets")
     real = sets.where("node is not null")
     reps = real.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     keyed = reps.select("node", F.explode("keys").alias("key"))
@@ -248,7 +248,7 @@ def links(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataF
     small_cells = cells.where(~large).select("key", "node", F.lit(0).alias("block"), F.lit(0).alias("bi"), F.lit(0).alias("bj"))
     large_cells = in_blocks(cells.where(large).select("key", "node"), ["key"], cells.where(large).select("key", "m").distinct(), BLOCK)
     dealt = small_cells.unionByName(large_cells).join(points, "node").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    near = dealt.select("key", "bi", "bj", "block", "node", "n", "point").mapInArrow(_join_cells(num, den), "a long, b long")
+    near = dealt.select("key", "bi", "bj", "block", "node", "n", "point").mapInArrow(lean(_join_cells(num, den)), "a long, b long")
     clusters = components(near).select("node", F.col("comp").alias("cluster"))
     clusters = materialise(clusters, "clusters")
     named = real.join(clusters, "node").groupBy("cluster", "node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
@@ -256,9 +256,9 @@ def links(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataF
     counts = named.groupBy("cluster").agg(F.sum(F.ceil(F.col("n") / HEAVY)).alias("m"))
     ids = named.agg(F.count("*").alias("n"), F.count("doc_id").alias("named")).first()
     wanted = spark.sparkContext.broadcast(bloom.build(named.select("doc_id"), ids["n"]))
-    full = docs.mapInArrow(_full_sets(k, wanted, ids["n"] > ids["named"]), "node long, set binary")
+    full = docs.mapInArrow(lean(_full_sets(k, wanted, ids["n"] > ids["named"])), "node long, set binary")
     members = in_blocks(clusters, ["cluster"], counts, BLOCK).join(full, "node").repartition("cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj")
-    edges = members.select("cluster", "bi", "bj", "block", "node", "set").mapInArrow(_verify(num, den), "a long, b long")
+    edges = members.select("cluster", "bi", "bj", "block", "node", "set").mapInArrow(lean(_verify(num, den)), "a long, b long")
     return sets.select("doc_id", "node", "n"), edges
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestack.llm import tokens
-from lodestack.llm.common import column, materialise, table
+from lodestack.llm.common import column, lean, materialise, table
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -182,7 +182,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = Non
     """One row per piece with its sequence and place."""
     vocabulary = vocabulary or tokens.vocabulary_path()
     spark = docs.sparkSession
-    made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(vocabulary, capacity), PIECES + ", told long")
+    made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(_pieces(vocabulary, capacity)), PIECES + ", told long")
     pieces = materialise(made, "packing-pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # `capacity` rows at most
     plan = Plan(counts, capacity).solve()
@@ -198,7 +198,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = Non
         .join(firsts, ["length", "_group"])
         .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_first") + F.col("_place")).cast("long").alias("rank"))
     )
-    return ranked.mapInArrow(_lookup(plan.runs), PIECES + ", sequence_id long, offset long")
+    return ranked.mapInArrow(lean(_lookup(plan.runs)), PIECES + ", sequence_id long, offset long")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

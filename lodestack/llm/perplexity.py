@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm import bloom
-from lodestack.llm.common import column, hashed_texts, materialise, mix, signed, table
+from lodestack.llm.common import column, hashed_texts, lean, materialise, mix, signed, table
 
 VOCABULARY, QUANTILE, LEAST, HOLD_OUT = 200_000, 0.995, 100, 10
 SHARD_BYTES = 48 << 20
@@ -179,13 +179,13 @@ def _least_frequent(bigrams: DataFrame, most: int) -> int:
 def train(trusted: DataFrame, size: int | None = None) -> Model:
     """The model of all rows of `trusted` (text), over all their words or the `size` most frequent."""
     spark, whole = trusted.sparkSession, size is None
-    counted = materialise(trusted.mapInArrow(_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "word-counts")
+    counted = materialise(trusted.mapInArrow(lean(_counts), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "word-counts")
     top = counted.orderBy(F.col("n").desc(), "h").limit(VOCABULARY if whole else size).select("h").toArrow()  # that many numbers at most
     vocabulary = np.sort(top.column("h").to_numpy().view(np.uint64))
     outside = max(0, counted.count() - len(vocabulary))
     types = 1 if whole else outside + 1
     words = spark.sparkContext.broadcast(vocabulary)
-    bigrams = trusted.mapInArrow(_bigram_counts(words, whole), "key long, other long, n int").groupBy("key", "other").agg(F.sum("n").alias("n"))
+    bigrams = trusted.mapInArrow(lean(_bigram_counts(words, whole)), "key long, other long, n int").groupBy("key", "other").agg(F.sum("n").alias("n"))
     bigrams = materialise(bigrams, "bigram-counts")
     common = (F.col("key") >= 0) & (F.col("other") >= 0)
     v = F.when(common, F.shiftright("key", int(_BITS))).otherwise(F.col("key"))
@@ -261,7 +261,7 @@ def train(trusted: DataFrame, size: int | None = None) -> Model:
 
     frequent_only, others = bigrams.where(common).select("key", "n"), bigrams.where(~common)
     least = _least_frequent(frequent_only, FREQUENT)
-    top = frequent_only.where(F.col("n") >= least).mapInArrow(gains, "key long, gain float").toArrow()  # FREQUENT rows at most
+    top = frequent_only.where(F.col("n") >= least).mapInArrow(lean(gains), "key long, gain float").toArrow()  # FREQUENT rows at most
     order = np.argsort(top.column("key").to_numpy())
     frequent = top.column("key").to_numpy()[order].view(np.uint64), top.column("gain").to_numpy()[order]
     rest = frequent_only.where(F.col("n") < least)
@@ -274,11 +274,11 @@ def train(trusted: DataFrame, size: int | None = None) -> Model:
     both = others.where("key < 0 and other < 0").join(rare_c, of_v).join(rare_f, of_w).select(*columns)
     first = others.where("key < 0 and other >= 0").join(rare_c, of_v).withColumns(none("f")).select(*columns)
     second = others.where("key >= 0").join(rare_f, of_w).withColumns(none("c", "a", "b", "m")).select(*columns)
-    rare = both.unionByName(first).unionByName(second).mapInArrow(rare_gains, "key long, gain float")
-    rare = rare.unionByName(rare_f.join(rare_c, F.col("w") == F.col("v"), "left").mapInArrow(rare_words, "key long, gain float"))
-    keys = rest.select("key").unionByName(others.select("key", "other").mapInArrow(rare_keys, "key long")).unionByName(rare_f.select("w").mapInArrow(word_keys, "key long"))
+    rare = both.unionByName(first).unionByName(second).mapInArrow(lean(rare_gains), "key long, gain float")
+    rare = rare.unionByName(rare_f.join(rare_c, F.col("w") == F.col("v"), "left").mapInArrow(lean(rare_words), "key long, gain float"))
+    keys = rest.select("key").unionByName(others.select("key", "other").mapInArrow(lean(rare_keys), "key long")).unionByName(rare_f.select("w").mapInArrow(lean(word_keys), "key long"))
     seen = bloom.build(keys, rest.count() + others.count() + 2 * rare_f.count())
-    return Model(vocabulary, log_p, log_b, frequent, seen, rest.mapInArrow(gains, "key long, gain float"), rare, whole)
+    return Model(vocabulary, log_p, log_b, frequent, seen, rest.mapInArrow(lean(gains), "key long, gain float"), rare, whole)
 
 
 def _scored(shared, shards: int):
@@ -391,11 +391,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(32, size // SHARD_BYTES)
     shared = spark.sparkContext.broadcast((model.vocabulary, model.log_p, model.log_b, model.frequent, model.seen, model.whole))
-    sent = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_scored(shared, shards), PACKED)
-    both = sent.unionByName(model.gains.mapInArrow(_packed_gains(shards, False), PACKED))
+    sent = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(lean(_scored(shared, shards)), PACKED)
+    both = sent.unionByName(model.gains.mapInArrow(lean(_packed_gains(shards, False)), PACKED))
     if model.whole:
-        both = both.unionByName(model.rare.mapInArrow(_packed_gains(shards, True), PACKED))
-    parts = both.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_gained, "row long, doc_id long, lang string, n long, log_p double")
+        both = both.unionByName(model.rare.mapInArrow(lean(_packed_gains(shards, True)), PACKED))
+    parts = both.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(lean(_gained), "row long, doc_id long, lang string, n long, log_p double")
     whole = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("lang").alias("lang"), F.max("n").alias("n_words"), F.sum("log_p").alias("log_p"))
     return whole.select("doc_id", "lang", "n_words", F.when(F.col("n_words") > 0, -F.col("log_p") / F.col("n_words")).alias("log_ppl"))
 

@@ -14,7 +14,7 @@ import numpy as np
 
 LEAST, MOST, EACH, FANOUT, LEAF = 32, 512, 16, 8, 16
 _FULL = 255  # a count that reached the width of its column stands for any larger one
-_CHUNK = 16_384
+_CHUNK = 8_192
 
 
 def point(hashes: np.ndarray) -> np.ndarray:
@@ -31,34 +31,37 @@ class Points:
     def __init__(self, raw: list[bytes], sizes: np.ndarray):
         self.sizes = sizes.astype(np.int64)
         self.dims = np.fromiter(map(len, raw), np.int64, len(raw))
-        self.folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        wider: tuple[np.ndarray, np.ndarray] | None = None
-        for d in sorted({*self.dims.tolist(), LEAST}, reverse=True):
+        self.place = np.zeros(len(raw), np.int64)
+        self.tables: dict[int, np.ndarray] = {}
+        for d in np.unique(self.dims).tolist():
             own = np.flatnonzero(self.dims == d)
-            x = np.frombuffer(b"".join(raw[k] for k in own), np.uint8).reshape(len(own), d).astype(np.int32)
-            x[x == _FULL] = 1 << 22
-            if wider is not None:
-                own = np.concatenate([own, wider[0]])
-                x = np.concatenate([x, wider[1].reshape(len(wider[0]), -1, d).sum(1)])
-            place = np.full(len(raw), -1)
-            place[own] = np.arange(len(own))
-            wider = own, x
-            self.folded[d] = place, x
-        place, x = self.folded[LEAST]
-        self.base = x[place]
+            self.place[own] = np.arange(len(own))
+            self.tables[d] = np.frombuffer(b"".join(raw[k] for k in own), np.uint8).reshape(len(own), d)
+        self.base = self.folded(np.arange(len(raw)), LEAST)
+
+    def folded(self, which: np.ndarray, d: int) -> np.ndarray:
+        """The points `which`, none shorter than d, folded to d groups."""
+        out = np.zeros((len(which), d), np.int32)
+        for own, x in self.tables.items():
+            at = np.flatnonzero(self.dims[which] == own)
+            for s in range(0, len(at), _CHUNK):
+                k = at[s : s + _CHUNK]
+                y = x[self.place[which[k]]].astype(np.int32)
+                y[y == _FULL] = 1 << 22
+                out[k] = y if own == d else y.reshape(len(k), -1, d).sum(1)
+        return out
 
     def refine(self, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
         """Which pairs the bound leaves with all the groups that both points have."""
         ok = np.ones(len(i), bool)
         both = np.minimum(self.dims[i], self.dims[j])
-        for d, (place, x) in self.folded.items():
+        for d in self.tables:
             at = np.flatnonzero(both == d) if d > LEAST else []
-            if len(at):
-                a, b = i[at], j[at]
-                for s in range(0, len(at), _CHUNK // (d // LEAST)):
-                    k = slice(s, s + _CHUNK // (d // LEAST))
-                    shared = np.minimum(x[place[a[k]]], x[place[b[k]]]).sum(1, dtype=np.int64)
-                    ok[at[k]] = shared * (num + den) >= num * (self.sizes[a[k]] + self.sizes[b[k]])
+            step = _CHUNK // (d // LEAST)
+            for s in range(0, len(at), step):
+                k = at[s : s + step]
+                shared = np.minimum(self.folded(i[k], d), self.folded(j[k], d)).sum(1, dtype=np.int64)
+                ok[k] = shared * (num + den) >= num * (self.sizes[i[k]] + self.sizes[j[k]])
         return ok
 
 

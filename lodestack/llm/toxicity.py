@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestack.llm import bloom
-from lodestack.llm.common import column, fresh, hashed_texts, materialise, mix, set_aside, shingle_hashes, table
+from lodestack.llm.common import column, fresh, hashed_texts, lean, materialise, mix, set_aside, shingle_hashes, table
 
 TRAIN_ROWS, LETTERS_AN_ERROR, SIGNS = 6_000, 5, 4
 SHORTEST, STEM, SUPPORT, SHARE, PURITY = 4, 16, 8, 0.01, 0.95  # STEM: letters of the longest stem
@@ -201,16 +201,24 @@ class Finder:
 def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each class the number of documents with a word beginning, or a whole word (ending in a space)."""
     counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
+
+    def told() -> pa.RecordBatch:
+        rows = [(w, n, toxic) for toxic, c in counts.items() for w, n in c.items()]
+        for c in counts.values():
+            c.clear()
+        return pa.RecordBatch.from_arrays([column([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int32()))], ["w", "n", "toxic"])
+
     for batch in batches:
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            found = set()
+        for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
+            found, text = set(), text.as_py()
             for w in {fold(w) for w in (text or "").split()}:
                 if len(w) >= SHORTEST:
                     found.update(w[:n] for n in range(SHORTEST, min(len(w), STEM) + 1))
                     found.add(w + " ")
             counts[toxic].update(found)
-    rows = [(w, n, toxic) for toxic, c in counts.items() for w, n in c.items()]
-    yield pa.RecordBatch.from_arrays([column([r[0] for r in rows], pa.string()), column([r[1] for r in rows], pa.int64()), column([r[2] for r in rows], pa.int32())], ["w", "n", "toxic"])
+            if sum(map(len, counts.values())) > 100_000:
+                yield told()
+    yield told()
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,13 +291,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows_a_class: int = TRAIN_
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows_a_class: int = TRAIN_ROWS) -> Model:
-    rows = training_rows(docs, labels, rows_a_class).mapInArrow(_signed, "doc_id long, text string, toxic int, signs binary")
+    rows = training_rows(docs, labels, rows_a_class).mapInArrow(lean(_signed), "doc_id long, text string, toxic int, signs binary")
     alone = rows.groupBy("toxic", "signs").agg(F.min_by("text", F.struct("doc_id", "text")).alias("text"))  # copies of one text are one witness
     train = materialise(alone.select("text", "toxic"), "toxicity-training")
     sizes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         return Model({}, {}, [0.0] * (len(LEVELS) + 2))
-    counted = train.mapInArrow(_beginnings, "w string, n long, toxic int").groupBy("w")
+    counted = train.mapInArrow(lean(_beginnings), "w string, n long, toxic int").groupBy("w")
     counted = counted.agg(F.coalesce(F.sum(F.when(F.col("toxic") == 1, F.col("n"))), F.lit(0)).alias("t"), F.coalesce(F.sum(F.when(F.col("toxic") == 0, F.col("n"))), F.lit(0)).alias("o"))
     # A class may have more training rows than the other; count as if they were alike.
     even = sizes[1] / sizes[0]
@@ -307,7 +315,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_a_class: int = TRAIN_ROWS) -> M
             yield pa.RecordBatch.from_arrays([column([r[0] for r in out], pa.string()), column([r[1] for r in out], pa.int32()), column([r[2] for r in out], pa.int32())], ["term", "errors", "toxic"])
 
     seen: dict = {}
-    for r in train.mapInArrow(facts, "term string, errors int, toxic int").groupBy("term", "errors", "toxic").agg(F.count("*").alias("n")).collect():
+    for r in train.mapInArrow(lean(facts), "term string, errors int, toxic int").groupBy("term", "errors", "toxic").agg(F.count("*").alias("n")).collect():
         seen.setdefault((r["term"], r["errors"]), [0, 0])[r["toxic"]] += r["n"]
     misspelled = {k: (t + 1) / (t + even * o + 2) for k, (o, t) in seen.items()}
 
@@ -319,7 +327,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_a_class: int = TRAIN_ROWS) -> M
         yield pa.RecordBatch.from_arrays([column([k[0] for k in n], pa.int32()), column([k[1] for k in n], pa.int32()), column(list(n.values()), pa.int64())], ["level", "toxic", "n"])
 
     found = np.zeros((len(LEVELS) + 1, 2))
-    for r in train.mapInArrow(levels, "level int, toxic int, n long").groupBy("level", "toxic").agg(F.sum("n").alias("n")).collect():
+    for r in train.mapInArrow(lean(levels), "level int, toxic int, n long").groupBy("level", "toxic").agg(F.sum("n").alias("n")).collect():
         found[r["level"], r["toxic"]] = r["n"] * (even if r["toxic"] == 0 else 1)
     prior = np.array([0.02, 0.15, 0.5, 0.8, 0.9, 0.95])  # weighs as much as four rows
     scores = (found[:, 1] + 4 * prior) / (found.sum(1) + 4)
@@ -340,7 +348,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             new = [column(scores, pa.float64()), column([int(s >= THRESHOLD) for s in scores], pa.int32()), column([e for _, e in made], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
@@ -353,7 +361,7 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([model.score(finder.hits(t.as_py()))[0] < THRESHOLD for t in batch.column(name)], pa.bool_()))
 
-    return rows.mapInArrow(run, rows.schema).drop(name)
+    return rows.mapInArrow(lean(run), rows.schema).drop(name)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
