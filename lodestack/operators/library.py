@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from lodestack.functions.text import name_key, normalised, safe_name, trimmed
+from lodestack.functions import dims
+from lodestack.functions.text import ascii_lower, described_name, extension, listed_languages, name_key, normalised, safe_name, trimmed
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,22 +67,30 @@ def latest_media(releases: DataFrame, assets: DataFrame, n: int = 24) -> DataFra
     return releases.join(F.broadcast(last), releases["id"] == last["release_id"]).select("release_id", "title", "asset_type", "k1", "k2", "k3")  # n rows
 
 
-#: File name endings by family of what an asset shows (fixed values).
-ENDINGS = {"manual": "pdf", "map": "pdf", "gameplay_video": "mp4"}
+def file_name(original: Column, media_type: Column) -> Column:
+    """The original's name made safe, with the ending of its media type where it has none."""
+    name, usual = safe_name(original), dims.lookup(dims.EXTENSIONS, media_type)
+    return F.when((extension(name) == "") & usual.isNotNull(), F.concat(name, F.lit("."), usual)).otherwise(name)
 
 
-def export_paths(releases: DataFrame, preferred: DataFrame) -> DataFrame:
-    """platform/title (region)/type.ending; every path that several assets share, case aside, is told
-    apart by its object's hash, so the result doesn't depend on order."""
-    ending = F.coalesce(F.create_map(*[F.lit(x) for kv in ENDINGS.items() for x in kv])[F.col("asset_type")], F.lit("png"))
-    rows = preferred.join(releases, preferred["release_id"] == releases["id"])
-    stem = F.concat(safe_name(F.col("platform")), F.lit("/"), safe_name(F.concat("title", F.lit(" ("), "region", F.lit(")"))), F.lit("/"), F.col("asset_type"))
-    rows = rows.select("release_id", "asset_type", "object_hash", stem.alias("stem"), ending.alias("ending"))
-    key = F.lower(F.concat("stem", F.lit("."), "ending"))
-    shared = rows.groupBy(key.alias("path_key")).agg(F.count("*").alias("holders"))
-    rows = rows.withColumn("path_key", key).join(shared, "path_key")
-    path = F.when(F.col("holders") > 1, F.concat("stem", F.lit(" "), F.substring("object_hash", 1, 8), F.lit("."), "ending")).otherwise(F.concat("stem", F.lit("."), "ending"))
-    return rows.select("release_id", "asset_type", path.alias("path"))
+def export_paths(releases: DataFrame, assets: DataFrame, platforms: list[str] | None = None) -> DataFrame:
+    """platform / release / type / file of every original; each of those that share a path, case aside,
+    gets the start of its object's hash, so the result doesn't depend on order."""
+    rows = releases
+    if platforms:
+        rows = rows.where(ascii_lower(trimmed(F.col("platform"))).isin(*[p.strip().lower() for p in platforms]))
+    rows = assets.join(rows, assets["release_id"] == rows["id"])
+    label = safe_name(dims.lookup(dims.LABELS, F.col("asset_type")))
+    folder = F.concat_ws("/", safe_name(F.col("platform")), safe_name(described_name(F.col("title"), F.col("region"), F.col("edition"))), label)
+    rows = rows.select("release_id", "asset_type", "object_hash", "byte_len", *[k for k in ("k1", "k2", "k3") if k in assets.columns], folder.alias("folder"), file_name(F.col("original_filename"), F.col("media_type")).alias("file"))
+    key = F.lower(F.concat_ws("/", "folder", "file"))
+    rows = rows.withColumn("path_key", key)
+    shared = rows.groupBy("path_key").agg(F.count("*").alias("holders"))
+    end = F.when(extension(F.col("file")) != "", F.concat(F.lit("."), extension(F.col("file")))).otherwise("")
+    stem = F.substring(F.col("file"), F.lit(1), F.length("file") - F.length(end))
+    told = F.concat(stem, F.lit(" ("), F.substring("object_hash", 1, 8), F.lit(")"), end)
+    file = F.when(F.col("holders") > 1, told).otherwise(F.col("file"))
+    return rows.join(shared, "path_key").withColumn("path", F.concat_ws("/", "folder", file)).drop("path_key", "holders", "folder", "file")
 
 
 def first_games(names: DataFrame, n: int | None = None, percent: int | None = None) -> DataFrame:
@@ -96,10 +105,25 @@ def first_games(names: DataFrame, n: int | None = None, percent: int | None = No
     return rows.where(F.col("rn") <= most).select("platform_key", "title", "rn")
 
 
-def speaking(releases: DataFrame, languages: list[str], implied: dict[str, list[str]]) -> DataFrame:
-    """Releases one of whose regions implies one of the languages."""
-    known = {r.lower() for r, ls in implied.items() if set(ls) & set(languages)}
-    return releases.where(F.exists(F.split("region", ","), lambda r: F.lower(F.trim(r)).isin(*sorted(known))))
+def _regions(c: Column) -> Column:
+    return F.transform(F.split(c, ","), lambda r: ascii_lower(trimmed(r)))
+
+
+def in_regions(releases: DataFrame, regions: list[str]) -> DataFrame:
+    """Releases of one of the regions, worldwide ones always; without regions, all."""
+    wanted = sorted({"world", *(r.strip().lower() for r in regions)})
+    return releases.where(F.arrays_overlap(_regions(F.col("region")), F.array(*[F.lit(r) for r in wanted]))) if regions else releases
+
+
+def speaking(releases: DataFrame, languages: list[str]) -> DataFrame:
+    """Releases that list one of the languages in their `name`, or list none and one of whose regions
+    implies one; without languages, all."""
+    if not languages:
+        return releases
+    implied = {r.lower(): lang for r, lang in dims.LANGUAGE_OF_REGION.items()}
+    by_region = F.array_compact(F.transform(_regions(F.col("region")), lambda r: dims.lookup(implied, r)))
+    spoken = F.transform(F.coalesce(listed_languages(F.col("name")), by_region), ascii_lower)
+    return releases.where(F.arrays_overlap(spoken, F.array(*[F.lit(x.strip().lower()) for x in languages])))
 
 
 def unique_titles(wanted: DataFrame, listed: DataFrame) -> DataFrame:

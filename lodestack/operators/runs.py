@@ -66,10 +66,10 @@ def failures(log: DataFrame, latest: int = 3) -> DataFrame:
     return last.join(counts, "source_id").select("source_id", "rank", "sequence", stage.alias("stage"), "failures")
 
 
-def needs_review(matches: DataFrame, work: DataFrame) -> DataFrame:
-    """Releases named by a match of an item whose review is undecided."""
+def undecided_candidates(candidates: DataFrame, work: DataFrame) -> DataFrame:
+    """Candidates whose review is undecided."""
     open_items = work.where(F.col("review_status").isin(*UNDECIDED)).select(F.col("work_id").alias("candidate_id"))
-    return matches.join(open_items, "candidate_id", "left_semi").groupBy("release_id").agg(F.count("*").alias("items"))
+    return candidates.join(open_items, "candidate_id", "left_semi")
 
 
 def dedupe(work: DataFrame, key: list[str]) -> DataFrame:

@@ -85,8 +85,12 @@ def originals_without_recipe(assets):
 
 
 _PROFILE_ROWS = ", ".join(f"('{f}', '{dims.PROFILE_NAMES[n]}', {n}, '{t}')" for f, ls in dims.PROFILES.items() for n, ts in enumerate(ls) for t in ts)
-_FAMILY = "CASE WHEN platform LIKE '%(Digital)' OR platform LIKE '%(PSN)' THEN 'digital_only' " + " ".join(f"WHEN platform = '{p}' THEN '{f}'" for p, f in dims.FAMILIES.items()) + " END"
-_COVERED = f""", profiles(family, profile, position, asset_type) AS (VALUES {_PROFILE_ROWS}), rel AS (SELECT id, {_FAMILY} AS family FROM release_editions),
+_FAMILY_ROWS = ", ".join(f"('{p.lower()}', '{f}')" for f, ps in dims.PLATFORMS.items() for p in ps)
+_COVERED = f""", adds(family, profile, position, asset_type) AS (VALUES {_PROFILE_ROWS}), known(platform, family) AS (VALUES {_FAMILY_ROWS}),
+    steps AS (SELECT DISTINCT family, profile, position FROM adds),
+    profiles AS (SELECT s.family, s.profile, s.position, a.asset_type FROM steps s JOIN adds a ON a.family = s.family AND a.position <= s.position),
+    rel AS (SELECT id, CASE WHEN trim(r.platform) LIKE '%(Digital)' OR trim(r.platform) LIKE '%(PSN)' THEN 'digital_only' ELSE k.family END AS family
+      FROM release_editions r LEFT JOIN known k ON k.platform = lower(trim(r.platform))),
     have AS (SELECT DISTINCT release_id, asset_type FROM assets),
     per AS (SELECT id, family, profile, position, count(*) AS required, count(*) FILTER (WHERE h.release_id IS NULL) AS missing
       FROM rel JOIN profiles p USING (family) LEFT JOIN have h ON h.release_id = rel.id AND h.asset_type = p.asset_type GROUP BY ALL)"""
@@ -166,12 +170,12 @@ def library_entries_nested(releases, assets):
     "assets",
     "assertions",
     sql=_SUMMARY
-    + """ SELECT id, title, platform, region, edition FROM summary WHERE contains(lower(title), 're') AND lower(platform) IN ('game boy', 'playstation', 'mame')
+    + """ SELECT id, title, platform, region, edition FROM summary WHERE contains(lower(title), 're') AND lower(platform) IN ('nintendo - game boy', 'sony - playstation', 'mame')
     AND len(list_filter(string_split(region, ','), lambda x: lower(trim(x)) IN ('usa', 'japan'))) > 0 AND list_has_any(asset_types, ['box_front', 'disc'])""",
 )
 def library_search(releases, assets, assertions):
     s = library.summaries(releases, assets, assertions)
-    return library.search(s, " RE ", ["gameboy", "PlayStation", "MAME"], ["usa", "Japan"], ["box_front", "disc"]).select("id", *library.SORT)
+    return library.search(s, " RE ", ["nintendogameboy", "Sony PlayStation", "MAME"], ["usa", "Japan"], ["box_front", "disc"]).select("id", *library.SORT)
 
 
 @_query("release_editions", sql=" SELECT id, title, platform, region, edition FROM release_editions WHERE (lower(title), lower(platform), lower(region), lower(edition), id) > (SELECT (lower(title), lower(platform), lower(region), lower(edition), id) FROM release_editions WHERE id = 7) ORDER BY lower(title), lower(platform), lower(region), lower(edition), id LIMIT 50")
@@ -189,59 +193,55 @@ def latest_media(releases, assets):
     return library.latest_media(releases, assets, 24)
 
 
-_COUNTRY = ", ".join(f"('{c.lower()}', '{r.lower()}')" for c, r in dims.COUNTRY_REGIONS.items())
+_COUNTRY = ", ".join(f"('{c}', '{r}')" for c, r in dims.REGION_OF_COUNTRY.items())
+#: Every signature against every release: nothing is pruned here.
 _PAIRS = f""", country(c, r) AS (VALUES {_COUNTRY}),
+    holds AS (SELECT a.region AS a, b.region AS b,
+      list_has_any(string_split(lower(a.region), ', '), string_split(lower(b.region), ', ')) AS shared,
+      list_contains(string_split(lower(a.region), ', '), 'world') OR list_contains(string_split(lower(b.region), ', '), 'world')
+      OR EXISTS (SELECT 1 FROM country WHERE list_contains(string_split(lower(a.region), ', '), c) AND list_contains(string_split(lower(b.region), ', '), country.r))
+      OR EXISTS (SELECT 1 FROM country WHERE list_contains(string_split(lower(b.region), ', '), c) AND list_contains(string_split(lower(a.region), ', '), country.r)) AS contained
+      FROM (SELECT DISTINCT region FROM candidates) a, (SELECT DISTINCT region FROM release_editions) b),
     sig AS (SELECT DISTINCT title, platform, region, edition FROM candidates),
-    pairs AS (SELECT s.title AS ct, s.platform AS cp, s.region AS cr, s.edition AS ce, r.id AS release_id, r.game_id, r.region AS rr, r.edition AS re,
-      CASE WHEN lower(trim(s.title)) = lower(trim(r.title)) THEN 50 ELSE -50 END AS e1,
-      CASE WHEN lower(s.platform) = lower(r.platform) THEN 30 ELSE -30 END AS e2,
-      CASE WHEN lower(s.region) = 'unknown' OR lower(r.region) = 'unknown' THEN 0
-        WHEN list_has_any(string_split(lower(s.region), ', '), string_split(lower(r.region), ', ')) THEN 15
-        WHEN lower(s.region) = 'world' OR lower(r.region) = 'world'
-          OR EXISTS (SELECT 1 FROM country WHERE list_contains(string_split(lower(s.region), ', '), c) AND list_contains(string_split(lower(r.region), ', '), country.r))
-          OR EXISTS (SELECT 1 FROM country WHERE list_contains(string_split(lower(r.region), ', '), c) AND list_contains(string_split(lower(s.region), ', '), country.r)) THEN 10 ELSE -15 END AS e3,
+    pairs AS (SELECT s.title AS ct, s.platform AS cp, s.region AS cr, s.edition AS ce, r.id AS release_id, r.game_id, lower(r.region) AS rr, r.edition AS re,
+      CASE WHEN coalesce(trim(s.title), '') = '' OR coalesce(trim(r.title), '') = '' THEN 0 WHEN lower(trim(s.title)) = lower(trim(r.title)) THEN 50 ELSE -50 END AS e1,
+      CASE WHEN s.platform = '' OR r.platform = '' THEN 0 WHEN lower(s.platform) = lower(r.platform) THEN 30 ELSE -30 END AS e2,
+      CASE WHEN lower(s.region) = 'unknown' OR lower(r.region) = 'unknown' THEN 0 WHEN shared THEN 15 WHEN contained THEN 10 ELSE -15 END AS e3,
       CASE WHEN lower(s.edition) = 'unspecified' OR lower(r.edition) = 'unspecified' THEN 0 WHEN lower(s.edition) = lower(r.edition) THEN 5 ELSE -5 END AS e4
-      FROM sig s JOIN release_editions r ON lower(trim(s.title)) = lower(trim(r.title))),
-    scored AS (SELECT *, greatest(0, least(100, e1 + e2 + e3 + e4)) AS score FROM pairs),
-    good AS (SELECT * FROM scored WHERE score >= 50)"""
+      FROM sig s JOIN release_editions r ON true JOIN holds ON holds.a = s.region AND holds.b = r.region),
+    scored AS (SELECT *, greatest(0, least(100, e1 + e2 + e3 + e4)) AS score FROM pairs)"""
 
 
-@_query(
-    "candidates",
-    "release_editions",
-    sql=_PAIRS
-    + """, top AS (SELECT *, max(score) OVER (PARTITION BY ct, cp, cr, ce) AS best FROM good), tied AS (SELECT * FROM top WHERE score = best),
+def _matches(high: int, medium: int) -> str:
+    return _PAIRS + f""", top AS (SELECT *, max(score) OVER (PARTITION BY ct, cp, cr, ce) AS best FROM scored), tied AS (SELECT * FROM top WHERE score = best),
     one AS (SELECT *, min(game_id) OVER s = max(game_id) OVER s AS same FROM tied WINDOW s AS (PARTITION BY ct, cp, cr, ce)),
-    pick AS (SELECT *, row_number() OVER (PARTITION BY ct, cp, cr, ce ORDER BY CASE WHEN same THEN CASE WHEN lower(re) <> 'standard' THEN 1 ELSE 0 END END, CASE WHEN same THEN CASE rr WHEN 'World' THEN 0 WHEN 'USA' THEN 1 WHEN 'Europe' THEN 2 WHEN 'Japan' THEN 3 ELSE 4 END END,
-      CASE WHEN same THEN rr END, release_id) AS rn FROM one)
-    SELECT candidate_id, release_id, score, CASE WHEN NOT same OR least(e2, e3, e4) < 0 THEN 'medium' WHEN score >= 80 THEN 'high' ELSE 'medium' END AS confidence
-    FROM candidates c JOIN pick p ON c.title = ct AND c.platform = cp AND c.region = cr AND c.edition = ce WHERE rn = 1""",
-)
+    pick AS (SELECT *, row_number() OVER (PARTITION BY ct, cp, cr, ce ORDER BY CASE WHEN same AND lower(re) <> 'standard' THEN 1 ELSE 0 END,
+      CASE WHEN same THEN CASE rr WHEN 'world' THEN 0 WHEN 'usa' THEN 1 WHEN 'europe' THEN 2 WHEN 'japan' THEN 3 ELSE 4 END END,
+      CASE WHEN same THEN rr END, release_id) AS rn FROM one),
+    named AS (SELECT candidate_id, release_id, score, CASE WHEN score < {medium} THEN 'low' WHEN NOT same OR least(e2, e3, e4) < 0 THEN 'medium' WHEN score >= {high} THEN 'high' ELSE 'medium' END AS confidence
+      FROM candidates c JOIN pick p ON c.title = ct AND c.platform = cp AND c.region = cr AND c.edition = ce WHERE rn = 1)"""
+
+
+@_query("candidates", "release_editions", sql=_matches(80, 50) + " SELECT * FROM named WHERE confidence <> 'low'")
 def match_candidates(candidates, releases):
     return matching.best(candidates, releases)
 
 
-@_query(
-    "candidates",
-    "release_editions",
-    sql=_PAIRS
-    + """, top AS (SELECT *, max(score) OVER (PARTITION BY ct, cp, cr, ce) AS best FROM scored WHERE score > 0), tied AS (SELECT * FROM top WHERE score = best),
-    one AS (SELECT *, min(game_id) OVER s = max(game_id) OVER s AS same FROM tied WINDOW s AS (PARTITION BY ct, cp, cr, ce)),
-    pick AS (SELECT *, row_number() OVER (PARTITION BY ct, cp, cr, ce ORDER BY CASE WHEN same THEN CASE WHEN lower(re) <> 'standard' THEN 1 ELSE 0 END END, CASE WHEN same THEN CASE rr WHEN 'World' THEN 0 WHEN 'USA' THEN 1 WHEN 'Europe' THEN 2 WHEN 'Japan' THEN 3 ELSE 4 END END,
-      CASE WHEN same THEN rr END, release_id) AS rn FROM one)
-    SELECT candidate_id, coalesce(release_id, (SELECT min(id) FROM release_editions)) AS release_id, coalesce(score, 0) AS score,
-      CASE WHEN coalesce(score, 0) < 50 THEN 'low' WHEN NOT same OR least(e2, e3, e4) < 0 THEN 'medium' WHEN score >= 80 THEN 'high' ELSE 'medium' END AS confidence
-    FROM candidates c LEFT JOIN (SELECT * FROM pick WHERE rn = 1) p ON c.title = ct AND c.platform = cp AND c.region = cr AND c.edition = ce""",
-)
+@_query("candidates", "release_editions", sql=_matches(80, 50) + " SELECT * FROM named")
 def match_every_candidate(candidates, releases):
     return matching.matched(candidates, releases)
 
 
+@_query("candidates", "release_editions", sql=_matches(40, 20) + " SELECT * FROM named")
+def match_low_policy(candidates, releases):
+    return matching.matched(candidates, releases, 40, 20)
+
+
 @_query(
     "candidates",
     "release_editions",
     sql=_PAIRS
-    + """, per AS (SELECT ct, cp, cr, ce, count(*) AS competing, max(score) AS best, min(release_id) AS lowest_id FROM good GROUP BY ALL)
+    + """, per AS (SELECT ct, cp, cr, ce, count(*) AS competing, max(score) AS best, min(release_id) AS lowest_id FROM scored WHERE score >= 50 GROUP BY ALL)
     SELECT candidate_id, competing, best, lowest_id FROM candidates c JOIN per ON c.title = ct AND c.platform = cp AND c.region = cr AND c.edition = ce""",
 )
 def competing_matches(candidates, releases):
@@ -253,13 +253,11 @@ def competing_matches(candidates, releases):
     "release_editions",
     "work",
     sql=_PAIRS
-    + """, per AS (SELECT ct, cp, cr, ce, min(release_id) AS release_id FROM good GROUP BY ALL)
-    SELECT release_id, count(*) AS items FROM candidates c JOIN per ON c.title = ct AND c.platform = cp AND c.region = cr AND c.edition = ce
-    WHERE candidate_id IN (SELECT work_id FROM work WHERE review_status IN ('pending', 'deferred')) GROUP BY release_id""",
+    + """, open AS (SELECT title, platform, region, edition, count(*) AS items FROM candidates WHERE candidate_id IN (SELECT work_id FROM work WHERE review_status IN ('pending', 'deferred')) GROUP BY ALL)
+    SELECT release_id, cast(sum(items) AS BIGINT) AS items FROM scored JOIN open ON title = ct AND platform = cp AND region = cr AND edition = ce WHERE score >= 50 GROUP BY release_id""",
 )
 def needs_review(candidates, releases, work):
-    m = matching.competing(candidates, releases).withColumnRenamed("lowest_id", "release_id")
-    return runs.needs_review(m, work)
+    return matching.competing_releases(runs.undecided_candidates(candidates, work), releases)
 
 
 _COUNTERS = """, n AS (SELECT r.run_id, r.status, count(*) FILTER (WHERE state = 'queued') AS queued, count(*) FILTER (WHERE state = 'parked') AS parked, count(*) FILTER (WHERE state = 'done') AS done,
@@ -322,13 +320,17 @@ def derived_in_use(assets):
 @_query(
     "release_editions",
     "assets",
-    sql=f""", {_RANKED}, p AS (SELECT release_id, asset_type, object_hash, regexp_replace(platform, '[<>:"/\\\\|?*]', '-', 'g') || '/' || title || ' (' || region || ')' || '/' || asset_type AS stem,
-      CASE asset_type WHEN 'manual' THEN 'pdf' WHEN 'map' THEN 'pdf' WHEN 'gameplay_video' THEN 'mp4' ELSE 'png' END AS ending FROM ranked JOIN release_editions r ON r.id = release_id WHERE position = 1),
-    h AS (SELECT *, count(*) OVER (PARTITION BY lower(stem || '.' || ending)) AS holders FROM p)
-    SELECT release_id, asset_type, CASE WHEN holders > 1 THEN stem || ' ' || object_hash[1:8] || '.' || ending ELSE stem || '.' || ending END AS path FROM h""",
+    sql=f""", label(asset_type, label) AS (VALUES {", ".join(f"('{t}', '{x.replace('/', '-')}')" for t, x in dims.LABELS.items())}),
+    p AS (SELECT release_id, a.asset_type, k1, k2, k3, object_hash, byte_len, platform || '/' || title || CASE WHEN region = 'Unknown' THEN '' ELSE ' (' || region || ')' END
+        || CASE WHEN edition = 'Standard' THEN '' ELSE ' (' || edition || ')' END || '/' || label AS folder,
+      CASE WHEN original_filename LIKE 'scan%' THEN original_filename WHEN original_filename LIKE 'a:b%' THEN 'a-b-c.jpeg' WHEN original_filename = 'con.tif' THEN '_con.tif'
+        ELSE 'cover' || CASE media_type WHEN 'image/png' THEN '.png' WHEN 'image/tiff' THEN '.tif' WHEN 'application/pdf' THEN '.pdf' ELSE '' END END AS file
+      FROM assets a JOIN release_editions r ON r.id = release_id JOIN label USING (asset_type)),
+    h AS (SELECT *, count(*) OVER (PARTITION BY lower(folder || '/' || file)) AS holders FROM p)
+    SELECT release_id, asset_type, k1, k2, k3, object_hash, byte_len, folder || '/' || CASE WHEN holders = 1 THEN file WHEN contains(file, '.') THEN regexp_replace(file, '\\.([^.]*)$', ' (' || object_hash[1:8] || ').\\1') ELSE file || ' (' || object_hash[1:8] || ')' END AS path FROM h""",
 )
 def export_paths(releases, assets):
-    return library.export_paths(releases, preference.preferred(assets))
+    return library.export_paths(releases, assets)
 
 
 @_query("assertions", sql=" SELECT release_id, k1, k2, k3, lower(regexp_replace(value, '[^\\p{L}\\p{N}]', '', 'g')) AS name_key, lower(regexp_replace(value, '\\s', '', 'g')) AS comparable FROM assertions")
@@ -336,15 +338,22 @@ def title_keys(assertions):
     return assertions.select("release_id", "k1", "k2", "k3", text.name_key(F.col("value")).alias("name_key"), text.comparable(F.col("value")).alias("comparable"))
 
 
-@_query("release_editions", sql=" SELECT id, title, region, edition, CASE WHEN id % 2 = 0 THEN 'Rev A' END AS revision FROM release_editions")
+#: First tags by id: what is a region and what is not.
+_FIRST = ["USA", "Atlantis", "Rev 1", "Beta 2", "En,Fr", "1996-05-01", "Disc 1", "v1.2", "Revision B", "rev 2", "Betamax", "Proto-1"]
+_IS_REGION = [0, 1, 9, 10]
+_NAMES = "SELECT id, title, edition, id % 12 AS k, CASE id % 12 " + " ".join(f"WHEN {n} THEN '{t}'" for n, t in enumerate(_FIRST)) + " END AS tag FROM release_editions"
+
+
+@_query(
+    "release_editions",
+    sql=f""", n AS ({_NAMES}) SELECT id, title, CASE WHEN k IN (0, 1, 9, 10) THEN tag ELSE 'Unknown' END AS region,
+    CASE WHEN k IN (0, 1, 9, 10) THEN CASE WHEN id % 5 = 0 THEN 'Standard' ELSE edition END ELSE tag || CASE WHEN id % 5 = 0 THEN '' ELSE ' · ' || edition END END AS edition,
+    CASE WHEN k IN (2, 7, 8) THEN tag END AS revision FROM n""",
+)
 def release_name_parse(releases):
-    name = F.concat("title", F.lit(" ("), "region", F.lit(")"), F.when(F.col("id") % 2 == 0, " (Rev A)").otherwise(""), F.lit(" ("), "edition", F.lit(")"))
-    tags = text.release_tags(F.col("name"))
-    known = ["USA", "Europe", "Japan", "World", "Germany", "Unknown"]
-    region = F.filter(tags, lambda t: text.is_region(t, known))
-    revision = F.filter(tags, text.is_revision)
-    rest = F.filter(tags, lambda t: ~text.is_region(t, known) & ~text.is_revision(t))
-    return releases.select("id", name.alias("name")).select("id", text.release_title(F.col("name")).alias("title"), F.get(region, 0).alias("region"), F.array_join(rest, " · ").alias("edition"), F.get(revision, 0).alias("revision"))
+    first = F.get(F.array(*[F.lit(t) for t in _FIRST]), (F.col("id") % 12).cast("int"))
+    name = F.concat("title", F.lit(" ("), first, F.lit(")"), F.when(F.col("id") % 5 == 0, "").otherwise(F.concat(F.lit(" ("), F.col("edition"), F.lit(")"))))
+    return releases.select("id", text.parsed_release_name(name).alias("n")).select("id", "n.*")
 
 
 @_query("assets", sql=" SELECT release_id AS record_id, CASE WHEN bool_and(width IS NOT NULL) THEN string_agg(DISTINCT sha1(object_hash), ',' ORDER BY sha1(object_hash)) END AS dump_set FROM assets GROUP BY release_id")
@@ -379,9 +388,9 @@ def unique_title_join(releases, candidates):
     return out.select("id", "title", "listed_id")
 
 
-@_query("release_editions", sql=", o AS (SELECT *, bool_or(platform = 'Game Boy') OVER (PARTITION BY title, region) AS any_own FROM release_editions) SELECT id, title, region, platform FROM o WHERE platform = 'Game Boy' OR NOT any_own")
+@_query("release_editions", sql=", o AS (SELECT *, bool_or(platform = 'Nintendo - Game Boy') OVER (PARTITION BY title, region) AS any_own FROM release_editions) SELECT id, title, region, platform FROM o WHERE platform = 'Nintendo - Game Boy' OR NOT any_own")
 def fallback_join(releases):
-    return library.own_or_general(releases, F.col("platform") == "Game Boy", ["title", "region"]).select("id", "title", "region", "platform")
+    return library.own_or_general(releases, F.col("platform") == "Nintendo - Game Boy", ["title", "region"]).select("id", "title", "region", "platform")
 
 
 @_query("release_editions", sql=", g AS (SELECT lower(regexp_replace(platform, '[^\\p{L}\\p{N}]', '', 'g')) AS platform_key, lower(trim(title)) AS name, min(title) AS title FROM release_editions GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY platform_key ORDER BY name) AS rn, count(*) OVER (PARTITION BY platform_key) AS cnt FROM g) SELECT platform_key, title, rn FROM r WHERE rn <= least(10, (cnt * 15 + 99) // 100)")
@@ -389,9 +398,23 @@ def every_game_first_n(releases):
     return library.first_games(releases, 10, 15)
 
 
-@_query("release_editions", sql=" SELECT id, region FROM release_editions WHERE len(list_filter(string_split(region, ','), lambda x: lower(trim(x)) IN ('europe', 'germany'))) > 0")
+_LANGUAGES = ", ".join(f"('{r.lower()}', '{lang}')" for r, lang in dims.LANGUAGE_OF_REGION.items())
+
+
+@_query(
+    "release_editions",
+    sql=f""", implied(r, l) AS (VALUES {_LANGUAGES}) SELECT id, region FROM release_editions WHERE CASE WHEN id % 4 = 0 THEN true WHEN id % 4 = 1 THEN false
+    ELSE EXISTS (SELECT 1 FROM implied WHERE l = 'De' AND list_contains(string_split(lower(region), ', '), r)) END""",
+)
 def region_language_filter(releases):
-    return library.speaking(releases, ["de"], dims.REGION_LANGUAGES).select("id", "region")
+    tag = F.when(F.col("id") % 4 == 0, " (En,Fr,De) (Unl)").when(F.col("id") % 4 == 1, " (Zh-Hant)").otherwise(" (Alt)")
+    named = releases.withColumn("name", F.concat("title", F.lit(" ("), "region", F.lit(")"), tag))
+    return library.speaking(named, ["de"]).select("id", "region")
+
+
+@_query("release_editions", sql=" SELECT id, region FROM release_editions WHERE region IN ('Germany', 'World', 'USA, Europe', 'Europe')")
+def region_selection(releases):
+    return library.in_regions(releases, [" germany", "EUROPE"]).select("id", "region")
 
 
 @_query("assets", sql=", cap AS (SELECT DISTINCT source_id, asset_type FROM assets WHERE k2 = 3 AND k3 % 4 = 1), ask(selector) AS (VALUES ('any'), ('packaging'), ('box_front'), ('manual'), ('insert'), ('disc')), h AS (SELECT selector, source_id FROM ask JOIN cap ON selector = asset_type UNION SELECT 'any', source_id FROM cap) SELECT ask.selector, coalesce(string_agg(source_id, ',' ORDER BY source_id), '') AS sources, count(source_id) > 0 AS covered FROM ask LEFT JOIN h ON h.selector = ask.selector GROUP BY ask.selector")

@@ -34,14 +34,14 @@ def assets(spark, rows):
 
 
 def test_preference_and_reasons(spark):
-    df = assets(spark, [(1, "box_front", 1, 1, 1, "a", 90_000, 640, 900), (1, "box_front", 2, 1, 1, "b", 400_000, 1200, 1600), (1, "box_front", 3, 1, 1, "c", 800_000, None, 5)])
+    df = assets(spark, [(1, "box_front", 1, 1, 1, "a", 7_000, 30, 40), (1, "box_front", 2, 1, 1, "b", 9_000, 50, 70), (1, "box_front", 3, 1, 1, "c", 20_000, None, 5)])
     assert [r["object_hash"] for r in preference.preferred(df).collect()] == ["b"]
     got = {r["k1"]: (r["reason"], r["other"]) for r in preference.reasons(df).collect()}
-    assert got == {1: ("more_pixels", 576_000), 3: ("more_pixels", None)}
-    same = assets(spark, [(1, "disc", k, 1, 1, str(k), b, 10, 10) for k, b in ((1, 50), (2, 120), (3, 50))])
+    assert got == {1: ("more_pixels", 1_200), 3: ("more_pixels", None)}
+    same = assets(spark, [(1, "disc", k, 1, 1, str(k), b, 10, 10) for k, b in ((1, 31), (2, 77), (3, 31))])
     assert {r["k1"]: r["reason"] for r in preference.reasons(same).collect()} == {1: "more_bytes", 3: "more_bytes"}
     assert preference.preferred(same).collect()[0]["k1"] == 2
-    new = assets(spark, [(1, "disc", 9, 1, 1, "new", 100, 10, 10), (1, "disc", 10, 1, 1, "2", 1, 1, 1)])
+    new = assets(spark, [(1, "disc", 9, 1, 1, "new", 60, 10, 10), (1, "disc", 10, 1, 1, "2", 1, 1, 1)])
     assert [(r["new_k1"], r["outranker"]) for r in preference.outranked(same, new, 1).collect()] == [(9, "2")]
     assert preference.outranked(same, new, 2).count() == 0
     assert preference.preferred(df.limit(0)).count() == 0
@@ -55,11 +55,14 @@ def test_canonical_values(spark):
 
 
 def test_coverage_needs_every_earlier_profile(spark):
-    releases = spark.createDataFrame([(1, "Game Boy"), (2, "MAME"), (3, "unknown"), (4, "Anything (Digital)")], "id long, platform string")
-    rows = [(1, t) for t in ("box_front", "box_back", "spine", "cartridge_front", "manual")] + [(2, "pcb")] + [(4, t) for t in ("box_front", "logo", "icon")]
+    releases = spark.createDataFrame([(1, " nintendo - GAME BOY"), (2, "MAME"), (3, "Game Boy"), (4, "Anything (Digital)"), (5, "Anything (digital)"), (6, "Sony - PlayStation 2")], "id long, platform string")
+    rows = [(1, t) for t in ("box_front", "box_back", "spine", "cartridge_front", "manual")] + [(2, "pcb")] + [(4, t) for t in ("box_front", "logo", "icon")] + [(6, "disc")]
     have = spark.createDataFrame(rows, "release_id long, asset_type string")
     got = {r["id"]: r["status"] for r in coverage.status(releases, have).collect()}
-    assert got == {1: "physical", 2: "none", 3: None, 4: "archival"}
+    assert got == {1: "physical", 2: "none", 3: None, 4: "archival", 5: None, 6: "none"}
+    asked = {(r["id"], r["profile"]): (r["required"], r["missing"]) for r in coverage.by_profile(releases, have).collect()}
+    assert asked[1, "physical"] == (5, 0) and asked[1, "archival"] == (6, 1) and asked[6, "physical"] == (4, 3) and asked[4, "archival"] == (3, 0)
+    assert (4, "physical") not in asked
 
 
 def test_matching_rules(spark):
@@ -73,6 +76,10 @@ def test_matching_rules(spark):
     )
     got = {x["candidate_id"]: (x["release_id"], x["score"], x["confidence"]) for x in matching.best(c, r).collect()}
     assert got == {1: (10, 100, "high"), 2: (10, 70, "medium"), 4: (10, 80, "high"), 5: (20, 100, "medium"), 6: (30, 50, "medium")}
+    marked = r.withColumn("preferred", F.col("id") == 11)
+    low = {x["candidate_id"]: (x["release_id"], x["score"], x["confidence"]) for x in matching.matched(c, marked, 40, 20).collect()}
+    assert low[3] == (10, 40, "medium") and low[4] == (11, 80, "high") and low[7][1:] == (0, "low")
+    assert {x["release_id"]: x["items"] for x in matching.competing_releases(c, r).collect()} == {10: 3, 11: 3, 20: 1, 21: 1, 30: 1}
     assert matching.best(c.limit(0), r).count() == 0
 
 
@@ -106,8 +113,19 @@ def test_names(spark):
     assert [tuple(r) for r in got] == [("Quest", ["USA", "Rev 1", "Beta"]), ("A (B", ["C)"]), ("Plain", []), ("X", ["USA)(Rev 1"]), ("", [])]
     names = spark.createDataFrame([(x,) for x in ("a/b:c", " ..", "CON", "con.txt", "ok")], "n string").select(text.safe_name(F.col("n"))).collect()
     assert [r[0] for r in names] == ["a-b-c", "_", "_CON", "_con.txt", "ok"]
-    keys = spark.createDataFrame([("Legend of X, The",), ("The Legend of X",)], "n string").select(text.title_key(F.col("n"))).distinct().collect()
-    assert [r[0] for r in keys] == ["thelegendofx"]
+    odd = [".hack", " a\x85b. ", "e\u0301" * 3, "x" * 200 + ".png", "\u00e9" * 130 + ".jpeg", "Con .x"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in odd], "n string").select(text.safe_name(F.col("n"))).collect()]
+    assert got == [".hack", "a-b", "\u00e9" * 3, "x" * 116 + ".png", "\u00e9" * 115 + ".jpeg", "_Con .x"]
+    keys = spark.createDataFrame([("Legend of X, The - A Part",), ("The Legend  of X: a part",), ("Legend of X, The: Part, A",)], "n string")
+    assert [r[0] for r in keys.select(text.title_key(F.col("n"))).distinct().collect()] == ["the legend of x: a part"]
+    sequels = spark.createDataFrame([("Mega Thing II",), ("mega-thing 2",), ("Thing, The",), ("The Thing",)], "n string").select(text.sequel_key(F.col("n"))).collect()
+    assert [r[0] for r in sequels] == ["megathing2", "megathing2", "thething", "thething"]
+    filed = spark.createDataFrame([("The Legend of X: A Part",), ("Plain",), ("An X",)], "n string").select(text.filed_title(F.col("n"))).collect()
+    assert [r[0] for r in filed] == ["Legend of X, The - A Part", "Plain", "X, An"]
+    listed = spark.createDataFrame([("Some\u00a0Game - [ 3 Discs ]",), ("Other [x]",), ("Dash --",)], "n string").select(text.listed_title(F.col("n"))).collect()
+    assert [r[0] for r in listed] == ["Some Game", "Other [x]", "Dash"]
+    records = [("4:Pl\u00e9Name",), ("4:abcd ",), ("x:ab",), ("9:abc",)]
+    assert [r[0] for r in spark.createDataFrame(records, "n string").select(text.recorded_name(F.col("n"))).collect()] == ["Name", None, None, None]
 
 
 def test_pages_walk_all_rows(spark):
