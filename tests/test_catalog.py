@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from lodestack.functions import text
 from lodestack.operators import claims, coverage, library, linking, matching, preference, vault
-from lodestack.plans import registry
+from lodestack.plans import registry, workflow  # noqa: F401  (workflow registers its queries)
 from lodestack.sources import datafiles, html, objects
 from lodestack.streaming import queue
 from pyspark.sql import functions as F
@@ -219,3 +219,66 @@ def test_entry(spark):
 
     assert os.path.exists("/root/testdata/sf0.001")
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_snapshots(spark):
+    from lodestack.operators import snapshots
+
+    key = "release_id long, asset_type string, object_hash string"
+    old = spark.createDataFrame([(1, "disc", "a", 5)], f"{key}, seq long")
+    by = spark.createDataFrame([(1, "disc", "a", "s", "l", "known")], f"{key}, source_id string, location string, details string")
+    new = spark.createDataFrame([(1, "disc", "a", 9, "s", "l", None), (1, "disc", "a", 10, "t", "l", "x"), (2, "pcb", "b", 11, "s", "l", None)], f"{key}, seq long, source_id string, location string, details string")
+    assets_now, by_now = snapshots.retained(old, by, new)
+    assert sorted((r[2], r[3]) for r in assets_now.collect()) == [("a", 5), ("b", 11)]
+    assert sorted((r["object_hash"], r["source_id"], r["details"]) for r in by_now.collect()) == [("a", "s", "known"), ("a", "t", "x"), ("b", "s", None)]
+    merges = spark.createDataFrame([(2, 1)], "from_id long, into_id long")
+    claims_ = spark.createDataFrame([(1, "s", "l", "title", "", "v", 7), (2, "s", "l", "title", "", "v", 3)], "release_id long, source_id string, location string, field string, qualifier string, value string, seq long")
+    left, moved = snapshots.merged(spark.createDataFrame([(1,), (2,)], "id long"), claims_, merges)
+    assert [r["id"] for r in left.collect()] == [1] and [(r["release_id"], r["seq"]) for r in moved.collect()] == [(1, 3)]
+    items = spark.createDataFrame([(1, [2, 3, 1]), (2, [])], "item_id long, candidates array<long>")
+    assert {r["item_id"]: r["candidates"] for r in snapshots.renamed_candidates(items, merges).collect()} == {1: [1, 3], 2: []}
+    d = spark.createDataFrame([("o", "r", "x")], "object_hash string, recipe string, output string")
+    more = spark.createDataFrame([("o", "r", "w"), ("o", "q", "y")], d.schema)
+    assert sorted(r["output"] for r in snapshots.recorded(d, more).collect()) == ["x", "y"]
+    assert snapshots.forgotten(d, spark.createDataFrame([("x",)], "object_hash string")).count() == 0
+    p = spark.createDataFrame([(1, "disc", "a", "i"), (2, "disc", "a", "i"), (2, "disc", "a", "j"), (3, "disc", "b", "i")], f"{key}, identity string")
+    keep = spark.createDataFrame([("i", 1)], "identity string, kept_id long")
+    prov, held = snapshots.detached(p, p.select("release_id", "asset_type", "object_hash").distinct(), p.where("identity = 'i'").select("identity"), keep)
+    assert sorted((r[0], r[3]) for r in prov.collect()) == [(1, "i"), (2, "j")] and sorted(r[0] for r in held.collect()) == [1, 2]
+
+
+def test_summaries_and_search(spark):
+    from lodestack.operators import reference, search, summaries
+
+    rows = spark.createDataFrame([("a",), ("b",), ("a",)], "outcome string")
+    assert tuple(summaries.by_outcome(rows, ["a", "b", "c"]).first()) == (2, 1, 0)
+    names = spark.createDataFrame([("X (USA)",), ("Y (Europe, usa) (Beta)",)], "name string")
+    assert summaries.carry_regions(names, ["USA"]).first()[0] and not summaries.carry_regions(names, ["Europe"]).first()[0]
+    sources = spark.createDataFrame([("a", True, True, ["disc", "map"]), ("b", True, False, ["disc"]), ("c", True, True, ["pcb"]), ("d", False, True, ["disc"])], "source_id string, enabled boolean, direct boolean, asset_types array<string>")
+    got = {r[0]: (r[1], r[2]) for r in summaries.capable(sources, ["disc"]).collect()}
+    assert got["a"] == (["disc"], None) and got["b"][1].startswith("cannot") and got["c"][1].startswith("acquires") and got["d"][1] == "disabled"
+    fields = spark.createDataFrame([("b", False, "missing"), ("c", True, "missing"), ("d", False, "unreadable")], "source_id string, optional boolean, state string")
+    told = {r[0]: (r[1], r[2]) for r in summaries.described_sources(sources, fields, spark.createDataFrame([("a",)], "source_id string")).collect()}
+    assert told == {"a": (False, "not_needed"), "b": (True, "missing"), "c": (True, "stored"), "d": (True, "unreadable")}
+    w, h = summaries.fit_within(F.col("w"), F.col("h"), 100)
+    sizes = spark.createDataFrame([(400, 200), (50, 20), (1000, 1)], "w int, h int").select(w, h).collect()
+    assert [tuple(r) for r in sizes] == [(100, 50), (50, 20), (100, 1)]
+    planned = spark.createDataFrame([(1, ["b", "a"])], "run_id long, sources array<string>")
+    complete = spark.createDataFrame([(1, "a")], "run_id long, source_id string")
+    at = summaries.discoveries(planned, complete, spark.createDataFrame([(1, "b", 20)], "run_id long, source_id string, games int"))
+    assert [tuple(r)[2:] for r in at.orderBy("pos").collect()] == [("b", False, 20), ("a", True, 0)]
+    firsts = summaries.first_seen(spark.createDataFrame([("B", 2), ("b", 1)], "x string, n int"), F.lower("x"), "n").collect()
+    assert [tuple(r) for r in firsts] == [("b", 1)]
+    df = spark.createDataFrame([(i, t, "p", "r", "e") for i, t in enumerate("cab")], "id long, title string, platform string, region string, edition string")
+    page, total = search.result_page(df, search.snapshot(df), 2, 1)
+    assert total == 3 and [r["title"] for r in page.collect()] == ["b", "c"]
+    with pytest.raises(LookupError):
+        search.result_page(df, 2, 2, 99)
+    assert search.selected_types(["any"]) is None and search.selected_types(["documentation", "disc"]) == ["disc", "manual", "map"]
+    rec = spark.createDataFrame([(1, "s", "r1"), (2, "s", "r2")], "record_id long, source_id string, source_record string")
+    known = spark.createDataFrame([(7, "s", "identifier", "source_record", "r1"), (6, "t", "identifier", "source_record", "r1")], "release_id long, source_id string, field string, qualifier string, value string")
+    assert [tuple(r) for r in reference.known_editions(rec, known).collect()] == [(1, 7)]
+    items = spark.createDataFrame([(1, 0, [2, 9])], "item_id long, release_id long, candidates array<long>")
+    claims_ = spark.createDataFrame([(2, "s", "old", 1, 1, 1), (2, "s", "new", 2, 1, 1)], "release_id long, source_id string, value string, k1 long, k2 int, k3 long")
+    told = reference.described_items(items, df, claims_).orderBy("pos").collect()
+    assert [(r["pos"], r["id"], r["titles"] and r["titles"][0]["value"]) for r in told] == [(0, 0, None), (1, 2, "new")]
