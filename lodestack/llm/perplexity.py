@@ -35,7 +35,7 @@ from lodestack.llm import bloom
 from lodestack.llm.common import column, hashed_texts, lean, materialise, mix, signed, table
 
 VOCABULARY, QUANTILE, LEAST, HOLD_OUT = 200_000, 0.995, 100, 10
-SHARD_BYTES = 48 << 20
+SHARD_BYTES = 32 << 20
 FREQUENT = 500_000  # bigrams whose gains every task has, at most
 BANDS = (16, 64, 256)
 _BITS = np.uint64(18)  # of a word's place; the vocabulary and two more have to fit
@@ -282,29 +282,22 @@ def train(trusted: DataFrame, size: int | None = None) -> Model:
 
 
 def _scored(shared, shards: int):
-    """One row per document with what it has without bigrams, and its bigrams by shard."""
+    """One row per document with what it has without bigrams, and by shard the bigrams and rare words
+    of a slice of documents: keys in order, and for each the place of its document in the slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, log_p, log_b, (top, gains), seen, whole = shared.value
         for piece, texts in hashed_texts(batches, lower=False):
             columns: list[list] = [[] for _ in range(9)]
+            waiting: tuple[list, list] = [], []
 
             def put(*row) -> None:
                 for held, x in zip(columns, row):
                     held.append(x)
 
-            def deal(row: int, keys: np.ndarray, rare: bool) -> None:
-                keys = keys[seen.holds(keys)]
-                if len(keys):
-                    to = (mix(keys) >> np.uint64(8)) % np.uint64(shards)
-                    order = np.lexsort((keys, to))
-                    keys, to = keys[order], to[order]
-                    at = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
-                    for s, e in zip(at, [*at[1:], len(keys)]):
-                        data = keys[s:e].astype("<u8").tobytes() if rare else _bytes_of(keys[s:e])
-                        put(int(to[s]), 1, row, None, None, None, None, None if rare else data, data if rare else None)
-
-            for row, doc, lang, h in zip(*(piece.column(n).to_pylist() for n in ("row", "doc_id", "lang")), texts):
+            rows = piece.column("row").to_numpy()  # numbers in a row, as they were given out
+            for k, (doc, lang, h) in enumerate(zip(*(piece.column(n).to_pylist() for n in ("doc_id", "lang")), texts)):
+                row = int(rows[k])
                 if not len(h):
                     put(row % shards, 1, row, doc, lang, 0, 0.0, None, None)
                     continue
@@ -317,14 +310,27 @@ def _scored(shared, shards: int):
                     own = [mix(outside + _WORD), _pair_keys(*_named(h, ids, len(vocabulary) + 1, len(vocabulary)))]
                     if ids[-1] == len(vocabulary):
                         own.append(mix(outside[-1:] + _LAST))
-                    deal(row, np.concatenate(own), True)
+                    waiting[1].extend((x, k) for x in own)
                 if len(top):
                     at = np.minimum(np.searchsorted(top, keys), len(top) - 1)
                     known = top[at] == keys
                     base += gains[at[known]].sum(dtype=np.float64)
                     keys = keys[~known]
                 put(row % shards, 1, row, doc, lang, len(ids), float(base), None, None)
-                deal(row, keys, False)
+                waiting[0].append((keys, k))
+            for rare, held in enumerate(waiting):
+                if not held:
+                    continue
+                keys, owner = np.concatenate([x for x, _ in held]), np.repeat([k for _, k in held], [len(x) for x, _ in held])
+                maybe = seen.holds(keys)
+                keys, owner = keys[maybe], owner[maybe]
+                to = (mix(keys) >> np.uint64(8)) % np.uint64(shards)
+                order = np.lexsort((keys, to))
+                keys, to, owner = keys[order], to[order], owner[order].astype("<u2" if piece.num_rows <= 1 << 16 else "<u4")
+                at = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else []
+                for s, e in zip(at, [*at[1:], len(keys)]):
+                    data = (keys[s:e].astype("<u8").tobytes() if rare else _bytes_of(keys[s:e])) + owner[s:e].tobytes()
+                    put(int(to[s]), 1, int(rows[0]), None, None, int(e - s), None, None if rare else data, data if rare else None)
             yield pa.RecordBatch.from_arrays(
                 [column(x, t) for x, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.binary(), pa.binary()))],
                 ["shard", "kind", "row", "doc_id", "lang", "n", "base", "data", "rare"],
@@ -355,6 +361,7 @@ def _packed_gains(shards: int, rare: bool):
 def _gained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document and shard the sum of gains. Input: by shard, a shard's gains before its documents."""
     shard, parts, held = None, ([], []), [None, None]
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64())
     for batch in batches:
         out = []
         for s, kind, row, doc, lang, n, base, data, rare in zip(*(c.to_pylist() for c in batch.columns)):
@@ -363,10 +370,10 @@ def _gained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if kind == 0:
                 if data is not None:
                     n = len(data) // 9
-                    parts[0].append((_keys_of(data[: 5 * n]), np.frombuffer(data[5 * n :], "<f4").astype(np.float64)))
+                    parts[0].append((_keys_of(data[: 5 * n]), np.frombuffer(data[5 * n :], "<f4")))
                 else:
                     n = len(rare) // 12
-                    parts[1].append((np.frombuffer(rare[: 8 * n], "<u8"), np.frombuffer(rare[8 * n :], "<f4").astype(np.float64)))
+                    parts[1].append((np.frombuffer(rare[: 8 * n], "<u8"), np.frombuffer(rare[8 * n :], "<f4")))
                 continue
             for k, found in enumerate(parts):
                 if found:
@@ -378,10 +385,14 @@ def _gained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.append((row, doc, lang, n, base))
             elif held[data is None] is not None:
                 keys, gains = held[data is None]
-                own = np.frombuffer(rare, "<u8") if data is None else _keys_of(data)
+                width, packed = (8, rare) if data is None else (5, data)
+                own = np.frombuffer(packed[: width * n], "<u8") if data is None else _keys_of(packed[: width * n])
+                owner = np.frombuffer(packed[width * n :], "<u2" if len(packed) == (width + 2) * n else "<u4")
                 at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                out.append((row, None, None, None, float(gains[at][keys[at] == own].sum())))
-        yield pa.RecordBatch.from_arrays([column([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64()))], ["row", "doc_id", "lang", "n", "log_p"])
+                known = keys[at] == own
+                sums = np.bincount(owner[known], gains[at[known]].astype(np.float64))
+                out += [(row + int(k), None, None, None, float(sums[k])) for k in np.flatnonzero(sums)]
+        yield pa.RecordBatch.from_arrays([column([r[i] for r in out], t) for i, t in enumerate(kinds)], ["row", "doc_id", "lang", "n", "log_p"])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -389,7 +400,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(32, size // SHARD_BYTES)
+    shards = max(12, size // SHARD_BYTES)
     shared = spark.sparkContext.broadcast((model.vocabulary, model.log_p, model.log_b, model.frequent, model.seen, model.whole))
     sent = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(lean(_scored(shared, shards)), PACKED)
     both = sent.unionByName(model.gains.mapInArrow(lean(_packed_gains(shards, False)), PACKED))
