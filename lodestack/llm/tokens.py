@@ -20,7 +20,7 @@ import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
-_MEMORY = 200_000  # pre-tokens remembered by a worker, some 30 MB
+_MEMORY = 320_000  # pre-tokens remembered by a worker, some 50 MB
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
