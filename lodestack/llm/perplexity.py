@@ -41,6 +41,8 @@ BANDS = (16, 64, 256)
 _BITS = np.uint64(18)  # of a word's place; the vocabulary and two more have to fit
 _RARE = np.uint64(1 << 63)  # set in what names a rare word, 63 bits of its hash
 _WORD, _LAST = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
+_OWNERS, _GAINS = {1: "<u1", 2: "<u2", 4: "<u4"}, {4: "<f4"}
+GAINS_AT_ONCE = 200_000  # rows that a task packs at a time
 PACKED = "shard int, kind int, row long, doc_id long, lang string, n long, base double, data binary, rare binary"
 
 
@@ -87,14 +89,21 @@ def _pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(mix(v) * np.uint64(0x9E3779B97F4A7C15) + w)
 
 
-def _bytes_of(keys: np.ndarray) -> bytes:
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+def _packed(keys: np.ndarray, beside: np.ndarray) -> bytes:
+    """Keys in order and a number beside each, made small: steps from key to key, equal bytes of all
+    numbers next to each other, compressed. The first byte says how wide the numbers beside are."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    planes = [x.view(np.uint8).reshape(len(keys), -1).T.tobytes() for x in (steps, beside)]
+    return bytes([beside.itemsize]) + pa.compress(b"".join(planes), "zstd", asbytes=True)
 
 
-def _keys_of(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
+def _unpacked(data: bytes, n: int, kinds: dict[int, str]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and numbers of `n` packed pairs; `kinds` has the type of numbers of each width."""
+    width = data[0]
+    planes = np.frombuffer(pa.decompress(data[1:], (8 + width) * n, "zstd", asbytes=True), np.uint8)
+    steps = np.ascontiguousarray(planes[: 8 * n].reshape(8, n).T).view("<u8").ravel()
+    beside = np.ascontiguousarray(planes[8 * n :].reshape(width, n).T).view(kinds[width]).ravel()
+    return np.cumsum(steps, dtype=np.uint64), beside
 
 
 def _bigram_counts(vocabulary, whole: bool):
@@ -326,10 +335,10 @@ def _scored(shared, shards: int):
                 keys, owner = keys[maybe], owner[maybe]
                 to = (mix(keys) >> np.uint64(8)) % np.uint64(shards)
                 order = np.lexsort((keys, to))
-                keys, to, owner = keys[order], to[order], owner[order].astype("<u2" if piece.num_rows <= 1 << 16 else "<u4")
+                keys, to, owner = keys[order], to[order], owner[order].astype(_OWNERS[1 if piece.num_rows <= 1 << 8 else 2 if piece.num_rows <= 1 << 16 else 4])
                 at = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else []
                 for s, e in zip(at, [*at[1:], len(keys)]):
-                    data = (keys[s:e].astype("<u8").tobytes() if rare else _bytes_of(keys[s:e])) + owner[s:e].tobytes()
+                    data = _packed(keys[s:e], owner[s:e])
                     put(int(to[s]), 1, int(rows[0]), None, None, int(e - s), None, None if rare else data, data if rare else None)
             yield pa.RecordBatch.from_arrays(
                 [column(x, t) for x, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.binary(), pa.binary()))],
@@ -340,20 +349,32 @@ def _scored(shared, shards: int):
 
 
 def _packed_gains(shards: int, rare: bool):
+    def rows_of(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        keys, gain = t.column("key").to_numpy().view(np.uint64), t.column("gain").to_numpy().astype("<f4")
+        to = ((mix(keys) >> np.uint64(8)) % np.uint64(shards)).astype(np.int32)
+        order = np.lexsort((keys, to))
+        keys, gain, to = keys[order], gain[order], to[order]
+        at = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+        ends = np.append(at[1:], len(to))
+        none = lambda t: pa.nulls(len(at), t)
+        data = [column([_packed(keys[s:e], gain[s:e]) for s, e in zip(at, ends)], pa.binary()), none(pa.binary())]
+        return pa.RecordBatch.from_arrays(
+            [column(to[at], pa.int32()), column(np.zeros(len(at), np.int32), pa.int32()), none(pa.int64()), none(pa.int64()), none(pa.string()), column(ends - at, pa.int64()), none(pa.float64()), *(data[::-1] if rare else data)],
+            ["shard", "kind", "row", "doc_id", "lang", "n", "base", "data", "rare"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            keys, gain = batch.column("key").to_numpy(), batch.column("gain").to_numpy()
-            to = ((mix(keys.view(np.uint64)) >> np.uint64(8)) % np.uint64(shards)).astype(np.int32)
-            order = np.argsort(to, kind="stable")
-            at = np.flatnonzero(np.append(True, to[order][1:] != to[order][:-1])) if len(to) else []
-            rows = [(int(to[o[0]]), (keys[o].astype("<i8").tobytes() if rare else _bytes_of(keys[o])) + gain[o].astype("<f4").tobytes()) for o in (order[s:e] for s, e in zip(at, [*at[1:], len(order)]))] if len(to) else []
-            n = len(rows)
-            none = lambda t: pa.nulls(n, t)
-            data = [column([r[1] for r in rows], pa.binary()), none(pa.binary())]
-            yield pa.RecordBatch.from_arrays(
-                [column([r[0] for r in rows], pa.int32()), column([0] * n, pa.int32()), none(pa.int64()), none(pa.int64()), none(pa.string()), none(pa.int64()), none(pa.float64()), *(data[::-1] if rare else data)],
-                ["shard", "kind", "row", "doc_id", "lang", "n", "base", "data", "rare"],
-            )
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size >= GAINS_AT_ONCE:
+                yield rows_of(held)
+                held, size = [], 0
+        if held:
+            yield rows_of(held)
 
     return run
 
@@ -368,12 +389,7 @@ def _gained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if s != shard:
                 shard, parts, held = s, ([], []), [None, None]
             if kind == 0:
-                if data is not None:
-                    n = len(data) // 9
-                    parts[0].append((_keys_of(data[: 5 * n]), np.frombuffer(data[5 * n :], "<f4")))
-                else:
-                    n = len(rare) // 12
-                    parts[1].append((np.frombuffer(rare[: 8 * n], "<u8"), np.frombuffer(rare[8 * n :], "<f4")))
+                parts[data is None].append(_unpacked(rare if data is None else data, n, _GAINS))
                 continue
             for k, found in enumerate(parts):
                 if found:
@@ -385,9 +401,7 @@ def _gained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.append((row, doc, lang, n, base))
             elif held[data is None] is not None:
                 keys, gains = held[data is None]
-                width, packed = (8, rare) if data is None else (5, data)
-                own = np.frombuffer(packed[: width * n], "<u8") if data is None else _keys_of(packed[: width * n])
-                owner = np.frombuffer(packed[width * n :], "<u2" if len(packed) == (width + 2) * n else "<u4")
+                own, owner = _unpacked(rare if data is None else data, n, _OWNERS)
                 at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
                 known = keys[at] == own
                 sums = np.bincount(owner[known], gains[at[known]].astype(np.float64))
