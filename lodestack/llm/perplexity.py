@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm import bloom
-from lodestack.llm.common import column, hashed_texts, lean, materialise, mix, signed, table
+from lodestack.llm.common import column, discard, hashed_texts, lean, materialise, mix, signed, table
 
 VOCABULARY, QUANTILE, LEAST, HOLD_OUT = 200_000, 0.995, 100, 10
 SHARD_BYTES = 32 << 20
@@ -166,11 +166,11 @@ def _numbers(df: DataFrame, size: int, key: str, names: list[str]) -> np.ndarray
 
 class Model:
     """Arrays over frequent words and the class of others, gains of frequent bigrams, a filter for
-    what is in shards, the table of other bigrams' gains and that of what rare words have beyond
-    the class and of the gains of their bigrams (none where `whole` is false)."""
+    what is in shards, and the written table of that, packed by shard: other bigrams' gains, what
+    rare words have beyond the class and the gains of their bigrams (none where `whole` is false)."""
 
-    def __init__(self, vocabulary, log_p, log_b, frequent, seen: bloom.Bloom, gains: DataFrame, rare: DataFrame, whole: bool):
-        self.vocabulary, self.log_p, self.log_b, self.frequent, self.seen, self.gains, self.rare, self.whole = vocabulary, log_p, log_b, frequent, seen, gains, rare, whole
+    def __init__(self, vocabulary, log_p, log_b, frequent, seen: bloom.Bloom, gains: DataFrame, shards: int, whole: bool):
+        self.vocabulary, self.log_p, self.log_b, self.frequent, self.seen, self.gains, self.shards, self.whole = vocabulary, log_p, log_b, frequent, seen, gains, shards, whole
 
 
 def _least_frequent(bigrams: DataFrame, most: int) -> int:
@@ -185,9 +185,15 @@ def _least_frequent(bigrams: DataFrame, most: int) -> int:
     return least
 
 
-def train(trusted: DataFrame, size: int | None = None) -> Model:
-    """The model of all rows of `trusted` (text), over all their words or the `size` most frequent."""
+def _bytes_in(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def train(trusted: DataFrame, size: int | None = None, to_score: int | None = None) -> Model:
+    """The model of all rows of `trusted` (text), over all their words or the `size` most frequent.
+    There are as many shards as `to_score` bytes of text ask for (those of `trusted` where not given)."""
     spark, whole = trusted.sparkSession, size is None
+    shards = max(12, (_bytes_in(trusted) if to_score is None else to_score) // SHARD_BYTES)
     counted = materialise(trusted.mapInArrow(lean(_counts), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "word-counts")
     top = counted.orderBy(F.col("n").desc(), "h").limit(VOCABULARY if whole else size).select("h").toArrow()  # that many numbers at most
     vocabulary = np.sort(top.column("h").to_numpy().view(np.uint64))
@@ -287,7 +293,13 @@ def train(trusted: DataFrame, size: int | None = None) -> Model:
     rare = rare.unionByName(rare_f.join(rare_c, F.col("w") == F.col("v"), "left").mapInArrow(lean(rare_words), "key long, gain float"))
     keys = rest.select("key").unionByName(others.select("key", "other").mapInArrow(lean(rare_keys), "key long")).unionByName(rare_f.select("w").mapInArrow(lean(word_keys), "key long"))
     seen = bloom.build(keys, rest.count() + others.count() + 2 * rare_f.count())
-    return Model(vocabulary, log_p, log_b, frequent, seen, rest.mapInArrow(lean(gains), "key long, gain float"), rare, whole)
+    packed = rest.mapInArrow(lean(gains), "key long, gain float").mapInArrow(lean(_packed_gains(shards, False)), PACKED)
+    if whole:
+        packed = packed.unionByName(rare.mapInArrow(lean(_packed_gains(shards, True)), PACKED))
+    packed = materialise(packed, "gains")
+    for written in (counted, bigrams, follow, by_context):
+        discard(written)
+    return Model(vocabulary, log_p, log_b, frequent, seen, packed, shards, whole)
 
 
 def _scored(shared, shards: int):
@@ -296,7 +308,7 @@ def _scored(shared, shards: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, log_p, log_b, (top, gains), seen, whole = shared.value
-        for piece, texts in hashed_texts(batches, lower=False):
+        for piece, texts in hashed_texts(batches, most=1 << 20, lower=False):
             columns: list[list] = [[] for _ in range(9)]
             waiting: tuple[list, list] = [], []
 
@@ -413,14 +425,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang, n_words and log_ppl (null without words) of every row of `docs`."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(12, size // SHARD_BYTES)
+    shards = model.shards
     shared = spark.sparkContext.broadcast((model.vocabulary, model.log_p, model.log_b, model.frequent, model.seen, model.whole))
     sent = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(lean(_scored(shared, shards)), PACKED)
-    both = sent.unionByName(model.gains.mapInArrow(lean(_packed_gains(shards, False)), PACKED))
-    if model.whole:
-        both = both.unionByName(model.rare.mapInArrow(lean(_packed_gains(shards, True)), PACKED))
-    parts = both.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(lean(_gained), "row long, doc_id long, lang string, n long, log_p double")
+    parts = sent.unionByName(model.gains).repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(lean(_gained), "row long, doc_id long, lang string, n long, log_p double")
     whole = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("lang").alias("lang"), F.max("n").alias("n_words"), F.sum("log_p").alias("log_p"))
     return whole.select("doc_id", "lang", "n_words", F.when(F.col("n_words") > 0, -F.col("log_p") / F.col("n_words")).alias("log_ppl"))
 
@@ -434,7 +442,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, siz
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     good = materialise(good, "trusted-ids")
     trusted = bloom.among(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id", good)
-    model = train(trusted.where(~_held_out()).select("text"), size)
+    model = train(trusted.where(~_held_out()).select("text"), size, _bytes_in(docs))
     scored = materialise(score(docs, model), "perplexities")
     band = F.lit(len(BANDS))
     for k in range(len(BANDS) - 1, -1, -1):
