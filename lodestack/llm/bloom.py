@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodestack.llm.common import column, lean, mix
+from lodestack.llm.common import column, lean, mix, writing
 
 EACH, LEAST, MOST = 16, 1 << 16, 1 << 26  # bits for a key; bits of a filter, 8 MB at most
 PAGE = 4096
@@ -60,7 +60,8 @@ def build(keys: DataFrame, n: int) -> Bloom:
                 held[at] = held[at] | page if at in held else page
         yield pa.RecordBatch.from_arrays([column(list(held), pa.int32()), column([b.tobytes() for b in held.values()], pa.binary())], ["at", "bits"])
 
-    parts = keys.coalesce(8).mapInArrow(lean(part), "at int, bits binary").repartition("at").mapInArrow(lean(union), "at int, bits binary").toArrow()
+    with writing(keys.sparkSession):  # the pages' shuffle files go with the job
+        parts = keys.coalesce(8).mapInArrow(lean(part), "at int, bits binary").repartition("at").mapInArrow(lean(union), "at int, bits binary").toArrow()
     bits = np.zeros((size // 8 // PAGE, PAGE), np.uint8)
     for at, page in zip(parts.column("at").to_pylist(), parts.column("bits").to_pylist()):
         bits[at] = np.frombuffer(page, np.uint8)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm import bloom
-from lodestack.llm.common import column, discard, hashed_texts, lean, materialise, mix, signed, table
+from lodestack.llm.common import column, discard, hashed_texts, lean, materialise, mix, signed, table, writing
 
 VOCABULARY, QUANTILE, LEAST, HOLD_OUT = 200_000, 0.995, 100, 10
 SHARD_BYTES = 32 << 20
@@ -41,7 +41,7 @@ BANDS = (16, 64, 256)
 _BITS = np.uint64(18)  # of a word's place; the vocabulary and two more have to fit
 _RARE = np.uint64(1 << 63)  # set in what names a rare word, 63 bits of its hash
 _WORD, _LAST = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
-_OWNERS, _GAINS = {1: "<u1", 2: "<u2", 4: "<u4"}, {4: "<f4"}
+_OWNERS = {1: "<u1", 2: "<u2", 4: "<u4"}
 GAINS_AT_ONCE = 200_000  # rows that a task packs at a time
 PACKED = "shard int, kind int, row long, doc_id long, lang string, n long, base double, data binary, rare binary"
 
@@ -164,13 +164,24 @@ def _numbers(df: DataFrame, size: int, key: str, names: list[str]) -> np.ndarray
     return out
 
 
+def _gain(keys: np.ndarray, n: np.ndarray, fixed) -> np.ndarray:
+    """What bigrams of frequent words, seen n times, add to what their words have without them."""
+    p, backoff, c, d, types = fixed
+    v, w = keys >> int(_BITS), keys & ((1 << int(_BITS)) - 1)
+    share = np.where(w == len(p) - 1, types, 1)  # a word outside has its part of what its class has
+    low = backoff[v] * p[w]
+    return (np.log((n - d[np.minimum(n, 3)]) / c[v] / share + low) - np.log(low)).astype(np.float32)
+
+
 class Model:
     """Arrays over frequent words and the class of others, gains of frequent bigrams, a filter for
-    what is in shards, and the written table of that, packed by shard: other bigrams' gains, what
-    rare words have beyond the class and the gains of their bigrams (none where `whole` is false)."""
+    what is in shards, and the written table of that, packed by shard: other bigrams' counts (`fixed`
+    makes gains of them), what rare words have beyond the class and the gains of their bigrams (none
+    where `whole` is false)."""
 
-    def __init__(self, vocabulary, log_p, log_b, frequent, seen: bloom.Bloom, gains: DataFrame, shards: int, whole: bool):
-        self.vocabulary, self.log_p, self.log_b, self.frequent, self.seen, self.gains, self.shards, self.whole = vocabulary, log_p, log_b, frequent, seen, gains, shards, whole
+    def __init__(self, vocabulary, log_p, log_b, frequent, seen: bloom.Bloom, gains: DataFrame, fixed, shards: int, whole: bool):
+        self.vocabulary, self.log_p, self.log_b, self.frequent, self.seen, self.gains = vocabulary, log_p, log_b, frequent, seen, gains
+        self.fixed, self.shards, self.whole = fixed, shards, whole
 
 
 def _least_frequent(bigrams: DataFrame, most: int) -> int:
@@ -195,7 +206,8 @@ def train(trusted: DataFrame, size: int | None = None, to_score: int | None = No
     spark, whole = trusted.sparkSession, size is None
     shards = max(12, (_bytes_in(trusted) if to_score is None else to_score) // SHARD_BYTES)
     counted = materialise(trusted.mapInArrow(lean(_counts), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "word-counts")
-    top = counted.orderBy(F.col("n").desc(), "h").limit(VOCABULARY if whole else size).select("h").toArrow()  # that many numbers at most
+    with writing(spark):
+        top = counted.orderBy(F.col("n").desc(), "h").limit(VOCABULARY if whole else size).select("h").toArrow()  # that many numbers at most
     vocabulary = np.sort(top.column("h").to_numpy().view(np.uint64))
     outside = max(0, counted.count() - len(vocabulary))
     types = 1 if whole else outside + 1
@@ -231,14 +243,9 @@ def train(trusted: DataFrame, size: int | None = None, to_score: int | None = No
     fixed = spark.sparkContext.broadcast((p, backoff, c, d, types))
 
     def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, backoff, c, d, types = fixed.value
         for batch in batches:
-            keys, n = batch.column("key").to_numpy(), batch.column("n").to_numpy()
-            v, w = keys >> int(_BITS), keys & ((1 << int(_BITS)) - 1)
-            share = np.where(w == len(p) - 1, types, 1)  # a word outside has its part of what its class has
-            low = backoff[v] * p[w]
-            gain = np.log((n - d[np.minimum(n, 3)]) / c[v] / share + low) - np.log(low)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), column(gain.astype(np.float32), pa.float32())], ["key", "gain"])
+            gain = _gain(batch.column("key").to_numpy(), batch.column("n").to_numpy(), fixed.value)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), column(gain, pa.float32())], ["key", "gain"])
 
     def own_backoff(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         c, a, b, m = (batch.column(n).fill_null(0).to_numpy().astype(float) for n in ("c", "a", "b", "m"))
@@ -293,13 +300,13 @@ def train(trusted: DataFrame, size: int | None = None, to_score: int | None = No
     rare = rare.unionByName(rare_f.join(rare_c, F.col("w") == F.col("v"), "left").mapInArrow(lean(rare_words), "key long, gain float"))
     keys = rest.select("key").unionByName(others.select("key", "other").mapInArrow(lean(rare_keys), "key long")).unionByName(rare_f.select("w").mapInArrow(lean(word_keys), "key long"))
     seen = bloom.build(keys, rest.count() + others.count() + 2 * rare_f.count())
-    packed = rest.mapInArrow(lean(gains), "key long, gain float").mapInArrow(lean(_packed_gains(shards, False)), PACKED)
+    packed = rest.mapInArrow(lean(_packed_gains(shards, False)), PACKED)
     if whole:
         packed = packed.unionByName(rare.mapInArrow(lean(_packed_gains(shards, True)), PACKED))
     packed = materialise(packed, "gains")
     for written in (counted, bigrams, follow, by_context):
         discard(written)
-    return Model(vocabulary, log_p, log_b, frequent, seen, packed, shards, whole)
+    return Model(vocabulary, log_p, log_b, frequent, seen, packed, fixed, shards, whole)
 
 
 def _scored(shared, shards: int):
@@ -361,9 +368,12 @@ def _scored(shared, shards: int):
 
 
 def _packed_gains(shards: int, rare: bool):
+    """By shard the keys and gains of rare words and their bigrams, or the keys and counts of other bigrams."""
+
     def rows_of(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
-        keys, gain = t.column("key").to_numpy().view(np.uint64), t.column("gain").to_numpy().astype("<f4")
+        keys = t.column("key").to_numpy().view(np.uint64)
+        gain = t.column("gain").to_numpy().astype("<f4") if rare else t.column("n").to_numpy().astype("<i8")
         to = ((mix(keys) >> np.uint64(8)) % np.uint64(shards)).astype(np.int32)
         order = np.lexsort((keys, to))
         keys, gain, to = keys[order], gain[order], to[order]
@@ -391,34 +401,42 @@ def _packed_gains(shards: int, rare: bool):
     return run
 
 
-def _gained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _gained(fixed):
     """Per document and shard the sum of gains. Input: by shard, a shard's gains before its documents."""
-    shard, parts, held = None, ([], []), [None, None]
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64())
-    for batch in batches:
-        out = []
-        for s, kind, row, doc, lang, n, base, data, rare in zip(*(c.to_pylist() for c in batch.columns)):
-            if s != shard:
-                shard, parts, held = s, ([], []), [None, None]
-            if kind == 0:
-                parts[data is None].append(_unpacked(rare if data is None else data, n, _GAINS))
-                continue
-            for k, found in enumerate(parts):
-                if found:
-                    keys, gains = np.concatenate([p[0] for p in found]), np.concatenate([p[1] for p in found])
-                    order = np.argsort(keys)
-                    held[k] = keys[order], gains[order]
-                    found.clear()
-            if data is None and rare is None:
-                out.append((row, doc, lang, n, base))
-            elif held[data is None] is not None:
-                keys, gains = held[data is None]
-                own, owner = _unpacked(rare if data is None else data, n, _OWNERS)
-                at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                known = keys[at] == own
-                sums = np.bincount(owner[known], gains[at[known]].astype(np.float64))
-                out += [(row + int(k), None, None, None, float(sums[k])) for k in np.flatnonzero(sums)]
-        yield pa.RecordBatch.from_arrays([column([r[i] for r in out], t) for i, t in enumerate(kinds)], ["row", "doc_id", "lang", "n", "log_p"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, parts, held = None, ([], []), [None, None]
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64())
+        for batch in batches:
+            out = []
+            for s, kind, row, doc, lang, n, base, data, rare in zip(*(c.to_pylist() for c in batch.columns)):
+                if s != shard:
+                    shard, parts, held = s, ([], []), [None, None]
+                if kind == 0:
+                    if data is None:
+                        parts[1].append(_unpacked(rare, n, {4: "<f4"}))
+                    else:
+                        keys, seen = _unpacked(data, n, {8: "<i8"})
+                        parts[0].append((keys, _gain(keys.view(np.int64), seen, fixed.value)))
+                    continue
+                for k, found in enumerate(parts):
+                    if found:
+                        keys, gains = np.concatenate([p[0] for p in found]), np.concatenate([p[1] for p in found])
+                        order = np.argsort(keys)
+                        held[k] = keys[order], gains[order]
+                        found.clear()
+                if data is None and rare is None:
+                    out.append((row, doc, lang, n, base))
+                elif held[data is None] is not None:
+                    keys, gains = held[data is None]
+                    own, owner = _unpacked(rare if data is None else data, n, _OWNERS)
+                    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                    known = keys[at] == own
+                    sums = np.bincount(owner[known], gains[at[known]].astype(np.float64))
+                    out += [(row + int(k), None, None, None, float(sums[k])) for k in np.flatnonzero(sums)]
+            yield pa.RecordBatch.from_arrays([column([r[i] for r in out], t) for i, t in enumerate(kinds)], ["row", "doc_id", "lang", "n", "log_p"])
+
+    return run
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -428,7 +446,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shards = model.shards
     shared = spark.sparkContext.broadcast((model.vocabulary, model.log_p, model.log_b, model.frequent, model.seen, model.whole))
     sent = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(lean(_scored(shared, shards)), PACKED)
-    parts = sent.unionByName(model.gains).repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(lean(_gained), "row long, doc_id long, lang string, n long, log_p double")
+    parts = sent.unionByName(model.gains).repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(lean(_gained(model.fixed)), "row long, doc_id long, lang string, n long, log_p double")
     whole = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("lang").alias("lang"), F.max("n").alias("n_words"), F.sum("log_p").alias("log_p"))
     return whole.select("doc_id", "lang", "n_words", F.when(F.col("n_words") > 0, -F.col("log_p") / F.col("n_words")).alias("log_ppl"))
 
