@@ -36,11 +36,11 @@ class Bloom:
         return found
 
 
-def build(keys: DataFrame, n: int) -> Bloom:
-    """The filter of the one long column of `keys`, about n of them; nulls are left out. Pages of it
-    are joined on the executors, and what reaches the driver is one filter."""
+def build(keys: DataFrame, n: int, most: int = MOST) -> Bloom:
+    """The filter of the one long column of `keys`, about n of them, of at most `most` bits (2**27 or
+    fewer); nulls are left out. Pages of it are joined on the executors, and what reaches the driver is one filter."""
     size = LEAST
-    while size < MOST and size < EACH * n:
+    while size < most and size < EACH * n:
         size *= 2
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -43,6 +43,7 @@ _RARE = np.uint64(1 << 63)  # set in what names a rare word, 63 bits of its hash
 _WORD, _LAST = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 _OWNERS = {1: "<u1", 2: "<u2", 4: "<u4"}
 GAINS_AT_ONCE = 200_000  # rows that a task packs at a time
+FILTER_BITS = 1 << 27  # of the filter for what is in shards, at most: 16 MB
 PACKED = "shard int, kind int, row long, doc_id long, lang string, n long, base double, data binary, rare binary"
 
 
@@ -299,7 +300,7 @@ def train(trusted: DataFrame, size: int | None = None, to_score: int | None = No
     rare = both.unionByName(first).unionByName(second).mapInArrow(lean(rare_gains), "key long, gain float")
     rare = rare.unionByName(rare_f.join(rare_c, F.col("w") == F.col("v"), "left").mapInArrow(lean(rare_words), "key long, gain float"))
     keys = rest.select("key").unionByName(others.select("key", "other").mapInArrow(lean(rare_keys), "key long")).unionByName(rare_f.select("w").mapInArrow(lean(word_keys), "key long"))
-    seen = bloom.build(keys, rest.count() + others.count() + 2 * rare_f.count())
+    seen = bloom.build(keys, rest.count() + others.count() + 2 * rare_f.count(), FILTER_BITS)
     packed = rest.mapInArrow(lean(_packed_gains(shards, False)), PACKED)
     if whole:
         packed = packed.unionByName(rare.mapInArrow(lean(_packed_gains(shards, True)), PACKED))
@@ -315,7 +316,7 @@ def _scored(shared, shards: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, log_p, log_b, (top, gains), seen, whole = shared.value
-        for piece, texts in hashed_texts(batches, most=1 << 20, lower=False):
+        for piece, texts in hashed_texts(batches, most=1 << 21, lower=False):
             columns: list[list] = [[] for _ in range(9)]
             waiting: tuple[list, list] = [], []
 
