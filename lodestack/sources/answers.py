@@ -180,3 +180,17 @@ def listed_manual(title: Column) -> Column:
     manual = F.exists(F.split(F.regexp_extract(title, scheme, 4), "[,(]"), lambda s: text.normalised(s) == "manual")
     second = F.when((other != "") & manual, F.struct(other.alias("title"), F.regexp_extract(title, scheme, 2).alias("platform"), F.array(F.regexp_extract(title, scheme, 3)).alias("tags")))
     return F.when(at > 0, first).otherwise(second)
+
+
+#: Codes of regions in tags of manuals (fixed values).
+MANUAL_REGIONS = {
+    "US": "USA", "JP": "Japan", "EU": "Europe", "AS": "Asia", "AU": "Australia", "BR": "Brazil", "CA": "Canada", "CN": "China", "DE": "Germany", "ES": "Spain",
+    "FR": "France", "GB": "UK", "HK": "Hong Kong", "IT": "Italy", "KR": "Korea", "NL": "Netherlands", "PT": "Portugal", "SE": "Sweden", "TW": "Taiwan", "UK": "UK",
+}
+
+
+def manual_region(tags: Column) -> Column:
+    """The regions of the first tag all of whose codes are known; null where there is none."""
+    table = F.create_map(*[F.lit(x) for pair in MANUAL_REGIONS.items() for x in pair])
+    named = F.transform(tags, lambda t: F.transform(F.split(t, ","), lambda code: F.try_element_at(table, text.trimmed(code))))
+    return F.array_join(F.get(F.filter(named, lambda r: F.forall(r, lambda x: x.isNotNull())), 0), ", ")

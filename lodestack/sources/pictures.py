@@ -148,10 +148,3 @@ def picture_size(content: pd.Series) -> pd.DataFrame:
     the header, of another kind, or say 0."""
     sizes = [_size(b) or (None, None) for b in content]
     return pd.DataFrame(sizes, columns=["width", "height"], dtype="Int64")
-
-
-def fit_within(width, height, edge: int) -> tuple:
-    """The size of a thumbnail: within `edge`, in proportion, at least 1, never larger than the picture."""
-    longest = F.greatest(width, height)
-    part = lambda side: F.when(longest <= edge, side).otherwise(F.greatest(F.lit(1), F.round(side * F.lit(float(edge)) / longest))).cast("long")
-    return part(width), part(height)

@@ -4,7 +4,7 @@ import json
 import struct
 
 import pytest
-from lodestack.sources import answers, objects, pictures, sites, stores
+from lodestack.sources import answers, dataset, objects, pictures, sites, stores
 from pyspark.sql import functions as F
 
 
@@ -59,6 +59,8 @@ def test_listed_manuals(spark):
     titles = ["Acme Box Manual: Moon Run (1998)(Maker)(US)[S-1]", "Moon Run [S-1](Acme Box)(EU) -Manual(600DPI)", "Moon Run [S-1](Acme Box)(EU) -Poster", "Moon Run"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(titles)] + [(9, None)], "i int, t string").select("i", answers.listed_manual(F.col("t")).alias("m")).collect()
     got = {r.i: r.m and (r.m.title, r.m.platform, r.m.tags) for r in rows}
+    region = spark.createDataFrame([(["1998", "US, JP", "EU"],), (["US, XX"],), ([],), (None,)], "t array<string>").select(answers.manual_region(F.col("t")).alias("r")).collect()
+    assert [r.r for r in region] == ["USA, Japan", None, None, None]
     assert got == {0: ("Moon Run", "Acme Box", ["1998", "Maker", "US"]), 1: ("Moon Run", "Acme Box", ["EU"]), 2: None, 3: None, 9: None}
 
 
@@ -107,9 +109,6 @@ def test_picture_sizes(spark):
     got = {r.k: (r.s.width, r.s.height) for r in rows}
     whole = {k for k in held if k not in ("jpeg cut", "tiff cut", "pnm cut", "none", "null", "zero")}
     assert got == {k: (70, 50) if k in whole else (None, None) for k in held}
-    w, h = pictures.fit_within(F.col("w"), F.col("h"), 256)
-    fitted = spark.createDataFrame([(1024, 512), (100, 50), (3000, 1)], "w long, h long").select(w.alias("w"), h.alias("h")).collect()
-    assert [tuple(r) for r in fitted] == [(256, 128), (100, 50), (256, 1)]
 
 
 def test_writers(spark, tmp_path):
@@ -127,3 +126,21 @@ def test_writers(spark, tmp_path):
         stores.export_tree(spark.createDataFrame([("a/../../x", one)], tree.schema), held, uri + "/tree").collect()
     told = stores.as_documents(spark.createDataFrame([(1, None)], "a int, b string")).first()
     assert json.loads(told.value) == {"a": 1, "b": None}
+
+
+def test_dataset_images(spark, tmp_path):
+    game = "<Game><Name> Moon Run </Name><DatabaseID>{}</DatabaseID><Platform>{}</Platform></Game>"
+    image = "<GameImage><DatabaseID>{}</DatabaseID><FileName>{}</FileName><Type>{}</Type>{}</GameImage>"
+    body = game.format(1, "Acme Box") + game.format(2, "Other") + "<Game><Name>No id</Name><Platform>Acme Box</Platform></Game>" + game.format(3, "<!-- none -->")
+    body += image.format(1, "a b.png", "Disc", "<Region>north america</Region>") + image.format(1, "../x.png", "Disc", "") + image.format(1, "c.png", "Cart", "") + image.format(2, "d.png", "Disc", "") + image.format(1, "e.png", "Disc", "<Region> Mars</Region>")
+    (tmp_path / "set.xml").write_text(f"<LaunchBox>{body}</LaunchBox>")
+    path = str(tmp_path / "set.xml")
+    games, images = dataset.records(spark, path, "Game", dataset.GAME), dataset.records(spark, path, "GameImage", dataset.IMAGE)
+    assert sorted((r.DatabaseID or "", r.Name) for r in games.collect()) == [("", "No id"), ("1", "Moon Run"), ("2", "Moon Run"), ("3", "Moon Run")]
+    wanted = spark.createDataFrame([("moon  run", "Acme - Box")], "title string, platform string")
+    dims = {"Acme - Box": "Acme Box"}, {"Disc": "disc"}
+    got = dataset.candidates(games, images, wanted, *dims, "https://i.example/images/").collect()
+    assert {(r.candidate_id, r.title, r.region, r.source_url) for r in got} == {("1/a b.png", "moon  run", "USA", "https://i.example/images/a%20b.png"), ("1/e.png", "moon  run", "Mars", "https://i.example/images/e.png")}
+    assert [r.filename for r in dataset.candidates(games, images, wanted, *dims, "https://i.example/images/", ["usa "]).collect()] == ["a b.png"]
+    everything = dataset.candidates(games, images, wanted.select("platform", F.lit(None).cast("string").alias("title")), *dims, "https://i.example/images/")
+    assert {r.title for r in everything.collect()} == {"Moon Run"}
