@@ -19,18 +19,46 @@ def checked(objects: DataFrame) -> DataFrame:
     return objects.select("object_hash", "length", F.when(F.sha2("content", 256) == F.col("object_hash"), "intact").otherwise("corrupt").alias("state"))
 
 
+#: Brands of pictures in the container that they share with videos (fixed values).
+HEIC_BRANDS = ["heic", "heix", "heim", "heis", "hevc", "hevx", "hevm", "hevs"]
+AVIF_BRANDS = ["avif", "avis"]
+HEIF_BRANDS = ["mif1", "msf1"]
+#: First bytes of kinds of files, in hex (fixed values).
+MAGIC = {
+    "255044462D": "application/pdf", "676C5446": "model/gltf-binary", "1A45DFA3": "video/webm", "89504E47": "image/png", "FFD8FF": "image/jpeg", "47494638": "image/gif",
+    "49492A00": "image/tiff", "4D4D002A": "image/tiff", "424D": "image/bmp", "0000000C4A584C20": "image/jxl", "FF0A": "image/jxl", "716F6966": "image/qoi",
+    "6661726266656C64": "image/x-farbfeld", "762F3101": "image/x-exr", "00000100": "image/x-icon", "233F52414449414E4345": "image/vnd.radiance",
+}
+_BRAND_BYTES = 4096
+
+
+def _brands(content: Column) -> Column:
+    """The major brand of a container, then the compatible ones up to the end of their box."""
+    number = lambda at, n: F.conv(F.hex(F.substring(content, at, n)), 16, 10).cast("long")
+    wide = number(1, 4) == 1
+    start = F.when(wide, 16).otherwise(8)
+    end = F.least(F.when(wide, number(9, 8)).otherwise(number(1, 4)), F.octet_length(content), F.lit(_BRAND_BYTES))
+    count = F.floor((end - start - 8) / 4).cast("int")
+    at = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: start + 8 + 4 * i)).otherwise(F.array().cast("array<int>"))
+    text = lambda i: F.hex(F.substring(content, i + 1, F.lit(4)))
+    return F.concat(F.array(text(start)), F.transform(at, text))
+
+
 def media_type(content: Column) -> Column:
-    """The media type that the first bytes declare (fixed values); null when unknown."""
+    """The media type that the first bytes declare; null when unknown. A container is a video unless one
+    of its brands is a picture's; of a picture the first brand that is not general decides."""
     head = F.hex(F.substring(content, 1, 16))
-    brand = F.substring(head, 17, 8)
-    image_brands = [b.encode().hex().upper() for b in ("heic", "heix", "mif1", "avif", "avis")]
-    return (
-        F.when(head.startswith("25504446"), "application/pdf").when(head.startswith("676C5446"), "model/gltf-binary")
-        .when(head.startswith("1A45DFA3"), "video/webm").when((F.substring(head, 9, 8) == "66747970") & ~brand.isin(*image_brands), "video/mp4")
-        .when(F.substring(head, 9, 8) == "66747970", "image/heif").when(head.startswith("89504E47"), "image/png").when(head.startswith("FFD8FF"), "image/jpeg")
-        .when(head.startswith("47494638"), "image/gif").when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), "image/webp")
-        .when(head.startswith("49492A00") | head.startswith("4D4D002A"), "image/tiff").when(head.startswith("424D"), "image/bmp")
+    coded = lambda names: F.array(*[F.lit(n.encode().hex().upper()) for n in names])
+    brands = _brands(content)
+    special = F.get(F.filter(brands, lambda x: F.array_contains(coded(HEIC_BRANDS + AVIF_BRANDS), x)), 0)
+    boxed = (
+        F.when(F.array_contains(coded(AVIF_BRANDS), special), "image/avif").when(special.isNotNull(), "image/heic")
+        .when(F.arrays_overlap(brands, coded(HEIF_BRANDS)), "image/heif").when(brands[0] == b"qt  ".hex().upper(), "video/quicktime").otherwise("video/mp4")
     )
+    found = F.when(F.substring(head, 9, 8) == "66747970", boxed).when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), "image/webp")
+    for magic, kind in MAGIC.items():
+        found = found.when(head.startswith(magic), kind)
+    return found.when(head.rlike("^503[1-6](20|09|0A|0C|0D|23)"), "image/x-portable-anymap")
 
 
 def png_size(content: Column) -> tuple[Column, Column]:

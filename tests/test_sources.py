@@ -111,6 +111,19 @@ def test_picture_sizes(spark):
     assert got == {k: (70, 50) if k in whole else (None, None) for k in held}
 
 
+def test_media_types(spark):
+    ftyp = lambda *brands: _box(b"ftyp", brands[0] + b"\0\0\0\0" + b"".join(brands[1:])) + b"mif1"
+    held = {
+        "video/mp4": ftyp(b"isom", b"mp41"), "video/quicktime": ftyp(b"qt  "), "image/heic": ftyp(b"mif1", b"heic"), "image/avif": ftyp(b"avif", b"mif1"), "image/heif": ftyp(b"isom", b"msf1"),
+        "image/webp": b"RIFF\0\0\0\0WEBPVP8 ", "image/jxl": b"\xff\x0a\0", "image/x-portable-anymap": b"P5 1 1", "application/pdf": b"%PDF-1.4", None: b"nothing",
+    }
+    rows = [(k, bytearray(v)) for k, v in held.items()] + [(None, bytearray()), (None, None), (None, bytearray(b"\0\0\0"))]
+    got = spark.createDataFrame(rows, "k string, content binary").select("k", objects.media_type(F.col("content")).alias("m")).collect()
+    assert [r.m for r in got] == [r.k for r in got]
+    wide = struct.pack(">I4sQ", 1, b"ftyp", 28) + b"mif1" + b"\0" * 4 + b"avis"
+    assert spark.createDataFrame([(bytearray(wide),)], "content binary").select(objects.media_type(F.col("content"))).first()[0] == "image/avif"
+
+
 def test_writers(spark, tmp_path):
     uri = tmp_path.as_uri()
     rows = spark.createDataFrame([(bytearray(b"one"),), (bytearray(b"one"),), (bytearray(b""),), (None,)], "content binary")
