@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestack.llm import decontaminate, embed_dedup, licenses, line_dedup, ngram_join, packing, perplexity, sharding, token_store, toxicity
+from lodestack.llm import decontaminate, embed_dedup, licenses, line_dedup, ngram_join, packing, perplexity, sharding, token_store, toxicity, vector_codes
 
 
 def queries() -> dict:
@@ -17,8 +17,14 @@ def queries() -> dict:
         "op8_embedding_dedup": embed_dedup.op8_embedding_dedup,
         "op9_license_scan": licenses.op9_license_scan,
         "op10_packing": packing.op10_packing,
+        "op11_vector_codes": vector_codes.op11_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.ORACLE, "op7_ngram_join": ngram_join.ORACLE, "op8_embedding_dedup": embed_dedup.ORACLE}
+    return {
+        "op2_line_dedup": line_dedup.ORACLE,
+        "op7_ngram_join": ngram_join.ORACLE,
+        "op8_embedding_dedup": embed_dedup.ORACLE,
+        "op11_vector_codes": vector_codes.ORACLE,
+    }
