@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestack.llm import decontaminate, embed_dedup, licenses, line_dedup, ngram_join, packing, perplexity, sharding, token_store, toxicity, vector_codes
+from lodestack.llm import decontaminate, embed_dedup, licenses, line_dedup, ngram_join, packing, perplexity, ranked_search, sharding, token_store, toxicity, vector_codes
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_license_scan": licenses.op9_license_scan,
         "op10_packing": packing.op10_packing,
         "op11_vector_codes": vector_codes.op11_vector_codes,
+        "op12_ranked_search": ranked_search.op12_ranked_search,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_ngram_join": ngram_join.ORACLE,
         "op8_embedding_dedup": embed_dedup.ORACLE,
         "op11_vector_codes": vector_codes.ORACLE,
+        "op12_ranked_search": ranked_search.ORACLE,
     }
