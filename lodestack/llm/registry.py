@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestack.llm import decontaminate, embed_dedup, licenses, line_dedup, ngram_join, packing, perplexity, ranked_search, sharding, token_store, toxicity, vector_codes
+from lodestack.llm import decontaminate, embed_dedup, html_text, licenses, line_dedup, ngram_join, packing, perplexity, ranked_search, sharding, token_store, toxicity, vector_codes
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_packing": packing.op10_packing,
         "op11_vector_codes": vector_codes.op11_vector_codes,
         "op12_ranked_search": ranked_search.op12_ranked_search,
+        "op13_html_text": html_text.op13_html_text,
     }
 
 
