@@ -7,7 +7,8 @@ paragraph found for the same licence is not told again. Passages and templates a
 compared as sets of word bigrams; a one-word text is its own bigram. A Dice coefficient of t or
 more asks for sizes within t / (2 - t) and (2 - t) / t of each other, and for t / (2 - t) of the
 template's bigrams in the text, which prunes templates before anything is compared. A window starts
-and ends with a bigram of its template, as others at its ends only lower the coefficient.
+and ends with a bigram of its template, as others at its ends only lower the coefficient; it has at
+most (2 - t) / t times the template's words, repeats counted, so the work grows with the text alone.
 
 Cases. Null, empty or blank text: no rows. Equal best templates: the first name in order. Rows of
 one doc_id are scanned each for itself; a null doc_id is carried. An empty table or no templates:
@@ -16,8 +17,9 @@ no rows. Other columns take no part.
 
 from __future__ import annotations
 
+import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -57,6 +59,8 @@ class Templates:
     def __init__(self, templates: dict[str, list[str]], least: float):
         self.least = least
         self.all = [(name, bigrams(t)) for name, texts in sorted(templates.items()) for t in texts if bigrams(t)]
+        words = [len(_WORD.findall(t.lower())) for _, texts in sorted(templates.items()) for t in texts if bigrams(t)]
+        self.widths = [math.ceil(n * (2 - least) / least) for n in words]
         self.by_bigram = defaultdict(list)
         for n, (_, b) in enumerate(self.all):
             for g in b:
@@ -91,10 +95,27 @@ class Templates:
                 best = (self.all[n][0], dice)
         return best
 
-    def _reach(self, pairs: list, at, template: frozenset) -> tuple[float, int]:
-        """Best coefficient of a window from the first of the places `at` to one of them, and that place."""
-        m, seen, shared, best, last = len(template), set(), set(), (0.0, -1), None
+    def _promising(self, pairs: list, at: list[int], template: frozenset, width: int) -> list[bool]:
+        """For each of the places `at`, whether a window of `width` from it has enough of the template."""
+        need, counts, j, out = len(template) * self.least / (2 - self.least) - 1e-9, defaultdict(int), 0, []
+        for first in at:
+            while j < len(at) and at[j] < first + width:
+                counts[pairs[at[j]]] += 1
+                j += 1
+            out.append(len(counts) >= need)
+            counts[pairs[first]] -= 1
+            if not counts[pairs[first]]:
+                del counts[pairs[first]]
+        return out
+
+    def _reach(self, pairs: list, at, template: frozenset, width: int) -> tuple[float, int]:
+        """Best coefficient of a window from the first of the places `at` to one of them not `width`
+        further, and that place."""
+        m, seen, shared, best, last, first = len(template), set(), set(), (0.0, -1), None, None
         for k in at:
+            first = k if first is None else first
+            if abs(k - first) >= width:
+                break
             between = () if last is None else pairs[min(last, k) : max(last, k)]
             seen.update(between)
             seen.add(pairs[k])
@@ -109,26 +130,28 @@ class Templates:
 
     def windows(self, ws: list[str], among: set[int]) -> list[tuple[float, str, int, int]]:
         """(dice, licence, first word, last word) of windows that match a template."""
-        pairs, found = list(zip(ws, ws[1:])), []
+        pairs, found, widest = list(zip(ws, ws[1:])), [], 0
         for n in sorted(among):
-            name, template = self.all[n]
+            (name, template), width = self.all[n], self.widths[n]
+            widest = max(widest, width)
             at = [k for k, g in enumerate(pairs) if g in template]
+            hopeful = self._promising(pairs, at, template, width)
             i = 0
             while i < len(at):
-                dice, end = self._reach(pairs, (at[k] for k in range(i, len(at))), template)
+                dice, end = self._reach(pairs, (at[k] for k in range(i, len(at))), template, width) if hopeful[i] else (0.0, -1)
                 if dice < self.least:
                     i += 1
                     continue
                 j = bisect_left(at, end)
-                dice, start = self._reach(pairs, (at[k] for k in range(j, -1, -1)), template)
+                dice, start = self._reach(pairs, (at[k] for k in range(j, -1, -1)), template, width)
                 found.append((dice, name, start, end + 1))
                 i = j + 1
-        kept: list[tuple[float, str, int, int]] = []
-        for hit in sorted(found, key=lambda x: (-x[0], x[2] - x[3], x[1])):
-            _, _, a, b = hit
-            if all(2 * (min(b, d) - max(a, c) + 1) < max(b, d) - min(a, c) + 1 for _, _, c, d in kept):
-                kept.append(hit)
-        return sorted(kept, key=lambda x: x[2:])
+        kept: list[tuple[int, int, float, str]] = []  # by first word
+        for dice, name, a, b in sorted(found, key=lambda x: (-x[0], x[2] - x[3], x[1])):
+            near = kept[bisect_left(kept, (a - widest - 1,)) : bisect_left(kept, (b + 1,))]
+            if all(2 * (min(b, d) - max(a, c) + 1) < max(b, d) - min(a, c) + 1 for c, d, *_ in near):
+                insort(kept, (a, b, dice, name))
+        return [(dice, name, a, b) for a, b, dice, name in kept]
 
     def scan(self, text: str):
         """(licence, dice, kind, first line, lines) of each passage that matches a template."""

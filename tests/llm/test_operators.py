@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -450,6 +451,20 @@ def test_licences_equal_brute_force(spark):
     assert [(r["passage"], r["first_line"], r["n_lines"]) for r in licenses.scan(split).collect()] == [("paragraph", 2, 2), ("text", 0, 6)]
 
 
+def test_licences_of_a_long_repeating_text(spark):
+    """5,000 copies in one text, each found; and half a licence over and over, which is none."""
+    index = licenses.Templates(licenses.TEMPLATES, licenses.LEAST_DICE)
+    mit = licenses.TEMPLATES["MIT"][-1]
+    before = time.process_time()
+    found = index.windows(licenses._WORD.findall((mit + " ").lower() * 5000), {n for n, (name, _) in enumerate(index.all) if name == "MIT"})
+    assert len({a for dice, _, a, _ in found if dice == 1}) == 5000
+    half = max(licenses.TEMPLATES["GPL-3.0"], key=len).split()
+    half = " ".join(half[: len(half) * 2 // 5]).lower()
+    n = max(range(len(index.all)), key=lambda k: len(index.all[k][1]) * (index.all[k][0] == "GPL-3.0"))
+    assert index.windows(licenses._WORD.findall((half + " ") * 300), {n}) == []
+    assert time.process_time() - before < 60
+
+
 def test_licences_inside_lines_and_across_them(spark):
     mit = licenses.TEMPLATES["MIT"][-1].split()
     block = "\n".join("# " + " ".join(mit[i : i + 9]) if i % 36 else "#" + "\n# " + " ".join(mit[i : i + 9]) for i in range(0, len(mit), 9))
