@@ -6,6 +6,7 @@ the join itself follows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,8 @@ class Bloom:
 
 def build(keys: DataFrame, n: int, most: int = MOST) -> Bloom:
     """The filter of the one long column of `keys`, about n of them, of at most `most` bits (2**27 or
-    fewer); nulls are left out. Pages of it are joined on the executors, and what reaches the driver is one filter."""
+    fewer); nulls are left out. Each task packs the pages it has bits in, so a task of few keys sends
+    little; pages are joined on the executors, and what reaches the driver is one filter."""
     size = LEAST
     while size < most and size < EACH * n:
         size *= 2
@@ -50,18 +52,18 @@ def build(keys: DataFrame, n: int, most: int = MOST) -> Bloom:
                 np.bitwise_or.at(bits, at >> 3, (128 >> (at & 7)).astype(np.uint8))
         pages = bits.reshape(-1, PAGE)
         used = np.flatnonzero(pages.any(1))
-        yield pa.RecordBatch.from_arrays([column(used, pa.int32()), column([pages[k].tobytes() for k in used], pa.binary())], ["at", "bits"])
+        yield pa.RecordBatch.from_arrays([column(used, pa.int32()), column([zlib.compress(pages[k].tobytes(), 1) for k in used], pa.binary())], ["at", "bits"])
 
     def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for at, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                page = np.frombuffer(bits, np.uint8)
+                page = np.frombuffer(zlib.decompress(bits), np.uint8)
                 held[at] = held[at] | page if at in held else page
         yield pa.RecordBatch.from_arrays([column(list(held), pa.int32()), column([b.tobytes() for b in held.values()], pa.binary())], ["at", "bits"])
 
     with writing(keys.sparkSession):  # the pages' shuffle files go with the job
-        parts = keys.coalesce(8).mapInArrow(lean(part), "at int, bits binary").repartition("at").mapInArrow(lean(union), "at int, bits binary").toArrow()
+        parts = keys.mapInArrow(lean(part), "at int, bits binary").repartition("at").mapInArrow(lean(union), "at int, bits binary").toArrow()
     bits = np.zeros((size // 8 // PAGE, PAGE), np.uint8)
     for at, page in zip(parts.column("at").to_pylist(), parts.column("bits").to_pylist()):
         bits[at] = np.frombuffer(page, np.uint8)
