@@ -163,7 +163,8 @@ def listed_languages(name: Column) -> Column:
 
 
 def platform_name(c: Column) -> Column:
-    return F.regexp_replace(c, rf"( \(({'|'.join(STORAGE_QUALIFIERS)})\))+$", "")
+    """Without the tags at its end that say how dumps are stored, trimmed before and after each."""
+    return trimmed(F.regexp_replace(trimmed(c), rf"(?U)(\s* \(({'|'.join(STORAGE_QUALIFIERS)})\))+$", ""))
 
 
 def identity(*parts: Column) -> Column:
@@ -172,6 +173,15 @@ def identity(*parts: Column) -> Column:
     return F.concat_ws("|", *one)
 
 
+def candidate_identity(source_id: Column, provider_id: Column, asset_type: Column, platform: Column, title: Column, region: Column, edition: Column, label: Column, file_name: Column, url: Column) -> Column:
+    """What makes two candidates of a queue the same: their source's own id for them and the type, or,
+    where that is blank, eight parts that describe them. Each part has its length in bytes before it."""
+    by_id = [source_id, provider_id, asset_type]
+    described = [source_id, *[normalised(c) for c in (platform, title, region, edition)], asset_type, normalised(F.coalesce(label, file_name)), url]
+    key = lambda parts: F.concat(F.lit("candidate"), *[F.concat(F.lit(":"), F.octet_length(p).cast("string"), F.lit(":"), p) for p in (F.coalesce(x, F.lit("")) for x in parts)])
+    return F.when(F.coalesce(trimmed(provider_id), F.lit("")) != "", key(by_id)).otherwise(key(described))
+
+
 def source_record(platform: Column, name: Column) -> Column:
     return F.concat(F.octet_length(platform).cast("string"), F.lit(":"), platform, name)
 

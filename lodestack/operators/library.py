@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lodestack.functions import dims
 from lodestack.functions.text import ascii_lower, described_name, extension, listed_languages, name_key, normalised, safe_name, trimmed
+from lodestack.operators.ranks import ranked
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,12 +98,11 @@ def first_games(names: DataFrame, n: int | None = None, percent: int | None = No
     """Per platform the first n games, or the first per cent rounded up, by lower-cased title; equal
     titles (case aside) are one game."""
     games = names.groupBy(name_key(F.col("platform")).alias("platform_key"), F.lower(trimmed(F.col("title"))).alias("name")).agg(F.min("title").alias("title"))
-    w = Window.partitionBy("platform_key")
-    rows = games.withColumn("rn", F.row_number().over(w.orderBy("name"))).withColumn("cnt", F.count("*").over(w))
+    rows = ranked(games, ["platform_key"], ["name"], "rn", "cnt")
     most = F.lit(n if n is not None else 1 << 30).cast("long")
     if percent is not None:
         most = F.least(most, F.expr(f"(cnt * {percent} + 99) div 100"))
-    return rows.where(F.col("rn") <= most).select("platform_key", "title", "rn")
+    return rows.where(F.col("rn") <= most).select("platform_key", "title", F.col("rn").cast("int").alias("rn"))
 
 
 def _regions(c: Column) -> Column:

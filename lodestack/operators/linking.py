@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lodestack.functions.text import normalised
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,3 +36,27 @@ def link(records: DataFrame, known: DataFrame) -> DataFrame:
     outcome = F.when((F.col("n") == 1) & (F.col("free") == 1), "linked").when(F.col("free") > 0, "uncertain").otherwise("unlinked")
     out = records.select("record_id").join(every, "record_id", "left")
     return out.select("record_id", F.coalesce("evidence", F.lit("none")).alias("evidence"), F.when(F.col("n").isNull(), "unlinked").otherwise(outcome).alias("outcome"), F.when(outcome == "linked", F.col("release_id")).alias("release_id"))
+
+
+def _same_place(location: Column) -> Column:
+    """An absolute path without empty, `.` and `..` parts; other locations as they are."""
+    parts = F.filter(F.split(location, "/"), lambda p: ~p.isin("", "."))
+    up = F.aggregate(parts, F.array().cast("array<string>"), lambda a, p: F.when(p != "..", F.concat(a, F.array(p))).otherwise(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))))
+    return F.when(location.startswith("/"), F.concat(F.lit("/"), F.array_join(up, "/"))).otherwise(location)
+
+
+def existing_imports(records: DataFrame, provenance: DataFrame, assets: DataFrame, editions: DataFrame) -> DataFrame:
+    """The asset of lowest id that each record is an import of again: same source, type, object, size,
+    title, platform, region and edition, the same place, and the game and the edition where the record
+    names one. records: record_id, source_id, location, asset_type, object_hash, byte_len, title, platform,
+    region, edition, game_id and release_id or null. provenance: asset_id, source_id, location. assets:
+    asset_id, release_id and the object. One hash join on nine equal columns; what may be null is judged
+    on its rows."""
+    names = ["title", "platform", "region", "edition"]
+    key = ["source_id", "asset_type", "object_hash", "byte_len", "place", *[f"n_{c}" for c in names]]
+    known = provenance.join(assets, "asset_id").join(editions.select(F.col("id").alias("release_id"), "game_id", *names), "release_id")
+    known = known.select("asset_id", F.col("release_id").alias("known_id"), F.col("game_id").alias("known_game"), "source_id", "asset_type", "object_hash", "byte_len", _same_place(F.col("location")).alias("place"), *[normalised(F.col(c)).alias(f"n_{c}") for c in names])
+    asked = records.select("record_id", "game_id", "release_id", *key[:4], _same_place(F.col("location")).alias("place"), *[normalised(F.col(c)).alias(f"n_{c}") for c in names])
+    fit = (F.col("game_id").isNull() | (F.col("game_id") == F.col("known_game"))) & (F.col("release_id").isNull() | (F.col("release_id") == F.col("known_id")))
+    found = asked.join(known, key).where(fit).groupBy("record_id").agg(F.min(F.struct("asset_id", "known_id", "known_game")).alias("k"))
+    return found.select("record_id", "k.asset_id", F.col("k.known_id").alias("release_id"), F.col("k.known_game").alias("game_id"))

@@ -26,33 +26,50 @@ def best_of_own(items: DataFrame, releases: DataFrame, policy: tuple[int, int] =
     return top.select("candidate_id", F.expr("t.rep.rep.i").alias("release_id"), "score", band.alias("confidence"))
 
 
-def decided(items: DataFrame, decisions: DataFrame) -> DataFrame:
-    """items: item_id, status, seen (a version). decisions: item_id, decision, seen. A decision counts on
-    an undecided item that is as its decider saw it; all other items stay. Adds outcome: applied, changed
-    (since it was seen), final, or none."""
-    rows = items.join(decisions.select("item_id", "decision", F.col("seen").alias("saw")), "item_id", "left")
-    open_item = F.col("status").isin(*UNDECIDED)
-    outcome = F.when(F.col("decision").isNull(), "none").when(~open_item, "final").when(F.col("saw") != F.col("seen"), "changed").otherwise("applied")
+def decision_outcomes(items: DataFrame, decisions: DataFrame) -> DataFrame:
+    """items: item_id, status, seen (a version of what its decider sees) and, where accepting has to name
+    one, candidates. decisions: item_id, decision, seen, seq (their order) and release_id with candidates.
+    Adds outcome: not_found; changed, when the item isn't as its decider saw it; final, when it is or was
+    meanwhile accepted or rejected; not_competing; else applied, and `made`, the status it gives. Deferring
+    leaves an item to later decisions."""
+    named = "candidates" in items.columns
+    own = items.select("item_id", F.col("status").alias("was"), F.col("seen").alias("now"), *(["candidates"] if named else []))
+    rows = decisions.join(own, "item_id", "left")
+    competing = F.coalesce(F.array_contains("candidates", F.col("release_id")), F.lit(False)) if named else F.lit(True)
+    fit = F.col("was").isin(*UNDECIDED) & (F.col("seen") == F.col("now")) & ((F.col("decision") != "accept") | competing)
+    closing = rows.where(fit & (F.col("decision") != "defer")).groupBy("item_id").agg(F.min("seq").alias("closed"))
+    outcome = F.when(F.col("was").isNull(), "not_found").when(F.col("seen") != F.col("now"), "changed")
+    outcome = outcome.when(~F.col("was").isin(*UNDECIDED) | (F.col("seq") > F.col("closed")), "final").when((F.col("decision") == "accept") & ~competing, "not_competing").otherwise("applied")
     made = F.coalesce(*[F.when(F.col("decision") == d, s) for d, s in DECISIONS.items()])
-    return rows.withColumn("outcome", outcome).select("item_id", F.when(F.col("outcome") == "applied", made).otherwise(F.col("status")).alias("status"), F.when(F.col("outcome") == "applied", F.col("seen") + 1).otherwise(F.col("seen")).alias("seen"), "outcome")
+    return rows.join(closing, "item_id", "left").withColumn("outcome", outcome).select(*decisions.columns, "outcome", F.when(F.col("outcome") == "applied", made).alias("made"))
+
+
+def decided(items: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Each item once, with its status after all decisions in their order, and outcome: applied if one
+    was, else that of the first decision, or none."""
+    each = decision_outcomes(items, decisions).groupBy("item_id")
+    told = each.agg(F.max_by("made", F.when(F.col("made").isNotNull(), F.col("seq"))).alias("made"), F.min_by("outcome", "seq").alias("first"))
+    outcome = F.when(F.col("made").isNotNull(), "applied").otherwise(F.coalesce("first", F.lit("none")))
+    return items.join(told, "item_id", "left").select("item_id", F.coalesce("made", "status").alias("status"), "seen", outcome.alias("outcome"))
 
 
 def decision_summary(items: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """How many of `items` are decided now and how many are left."""
+    """How many of `items` these decisions decided, and how many are left undecided."""
     open_item = F.col("status").isin(*UNDECIDED)
-    return items.select("item_id").join(outcomes, "item_id").agg(F.count(F.when(~open_item, 1)).alias("decided"), F.count(F.when(open_item, 1)).alias("left"))
+    return items.select("item_id").join(outcomes, "item_id").agg(F.count(F.when(F.col("outcome") == "applied", 1)).alias("decided"), F.count(F.when(open_item, 1)).alias("left"))
 
 
 def requeued(work: DataFrame, items: DataFrame) -> DataFrame:
-    """Parked work whose item was accepted goes back to its queue, that of rejected ones is done and
-    dismissed, in every run that isn't cancelled; work: run_id, status, work_id, state, item_id."""
+    """Parked work whose item was accepted goes back to its queue unless its run is cancelled, which
+    reopens completed runs; that of rejected ones is done and dismissed in every run; work: run_id,
+    status, work_id, state, item_id."""
     rows = work.join(items.select("item_id", F.col("status").alias("review")), "item_id", "left")
-    moves = (F.col("state") == "parked") & (F.col("status") != "cancelled")
-    state = F.when(moves & (F.col("review") == "accepted"), "queued").when(moves & (F.col("review") == "rejected"), "done").otherwise(F.col("state"))
+    parked = F.col("state") == "parked"
+    state = F.when(parked & (F.col("review") == "accepted") & (F.col("status") != "cancelled"), "queued").when(parked & (F.col("review") == "rejected"), "done").otherwise(F.col("state"))
     out = rows.withColumn("new_state", state)
-    reopened = out.groupBy("run_id").agg(F.bool_or((F.col("new_state") == "queued") & (F.col("state") == "parked")).alias("reopened"))
+    reopened = out.groupBy("run_id").agg(F.bool_or((F.col("new_state") == "queued") & parked).alias("reopened"))
     status = F.when((F.col("status") == "completed") & F.col("reopened"), "running").otherwise(F.col("status"))
-    return out.join(reopened, "run_id").select("run_id", status.alias("status"), "work_id", F.col("new_state").alias("state"), "item_id", ((F.col("new_state") == "done") & (F.col("state") == "parked")).alias("dismissed"))
+    return out.join(reopened, "run_id").select("run_id", status.alias("status"), "work_id", F.col("new_state").alias("state"), "item_id", ((F.col("new_state") == "done") & parked).alias("dismissed"))
 
 
 def rematched(items: DataFrame, releases: DataFrame) -> DataFrame:

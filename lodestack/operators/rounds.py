@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,9 +29,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fixed_point(start: DataFrame, step: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
-    """`step` applied to its own results until no row changes. Rows are compared as a bag, by the
-    number of rows and a sum over their hashes, which one pass finds."""
+def fixed_point(start: DataFrame, step: Callable[[DataFrame], DataFrame], name: str, most: int | None = None) -> DataFrame:
+    """`step` applied to its own results until no row changes; an error after `most` rounds. Rows are
+    compared as a bag, by the number of rows and sums over their hashes, which one pass finds."""
     from pyspark.sql import functions as F
 
     def sums(df: DataFrame):
@@ -39,9 +40,10 @@ def fixed_point(start: DataFrame, step: Callable[[DataFrame], DataFrame], name:
 
     now = written(start, name)
     seen = sums(now)
-    while True:
+    for _ in count() if most is None else range(most):
         now = written(step(now), name)
         found = sums(now)
         if found == seen:
             return now
         seen = found
+    raise ValueError(f"{name} is not settled after {most} rounds")

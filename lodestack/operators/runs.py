@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lodestack.operators.ranks import ranked
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,3 +77,19 @@ def dedupe(work: DataFrame, key: list[str]) -> DataFrame:
     """The first item of each key; later ones change nothing (idempotent enqueue)."""
     first = work.groupBy(*key).agg(F.min("work_id").alias("work_id"), F.count("*").alias("offered"))
     return first
+
+
+#: Downloads ahead of a source's work, for each that it may have at once.
+READ_AHEAD = 4
+
+
+def prefetch(queue: DataFrame, per_source: int, failed: list[str] = ()) -> DataFrame:
+    """The downloads to begin, in their order: of the oldest per_source * READ_AHEAD queued items of each
+    source the first per_source that would be imported, but for those begun before; every source's next one
+    comes before any source's further one. queue: source_id, work_id, enabled, importable, begun. Adds
+    turn (how many downloads of the source come before) and place."""
+    oldest = ranked(queue.where(~F.col("source_id").isin(*failed)) if failed else queue, ["source_id"], ["work_id"], "_age")
+    able = oldest.where((F.col("_age") <= per_source * READ_AHEAD) & F.col("enabled") & (F.col("importable") | F.col("begun")))
+    turn = F.row_number().over(Window.partitionBy("source_id").orderBy("work_id")) - 1  # per_source * READ_AHEAD rows at most
+    new = able.withColumn("turn", turn).where((F.col("turn") < per_source) & ~F.col("begun")).select("source_id", "work_id", "turn")
+    return ranked(new.withColumn("_all", F.lit(0)), ["_all"], ["turn", "work_id"], "place").drop("_all")

@@ -14,12 +14,13 @@ _SQL: dict[str, str] = {}
 BEST = "CASE WHEN width IS NULL OR height IS NULL THEN -1 ELSE width * height END"
 
 
-def _query(*relations: str, sql: str, head: str | None = None):
-    """Register a query over bridge relations with its DuckDB twin."""
+def _query(*relations: str, sql: str | None, head: str | None = None):
+    """Register a query over bridge relations with its DuckDB twin, where SQL can say it."""
 
     def add(f):
         _QUERIES[f.__name__] = lambda spark, sf_dir: f(*[relation(spark, sf_dir, r) for r in relations])
-        _SQL[f.__name__] = (ctes(*relations) if head is None else head) + sql
+        if sql is not None:
+            _SQL[f.__name__] = (ctes(*relations) if head is None else head) + sql
         return f
 
     return add

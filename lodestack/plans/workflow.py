@@ -74,15 +74,22 @@ def rematched_reviews(candidates, releases):
 
 
 _DECIDED = """, it AS (SELECT work_id AS item_id, review_status AS status, work_id % 3 AS seen FROM work),
-    de AS (SELECT work_id AS item_id, CASE work_id % 4 WHEN 0 THEN 'accept' WHEN 1 THEN 'reject' ELSE 'defer' END AS decision, work_id % 2 AS saw FROM work WHERE work_id % 5 <> 0),
-    out AS (SELECT it.*, decision, CASE WHEN decision IS NULL THEN 'none' WHEN status NOT IN ('pending', 'deferred') THEN 'final' WHEN saw <> seen THEN 'changed' ELSE 'applied' END AS outcome FROM it LEFT JOIN de USING (item_id)),
-    now AS (SELECT item_id, CASE WHEN outcome = 'applied' THEN CASE decision WHEN 'accept' THEN 'accepted' WHEN 'reject' THEN 'rejected' ELSE 'deferred' END ELSE status END AS status, CASE WHEN outcome = 'applied' THEN seen + 1 ELSE seen END AS seen, outcome FROM out)"""
+    de AS (SELECT work_id AS item_id, CASE work_id % 4 WHEN 0 THEN 'accept' WHEN 1 THEN 'reject' ELSE 'defer' END AS decision, work_id % 2 AS saw, 1 AS turn FROM work WHERE work_id % 5 <> 0
+      UNION ALL SELECT work_id, CASE WHEN work_id % 2 = 0 THEN 'reject' ELSE 'accept' END, work_id % 3, 2 FROM work WHERE work_id % 7 < 2),
+    j AS (SELECT de.*, status, saw = seen AS fresh, status IN ('pending', 'deferred') AS free FROM de JOIN it USING (item_id)),
+    f AS (SELECT item_id, min(turn) AS closed FROM j WHERE fresh AND free AND decision <> 'defer' GROUP BY item_id),
+    o AS (SELECT j.*, CASE WHEN NOT fresh THEN 'changed' WHEN NOT free OR turn > closed THEN 'final' ELSE 'applied' END AS outcome FROM j LEFT JOIN f USING (item_id)),
+    now AS (SELECT it.item_id, coalesce(arg_max(CASE decision WHEN 'accept' THEN 'accepted' WHEN 'reject' THEN 'rejected' ELSE 'deferred' END, turn) FILTER (WHERE outcome = 'applied'), any_value(it.status)) AS status, any_value(it.seen) AS seen,
+      CASE WHEN count(*) FILTER (WHERE outcome = 'applied') > 0 THEN 'applied' ELSE coalesce(arg_min(outcome, turn), 'none') END AS outcome FROM it LEFT JOIN o USING (item_id) GROUP BY it.item_id)"""
 
 
 def _decided(work):
     items = work.select(F.col("work_id").alias("item_id"), F.col("review_status").alias("status"), (F.col("work_id") % 3).alias("seen"))
     decision = F.when(F.col("work_id") % 4 == 0, "accept").when(F.col("work_id") % 4 == 1, "reject").otherwise("defer")
-    return reviews.decided(items, work.where("work_id % 5 <> 0").select(F.col("work_id").alias("item_id"), decision.alias("decision"), (F.col("work_id") % 2).alias("seen")))
+    first = work.where("work_id % 5 <> 0").select(F.col("work_id").alias("item_id"), decision.alias("decision"), (F.col("work_id") % 2).alias("seen"), F.lit(1).alias("seq"))
+    later = F.when(F.col("work_id") % 2 == 0, "reject").otherwise("accept")
+    second = work.where("work_id % 7 < 2").select(F.col("work_id").alias("item_id"), later.alias("decision"), (F.col("work_id") % 3).alias("seen"), F.lit(2).alias("seq"))
+    return reviews.decided(items, first.unionByName(second))
 
 
 @_query("work", sql=_DECIDED + " SELECT * FROM now")
@@ -90,7 +97,7 @@ def bulk_decisions(work):
     return _decided(work)
 
 
-@_query("work", sql=_DECIDED + " SELECT count(*) FILTER (WHERE status NOT IN ('pending', 'deferred')) AS decided, count(*) FILTER (WHERE status IN ('pending', 'deferred')) AS \"left\" FROM now WHERE item_id % 5 <> 0")
+@_query("work", sql=_DECIDED + " SELECT count(*) FILTER (WHERE outcome = 'applied') AS decided, count(*) FILTER (WHERE status IN ('pending', 'deferred')) AS \"left\" FROM now WHERE item_id % 5 <> 0")
 def decision_summary(work):
     return reviews.decision_summary(work.where("work_id % 5 <> 0").select(F.col("work_id").alias("item_id")), _decided(work))
 
@@ -99,7 +106,7 @@ def decision_summary(work):
     "runs",
     "work",
     sql=""", w AS (SELECT w.run_id, r.status, work_id, state, review_status AS review,
-      CASE WHEN state = 'parked' AND r.status <> 'cancelled' THEN CASE review_status WHEN 'accepted' THEN 'queued' WHEN 'rejected' THEN 'done' ELSE state END ELSE state END AS now FROM work w JOIN runs r ON r.run_id = w.run_id)
+      CASE WHEN state = 'parked' AND review_status = 'rejected' THEN 'done' WHEN state = 'parked' AND review_status = 'accepted' AND r.status <> 'cancelled' THEN 'queued' ELSE state END AS now FROM work w JOIN runs r ON r.run_id = w.run_id)
     SELECT run_id, CASE WHEN status = 'completed' AND bool_or(now = 'queued' AND state = 'parked') OVER (PARTITION BY run_id) THEN 'running' ELSE status END AS status, work_id, now AS state, work_id AS item_id, now = 'done' AND state = 'parked' AS dismissed FROM w""",
 )
 def requeued_work(all_runs, work):
@@ -176,7 +183,7 @@ def observed_claims(assets):
 
 @_query("release_editions", "assets", sql=" SELECT id FROM release_editions WHERE id % 9 <> 0 OR id % 27 = 0")
 def merged_editions(releases, assets):
-    merges = releases.where("id % 9 = 0 and id % 27 <> 0").select(F.col("id").alias("from_id"), (F.col("id") - 1).alias("into_id"))
+    merges = releases.where("id % 9 = 0 and id % 27 <> 0").select(F.col("id").alias("from_id"), (F.col("id") - 1).alias("into_id"), F.col("id").alias("seq"))
     claims = assets.select("release_id", "source_id", F.lit("l").alias("location"), F.lit("f").alias("field"), F.lit("").alias("qualifier"), F.lit("v").alias("value"), F.col("k1").alias("seq"))
     return snapshots.merged(releases, claims, merges)[0].select("id")
 

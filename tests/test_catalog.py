@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from lodestack.functions import text
 from lodestack.operators import claims, coverage, library, linking, matching, preference, vault
-from lodestack.plans import registry, workflow  # noqa: F401  (workflow registers its queries)
+from lodestack.plans import changes, registry, workflow  # noqa: F401  (they register their queries)
 from lodestack.sources import datafiles, html, objects
 from lodestack.streaming import queue
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ def plain(value):
     return f"{float(value):.6g}" if isinstance(value, float) or hasattr(value, "quantize") else str(value)
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_equals_its_sql(spark, sf, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -231,12 +231,12 @@ def test_snapshots(spark):
     assets_now, by_now = snapshots.retained(old, by, new)
     assert sorted((r[2], r[3]) for r in assets_now.collect()) == [("a", 5), ("b", 11)]
     assert sorted((r["object_hash"], r["source_id"], r["details"]) for r in by_now.collect()) == [("a", "s", "known"), ("a", "t", "x"), ("b", "s", None)]
-    merges = spark.createDataFrame([(2, 1)], "from_id long, into_id long")
+    merges = spark.createDataFrame([(2, 1, 0)], "from_id long, into_id long, seq long")
     claims_ = spark.createDataFrame([(1, "s", "l", "title", "", "v", 7), (2, "s", "l", "title", "", "v", 3)], "release_id long, source_id string, location string, field string, qualifier string, value string, seq long")
     left, moved = snapshots.merged(spark.createDataFrame([(1,), (2,)], "id long"), claims_, merges)
-    assert [r["id"] for r in left.collect()] == [1] and [(r["release_id"], r["seq"]) for r in moved.collect()] == [(1, 3)]
+    assert [r["id"] for r in left.collect()] == [1] and [(r["release_id"], r["seq"]) for r in moved.collect()] == [(1, 7)]
     items = spark.createDataFrame([(1, [2, 3, 1]), (2, [])], "item_id long, candidates array<long>")
-    assert {r["item_id"]: r["candidates"] for r in snapshots.renamed_candidates(items, merges).collect()} == {1: [1, 3], 2: []}
+    assert {r["item_id"]: r["candidates"] for r in snapshots.renamed_candidates(items, merges).collect()} == {1: [3, 1], 2: []}
     d = spark.createDataFrame([("o", "r", "x")], "object_hash string, recipe string, output string")
     more = spark.createDataFrame([("o", "r", "w"), ("o", "q", "y")], d.schema)
     assert sorted(r["output"] for r in snapshots.recorded(d, more).collect()) == ["x", "y"]
