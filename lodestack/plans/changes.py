@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from lodestack.functions import text
-from lodestack.operators import importing, linking, runs, snapshots
+from lodestack.functions.blake3 import blake3
+from lodestack.operators import importing, linking, planning, runs, snapshots
 from lodestack.plans.bridge import ctes
-from lodestack.plans.registry import _query
+from lodestack.plans.registry import _QUERIES, _query
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,3 +141,31 @@ def duplicate_imports(releases, assets):
 def prefetch_order(work):
     queue = work.where("state = 'queued'").select("source_id", "work_id", (F.col("source_id") != "src5").alias("enabled"), F.expr("work_id % 4 in (1, 2)").alias("importable"), F.expr("work_id % 4 = 3").alias("begun"))
     return runs.prefetch(queue, 5, ["src3"])
+
+
+_FOLDERS = {"box_front": "Named_Boxarts", "title_screen": "Named_Titles", "gameplay_screenshot": "Named_Snaps"}
+
+
+@_query(
+    "release_editions",
+    sql=r""", w AS (SELECT DISTINCT platform, title, regexp_replace(title, '[&*/:"<>?\\|`]', '_', 'g') || '.png' AS file_name FROM release_editions),
+    f(asset_type, folder) AS (VALUES ('box_front', 'Named_Boxarts'), ('title_screen', 'Named_Titles'), ('gameplay_screenshot', 'Named_Snaps')),
+    l AS (SELECT DISTINCT platform, folder, title || '.png' AS file_name FROM release_editions, f WHERE folder <> 'Named_Snaps' AND (id % 3 = 0 OR platform = 'MAME') AND NOT (platform = 'MAME' AND folder = 'Named_Titles'))
+    SELECT platform || '.git/' || folder || '/' || title AS candidate_id, platform, title, asset_type, folder, file_name FROM w, f
+    WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.platform = w.platform AND l.folder = f.folder) OR EXISTS (SELECT 1 FROM l WHERE l.platform = w.platform AND l.folder = f.folder AND l.file_name = w.file_name)""",
+)
+def thumbnail_candidates(releases):
+    folder = F.explode(F.array(F.lit("Named_Boxarts"), F.lit("Named_Titles")))
+    listed = releases.where("id % 3 = 0 or platform = 'MAME'").select("platform", "title", folder.alias("folder")).where("not (platform = 'MAME' and folder = 'Named_Titles')")
+    listings = listed.groupBy("platform", "folder").agg(F.collect_set(F.concat("title", F.lit(".png"))).alias("files"))
+    repositories = releases.select("platform", F.concat("platform", F.lit(".git")).alias("repository")).distinct()
+    return planning.thumbnails(releases, repositories, listings, _FOLDERS)
+
+
+def _addresses(spark, sf_dir):
+    """The addresses of pages as objects."""
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.coalesce("html", F.lit("")).cast("binary").alias("content"))
+    return rows.select("page_id", blake3("content").alias("blake3"), F.sha2("content", 256).alias("sha256"))
+
+
+_QUERIES["object_addresses"] = _addresses

@@ -25,13 +25,24 @@ def _blank_to_null(c):
     return F.nullif(trimmed(c), F.lit(""))
 
 
-def releases(spark: SparkSession, path: str) -> DataFrame:
-    """name, description, platform, version and dumps of every named game of XML datafiles; file is
-    the file's name, as each has its own header."""
+def whole_files(spark: SparkSession, path: str) -> DataFrame:
+    """file of each XML file; an error at one that does not end with the end of its root element, as the
+    rows of a file cut off would look like those of a whole one."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    bare = trimmed(F.regexp_replace("value", r"(?s)<!--.*?-->", ""))
+    root = F.regexp_extract(bare, r"<([A-Za-z_][\w:.-]*)", 1)
+    whole = (root != "") & (F.endswith(bare, F.concat(F.lit("</"), root, F.lit(">"))) | bare.rlike(r"^(<\?[^>]*\?>|<![^>]*>|\s)*<[^<>]*/>$"))
+    return files.select(F.when(whole, F.col("file")).otherwise(F.raise_error(F.concat(F.lit("the datafile "), F.col("file"), F.lit(" ends before its end")))).alias("file"))
+
+
+def releases(spark: SparkSession, path: str, max_games: int | None = None) -> DataFrame:
+    """name, description, platform, version and dumps of every named game of XML datafiles, or of some
+    `max_games` of them; file is the file's name, as each has its own header. A file cut off is an error."""
     read = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path).withColumn("file", F.col("_metadata.file_name"))
     head = read("header", HEADER).select("file", platform_name(F.col("name")).alias("platform"), "version")
     games = read("game", GAME).select("file", _blank_to_null(F.col("_name")).alias("name"), "description", F.coalesce("rom", F.array()).alias("dumps"))
-    return games.where("name is not null").join(head, "file", "left")
+    named = games.where("name is not null").join(head, "file", "left").join(whole_files(spark, path), "file")
+    return named if max_games is None else named.limit(max_games)
 
 
 def skipped(spark: SparkSession, path: str) -> DataFrame:
@@ -64,42 +75,67 @@ def software(spark: SparkSession, path: str) -> DataFrame:
     return named.where("name is not null and title is not null")
 
 
-_TOKEN = re.compile(r'"([^"]*)"|([()])|([^\s()"]+)')
+#: A parenthesis, a quoted text, the start of one that never ends, or a word.
+_TOKEN = re.compile(r'([()])|"([^"]*)"|(")|([^\s()"]+)')
 
 
 def blocks(text: str | None) -> Iterator[tuple]:
-    """Blocks of a game list, `word ( key value key ( ... ) )`, as (entry, kind, key, value, dump);
-    dump numbers the rom blocks of an entry. A file that ends inside a block is an error."""
-    stack: list[list] = []  # [name, pending key]
-    entry, dump, kind, word = -1, -1, "", None
-    for quoted, bracket, plain in _TOKEN.findall(text or ""):
-        if bracket == "(":
-            if not stack:
-                entry, dump, kind = entry + 1, -1, word or ""
-            elif stack[-1][1] == "rom":
-                dump += 1
-            stack.append([stack[-1][1] if stack else kind, None])
-        elif bracket == ")":
-            if not stack:
-                raise ValueError("a block ends that did not begin")
-            stack.pop()
-            if stack:
-                stack[-1][1] = None
-        elif not stack:
-            word = plain or quoted
-        elif stack[-1][1] is None:
-            stack[-1][1] = plain or quoted
+    """Entries of a game list, `word ( key value key ( ... ) )`, as (entry, kind, key, value, dump); dump
+    numbers the rom blocks of an entry. Errors are a quoted text, a block or an entry that doesn't end, an
+    entry without a kind or without fields, a field without a value, and a block without a name."""
+    entry, dump, kind = -1, -1, None
+    depth, pending, names = 0, None, []  # of the block being read: the key that waits for its value; names of those around
+    for bracket, quoted, cut, plain in _TOKEN.findall(text or ""):
+        if cut:
+            raise ValueError("ends inside a quoted text")
+        word = None if bracket else plain or quoted
+        if depth == 0:
+            if kind is None:
+                if word is None:
+                    raise ValueError("has an entry without a kind")
+                kind = word
+            elif bracket != "(":
+                raise ValueError(f"has a {kind} entry without its fields")
+            else:
+                entry, dump, depth = entry + 1, -1, 1
+        elif word is not None and pending is None:
+            pending = word
+        elif word is not None:
+            yield entry, kind, pending, word, dump if names else -1
+            pending = None
+        elif bracket == "(":
+            if pending is None:
+                raise ValueError("has a block without a name")
+            dump += pending == "rom" and depth == 1
+            names.append(pending)
+            depth, pending = depth + 1, None
         else:
-            yield entry, kind, stack[-1][1], quoted or plain, dump if len(stack) > 1 else -1
-            stack[-1][1] = None
-    if stack:
-        raise ValueError("the list ends inside a block")
+            if pending is not None:
+                raise ValueError(f"has a field {pending} without a value")
+            depth -= 1
+            if depth:
+                names.pop()
+            else:
+                kind = None
+    if pending is not None:
+        raise ValueError(f"has a field {pending} without a value")
+    if depth:
+        raise ValueError("ends inside a block")
+    if kind is not None:
+        raise ValueError(f"has a {kind} entry without its fields")
+
+
+def _named(file: str, text: str | None) -> Iterator[tuple]:
+    try:
+        yield from blocks(text)
+    except ValueError as wrong:
+        raise ValueError(f"the game list {file} {wrong}") from None
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32()]
     for batch in batches:
-        rows = [(file, *r) for file, text in zip(*(c.to_pylist() for c in batch.columns)) for r in blocks(text)]
+        rows = [(file, *r) for file, text in zip(*(c.to_pylist() for c in batch.columns)) for r in _named(file, text)]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["file", "entry", "kind", "key", "value", "dump"])
 
 

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from lodestack.functions.blake3 import digest
+from pyarrow import fs as files
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +25,34 @@ def checked(objects: DataFrame) -> DataFrame:
     return objects.select("object_hash", "length", F.when(F.sha2("content", 256) == F.col("object_hash"), "intact").otherwise("corrupt").alias("state"))
 
 
+def _digest(kind: str, content: bytes) -> str:
+    return digest([content])[0].hex() if kind == "blake3" else hashlib.sha256(content).hexdigest()
+
+
+def examined(spark: SparkSession, folder: str, recorded: DataFrame, kind: str = "sha256") -> DataFrame:
+    """The state of each object of `recorded` (object_hash, distinct) and of each file of the store: intact,
+    missing, corrupt (its content has another address, by SHA-256 or BLAKE3) or unreadable. Files are
+    listed first and read in the tasks, so one that can't be read fails alone."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+    name = F.element_at(F.split("path", "/"), -1)
+    listed = listed.where(name.rlike("^[0-9a-f]{64}$")).select("path", name.alias("object_hash"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for path, own in zip(*(c.to_pylist() for c in batch.columns)):
+                try:
+                    store, at = files.FileSystem.from_uri(path)
+                    with store.open_input_stream(at) as f:
+                        found.append("intact" if _digest(kind, f.read()) == own else "corrupt")
+                except OSError:
+                    found.append("unreadable")
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.string())], ["object_hash", "state"])
+
+    states = listed.mapInArrow(read, "object_hash string, state string")
+    return recorded.select("object_hash").join(states, "object_hash", "full").select("object_hash", F.coalesce("state", F.lit("missing")).alias("state"))
+
+
 #: Brands of pictures in the container that they share with videos (fixed values).
 HEIC_BRANDS = ["heic", "heix", "heim", "heis", "hevc", "hevx", "hevm", "hevs"]
 AVIF_BRANDS = ["avif", "avis"]
