@@ -99,3 +99,24 @@ def profiles(spark: SparkSession) -> DataFrame:
     """What each profile asks for: what it adds and what those before it do; no row for a profile that adds nothing."""
     rows = [(f, PROFILE_NAMES[n], n, t) for f, lists in PROFILES.items() for n, ts in enumerate(lists) if ts for own in lists[: n + 1] for t in own]
     return spark.createDataFrame(rows, "family string, profile string, position int, asset_type string")
+
+
+#: Platforms of software lists by the list's short name (fixed values).
+SOFTWARE_LISTS = {
+    "32x": "Sega - 32X", "a2600": "Atari - 2600", "a7800": "Atari - 7800", "coleco": "Coleco - ColecoVision", "dc": "Sega - Dreamcast",
+    "gameboy": "Nintendo - Game Boy", "gamegear": "Sega - Game Gear", "gba": "Nintendo - Game Boy Advance", "gbcolor": "Nintendo - Game Boy Color",
+    "genesis": "Sega - Mega Drive - Genesis", "intv": "Mattel - Intellivision", "lynx": "Atari - Lynx", "megacd": "Sega - Mega-CD - Sega CD",
+    "megadriv": "Sega - Mega Drive - Genesis", "n64": "Nintendo - Nintendo 64", "nes": "Nintendo - Nintendo Entertainment System",
+    "ngp": "SNK - Neo Geo Pocket", "ngpc": "SNK - Neo Geo Pocket Color", "pce": "NEC - PC Engine - TurboGrafx 16", "psx": "Sony - PlayStation",
+    "saturn": "Sega - Saturn", "segacd": "Sega - Mega-CD - Sega CD", "sg1000": "Sega - SG-1000", "sms": "Sega - Master System - Mark III",
+    "snes": "Nintendo - Super Nintendo Entertainment System", "tg16": "NEC - PC Engine - TurboGrafx 16", "vboy": "Nintendo - Virtual Boy",
+    "wscolor": "Bandai - WonderSwan Color", "wswan": "Bandai - WonderSwan",
+}
+#: Regions as software lists abbreviate them (fixed values).
+SHORT_REGIONS = {
+    "Aus": "Australia", "Bra": "Brazil", "Can": "Canada", "Chn": "China", "Den": "Denmark", "Euro": "Europe", "Fin": "Finland", "Fra": "France",
+    "Ger": "Germany", "Hol": "Netherlands", "Ita": "Italy", "Jpn": "Japan", "Kor": "Korea", "Nor": "Norway", "Por": "Portugal", "Rus": "Russia",
+    "Spa": "Spain", "Swe": "Sweden", "Tai": "Taiwan",
+}
+#: Regions that software lists spell out (fixed values).
+LONG_REGIONS = "Asia Australia Brazil Canada China Europe France Germany Italy Japan Korea Netherlands Spain Sweden Taiwan UK USA World".split()

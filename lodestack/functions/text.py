@@ -149,6 +149,21 @@ def parsed_release_name(c: Column) -> Column:
     )
 
 
+def software_name(c: Column) -> Column:
+    """title, region, revision and edition of a software entry's description, as `Zelda (Jpn, Rev. A)`: the
+    parts of the first tag that are regions, abbreviated or spelt out, and all other parts as the edition,
+    `Rev. A` written `Rev A`. The last revision counts."""
+    known = dims.SHORT_REGIONS | {r: r for r in [*dims.LONG_REGIONS, *dims.SHORT_REGIONS.values()]}
+    regions = F.create_map(*[F.lit(x) for pair in sorted(known.items()) for x in pair])
+    parts = F.flatten(F.transform(release_tags(c), lambda tag, i: F.transform(F.filter(F.transform(F.split(tag, ","), trimmed), lambda p: p != ""), lambda p: F.struct(p.alias("part"), F.when(i == 0, F.try_element_at(regions, p)).alias("region")))))
+    rest = F.transform(F.filter(parts, lambda x: x["region"].isNull()), lambda x: F.regexp_replace(x["part"], r"^Rev\. ", "Rev "))
+    region = F.array_join(F.array_compact(F.transform(parts, lambda x: x["region"])), ", ")
+    return F.struct(
+        release_title(c).alias("title"), F.coalesce(F.nullif(region, F.lit("")), F.lit("Unknown")).alias("region"),
+        F.get(F.reverse(F.filter(rest, is_revision)), F.lit(0)).alias("revision"), F.coalesce(F.nullif(F.array_join(rest, " · "), F.lit("")), F.lit("Standard")).alias("edition"),
+    )
+
+
 def described_name(title: Column, region: Column, edition: Column) -> Column:
     """A release's name from its parts: tags of its region and edition where these say anything."""
     tags = F.array_join(F.transform(F.split(edition, " · "), lambda t: F.concat(F.lit(" ("), trimmed(t), F.lit(")"))), "")
@@ -204,7 +219,7 @@ _ILLEGAL = re.compile(r'[<>:"/\\|?*\x00-\x1f\x7f-\x9f]')
 _DEVICE = re.compile(r"\s*(con|prn|aux|nul|com[1-9]|lpt[1-9])\s*(\..*)?", re.IGNORECASE | re.DOTALL)
 
 
-def _on_every_disk(name: str) -> str:
+def on_every_disk(name: str) -> str:
     name = _ILLEGAL.sub("-", unicodedata.normalize("NFC", name)).strip().rstrip(". ") or "_"
     if _DEVICE.fullmatch(name):
         name = "_" + name
@@ -220,7 +235,7 @@ def safe_name(names: pd.Series) -> pd.Series:
     """One file or folder name on every file system: in Unicode's composed form, which Spark has no
     function for, illegal and control characters as dashes, no dots and spaces at the end, no device's
     name, at most 120 characters and 240 bytes with its ending."""
-    return names.map({x: _on_every_disk(x) for x in names.dropna().unique()})
+    return names.map({x: on_every_disk(x) for x in names.dropna().unique()})
 
 
 def thumbnail_name(title: Column) -> Column:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from lodestack.functions import dims
-from lodestack.functions.text import ascii_lower, described_name, extension, listed_languages, name_key, normalised, safe_name, trimmed
+from lodestack.functions.text import ascii_lower, described_name, extension, listed_languages, name_key, normalised, on_every_disk, recorded_name, safe_name, trimmed
 from lodestack.operators.ranks import ranked
+from lodestack.operators.rounds import written
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +30,32 @@ def entries(releases: DataFrame, assets: DataFrame) -> DataFrame:
     return releases.join(nested, releases["id"] == nested["release_id"], "left").drop("release_id")
 
 
+def whole_entries(releases: DataFrame, assets: DataFrame, provenance: DataFrame, claims: DataFrame, derived: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """Releases, all or those of `ids` (id), with their claims in order of observation and their assets in
+    order of retention, each with its provenance and what was derived of its object. assets: release_id,
+    asset_id, asset_type, object_hash. provenance: asset_id, at, source_id, location. claims: release_id,
+    at, source_id, field, value. derived: object_hash, recipe, output."""
+    wanted = releases if ids is None else releases.join(ids.select("id").distinct(), "id", "left_semi")
+    own = assets.join(wanted.select(F.col("id").alias("release_id")), "release_id", "left_semi")
+    nested = lambda rows, key, cols, name: rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
+    from_where = nested(provenance, ["asset_id"], ["at", "source_id", "location"], "provenance")
+    made = nested(derived, ["object_hash"], ["recipe", "output"], "derived")
+    rows = own.join(from_where, "asset_id", "left").join(made, "object_hash", "left")
+    rows = rows.withColumns({"provenance": F.coalesce("provenance", F.array().cast(dict(from_where.dtypes)["provenance"])), "derived": F.coalesce("derived", F.array().cast(dict(made.dtypes)["derived"]))})
+    held = nested(rows, ["release_id"], ["asset_id", "asset_type", "object_hash", "provenance", "derived"], "assets").withColumnRenamed("release_id", "id")
+    said = nested(claims, ["release_id"], ["at", "source_id", "field", "value"], "claims").withColumnRenamed("release_id", "id")
+    out = wanted.join(held, "id", "left").join(said, "id", "left")
+    return out.withColumns({n: F.coalesce(n, F.array().cast(dict(out.dtypes)[n])) for n in ("assets", "claims")})
+
+
+def release_names(releases: DataFrame, claims: DataFrame, datafile_sources: list[str]) -> DataFrame:
+    """id and the name that sources know a release by: that of its first datafile record, else title and tags."""
+    rows = claims.where((F.col("field") == "identifier") & (F.col("qualifier") == "source_record") & F.col("source_id").isin(*datafile_sources))
+    named = rows.select("release_id", "seq", recorded_name(F.col("value")).alias("recorded")).where("recorded is not null")
+    first = named.groupBy(F.col("release_id").alias("id")).agg(F.min_by("recorded", "seq").alias("recorded"))
+    return releases.join(first, "id", "left").select("id", F.coalesce("recorded", described_name(F.col("title"), F.col("region"), F.col("edition"))).alias("name"))
+
+
 def search(releases: DataFrame, text: str = "", platforms: list[str] | None = None, regions: list[str] | None = None, asset_types: list[str] | None = None) -> DataFrame:
     """Facets: any of a facet's values, all facets; no values, no restriction."""
     keep: Column = F.lit(True)
@@ -80,12 +107,14 @@ def export_paths(releases: DataFrame, assets: DataFrame, platforms: list[str] |
     rows = releases
     if platforms:
         rows = rows.where(ascii_lower(trimmed(F.col("platform"))).isin(*[p.strip().lower() for p in platforms]))
-    rows = assets.join(rows, assets["release_id"] == rows["id"])
-    label = safe_name(dims.lookup(dims.LABELS, F.col("asset_type")))
-    folder = F.concat_ws("/", safe_name(F.col("platform")), safe_name(described_name(F.col("title"), F.col("region"), F.col("edition"))), label)
-    rows = rows.select("release_id", "asset_type", "object_hash", "byte_len", *[k for k in ("k1", "k2", "k3") if k in assets.columns], folder.alias("folder"), file_name(F.col("original_filename"), F.col("media_type")).alias("file"))
-    key = F.lower(F.concat_ws("/", "folder", "file"))
-    rows = rows.withColumn("path_key", key)
+    # names are made once for each release, each label and each distinct file, not for each asset
+    release = rows.select(F.col("id").alias("release_id"), F.concat_ws("/", safe_name(F.col("platform")), safe_name(described_name(F.col("title"), F.col("region"), F.col("edition")))).alias("folder"))
+    label = dims.lookup({t: on_every_disk(x) for t, x in dims.LABELS.items()}, F.col("asset_type"))
+    files = assets.select("original_filename", "media_type").distinct().withColumn("file", file_name(F.col("original_filename"), F.col("media_type")))
+    on = F.col("a.original_filename").eqNullSafe(F.col("f.original_filename")) & F.col("a.media_type").eqNullSafe(F.col("f.media_type"))
+    rows = assets.alias("a").join(files.alias("f"), on).select("a.*", "f.file").join(release, "release_id")
+    rows = rows.select("release_id", "asset_type", "object_hash", "byte_len", *[k for k in ("k1", "k2", "k3") if k in assets.columns], F.concat_ws("/", "folder", label).alias("folder"), "file")
+    rows = written(rows.withColumn("path_key", F.lower(F.concat_ws("/", "folder", "file"))), "export-paths")
     shared = rows.groupBy("path_key").agg(F.count("*").alias("holders"))
     end = F.when(extension(F.col("file")) != "", F.concat(F.lit("."), extension(F.col("file")))).otherwise("")
     stem = F.substring(F.col("file"), F.lit(1), F.length("file") - F.length(end))

@@ -10,12 +10,14 @@ UNDECIDED = ["pending", "deferred"]
 
 
 def counters(runs: DataFrame, work: DataFrame) -> DataFrame:
-    """Filtered counts per run in one aggregate, runs without work included."""
+    """Filtered counts per run in one aggregate, runs without work included; those of work below the quality
+    asked for, and outranked by what is there, where `work` has these columns (shortfalls, outranked_by)."""
     count = lambda cond: F.count(F.when(cond, 1))
     s, open_review = F.col("state"), F.col("review_status").isin(*UNDECIDED)
     per = work.groupBy("run_id").agg(
         count(s == "queued").alias("queued"), count(s == "parked").alias("parked"), count(s == "done").alias("done"),
         count((s == "parked") & open_review).alias("needs_review"), count(F.col("unavailable")).alias("unavailable"),
+        *[count(F.col(c).isNotNull()).alias(n) for c, n in (("shortfalls", "below_quality"), ("outranked_by", "outranked")) if c in work.columns],
         count(F.col("skipped")).alias("skipped"), count((s == "done") & (F.col("review_status") == "rejected")).alias("dismissed"),
     )
     names = [c for c in per.columns if c != "run_id"]
@@ -93,3 +95,15 @@ def prefetch(queue: DataFrame, per_source: int, failed: list[str] = ()) -> DataF
     turn = F.row_number().over(Window.partitionBy("source_id").orderBy("work_id")) - 1  # per_source * READ_AHEAD rows at most
     new = able.withColumn("turn", turn).where((F.col("turn") < per_source) & ~F.col("begun")).select("source_id", "work_id", "turn")
     return ranked(new.withColumn("_all", F.lit(0)), ["_all"], ["turn", "work_id"], "place").drop("_all")
+
+
+def known_sources(discoveries: DataFrame, batches: DataFrame) -> DataFrame:
+    """Sources whose discovery for a run is done or goes on in batches: they may have queued work."""
+    return discoveries.select("run_id", "source_id").unionByName(batches.select("run_id", "source_id")).distinct()
+
+
+def all_discovered(planned: DataFrame, complete: DataFrame) -> DataFrame:
+    """Whether every planned source of a run has been asked for all games; planned: run_id, source_id."""
+    done = complete.select("run_id", "source_id").distinct().withColumn("done", F.lit(True))
+    rows = planned.select("run_id", "source_id").distinct().join(done, ["run_id", "source_id"], "left")
+    return rows.groupBy("run_id").agg(F.bool_and(F.coalesce("done", F.lit(False))).alias("all_discovered"))

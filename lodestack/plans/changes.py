@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lodestack.functions import text
 from lodestack.functions.blake3 import blake3
-from lodestack.operators import importing, linking, planning, runs, snapshots
+from lodestack.operators import claims, importing, library, linking, planning, runs, snapshots, vault
 from lodestack.plans.bridge import ctes
 from lodestack.plans.registry import _QUERIES, _query
 from pyspark.sql import DataFrame
@@ -19,7 +19,7 @@ def _import(releases: DataFrame) -> tuple[DataFrame, ...]:
     """Records of five sources in the order of their ids, on a catalog that has those of the lowest ids."""
     spark = releases.sparkSession
     region, edition = F.when(F.col("id") % 3 == 0, " USA ").otherwise("usa"), F.when(F.col("id") % 8 == 0, "Deluxe").otherwise("Standard")
-    dumps = F.when(F.col("id") % 3 == 1, (F.col("id") % 40).cast("string"))
+    dumps = F.when(F.col("id") % 3 == 1, (F.col("id") % 12).cast("string"))
     rows = releases.select((F.col("id") + 1_000_000_000).alias("seq"), _source(5).alias("source_id"), F.col("id").cast("string").alias("record_id"), F.lit("f").alias("location"), "title", "platform", region.alias("region"), edition.alias("edition"), dumps.alias("dump_set"))
     editions = spark.createDataFrame([], "id long, game_id long, platform string, region string, edition string")
     claims = spark.createDataFrame([], "release_id long, source_id string, location string, field string, qualifier string, value string, seq long")
@@ -29,7 +29,7 @@ def _import(releases: DataFrame) -> tuple[DataFrame, ...]:
 
 #: Record by record, on the list of those before it.
 _FOLD = """, rec AS (SELECT row_number() OVER (ORDER BY id) AS k, id + 1000000000 AS seq, 'src' || (id % 5)::VARCHAR AS s, lower(trim(title)) AS t, lower(trim(platform)) AS p, 'usa' AS r,
-      CASE WHEN id % 8 = 0 THEN 'deluxe' ELSE 'standard' END AS e, CASE WHEN id % 3 = 1 THEN (id % 40)::VARCHAR END AS d FROM release_editions),
+      CASE WHEN id % 8 = 0 THEN 'deluxe' ELSE 'standard' END AS e, CASE WHEN id % 3 = 1 THEN (id % 12)::VARCHAR END AS d FROM release_editions),
     fold AS (
       SELECT 0::BIGINT AS k, []::STRUCT(seq BIGINT, s VARCHAR, t VARCHAR, p VARCHAR, e VARCHAR, d VARCHAR, rel BIGINT, game BIGINT, outcome VARCHAR)[] AS st
       UNION ALL
@@ -169,3 +169,94 @@ def _addresses(spark, sf_dir):
 
 
 _QUERIES["object_addresses"] = _addresses
+
+
+@_query(
+    "release_editions",
+    "assets",
+    "assertions",
+    sql=""", a AS (SELECT release_id, k1 * 100000 + k2 * 10000 + k3 AS asset_id, asset_type, object_hash, source_id FROM assets),
+    p AS (SELECT asset_id, string_agg(source_id || '@' || n, ';' ORDER BY n) AS told, count(*) AS n FROM (SELECT asset_id, source_id, unnest([1, 2][:1 + (asset_id % 2)::INT]) AS n FROM a WHERE asset_id % 3 <> 0) GROUP BY asset_id),
+    d AS (SELECT object_hash, string_agg(DISTINCT asset_type, ';' ORDER BY asset_type) AS made FROM a WHERE asset_id % 5 = 0 GROUP BY object_hash),
+    h AS (SELECT release_id, string_agg(a.asset_id || ':' || asset_type || ':' || coalesce(told, '') || ':' || coalesce(made, ''), '|' ORDER BY a.asset_id, asset_type, a.object_hash) AS held FROM a LEFT JOIN p USING (asset_id) LEFT JOIN d ON d.object_hash = a.object_hash GROUP BY release_id),
+    c AS (SELECT release_id, string_agg(source_id || '=' || value, '|' ORDER BY k1, k2, k3, source_id, value) AS said FROM assertions GROUP BY release_id)
+    SELECT id, title, coalesce(held, '') AS assets, coalesce(said, '') AS claims FROM release_editions r LEFT JOIN h ON h.release_id = id LEFT JOIN c ON c.release_id = id WHERE EXISTS (SELECT 1 FROM assets x WHERE x.release_id = r.id AND x.k2 = 2)""",
+)
+def whole_entries(releases, assets, assertions):
+    rows = assets.select("release_id", (F.col("k1") * 100_000 + F.col("k2") * 10_000 + F.col("k3")).alias("asset_id"), "asset_type", "object_hash", "source_id")
+    at = F.explode(F.when(F.col("asset_id") % 2 == 1, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    provenance = rows.where("asset_id % 3 <> 0").select("asset_id", "source_id", at.alias("at"), F.lit("l").alias("location"))
+    derived = rows.where("asset_id % 5 = 0").select("object_hash", F.col("asset_type").alias("recipe"), F.lit("o").alias("output")).distinct()
+    said = assertions.select("release_id", F.struct("k1", "k2", "k3").alias("at"), "source_id", F.lit("title").alias("field"), "value")
+    found = library.whole_entries(releases, rows.drop("source_id"), provenance, said, derived, assets.where("k2 = 2").select(F.col("release_id").alias("id")))
+    told = lambda p: F.concat(p["source_id"], F.lit("@"), p["at"].cast("string"))
+    one = lambda a: F.concat_ws(":", a["asset_id"].cast("string"), a["asset_type"], F.array_join(F.transform(a["provenance"], told), ";"), F.array_join(F.transform(a["derived"], lambda d: d["recipe"]), ";"))
+    return found.select("id", "title", F.array_join(F.transform("assets", one), "|").alias("assets"), F.array_join(F.transform("claims", lambda c: F.concat(c["source_id"], F.lit("="), c["value"])), "|").alias("claims"))
+
+
+@_query(
+    "release_editions",
+    sql=""", c AS (SELECT id AS release_id, n, CASE WHEN (id + n) % 4 = 0 THEN 'other' ELSE 'df' || n END AS source_id,
+      CASE WHEN (id + n) % 3 = 0 THEN octet_length(encode(platform)) || ':' || platform || title || ' (Rec ' || n || ')' WHEN (id + n) % 3 = 1 THEN 'x:' || platform ELSE '0:  ' END AS value FROM release_editions, (SELECT unnest([1, 2, 3]) AS n)),
+    f AS (SELECT release_id, arg_min(n, n) AS n FROM c WHERE source_id <> 'other' AND (release_id + n) % 3 = 0 GROUP BY release_id)
+    SELECT id, CASE WHEN n IS NOT NULL THEN title || ' (Rec ' || n || ')' ELSE title || CASE WHEN lower(region) = 'unknown' THEN '' ELSE ' (' || region || ')' END || CASE WHEN lower(edition) = 'standard' THEN '' ELSE ' (' || edition || ')' END END AS name
+    FROM release_editions LEFT JOIN f ON release_id = id""",
+)
+def release_names(releases):
+    rows = releases.withColumn("n", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    turn, name = (F.col("id") + F.col("n")) % 3, F.concat("title", F.lit(" (Rec "), F.col("n").cast("string"), F.lit(")"))
+    value = F.when(turn == 0, text.source_record(F.col("platform"), name)).when(turn == 1, F.concat(F.lit("x:"), "platform")).otherwise("0:  ")
+    source = F.when((F.col("id") + F.col("n")) % 4 == 0, "other").otherwise(F.concat(F.lit("df"), F.col("n").cast("string")))
+    said = rows.select(F.col("id").alias("release_id"), F.col("n").alias("seq"), source.alias("source_id"), F.lit("identifier").alias("field"), F.lit("source_record").alias("qualifier"), value.alias("value"))
+    return library.release_names(releases, said, ["df1", "df2", "df3"])
+
+
+@_query(
+    "assertions",
+    sql=""", own AS (SELECT release_id, source_id, arg_max(value, (k1, k2, k3, value)) AS value, max((k1, k2, k3)) AS seen FROM assertions GROUP BY ALL),
+    v AS (SELECT *, lower(regexp_replace(value, '\\s', '', 'g')) AS key FROM own),
+    g AS (SELECT release_id, key, count(*) AS n, min((v.seen, source_id)) AS first FROM v GROUP BY ALL),
+    b AS (SELECT release_id, key AS best FROM g QUALIFY row_number() OVER (PARTITION BY release_id ORDER BY n DESC, first) = 1)
+    SELECT release_id, coalesce(string_agg(source_id, ',' ORDER BY source_id) FILTER (WHERE key = best), '') AS contributing, coalesce(string_agg(source_id || '=' || trim(value), ',' ORDER BY source_id) FILTER (WHERE key <> best), '') AS conflicting FROM v JOIN b USING (release_id) GROUP BY release_id""",
+)
+def judged_claims(assertions):
+    found = claims.judged(assertions)
+    return found.select("release_id", F.array_join(F.transform("contributing", lambda x: x["source_id"]), ",").alias("contributing"), F.array_join(F.transform("conflicting", lambda x: F.concat(x["source_id"], F.lit("="), x["value"])), ",").alias("conflicting"))
+
+
+@_query(
+    "assets",
+    sql=""", f AS (SELECT DISTINCT CASE WHEN k2 <= 4 THEN 'derived' ELSE 'original' END AS area, object_hash, CASE k2 WHEN 1 THEN 'missing' WHEN 2 THEN 'corrupt' WHEN 3 THEN 'orphaned' WHEN 4 THEN 'unreadable' ELSE 'unreferenced' END AS state FROM assets WHERE k1 % 7 = 0 AND k2 <= 5),
+    d AS (SELECT DISTINCT object_hash AS output, asset_type AS recipe, [object_hash, md5(object_hash)] AS originals FROM assets WHERE k1 % 5 = 0), r AS (SELECT DISTINCT object_hash FROM assets WHERE k1 % 3 = 0 UNION SELECT DISTINCT md5(object_hash) FROM assets WHERE k1 % 2 = 0)
+    SELECT 'forget' AS action, output AS object_hash, recipe FROM d WHERE output IN (SELECT object_hash FROM f WHERE area = 'derived' AND state IN ('missing', 'corrupt')) OR output NOT IN (SELECT object_hash FROM r) OR md5(output) NOT IN (SELECT object_hash FROM r)
+    UNION SELECT 'remove_derived', object_hash, NULL FROM f WHERE area = 'derived' AND state IN ('corrupt', 'orphaned') AND object_hash NOT IN (SELECT object_hash FROM f WHERE area = 'derived' AND state = 'unreadable')
+    UNION SELECT 'collect_original', object_hash, NULL FROM f WHERE area = 'original'""",
+)
+def vault_repairs(assets):
+    area = F.when(F.col("k2") <= 4, "derived").otherwise("original")
+    state = F.element_at(F.array(*[F.lit(s) for s in ("missing", "corrupt", "orphaned", "unreadable", "unreferenced")]), F.col("k2").cast("int"))
+    found = assets.where("k1 % 7 = 0 and k2 <= 5").select(area.alias("area"), "object_hash", state.alias("state")).distinct()
+    derivatives = assets.where("k1 % 5 = 0").select(F.col("object_hash").alias("output"), F.col("asset_type").alias("recipe"), F.array("object_hash", F.md5("object_hash")).alias("originals")).distinct()
+    referenced = assets.where("k1 % 3 = 0").select("object_hash").unionByName(assets.where("k1 % 2 = 0").select(F.md5("object_hash").alias("object_hash")))
+    return vault.repairs(found, derivatives, referenced, True, True, True)
+
+
+@_query(
+    "assets",
+    sql=""", b AS (SELECT DISTINCT release_id, object_hash AS front, 'packaging-model-' || asset_type || '-' || md5(object_hash) || '-s' AS recipe FROM assets WHERE k1 % 3 = 0), m AS (SELECT DISTINCT object_hash, asset_type FROM assets WHERE k1 % 11 = 0)
+    SELECT release_id, front AS front_hash, recipe, CASE WHEN EXISTS (SELECT 1 FROM m WHERE object_hash = front AND 'packaging-model-' || asset_type || '-' || md5(object_hash) || '-s' = recipe) OR release_id > min(release_id) OVER (PARTITION BY front, recipe) THEN 'up_to_date' ELSE 'built' END AS state FROM b""",
+)
+def packaging_models(assets):
+    keyed = assets.withColumn("recipe", vault.recipe_key(F.col("asset_type"), F.md5("object_hash"), F.lit("s")))
+    bases = keyed.where("k1 % 3 = 0").select("release_id", F.col("object_hash").alias("front_hash"), "recipe").distinct()
+    return vault.models_to_build(bases, keyed.where("k1 % 11 = 0").select("object_hash", "recipe"))
+
+
+@_query("work", sql=" SELECT run_id, bool_and(state = 'done') AS all_discovered FROM (SELECT run_id, source_id, max(CASE WHEN state = 'done' THEN 'done' ELSE '' END) AS state FROM work GROUP BY ALL) GROUP BY run_id")
+def discovered_runs(work):
+    return runs.all_discovered(work, work.where("state = 'done'"))
+
+
+@_query("work", sql=" SELECT run_id, source_id FROM work WHERE state = 'done' UNION SELECT run_id, source_id FROM work WHERE state = 'parked'")
+def sources_with_work(work):
+    return runs.known_sources(work.where("state = 'done'"), work.where("state = 'parked'"))

@@ -6,7 +6,8 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from lodestack.functions.text import platform_name, trimmed
+from lodestack.functions import dims
+from lodestack.functions.text import platform_name, software_name, source_record, trimmed
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,6 +76,21 @@ def software(spark: SparkSession, path: str) -> DataFrame:
     return named.where("name is not null and title is not null")
 
 
+def software_releases(spark: SparkSession, path: str) -> DataFrame:
+    """Releases of software lists: platform (of the list's name, else its description, else its name),
+    title, region, revision, edition, and identifiers as (qualifier, value) in their order. Entries without
+    a short name or a description are left out."""
+    head = spark.read.format("xml").option("rowTag", "softwarelist").schema("_name string, _description string").load(path)
+    head = head.select(F.col("_metadata.file_name").alias("file"), F.coalesce("_name", F.lit("")).alias("list"), _blank_to_null(F.col("_description")).alias("about"))
+    rows = spark.read.format("xml").option("rowTag", "software").schema(SOFTWARE).load(path).withColumn("file", F.col("_metadata.file_name"))
+    rows = rows.select("file", _blank_to_null(F.col("_name")).alias("software"), _blank_to_null(F.col("description")).alias("description"), F.col("_cloneof").alias("clone_of"), "year", "publisher")
+    rows = rows.where("software is not null and description is not null").join(head, "file").withColumn("n", software_name(F.col("description")))
+    named = {"source_record": source_record(F.col("list"), F.col("software")), "software_list": F.col("list"), "software": F.col("software"), "clone_of": F.col("clone_of"), "year": F.col("year"), "publisher": F.col("publisher")}
+    ids = F.filter(F.array(*[F.struct(F.lit(k).alias("qualifier"), _blank_to_null(v).alias("value")) for k, v in named.items()]), lambda x: x["value"].isNotNull())
+    platform = F.coalesce(dims.lookup(dims.SOFTWARE_LISTS, F.col("list")), "about", "list")
+    return rows.select("file", platform.alias("platform"), "n.title", "n.region", "n.revision", "n.edition", ids.alias("identifiers"))
+
+
 #: A parenthesis, a quoted text, the start of one that never ends, or a word.
 _TOKEN = re.compile(r'([()])|"([^"]*)"|(")|([^\s()"]+)')
 

@@ -139,3 +139,60 @@ def test_platform_names_are_trimmed_at_each_step(spark):
     assert [r[0] for r in rows.collect()] == ["GB", "GB", "GB(Headered)", "GB (Headered) X", "(Headered)", None]
 
 
+
+
+def test_software_names(spark):
+    told = {
+        "Zelda no Densetsu (Jpn, Rev. A)": ("Zelda no Densetsu", "Japan", "Rev A", "Rev A"),
+        "Game (Euro, USA, Prototype) (Alt, Jpn)": ("Game", "Europe, USA", None, "Prototype · Alt · Jpn"),
+        "Plain": ("Plain", "Unknown", None, "Standard"),
+        "Old (World, Rev 1) (v2.0)": ("Old", "World", "v2.0", "Rev 1 · v2.0"),
+    }
+    rows = spark.createDataFrame([(k,) for k in told], "d string").select("d", text.software_name(F.col("d")).alias("n"))
+    assert {r["d"]: tuple(r["n"]) for r in rows.collect()} == told
+
+
+def test_software_releases(spark, tmp_path):
+    from lodestack.sources import datafiles
+
+    lists = {
+        "nes.xml": '<softwarelist name="nes" description="NES carts"><software name="a" cloneof="b"><description>A (USA)</description><year>1990</year></software><software name="c"><description> </description></software></softwarelist>',
+        "odd.xml": '<softwarelist name="odd" description=" Odd things "><software name="x"><description>X</description><publisher>P</publisher></software></softwarelist>',
+    }
+    for name, content in lists.items():
+        (tmp_path / name).write_text(content)
+    got = {r["file"]: (r["platform"], r["title"], r["region"], [tuple(i) for i in r["identifiers"]]) for r in datafiles.software_releases(spark, str(tmp_path)).collect()}
+    assert got == {
+        "nes.xml": ("Nintendo - Nintendo Entertainment System", "A", "USA", [("source_record", "3:nesa"), ("software_list", "nes"), ("software", "a"), ("clone_of", "b"), ("year", "1990")]),
+        "odd.xml": ("Odd things", "X", "Unknown", [("source_record", "3:oddx"), ("software_list", "odd"), ("software", "x"), ("publisher", "P")]),
+    }
+
+
+@pytest.mark.parametrize(
+    ("content", "told"),
+    [
+        ('{"format_version": 1, "request": {"games": ["a"]}}', None),
+        ('{"format_version": 2, "request": {}}', "has the version 2 and not 1"),
+        ('{"format_version": 1, "request": {"gams": 1, "Games": 2}, "more": 1}', "has unknown keys: Games, gams, more"),
+        ("[1]", "is no request document"),
+        ("not json", "is no request document"),
+    ],
+)
+def test_request_documents(spark, tmp_path, content, told):
+    from lodestack.sources import requests
+
+    (tmp_path / "r.json").write_text(content)
+    rows = requests.documents(spark, str(tmp_path))
+    if told:
+        with pytest.raises(Exception, match=f"r.json {told}"):
+            rows.collect()
+    else:
+        assert [r["request"] for r in rows.collect()] == ['{"games":["a"]}']
+
+
+def test_counts_of_work_below_quality(spark):
+    from lodestack.operators import runs
+
+    work = spark.createDataFrame([(1, "done", "", False, False, "small", None), (1, "done", "", False, False, None, "h"), (1, "done", "", False, False, None, None)], "run_id long, state string, review_status string, unavailable boolean, skipped boolean, shortfalls string, outranked_by string")
+    row = runs.counters(spark.createDataFrame([(1, "running")], "run_id long, status string"), work).first()
+    assert (row["done"], row["below_quality"], row["outranked"]) == (3, 1, 1)
