@@ -16,10 +16,10 @@ _STATE = "CASE o_orderstatus WHEN 'O' THEN 'queued' WHEN 'P' THEN 'parked' ELSE
 _REVIEW = "CASE o_orderpriority WHEN '1-URGENT' THEN 'pending' WHEN '2-HIGH' THEN 'deferred' WHEN '3-MEDIUM' THEN 'accepted' WHEN '4-NOT SPECIFIED' THEN 'rejected' ELSE 'superseded' END"
 
 SQL = {
-    "release_editions": f"""SELECT p_partkey AS id, min(p_partkey) OVER (PARTITION BY p_name) AS game_id, p_name AS title,
+    "release_editions": f"""SELECT p_partkey AS id, game AS game_id, p_name AS title,
         CASE p_type WHEN 'ECONOMY' THEN 'Nintendo - Game Boy' WHEN 'LARGE' THEN 'Sony - PlayStation' WHEN 'MEDIUM' THEN 'Sony - PlayStation 2'
           WHEN 'PROMO' THEN 'Nintendo - Nintendo DS' WHEN 'SMALL' THEN 'MAME' ELSE 'Other (Digital)' END AS platform,
-        {_REGION} AS region, CASE WHEN p_size % 3 = 0 THEN 'Standard' ELSE p_brand END AS edition FROM part""",
+        {_REGION} AS region, CASE WHEN p_size % 3 = 0 THEN 'Standard' ELSE p_brand END AS edition FROM part JOIN (SELECT p_name AS named, min(p_partkey) AS game FROM part GROUP BY p_name) ON named = p_name""",
     "assets": f"""SELECT l_partkey AS release_id, {_TYPE} AS asset_type, l_orderkey AS k1, l_linenumber AS k2, l_suppkey AS k3,
         md5('o' || cast((l_partkey * 31 + l_suppkey) % 5000 AS STRING)) AS object_hash,
         cast(round(l_extendedprice * 100) AS BIGINT) AS byte_len,

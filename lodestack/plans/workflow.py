@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lodestack.functions import text
 from lodestack.operators import coverage, matching, reference, reviews, search, snapshots, summaries
+from lodestack.operators.ranks import ranked
 from lodestack.plans.registry import _COVERED, _PAIRS, _SUMMARY, _query
 from pyspark.sql import functions as F
 
@@ -175,9 +176,9 @@ def packaging_slots(assets):
 @_query("assets", sql=""", c AS (SELECT release_id, source_id, media_type AS location, asset_type AS field, object_hash AS value, row_number() OVER (ORDER BY k1, k2, k3, release_id) AS seq, k1 % 10 = 0 AS again FROM assets)
     SELECT release_id, source_id, location, field, '' AS qualifier, value, max(CASE WHEN again THEN seq + (SELECT max(seq) FROM c WHERE NOT again) + 1 ELSE seq END) AS seq FROM c GROUP BY ALL""")
 def observed_claims(assets):
-    from pyspark.sql import Window
-
-    rows = assets.select("release_id", "source_id", F.col("media_type").alias("location"), F.col("asset_type").alias("field"), F.lit("").alias("qualifier"), F.col("object_hash").alias("value"), F.row_number().over(Window.orderBy("k1", "k2", "k3", "release_id")).cast("long").alias("seq"), (F.col("k1") % 10 == 0).alias("again"))
+    own = assets.withColumn("all", F.lit(0))
+    rows = ranked(own, ["all"], ["k1", "k2", "k3", "release_id"], "seq").withColumn("again", F.col("k1") % 10 == 0)
+    rows = rows.select("release_id", "source_id", F.col("media_type").alias("location"), F.col("asset_type").alias("field"), F.lit("").alias("qualifier"), F.col("object_hash").alias("value"), "seq", "again")
     return snapshots.observed(rows.where("not again").drop("again"), rows.where("again").drop("again"))
 
 

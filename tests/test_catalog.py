@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from lodestack.functions import text
 from lodestack.operators import claims, coverage, library, linking, matching, preference, vault
-from lodestack.plans import changes, registry, workflow  # noqa: F401  (they register their queries)
+from lodestack.plans import changes, details, registry, workflow  # noqa: F401  (they register their queries)
 from lodestack.sources import datafiles, html, objects
 from lodestack.streaming import queue
 from pyspark.sql import functions as F
