@@ -120,3 +120,16 @@ SHORT_REGIONS = {
 }
 #: Regions that software lists spell out (fixed values).
 LONG_REGIONS = "Asia Australia Brazil Canada China Europe France Germany Italy Japan Korea Netherlands Spain Sweden Taiwan UK USA World".split()
+#: Platforms that share an atlas of maps with others: the atlas, and the words that say the platform (fixed values).
+SHARED_ATLASES = {
+    "Nintendo - Game Boy": ("GB-GBC", ["Game Boy", "GB"]),
+    "Nintendo - Game Boy Color": ("GB-GBC", ["Game Boy Color", "GBC"]),
+    "Nintendo - Nintendo Entertainment System": ("NES", ["NES", "Famicom"]),
+    "Nintendo - Family Computer Disk System": ("NES", ["Famicom Disk System", "Disk System", "FDS"]),
+    "NEC - PC Engine - TurboGrafx-16": ("TG16", ["TurboGrafx-16", "PC Engine", "TG16"]),
+    "NEC - PC Engine CD - TurboGrafx-CD": ("TG16", ["TurboGrafx-CD", "PC Engine CD", "CD-ROM2"]),
+    "SNK - Neo Geo Pocket": ("NGP-NGPC", ["Neo Geo Pocket", "NGP"]),
+    "SNK - Neo Geo Pocket Color": ("NGP-NGPC", ["Neo Geo Pocket Color", "NGPC"]),
+    "Bandai - WonderSwan": ("WS-WSC", ["WonderSwan", "WS"]),
+    "Bandai - WonderSwan Color": ("WS-WSC", ["WonderSwan Color", "WSC"]),
+}

@@ -149,6 +149,16 @@ def parsed_release_name(c: Column) -> Column:
     )
 
 
+def atlas_title(title: Column, atlas: Column) -> Column:
+    """title and platform of a game on an atlas that several platforms share: words in parentheses at its end
+    that say one of them are no part of the title; no platform where there are none."""
+    said = {f"{a}|{''.join(ch for ch in w.lower() if ch.isalnum())}": p for p, (a, words) in dims.SHARED_ATLASES.items() for w in words}
+    parts = r"(?s)^(.*) \(((?:(?! \().)*)\)$"
+    platform = dims.lookup(said, F.concat(atlas, F.lit("|"), name_key(F.regexp_extract(title, parts, 2))))
+    base = F.regexp_replace(F.regexp_extract(title, parts, 1), r"(?U)\s+$", "")
+    return F.struct(F.when(platform.isNotNull(), base).otherwise(title).alias("title"), platform.alias("platform"))
+
+
 def software_name(c: Column) -> Column:
     """title, region, revision and edition of a software entry's description, as `Zelda (Jpn, Rev. A)`: the
     parts of the first tag that are regions, abbreviated or spelt out, and all other parts as the edition,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestack.operators import matching
+from lodestack.operators import matching, preference
 from lodestack.operators.runs import UNDECIDED
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,6 +83,21 @@ def settled(work: DataFrame) -> DataFrame:
     return work.withColumn("settled", why).withColumn("state", F.when(why.isNotNull() & (F.col("state") == "queued"), "done").otherwise(F.col("state")))
 
 
+def candidate_outcomes(newcomers: DataFrame, retained: DataFrame, items: DataFrame, kept: int) -> DataFrame:
+    """What becomes of originals of high confidence: human_decision_conflict where the candidate was rejected
+    or accepted for another release; outranked where `kept` retained assets of its release and type rank
+    above it (then with the one that does); else linked. All are judged by what is retained before.
+    newcomers: identity, release_id and an asset's columns. items: identity, status, accepted_id. Adds review,
+    the item's status after: without a conflict an undecided or superseded one is auto_resolved."""
+    slot, order = preference.SLOT, preference.ORDER
+    above = preference.outranked(retained, newcomers, kept).withColumnsRenamed({f"new_{c}": c for c in order})
+    rows = newcomers.select("identity", *slot, *order).join(above, [*slot, *order], "left").join(items, "identity", "left")
+    conflict = F.coalesce((F.col("status") == "rejected") | ((F.col("status") == "accepted") & (F.col("accepted_id") != F.col("release_id"))), F.lit(False))
+    outcome = F.when(conflict, "human_decision_conflict").when(F.col("outranker").isNotNull(), "outranked").otherwise("linked")
+    closes = F.col("status").isin(*UNDECIDED, "superseded")
+    return rows.select("identity", *slot, *order, outcome.alias("outcome"), F.when(~conflict, F.col("outranker")).alias("outranker"), F.when(closes, "auto_resolved").otherwise(F.col("status")).alias("review"))
+
+
 RUN_MOVES = [("running", "paused"), ("paused", "running"), ("running", "cancelled"), ("paused", "cancelled"), ("running", "completed")]
 
 

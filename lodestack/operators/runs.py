@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lodestack.operators.ranks import ranked
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNDECIDED = ["pending", "deferred"]
@@ -107,3 +107,25 @@ def all_discovered(planned: DataFrame, complete: DataFrame) -> DataFrame:
     done = complete.select("run_id", "source_id").distinct().withColumn("done", F.lit(True))
     rows = planned.select("run_id", "source_id").distinct().join(done, ["run_id", "source_id"], "left")
     return rows.groupBy("run_id").agg(F.bool_and(F.coalesce("done", F.lit(False))).alias("all_discovered"))
+
+
+def moved_runs(runs: DataFrame, moves: DataFrame) -> DataFrame:
+    """Moves of runs in their order, each made only on the version that its asker saw: compare and set. runs:
+    run_id, status, version, queued. moves: run_id, target, version, seq. One row per move with its outcome:
+    not_found, changed (another version is there), unchanged, has_queued_work, refused or applied, which
+    makes the next version. A run's moves are folded in one row, as each depends on those before."""
+    from lodestack.operators.reviews import run_move
+
+    own = moves.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("seq", "target", "version"))).alias("moves"))
+    rows = own.join(runs, "run_id", "left")
+    done = "struct<status:string,version:bigint,outcomes:array<struct<seq:bigint,target:string,outcome:string,status:string,version:bigint>>>"
+    start = F.struct(F.col("status"), F.col("version"), F.array()).cast(done)
+
+    def step(at: Column, m: Column) -> Column:
+        outcome = F.when(at["status"].isNull(), "not_found").when(at["version"] != m["version"], "changed").otherwise(run_move(at["status"], m["target"], F.col("queued")))
+        applied = outcome == "applied"
+        status, version = F.when(applied, m["target"]).otherwise(at["status"]), at["version"] + applied.cast("long")
+        return F.struct(status, version, F.concat(at["outcomes"], F.array(F.struct(m["seq"].alias("seq"), m["target"].alias("target"), outcome.alias("outcome"), status.alias("status"), version.cast("long").alias("version"))))).cast(done)
+
+    told = F.aggregate(F.transform("moves", lambda m: m.withField("seq", m["seq"].cast("long"))), start, step)["outcomes"]
+    return rows.select("run_id", F.explode(told).alias("o")).select("run_id", "o.*")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lodestack.functions import dims
 from lodestack.functions.text import ascii_lower, maker_and_name, normalised, trimmed
+from lodestack.operators.ranks import ranked
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,3 +97,25 @@ def fit_within(width: Column, height: Column, edge: int) -> tuple[Column, Column
 def healthy(findings: DataFrame) -> DataFrame:
     """Whether a check found nothing; one row."""
     return findings.agg((F.count("*") == 0).alias("healthy"))
+
+
+def unsupported_requirement(requests: DataFrame) -> DataFrame:
+    """Adds the first requirement of quality that can't be applied, null where all can. requests: request_id,
+    max_compression_ratio, min_bitrate_kbps, preferred_scan_type, preferred_sources and best_available."""
+    why = F.when(F.col("max_compression_ratio").isNotNull(), "compression ratios cannot be measured yet").when(F.col("min_bitrate_kbps").isNotNull(), "bitrates cannot be measured yet")
+    asks = F.col("preferred_scan_type").isNotNull() | (F.coalesce(F.size("preferred_sources"), F.lit(0)) > 0)
+    scoring = "need a configurable scoring policy, which is not supported yet"
+    why = why.when(asks, f"scan type and source preferences {scoring}").when(F.col("best_available"), f"best-available mode {scoring.replace('need', 'needs', 1)}")
+    return requests.withColumn("unsupported", why)
+
+
+def drawn_size(width: Column, height: Column, edge: int) -> tuple[Column, Column]:
+    """Size of a page drawn with its longest edge at `edge`, also when it is smaller, at least 1 by 1."""
+    scale = F.lit(float(edge)) / F.greatest(width, height)
+    return tuple(F.greatest(F.lit(1), F.round(x * scale).cast("int")) for x in (width, height))
+
+
+def in_media_order(assets: DataFrame) -> DataFrame:
+    """A release's assets as they are shown: by the order of types, then in order of retention. Adds place."""
+    ranks = F.create_map(*[F.lit(x) for n, (t, _) in enumerate(dims.ASSET_TYPES) for x in (t, n)])
+    return ranked(assets.withColumn("_type", F.try_element_at(ranks, F.col("asset_type"))), ["release_id"], ["_type", "k1", "k2", "k3"], "place").drop("_type")

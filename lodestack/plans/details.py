@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from lodestack.operators import matching, reference, reviews, search, snapshots, summaries
-from lodestack.plans.registry import _PAIRS, _query
+from lodestack.functions import dims
+from lodestack.operators import matching, reference, reviews, runs, search, snapshots, summaries
+from lodestack.plans.registry import _PAIRS, BEST, _query
 from pyspark.sql import functions as F
 
 
@@ -178,3 +179,49 @@ def candidates_after_merges(releases):
     items = releases.select(F.col("id").alias("item_id"), F.array(*[F.col("id") + k for k in (1, 2, 3)]).alias("candidates"))
     merges = releases.where("id % 5 = 0").select(F.col("id").alias("from_id"), (F.col("id") - 1).alias("into_id"), F.col("id").alias("seq"))
     return snapshots.renamed_candidates(items, merges).select("item_id", F.array_join(F.transform("candidates", lambda c: c.cast("string")), ",").alias("candidates"))
+
+
+@_query(
+    "assets",
+    sql=f""", ret AS (SELECT *, {BEST} AS px, row_number() OVER (PARTITION BY release_id, asset_type ORDER BY {BEST} DESC, byte_len DESC, k1, k2, k3) AS rn FROM assets WHERE k2 <= 4),
+    new AS (SELECT *, {BEST} AS px, 'c' || k1 || '-' || k2 || '-' || k3 || '-' || release_id AS identity FROM assets WHERE k2 > 4),
+    o AS (SELECT n.*, CASE WHEN EXISTS (SELECT 1 FROM ret x WHERE x.release_id = n.release_id AND x.asset_type = n.asset_type AND x.object_hash = n.object_hash) THEN NULL ELSE r.object_hash END AS above
+      FROM new n LEFT JOIN ret r ON r.rn = 1 AND r.release_id = n.release_id AND r.asset_type = n.asset_type AND (r.px > n.px OR (r.px = n.px AND r.byte_len >= n.byte_len))),
+    s AS (SELECT *, CASE k1 % 7 WHEN 0 THEN 'rejected' WHEN 1 THEN 'accepted' WHEN 2 THEN 'pending' WHEN 3 THEN 'superseded' END AS status, k1 % 7 = 0 OR (k1 % 7 = 1 AND k1 % 2 = 0) AS conflict FROM o)
+    SELECT identity, release_id, asset_type, k1, k2, k3, CASE WHEN conflict THEN 'human_decision_conflict' WHEN above IS NOT NULL THEN 'outranked' ELSE 'linked' END AS outcome, CASE WHEN NOT conflict THEN above END AS outranker,
+      CASE WHEN status IN ('pending', 'superseded') THEN 'auto_resolved' ELSE status END AS review FROM s""",
+)
+def candidate_outcomes(assets):
+    identity = F.concat(F.lit("c"), F.concat_ws("-", *[F.col(c).cast("string") for c in ("k1", "k2", "k3", "release_id")]))
+    new = assets.where("k2 > 4").withColumn("identity", identity)
+    status = F.get(F.array(*[F.lit(s) for s in ("rejected", "accepted", "pending", "superseded")]), (F.col("k1") % 7).cast("int"))
+    items = new.where("k1 % 7 < 4").select("identity", status.alias("status"), (F.col("release_id") + F.when(F.col("k1") % 2 == 0, 1).otherwise(0)).alias("accepted_id"))
+    return reviews.candidate_outcomes(new, assets.where("k2 <= 4"), items, 1)
+
+
+@_query(
+    "runs",
+    sql=""", r AS (SELECT run_id, status, run_id % 3 AS version, run_id % 2 AS queued FROM runs),
+    a AS (SELECT *, CASE WHEN version <> 1 THEN 'changed' WHEN status = 'paused' THEN 'unchanged' WHEN status = 'running' THEN 'applied' ELSE 'refused' END AS o1, CASE WHEN version = 1 AND status = 'running' THEN 'paused' ELSE status END AS s1, version + CASE WHEN version = 1 AND status = 'running' THEN 1 ELSE 0 END AS v1 FROM r),
+    b AS (SELECT *, CASE WHEN v1 <> 2 THEN 'changed' WHEN s1 = 'completed' THEN 'unchanged' WHEN queued > 0 THEN 'has_queued_work' WHEN s1 = 'running' THEN 'applied' ELSE 'refused' END AS o2 FROM a)
+    SELECT run_id, 1::BIGINT AS seq, 'paused' AS target, o1 AS outcome, s1 AS status, v1 AS version FROM b
+    UNION ALL SELECT run_id, 2, 'completed', o2, CASE WHEN o2 = 'applied' THEN 'completed' ELSE s1 END, v1 + CASE WHEN o2 = 'applied' THEN 1 ELSE 0 END FROM b""",
+)
+def guarded_run_moves(all_runs):
+    own = all_runs.select("run_id", "status", (F.col("run_id") % 3).alias("version"), (F.col("run_id") % 2).alias("queued"))
+    asked = F.explode(F.array(*[F.struct(F.lit(n).alias("seq"), F.lit(t).alias("target"), F.lit(v).cast("long").alias("version")) for n, t, v in ((1, "paused", 1), (2, "completed", 2))]))
+    return runs.moved_runs(own, all_runs.select("run_id", asked.alias("m")).select("run_id", "m.*"))
+
+
+_RANKS = ", ".join(f"('{t}', {n})" for n, (t, _) in enumerate(dims.ASSET_TYPES))
+
+
+@_query("assets", sql=f", t(asset_type, n) AS (VALUES {_RANKS}) SELECT release_id, asset_type, k1, k2, k3, row_number() OVER (PARTITION BY release_id ORDER BY n, k1, k2, k3) AS place FROM assets JOIN t USING (asset_type)")
+def media_order(assets):
+    return summaries.in_media_order(assets.select("release_id", "asset_type", "k1", "k2", "k3"))
+
+
+@_query("assets", sql=" SELECT release_id, k1, k2, k3, greatest(1, round(width * (1024.0::DOUBLE / greatest(width, height)))::INT) AS tw, greatest(1, round(height * (1024.0::DOUBLE / greatest(width, height)))::INT) AS th FROM assets WHERE width IS NOT NULL")
+def drawn_page_sizes(assets):
+    w, h = summaries.drawn_size(F.col("width"), F.col("height"), 1024)
+    return assets.where("width is not null").select("release_id", "k1", "k2", "k3", w.alias("tw"), h.alias("th"))

@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from lodestack.functions.blake3 import digest
+from lodestack.functions.blake3 import blake3, digest
 from pyarrow import fs as files
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,3 +99,17 @@ def png_size(content: Column) -> tuple[Column, Column]:
     """Width and height of a PNG, from its first chunk."""
     number = lambda at: F.conv(F.hex(F.substring(content, at, 4)), 16, 10).cast("long")
     return number(17), number(21)
+
+
+def local_imports(spark: SparkSession, paths: DataFrame, folder: str, kind: str = "sha256") -> DataFrame:
+    """Local files as originals: paths (path, and whatever else the asset has) with original_filename,
+    source_location (the absolute path), object_hash, byte_len and media_type. Only files count: a folder, or
+    a path without a file, is an error. `folder` is the one all paths are in."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    place = lambda c: F.regexp_replace(F.regexp_replace(c, "^file:/+", "/"), "/(\\./)*/*", "/")
+    address = blake3("content") if kind == "blake3" else F.sha2("content", 256)
+    read = found.select(place(F.col("path")).alias("source_location"), address.alias("object_hash"), F.col("length").alias("byte_len"), media_type(F.col("content")).alias("media_type"))
+    rows = paths.withColumn("source_location", place(F.col("path"))).join(read, "source_location", "left")
+    missing = F.raise_error(F.concat(F.lit("no file to import at "), F.col("path"))).cast("string")
+    name = F.element_at(F.split("source_location", "/"), -1)
+    return rows.withColumns({"object_hash": F.coalesce("object_hash", missing), "original_filename": name})

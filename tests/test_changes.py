@@ -196,3 +196,35 @@ def test_counts_of_work_below_quality(spark):
     work = spark.createDataFrame([(1, "done", "", False, False, "small", None), (1, "done", "", False, False, None, "h"), (1, "done", "", False, False, None, None)], "run_id long, state string, review_status string, unavailable boolean, skipped boolean, shortfalls string, outranked_by string")
     row = runs.counters(spark.createDataFrame([(1, "running")], "run_id long, status string"), work).first()
     assert (row["done"], row["below_quality"], row["outranked"]) == (3, 1, 1)
+
+
+def test_requirements_that_cannot_be_applied(spark):
+    from lodestack.operators import summaries
+
+    kind = "request_id int, max_compression_ratio double, min_bitrate_kbps int, preferred_scan_type string, preferred_sources array<string>, best_available boolean"
+    rows = [(1, None, None, None, [], False), (2, 0.5, 3, None, None, True), (3, None, 3, None, None, False), (4, None, None, None, ["a"], True), (5, None, None, "x", None, False), (6, None, None, None, None, True)]
+    got = {r["request_id"]: (r["unsupported"] or "").split(" ")[0] for r in summaries.unsupported_requirement(spark.createDataFrame(rows, kind)).collect()}
+    assert got == {1: "", 2: "compression", 3: "bitrates", 4: "scan", 5: "scan", 6: "best-available"}
+
+
+def test_local_imports(spark, tmp_path):
+    import hashlib
+
+    from lodestack.sources import objects
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.png").write_bytes(b"\x89PNG\r\n")
+    rows = spark.createDataFrame([(f"{tmp_path}/./in//a.png", "box_front")], "path string, asset_type string")
+    got = objects.local_imports(spark, rows, str(tmp_path)).first()
+    assert (got["original_filename"], got["source_location"], got["byte_len"], got["media_type"]) == ("a.png", f"{tmp_path}/in/a.png", 6, "image/png")
+    assert got["object_hash"] == hashlib.sha256(b"\x89PNG\r\n").hexdigest()
+    with pytest.raises(Exception, match="no file to import"):
+        objects.local_imports(spark, spark.createDataFrame([(f"{tmp_path}/in", "x")], "path string, asset_type string"), str(tmp_path)).collect()
+
+
+def test_titles_of_shared_atlases(spark):
+    rows = [("Prince (Game Boy Color)", "GB-GBC"), ("Prince (Game Boy Color)", "NES"), ("Quest  (gb)", "GB-GBC"), ("A (B) (CD-ROM 2)", "TG16"), ("A (B)", "TG16"), ("Plain", "NES"), ("X (FDS) ", "NES")]
+    df = spark.createDataFrame(rows, "t string, a string").select(text.atlas_title(F.col("t"), F.col("a")).alias("n"))
+    assert [tuple(r["n"]) for r in df.collect()] == [
+        ("Prince", "Nintendo - Game Boy Color"), ("Prince (Game Boy Color)", None), ("Quest", "Nintendo - Game Boy"), ("A (B)", "NEC - PC Engine CD - TurboGrafx-CD"), ("A (B)", None), ("Plain", None), ("X (FDS) ", None),
+    ]
