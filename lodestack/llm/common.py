@@ -6,6 +6,7 @@ import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 import numpy as np
@@ -216,11 +217,23 @@ def give_back(everything: bool) -> None:
         trim(0)
 
 
-def lean(run):
+#: What a worker keeps from task to task, by name, with what drops it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def drop_kept(but: str | None) -> None:
+    for name, drop in KEPT.items():
+        if name != but:
+            drop()
+
+
+def lean(run, keep: str | None = None):
     """`run` for a Python worker that gives memory back when its task is over: workers stay for further
-    tasks, and allocators would keep what the largest batch took."""
+    tasks, and allocators would keep what the largest batch took. Of what tasks before have left in the
+    worker only `keep` stays."""
 
     def kept_small(batches):
+        drop_kept(keep)
         try:
             for out in run(batches):
                 yield out

@@ -182,7 +182,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = Non
     """One row per piece with its sequence and place."""
     vocabulary = vocabulary or tokens.vocabulary_path()
     spark = docs.sparkSession
-    made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(_pieces(vocabulary, capacity)), PIECES + ", told long")
+    made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(_pieces(vocabulary, capacity), "encoders"), PIECES + ", told long")
     pieces = materialise(made, "packing-pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # `capacity` rows at most
     plan = Plan(counts, capacity).solve()

@@ -171,7 +171,7 @@ def write_store(docs: DataFrame, folder: str, vocabulary: str | None = None) ->
     """Write the store under `folder`; its one root is returned."""
     spark = docs.sparkSession
     vocabulary = vocabulary or tokens.vocabulary_path()
-    parts = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(_parts(vocabulary)), PART)
+    parts = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(_parts(vocabulary), "encoders"), PART)
     schema = parts.schema
     with writing(spark):
         parts.repartition("route").sortWithinPartitions("key").mapInArrow(lean(_once), schema).drop("route").write.partitionBy("kind").parquet(f"{folder}/parts")

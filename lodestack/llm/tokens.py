@@ -18,6 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from lodestack.llm.common import KEPT
+
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
 _MEMORY = 320_000  # pre-tokens remembered by a worker, some 50 MB
@@ -91,6 +93,7 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+KEPT["encoders"] = _encoders.clear
 
 
 def encoder(path: str) -> Encoder:
