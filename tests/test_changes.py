@@ -228,3 +228,13 @@ def test_titles_of_shared_atlases(spark):
     assert [tuple(r["n"]) for r in df.collect()] == [
         ("Prince", "Nintendo - Game Boy Color"), ("Prince (Game Boy Color)", None), ("Quest", "Nintendo - Game Boy"), ("A (B)", "NEC - PC Engine CD - TurboGrafx-CD"), ("A (B)", None), ("Plain", None), ("X (FDS) ", None),
     ]
+
+
+def test_hot_titles_change_nothing(spark, sf, monkeypatch):
+    from lodestack.operators import matching
+    from lodestack.plans.bridge import relation
+
+    candidates, releases = (relation(spark, sf, n) for n in ("candidates", "release_editions"))
+    usual = sorted(map(tuple, matching.competing(candidates, releases).collect()))
+    monkeypatch.setattr(matching, "HOT_TITLE", 2)
+    assert sorted(map(tuple, matching.competing(candidates, releases).collect())) == usual and usual
