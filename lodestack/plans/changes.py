@@ -16,11 +16,14 @@ def _source(n: int, c: str = "id"):
 
 
 def _import(releases: DataFrame) -> tuple[DataFrame, ...]:
-    """Records of five sources in the order of their ids, on a catalog that has those of the lowest ids."""
+    """Records of five sources in the order of their ids, on an empty catalog."""
     spark = releases.sparkSession
     region, edition = F.when(F.col("id") % 3 == 0, " USA ").otherwise("usa"), F.when(F.col("id") % 8 == 0, "Deluxe").otherwise("Standard")
     dumps = F.when(F.col("id") % 3 == 1, (F.col("id") % 12).cast("string"))
-    rows = releases.select((F.col("id") + 1_000_000_000).alias("seq"), _source(5).alias("source_id"), F.col("id").cast("string").alias("record_id"), F.lit("f").alias("location"), "title", "platform", region.alias("region"), edition.alias("edition"), dumps.alias("dump_set"))
+    rows = releases.select(
+        (F.col("id") + 1_000_000_000).alias("seq"), _source(5).alias("source_id"), F.col("id").cast("string").alias("record_id"), F.lit("f").alias("location"), "title",
+        "platform", region.alias("region"), edition.alias("edition"), dumps.alias("dump_set")
+    )
     editions = spark.createDataFrame([], "id long, game_id long, platform string, region string, edition string")
     claims = spark.createDataFrame([], "release_id long, source_id string, location string, field string, qualifier string, value string, seq long")
     sets = spark.createDataFrame([], "source_id string, record_id string, release_id long, dump_set string")
@@ -36,8 +39,10 @@ _FOLD = """, rec AS (SELECT row_number() OVER (ORDER BY id) AS k, id + 100000000
       SELECT k, list_append(st, {'seq': seq, 's': s, 't': t, 'p': p, 'e': e, 'd': d, 'rel': coalesce(link, there, seq), 'game': coalesce(link_game, best, seq),
         'outcome': CASE WHEN link IS NOT NULL THEN 'linked' WHEN there IS NOT NULL THEN 'joined' ELSE 'founded' END}) FROM (
         SELECT *, CASE WHEN link IS NULL THEN list_min(list_transform(list_filter(st, lambda x: x.game = best AND x.p = p AND x.e = e), lambda x: x.rel)) END AS there FROM (
-          SELECT *, CASE WHEN link IS NULL THEN list_sort(list_transform(list_filter(named, lambda x: len(list_filter(near, lambda y: y.game = x.game AND y.e = e AND y.s <> s)) = 0), lambda x: {'o': x.s <> s, 'rel': x.rel, 'g': x.game}))[1].g END AS best FROM (
-            SELECT *, list_filter(near, lambda x: x.t = t) AS named, CASE WHEN len(cand) = 1 AND len(free) = 1 THEN free[1] END AS link, CASE WHEN len(cand) = 1 AND len(free) = 1 THEN list_filter(st, lambda x: x.rel = free[1])[1].game END AS link_game FROM (
+          SELECT *, CASE WHEN link IS NULL THEN list_sort(list_transform(list_filter(named, lambda x: len(list_filter(near, lambda y: y.game = x.game AND y.e = e AND y.s <> s)) = 0), lambda x: {'o': x.s <> s, 'rel': x.rel, 'g': x.game}))[1].g END AS best
+      FROM (
+            SELECT *, list_filter(near, lambda x: x.t = t) AS named, CASE WHEN len(cand) = 1 AND len(free) = 1 THEN free[1] END AS link,
+      CASE WHEN len(cand) = 1 AND len(free) = 1 THEN list_filter(st, lambda x: x.rel = free[1])[1].game END AS link_game FROM (
               SELECT *, list_filter(cand, lambda c: len(list_filter(st, lambda x: x.rel = c AND x.s = s)) = 0) AS free FROM (
                 SELECT *, CASE WHEN len(dumped) > 0 THEN dumped ELSE list_distinct(list_transform(list_filter(near, lambda x: x.t = t AND x.s <> s AND x.e = e), lambda x: x.rel)) END AS cand FROM (
                   SELECT *, list_distinct(list_transform(list_filter(near, lambda x: x.d = d AND x.s <> s AND x.e = e), lambda x: x.rel)) AS dumped FROM (
@@ -75,7 +80,8 @@ def _claims(assets):
     "assets",
     sql=_MERGES
     + """, c AS (SELECT release_id, source_id, media_type AS value, min(original_filename) AS location, min(k1) AS seq FROM assets GROUP BY ALL),
-    x AS (SELECT c.*, coalesce(n.b, m.b, release_id) AS root, CASE WHEN m.a IS NULL THEN [] WHEN n.a IS NULL THEN [m.seq] ELSE [n.seq, m.seq] END AS path FROM c LEFT JOIN m ON m.a = c.release_id LEFT JOIN m n ON n.a = m.b)
+    x AS (SELECT c.*, coalesce(n.b, m.b, release_id) AS root, CASE WHEN m.a IS NULL THEN [] WHEN n.a IS NULL THEN [m.seq]
+      ELSE [n.seq, m.seq] END AS path FROM c LEFT JOIN m ON m.a = c.release_id LEFT JOIN m n ON n.a = m.b)
     SELECT root AS release_id, source_id, value, arg_min(location, (path, seq, location)) AS location, arg_min(seq, (path, seq, location)) AS seq FROM x GROUP BY ALL""",
 )
 def merged_claims(releases, assets):
@@ -103,7 +109,8 @@ _BY_ID = " || ".join(_PART.format(p) for p in ("source_id", "provider_id", "asse
 @_query(
     "release_editions",
     "assets",
-    sql=f""", c AS (SELECT a.*, title, platform, region, edition, CASE WHEN k1 % 3 = 0 THEN 'p' || k1 WHEN k1 % 3 = 1 THEN ' ' END AS provider_id, CASE WHEN k2 % 2 = 0 THEN ' Ünï ' END AS label, 'https://e.org/' || k1 AS url FROM assets a JOIN release_editions r ON r.id = a.release_id)
+    sql=f""", c AS (SELECT a.*, title, platform, region, edition, CASE WHEN k1 % 3 = 0 THEN 'p' || k1 WHEN k1 % 3 = 1 THEN ' ' END AS provider_id,
+      CASE WHEN k2 % 2 = 0 THEN ' Ünï ' END AS label, 'https://e.org/' || k1 AS url FROM assets a JOIN release_editions r ON r.id = a.release_id)
     SELECT identity, count(*) AS candidates FROM (SELECT 'candidate' || CASE WHEN trim(coalesce(provider_id, '')) <> '' THEN {_BY_ID} ELSE {_DESCRIBED} END AS identity FROM c) GROUP BY identity""",
 )
 def candidate_identities(releases, assets):
@@ -119,7 +126,8 @@ def candidate_identities(releases, assets):
     "assets",
     sql=""", a AS (SELECT k1 * 100000 + k2 * 10000 + k3 AS asset_id, release_id, asset_type, object_hash, byte_len, source_id, '/in/' || (k1 % 3) || '/' || k3 AS place FROM assets),
     q AS (SELECT asset_id AS record_id, a.*, r.game_id, title, platform, region, edition, asset_id % 3 AS kind FROM a JOIN release_editions r ON r.id = release_id WHERE asset_id % 5 = 0)
-    SELECT q.record_id, min((a.asset_id, a.release_id, r.game_id))[1] AS asset_id, min((a.asset_id, a.release_id, r.game_id))[2] AS release_id FROM q JOIN a USING (source_id, asset_type, object_hash, byte_len, place)
+    SELECT q.record_id, min((a.asset_id, a.release_id, r.game_id))[1] AS asset_id, min((a.asset_id, a.release_id, r.game_id))[2] AS release_id FROM q
+      JOIN a USING (source_id, asset_type, object_hash, byte_len, place)
       JOIN release_editions r ON r.id = a.release_id AND lower(r.title) = lower(q.title) AND r.platform = q.platform AND r.region = q.region AND r.edition = q.edition
     WHERE (kind = 0 OR r.game_id = q.game_id + (kind - 1)) AND (kind <> 1 OR a.release_id = q.release_id) GROUP BY q.record_id""",
 )
@@ -150,9 +158,11 @@ _FOLDERS = {"box_front": "Named_Boxarts", "title_screen": "Named_Titles", "gamep
     "release_editions",
     sql=r""", w AS (SELECT DISTINCT platform, title, regexp_replace(title, '[&*/:"<>?\\|`]', '_', 'g') || '.png' AS file_name FROM release_editions),
     f(asset_type, folder) AS (VALUES ('box_front', 'Named_Boxarts'), ('title_screen', 'Named_Titles'), ('gameplay_screenshot', 'Named_Snaps')),
-    l AS (SELECT DISTINCT platform, folder, title || '.png' AS file_name FROM release_editions, f WHERE folder <> 'Named_Snaps' AND (id % 3 = 0 OR platform = 'MAME') AND NOT (platform = 'MAME' AND folder = 'Named_Titles'))
+    l AS (SELECT DISTINCT platform, folder, title || '.png' AS file_name FROM release_editions, f
+      WHERE folder <> 'Named_Snaps' AND (id % 3 = 0 OR platform = 'MAME') AND NOT (platform = 'MAME' AND folder = 'Named_Titles'))
     SELECT platform || '.git/' || folder || '/' || title AS candidate_id, platform, title, asset_type, folder, file_name FROM w, f
-    WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.platform = w.platform AND l.folder = f.folder) OR EXISTS (SELECT 1 FROM l WHERE l.platform = w.platform AND l.folder = f.folder AND l.file_name = w.file_name)""",
+    WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.platform = w.platform AND l.folder = f.folder) OR EXISTS (SELECT 1 FROM l
+      WHERE l.platform = w.platform AND l.folder = f.folder AND l.file_name = w.file_name)""",
 )
 def thumbnail_candidates(releases):
     folder = F.explode(F.array(F.lit("Named_Boxarts"), F.lit("Named_Titles")))
@@ -176,11 +186,15 @@ _QUERIES["object_addresses"] = _addresses
     "assets",
     "assertions",
     sql=""", a AS (SELECT release_id, k1 * 100000 + k2 * 10000 + k3 AS asset_id, asset_type, object_hash, source_id FROM assets),
-    p AS (SELECT asset_id, string_agg(source_id || '@' || n, ';' ORDER BY n) AS told, count(*) AS n FROM (SELECT asset_id, source_id, unnest([1, 2][:1 + (asset_id % 2)::INT]) AS n FROM a WHERE asset_id % 3 <> 0) GROUP BY asset_id),
+    p AS (SELECT asset_id, string_agg(source_id || '@' || n, ';' ORDER BY n) AS told, count(*) AS n
+      FROM (SELECT asset_id, source_id, unnest([1, 2][:1 + (asset_id % 2)::INT]) AS n FROM a WHERE asset_id % 3 <> 0) GROUP BY asset_id),
     d AS (SELECT object_hash, string_agg(DISTINCT asset_type, ';' ORDER BY asset_type) AS made FROM a WHERE asset_id % 5 = 0 GROUP BY object_hash),
-    h AS (SELECT release_id, string_agg(a.asset_id || ':' || asset_type || ':' || coalesce(told, '') || ':' || coalesce(made, ''), '|' ORDER BY a.asset_id, asset_type, a.object_hash) AS held FROM a LEFT JOIN p USING (asset_id) LEFT JOIN d ON d.object_hash = a.object_hash GROUP BY release_id),
+    h AS (SELECT release_id, string_agg(a.asset_id || ':' || asset_type || ':' || coalesce(told, '') || ':' || coalesce(made, ''), '|'
+      ORDER BY a.asset_id, asset_type, a.object_hash) AS held FROM a LEFT JOIN p USING (asset_id) LEFT JOIN d ON d.object_hash = a.object_hash
+      GROUP BY release_id),
     c AS (SELECT release_id, string_agg(source_id || '=' || value, '|' ORDER BY k1, k2, k3, source_id, value) AS said FROM assertions GROUP BY release_id)
-    SELECT id, title, coalesce(held, '') AS assets, coalesce(said, '') AS claims FROM release_editions r LEFT JOIN h ON h.release_id = id LEFT JOIN c ON c.release_id = id WHERE EXISTS (SELECT 1 FROM assets x WHERE x.release_id = r.id AND x.k2 = 2)""",
+    SELECT id, title, coalesce(held, '') AS assets, coalesce(said, '') AS claims FROM release_editions r LEFT JOIN h ON h.release_id = id LEFT
+      JOIN c ON c.release_id = id WHERE EXISTS (SELECT 1 FROM assets x WHERE x.release_id = r.id AND x.k2 = 2)""",
 )
 def whole_entries(releases, assets, assertions):
     rows = assets.select("release_id", (F.col("k1") * 100_000 + F.col("k2") * 10_000 + F.col("k3")).alias("asset_id"), "asset_type", "object_hash", "source_id")
@@ -197,9 +211,11 @@ def whole_entries(releases, assets, assertions):
 @_query(
     "release_editions",
     sql=""", c AS (SELECT id AS release_id, n, CASE WHEN (id + n) % 4 = 0 THEN 'other' ELSE 'df' || n END AS source_id,
-      CASE WHEN (id + n) % 3 = 0 THEN octet_length(encode(platform)) || ':' || platform || title || ' (Rec ' || n || ')' WHEN (id + n) % 3 = 1 THEN 'x:' || platform ELSE '0:  ' END AS value FROM release_editions, (SELECT unnest([1, 2, 3]) AS n)),
+      CASE WHEN (id + n) % 3 = 0 THEN octet_length(encode(platform)) || ':' || platform || title || ' (Rec ' || n || ')' WHEN (id + n) % 3 = 1 THEN 'x:' || platform
+      ELSE '0:  ' END AS value FROM release_editions, (SELECT unnest([1, 2, 3]) AS n)),
     f AS (SELECT release_id, arg_min(n, n) AS n FROM c WHERE source_id <> 'other' AND (release_id + n) % 3 = 0 GROUP BY release_id)
-    SELECT id, CASE WHEN n IS NOT NULL THEN title || ' (Rec ' || n || ')' ELSE title || CASE WHEN lower(region) = 'unknown' THEN '' ELSE ' (' || region || ')' END || CASE WHEN lower(edition) = 'standard' THEN '' ELSE ' (' || edition || ')' END END AS name
+    SELECT id, CASE WHEN n IS NOT NULL THEN title || ' (Rec ' || n || ')' ELSE title || CASE WHEN lower(region) = 'unknown' THEN ''
+      ELSE ' (' || region || ')' END || CASE WHEN lower(edition) = 'standard' THEN '' ELSE ' (' || edition || ')' END END AS name
     FROM release_editions LEFT JOIN f ON release_id = id""",
 )
 def release_names(releases):
@@ -217,7 +233,9 @@ def release_names(releases):
     v AS (SELECT *, lower(regexp_replace(value, '\\s', '', 'g')) AS key FROM own),
     g AS (SELECT release_id, key, count(*) AS n, min((v.seen, source_id)) AS first FROM v GROUP BY ALL),
     b AS (SELECT release_id, key AS best FROM g QUALIFY row_number() OVER (PARTITION BY release_id ORDER BY n DESC, first) = 1)
-    SELECT release_id, coalesce(string_agg(source_id, ',' ORDER BY source_id) FILTER (WHERE key = best), '') AS contributing, coalesce(string_agg(source_id || '=' || trim(value), ',' ORDER BY source_id) FILTER (WHERE key <> best), '') AS conflicting FROM v JOIN b USING (release_id) GROUP BY release_id""",
+    SELECT release_id, coalesce(string_agg(source_id, ','
+      ORDER BY source_id) FILTER (WHERE key = best), '') AS contributing, coalesce(string_agg(source_id || '=' || trim(value), ','
+      ORDER BY source_id) FILTER (WHERE key <> best), '') AS conflicting FROM v JOIN b USING (release_id) GROUP BY release_id""",
 )
 def judged_claims(assertions):
     found = claims.judged(assertions)
@@ -226,10 +244,17 @@ def judged_claims(assertions):
 
 @_query(
     "assets",
-    sql=""", f AS (SELECT DISTINCT CASE WHEN k2 <= 4 THEN 'derived' ELSE 'original' END AS area, object_hash, CASE k2 WHEN 1 THEN 'missing' WHEN 2 THEN 'corrupt' WHEN 3 THEN 'orphaned' WHEN 4 THEN 'unreadable' ELSE 'unreferenced' END AS state FROM assets WHERE k1 % 7 = 0 AND k2 <= 5),
-    d AS (SELECT DISTINCT object_hash AS output, asset_type AS recipe, [object_hash, md5(object_hash)] AS originals FROM assets WHERE k1 % 5 = 0), r AS (SELECT DISTINCT object_hash FROM assets WHERE k1 % 3 = 0 UNION SELECT DISTINCT md5(object_hash) FROM assets WHERE k1 % 2 = 0)
-    SELECT 'forget' AS action, output AS object_hash, recipe FROM d WHERE output IN (SELECT object_hash FROM f WHERE area = 'derived' AND state IN ('missing', 'corrupt')) OR output NOT IN (SELECT object_hash FROM r) OR md5(output) NOT IN (SELECT object_hash FROM r)
-    UNION SELECT 'remove_derived', object_hash, NULL FROM f WHERE area = 'derived' AND state IN ('corrupt', 'orphaned') AND object_hash NOT IN (SELECT object_hash FROM f WHERE area = 'derived' AND state = 'unreadable')
+    sql=""", f AS (SELECT DISTINCT CASE WHEN k2 <= 4 THEN 'derived' ELSE 'original' END AS area, object_hash,
+      CASE k2 WHEN 1 THEN 'missing' WHEN 2 THEN 'corrupt' WHEN 3 THEN 'orphaned' WHEN 4 THEN 'unreadable' ELSE 'unreferenced' END AS state FROM assets
+      WHERE k1 % 7 = 0 AND k2 <= 5),
+    d AS (SELECT DISTINCT object_hash AS output, asset_type AS recipe, [object_hash, md5(object_hash)] AS originals FROM assets
+      WHERE k1 % 5 = 0), r AS (SELECT DISTINCT object_hash FROM assets WHERE k1 % 3 = 0 UNION SELECT DISTINCT md5(object_hash) FROM assets WHERE k1 % 2 = 0)
+    SELECT 'forget' AS action, output AS object_hash, recipe FROM d WHERE output IN (SELECT object_hash FROM f
+      WHERE area = 'derived' AND state IN ('missing', 'corrupt')) OR output NOT IN (SELECT object_hash FROM r) OR md5(output) NOT IN (SELECT object_hash
+      FROM r)
+    UNION SELECT 'remove_derived', object_hash, NULL FROM f
+      WHERE area = 'derived' AND state IN ('corrupt', 'orphaned') AND object_hash NOT IN (SELECT object_hash FROM f
+      WHERE area = 'derived' AND state = 'unreadable')
     UNION SELECT 'collect_original', object_hash, NULL FROM f WHERE area = 'original'""",
 )
 def vault_repairs(assets):
@@ -243,8 +268,11 @@ def vault_repairs(assets):
 
 @_query(
     "assets",
-    sql=""", b AS (SELECT DISTINCT release_id, object_hash AS front, 'packaging-model-' || asset_type || '-' || md5(object_hash) || '-s' AS recipe FROM assets WHERE k1 % 3 = 0), m AS (SELECT DISTINCT object_hash, asset_type FROM assets WHERE k1 % 11 = 0)
-    SELECT release_id, front AS front_hash, recipe, CASE WHEN EXISTS (SELECT 1 FROM m WHERE object_hash = front AND 'packaging-model-' || asset_type || '-' || md5(object_hash) || '-s' = recipe) OR release_id > min(release_id) OVER (PARTITION BY front, recipe) THEN 'up_to_date' ELSE 'built' END AS state FROM b""",
+    sql=""", b AS (SELECT DISTINCT release_id, object_hash AS front, 'packaging-model-' || asset_type || '-' || md5(object_hash) || '-s' AS recipe
+      FROM assets WHERE k1 % 3 = 0), m AS (SELECT DISTINCT object_hash, asset_type FROM assets WHERE k1 % 11 = 0)
+    SELECT release_id, front AS front_hash, recipe, CASE WHEN EXISTS (SELECT 1 FROM m
+      WHERE object_hash = front AND 'packaging-model-' || asset_type || '-' || md5(object_hash) || '-s' = recipe) OR release_id > min(release_id) OVER (PARTITION BY front, recipe) THEN 'up_to_date'
+      ELSE 'built' END AS state FROM b""",
 )
 def packaging_models(assets):
     keyed = assets.withColumn("recipe", vault.recipe_key(F.col("asset_type"), F.md5("object_hash"), F.lit("s")))
@@ -252,7 +280,8 @@ def packaging_models(assets):
     return vault.models_to_build(bases, keyed.where("k1 % 11 = 0").select("object_hash", "recipe"))
 
 
-@_query("work", sql=" SELECT run_id, bool_and(state = 'done') AS all_discovered FROM (SELECT run_id, source_id, max(CASE WHEN state = 'done' THEN 'done' ELSE '' END) AS state FROM work GROUP BY ALL) GROUP BY run_id")
+@_query("work", sql=""" SELECT run_id, bool_and(state = 'done') AS all_discovered FROM (SELECT run_id, source_id, max(CASE WHEN state = 'done' THEN 'done'
+      ELSE '' END) AS state FROM work GROUP BY ALL) GROUP BY run_id""")
 def discovered_runs(work):
     return runs.all_discovered(work, work.where("state = 'done'"))
 

@@ -15,7 +15,9 @@ def _n(c: str, n: int, prefix: str = "src"):
 @_query(
     "candidates",
     "release_editions",
-    sql=_PAIRS + " SELECT candidate_id, string_agg(release_id || ':' || score || ':' || e1 || '/' || e2 || '/' || e3 || '/' || e4, '|' ORDER BY score DESC, release_id) AS matches FROM candidates c JOIN scored ON c.title = ct AND c.platform = cp AND c.region = cr AND c.edition = ce WHERE score >= 50 GROUP BY candidate_id",
+    sql=_PAIRS
+    + " SELECT candidate_id, string_agg(release_id || ':' || score || ':' || e1 || '/' || e2 || '/' || e3 || '/' || e4, '|' ORDER BY score DESC, release_id) AS matches"
+    + " FROM candidates c JOIN scored ON c.title = ct AND c.platform = cp AND c.region = cr AND c.edition = ce WHERE score >= 50 GROUP BY candidate_id",
 )
 def competing_lists(candidates, releases):
     points = lambda m: F.concat_ws("/", *[m[f"e_{p}"].cast("string") for p in matching.PARTS])
@@ -66,8 +68,10 @@ def described_review_items(releases, assertions):
 
 @_query(
     "assets",
-    sql=""", old AS (SELECT object_hash, asset_type AS recipe, min('o' || k1) AS output FROM assets WHERE k1 % 3 = 0 GROUP BY ALL), new AS (SELECT object_hash, asset_type AS recipe, min('n' || k1) AS output FROM assets WHERE k1 % 3 = 1 GROUP BY ALL)
-    SELECT object_hash, recipe, coalesce(old.output, new.output) AS output FROM old FULL JOIN new USING (object_hash, recipe) WHERE coalesce(old.output, new.output) NOT IN (SELECT 'o' || k1 FROM assets WHERE k1 % 9 = 0)""",
+    sql=""", old AS (SELECT object_hash, asset_type AS recipe, min('o' || k1) AS output FROM assets WHERE k1 % 3 = 0
+      GROUP BY ALL), new AS (SELECT object_hash, asset_type AS recipe, min('n' || k1) AS output FROM assets WHERE k1 % 3 = 1 GROUP BY ALL)
+    SELECT object_hash, recipe, coalesce(old.output, new.output) AS output FROM old FULL JOIN new USING (object_hash, recipe)
+      WHERE coalesce(old.output, new.output) NOT IN (SELECT 'o' || k1 FROM assets WHERE k1 % 9 = 0)""",
 )
 def derivatives_after(assets):
     row = lambda n, p: assets.where(f"k1 % 3 = {n}").groupBy("object_hash", F.col("asset_type").alias("recipe")).agg(F.min(F.concat(F.lit(p), F.col("k1").cast("string"))).alias("output"))
@@ -94,7 +98,9 @@ def games_first_seen(releases):
 @_query(
     "runs",
     "work",
-    sql=""", p AS (SELECT run_id, unnest(['src1', 'src' || (run_id % 9), 'src8']) AS source_id, unnest([0, 1, 2]) AS pos FROM runs), d AS (SELECT DISTINCT run_id, source_id FROM work WHERE state = 'done'), b AS (SELECT run_id, source_id, count(*) AS games FROM work GROUP BY ALL)
+    sql=""", p AS (SELECT run_id, unnest(['src1', 'src' || (run_id % 9), 'src8']) AS source_id, unnest([0, 1, 2]) AS pos
+      FROM runs), d AS (SELECT DISTINCT run_id, source_id FROM work WHERE state = 'done'), b AS (SELECT run_id, source_id, count(*) AS games FROM work
+      GROUP BY ALL)
     SELECT p.run_id, pos, p.source_id, d.run_id IS NOT NULL AS complete, coalesce(games, 0) AS games FROM p LEFT JOIN d USING (run_id, source_id) LEFT JOIN b USING (run_id, source_id)""",
 )
 def run_discoveries(all_runs, work):
@@ -102,7 +108,8 @@ def run_discoveries(all_runs, work):
     return summaries.discoveries(planned, work.where("state = 'done'"), work.groupBy("run_id", "source_id").agg(F.count("*").alias("games")))
 
 
-@_query("assets", sql=", d AS (SELECT DISTINCT object_hash, asset_type AS recipe, md5(object_hash || asset_type) AS output FROM assets) SELECT object_hash, string_agg(output, '|' ORDER BY recipe, output) AS outputs FROM d GROUP BY object_hash")
+@_query("assets", sql=""", d AS (SELECT DISTINCT object_hash, asset_type AS recipe, md5(object_hash || asset_type) AS output
+      FROM assets) SELECT object_hash, string_agg(output, '|' ORDER BY recipe, output) AS outputs FROM d GROUP BY object_hash""")
 def derived_by_original(assets):
     rows = assets.select("object_hash", F.col("asset_type").alias("recipe"), F.md5(F.concat("object_hash", "asset_type")).alias("output")).distinct()
     return summaries.derived_by_original(rows).select("object_hash", F.array_join("outputs", "|").alias("outputs"))
@@ -125,8 +132,11 @@ def search_page_after(releases):
 
 @_query(
     "work",
-    sql=""", s AS (SELECT DISTINCT source_id FROM work), f AS (SELECT source_id, work_id % 3 = 0 AS optional, CASE work_id % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'unreadable' ELSE 'stored' END AS state FROM work WHERE source_id <> 'src6')
-    SELECT s.source_id, s.source_id NOT IN ('src2', 'src4') AS enabled, CASE WHEN count(f.state) = 0 THEN 'not_needed' WHEN bool_or(state = 'unreadable') THEN 'unreadable' WHEN bool_or(NOT optional AND state = 'missing') THEN 'missing' ELSE 'stored' END AS credential
+    sql=""", s AS (SELECT DISTINCT source_id FROM work), f AS (SELECT source_id, work_id % 3 = 0 AS optional,
+      CASE work_id % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'unreadable' ELSE 'stored' END AS state FROM work WHERE source_id <> 'src6')
+    SELECT s.source_id, s.source_id NOT IN ('src2', 'src4') AS enabled,
+      CASE WHEN count(f.state) = 0 THEN 'not_needed' WHEN bool_or(state = 'unreadable') THEN 'unreadable' WHEN bool_or(NOT optional AND state = 'missing') THEN 'missing'
+      ELSE 'stored' END AS credential
     FROM s LEFT JOIN f USING (source_id) GROUP BY s.source_id""",
 )
 def described_sources(work):
@@ -152,7 +162,8 @@ def capable_sources(assets):
 @_query(
     "assets",
     sql=""", r AS (SELECT CASE WHEN k1 % 7 = 0 THEN 'exported' WHEN k1 % 7 < 3 THEN 'there' ELSE 'missing' END AS outcome FROM assets)
-    SELECT count(*) FILTER (WHERE outcome = 'exported') AS exported, count(*) FILTER (WHERE outcome = 'there') AS there, count(*) FILTER (WHERE outcome = 'missing') AS missing, 0::BIGINT AS failed FROM r""",
+    SELECT count(*) FILTER (WHERE outcome = 'exported') AS exported, count(*) FILTER (WHERE outcome = 'there') AS there, count(*) FILTER (WHERE outcome = 'missing') AS missing, 0::BIGINT AS failed
+      FROM r""",
 )
 def export_outcomes(assets):
     outcome = F.when(F.col("k1") % 7 == 0, "exported").when(F.col("k1") % 7 < 3, "there").otherwise("missing")
@@ -171,8 +182,10 @@ def thumbnail_sizes(assets):
 
 @_query(
     "release_editions",
-    sql=""", i AS (SELECT id AS item_id, list_sort(list_distinct([id + 1, id + 2, id + 3])) AS c FROM release_editions), m AS (SELECT id AS a, id - 1 AS b, id AS seq FROM release_editions WHERE id % 5 = 0),
-    e AS (SELECT item_id, unnest(c) AS x, unnest([0, 1, 2]) AS pos FROM i), f AS (SELECT item_id, coalesce(b, x) AS y, min((b IS NOT NULL, coalesce(seq, pos))) AS place FROM e LEFT JOIN m ON a = x GROUP BY ALL)
+    sql=""", i AS (SELECT id AS item_id, list_sort(list_distinct([id + 1, id + 2, id + 3])) AS c
+      FROM release_editions), m AS (SELECT id AS a, id - 1 AS b, id AS seq FROM release_editions WHERE id % 5 = 0),
+    e AS (SELECT item_id, unnest(c) AS x, unnest([0, 1, 2]) AS pos
+      FROM i), f AS (SELECT item_id, coalesce(b, x) AS y, min((b IS NOT NULL, coalesce(seq, pos))) AS place FROM e LEFT JOIN m ON a = x GROUP BY ALL)
     SELECT item_id, string_agg(y::VARCHAR, ',' ORDER BY place) AS candidates FROM f GROUP BY item_id""",
 )
 def candidates_after_merges(releases):
@@ -185,10 +198,13 @@ def candidates_after_merges(releases):
     "assets",
     sql=f""", ret AS (SELECT *, {BEST} AS px, row_number() OVER (PARTITION BY release_id, asset_type ORDER BY {BEST} DESC, byte_len DESC, k1, k2, k3) AS rn FROM assets WHERE k2 <= 4),
     new AS (SELECT *, {BEST} AS px, 'c' || k1 || '-' || k2 || '-' || k3 || '-' || release_id AS identity FROM assets WHERE k2 > 4),
-    o AS (SELECT n.*, CASE WHEN EXISTS (SELECT 1 FROM ret x WHERE x.release_id = n.release_id AND x.asset_type = n.asset_type AND x.object_hash = n.object_hash) THEN NULL ELSE r.object_hash END AS above
+    o AS (SELECT n.*, CASE WHEN EXISTS (SELECT 1 FROM ret x
+      WHERE x.release_id = n.release_id AND x.asset_type = n.asset_type AND x.object_hash = n.object_hash) THEN NULL ELSE r.object_hash END AS above
       FROM new n LEFT JOIN ret r ON r.rn = 1 AND r.release_id = n.release_id AND r.asset_type = n.asset_type AND (r.px > n.px OR (r.px = n.px AND r.byte_len >= n.byte_len))),
-    s AS (SELECT *, CASE k1 % 7 WHEN 0 THEN 'rejected' WHEN 1 THEN 'accepted' WHEN 2 THEN 'pending' WHEN 3 THEN 'superseded' END AS status, k1 % 7 = 0 OR (k1 % 7 = 1 AND k1 % 2 = 0) AS conflict FROM o)
-    SELECT identity, release_id, asset_type, k1, k2, k3, CASE WHEN conflict THEN 'human_decision_conflict' WHEN above IS NOT NULL THEN 'outranked' ELSE 'linked' END AS outcome, CASE WHEN NOT conflict THEN above END AS outranker,
+    s AS (SELECT *, CASE k1 % 7 WHEN 0 THEN 'rejected' WHEN 1 THEN 'accepted' WHEN 2 THEN 'pending' WHEN 3 THEN 'superseded' END AS status, k1 % 7 = 0 OR (k1 % 7 = 1 AND k1 % 2 = 0) AS conflict
+      FROM o)
+    SELECT identity, release_id, asset_type, k1, k2, k3, CASE WHEN conflict THEN 'human_decision_conflict' WHEN above IS NOT NULL THEN 'outranked'
+      ELSE 'linked' END AS outcome, CASE WHEN NOT conflict THEN above END AS outranker,
       CASE WHEN status IN ('pending', 'superseded') THEN 'auto_resolved' ELSE status END AS review FROM s""",
 )
 def candidate_outcomes(assets):
@@ -202,7 +218,9 @@ def candidate_outcomes(assets):
 @_query(
     "runs",
     sql=""", r AS (SELECT run_id, status, run_id % 3 AS version, run_id % 2 AS queued FROM runs),
-    a AS (SELECT *, CASE WHEN version <> 1 THEN 'changed' WHEN status = 'paused' THEN 'unchanged' WHEN status = 'running' THEN 'applied' ELSE 'refused' END AS o1, CASE WHEN version = 1 AND status = 'running' THEN 'paused' ELSE status END AS s1, version + CASE WHEN version = 1 AND status = 'running' THEN 1 ELSE 0 END AS v1 FROM r),
+    a AS (SELECT *, CASE WHEN version <> 1 THEN 'changed' WHEN status = 'paused' THEN 'unchanged' WHEN status = 'running' THEN 'applied'
+      ELSE 'refused' END AS o1, CASE WHEN version = 1 AND status = 'running' THEN 'paused' ELSE status END AS s1, version +
+      CASE WHEN version = 1 AND status = 'running' THEN 1 ELSE 0 END AS v1 FROM r),
     b AS (SELECT *, CASE WHEN v1 <> 2 THEN 'changed' WHEN s1 = 'completed' THEN 'unchanged' WHEN queued > 0 THEN 'has_queued_work' WHEN s1 = 'running' THEN 'applied' ELSE 'refused' END AS o2 FROM a)
     SELECT run_id, 1::BIGINT AS seq, 'paused' AS target, o1 AS outcome, s1 AS status, v1 AS version FROM b
     UNION ALL SELECT run_id, 2, 'completed', o2, CASE WHEN o2 = 'applied' THEN 'completed' ELSE s1 END, v1 + CASE WHEN o2 = 'applied' THEN 1 ELSE 0 END FROM b""",
@@ -216,12 +234,14 @@ def guarded_run_moves(all_runs):
 _RANKS = ", ".join(f"('{t}', {n})" for n, (t, _) in enumerate(dims.ASSET_TYPES))
 
 
-@_query("assets", sql=f", t(asset_type, n) AS (VALUES {_RANKS}) SELECT release_id, asset_type, k1, k2, k3, row_number() OVER (PARTITION BY release_id ORDER BY n, k1, k2, k3) AS place FROM assets JOIN t USING (asset_type)")
+@_query("assets", sql=f""", t(asset_type, n) AS (VALUES {_RANKS}) SELECT release_id, asset_type, k1, k2, k3, row_number() OVER (PARTITION BY release_id
+      ORDER BY n, k1, k2, k3) AS place FROM assets JOIN t USING (asset_type)""")
 def media_order(assets):
     return summaries.in_media_order(assets.select("release_id", "asset_type", "k1", "k2", "k3"))
 
 
-@_query("assets", sql=" SELECT release_id, k1, k2, k3, greatest(1, round(width * (1024.0::DOUBLE / greatest(width, height)))::INT) AS tw, greatest(1, round(height * (1024.0::DOUBLE / greatest(width, height)))::INT) AS th FROM assets WHERE width IS NOT NULL")
+@_query("assets", sql=""" SELECT release_id, k1, k2, k3, greatest(1, round(width * (1024.0::DOUBLE / greatest(width, height)))::INT) AS tw, greatest(1, round(height * (1024.0::DOUBLE / greatest(width, height)))::INT) AS th
+      FROM assets WHERE width IS NOT NULL""")
 def drawn_page_sizes(assets):
     w, h = summaries.drawn_size(F.col("width"), F.col("height"), 1024)
     return assets.where("width is not null").select("release_id", "k1", "k2", "k3", w.alias("tw"), h.alias("th"))

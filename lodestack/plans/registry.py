@@ -75,7 +75,8 @@ def outranked_by_k(assets):
     return preference.outranked(assets.where("k1 % 2 = 0"), assets.where("k1 % 2 = 1"), 2)
 
 
-@_query("assets", sql=", p AS (SELECT * FROM assets WHERE source_id <> 'src0') SELECT DISTINCT object_hash FROM assets a WHERE EXISTS (SELECT 1 FROM p WHERE p.release_id = a.release_id AND p.k1 = a.k1 AND p.k2 = a.k2 AND p.k3 = a.k3)")
+@_query("assets", sql=""", p AS (SELECT * FROM assets WHERE source_id <> 'src0') SELECT DISTINCT object_hash FROM assets a WHERE EXISTS (SELECT 1 FROM p
+      WHERE p.release_id = a.release_id AND p.k1 = a.k1 AND p.k2 = a.k2 AND p.k3 = a.k3)""")
 def retained_originals(assets):
     return vault.with_provenance(assets, assets.where("source_id <> 'src0'"))
 
@@ -124,7 +125,8 @@ def quality_shortfalls(assets):
     return preference.shortfalls(assets, 400, 300, 120_000, 2_000_000, 500)
 
 
-_LATEST = "latest AS (SELECT release_id, source_id, value, k1, k2, k3 FROM (SELECT *, row_number() OVER (PARTITION BY release_id, source_id ORDER BY k1 DESC, k2 DESC, k3 DESC) AS rn FROM assertions) WHERE rn = 1)"
+_LATEST = """latest AS (SELECT release_id, source_id, value, k1, k2, k3 FROM (SELECT *, row_number() OVER (PARTITION BY release_id, source_id
+      ORDER BY k1 DESC, k2 DESC, k3 DESC) AS rn FROM assertions) WHERE rn = 1)"""
 
 
 @_query(
@@ -146,7 +148,8 @@ def latest_title_per_source(assertions):
 _SUMMARY = """, firsts AS (SELECT release_id, asset_type, min((k1, k2, k3)) AS seen FROM assets GROUP BY ALL),
     types AS (SELECT release_id, list(asset_type ORDER BY seen, asset_type) AS asset_types FROM firsts GROUP BY release_id),
     srcs AS (SELECT release_id, list(source_id ORDER BY source_id) AS sources FROM (SELECT release_id, source_id FROM assets UNION SELECT release_id, source_id FROM assertions) GROUP BY release_id),
-    summary AS (SELECT r.*, coalesce(asset_types, []) AS asset_types, coalesce(sources, []) AS sources FROM release_editions r LEFT JOIN types t ON t.release_id = r.id LEFT JOIN srcs s ON s.release_id = r.id)"""
+    summary AS (SELECT r.*, coalesce(asset_types, []) AS asset_types, coalesce(sources, []) AS sources FROM release_editions r LEFT
+      JOIN types t ON t.release_id = r.id LEFT JOIN srcs s ON s.release_id = r.id)"""
 
 
 @_query("release_editions", "assets", "assertions", sql=_SUMMARY + " SELECT id, title, platform, array_to_string(asset_types, ',') AS asset_types, array_to_string(sources, ',') AS sources FROM summary")
@@ -158,7 +161,8 @@ def library_summary(releases, assets, assertions):
 @_query(
     "release_editions",
     "assets",
-    sql=""" SELECT r.id, r.title, count(a.release_id) AS n_assets, coalesce(string_agg(a.asset_type || ':' || a.object_hash || ':' || cast(a.byte_len AS VARCHAR), '|' ORDER BY a.k1, a.k2, a.k3), '') AS assets
+    sql=""" SELECT r.id, r.title, count(a.release_id) AS n_assets, coalesce(string_agg(a.asset_type || ':' || a.object_hash || ':' || cast(a.byte_len AS VARCHAR), '|'
+      ORDER BY a.k1, a.k2, a.k3), '') AS assets
     FROM release_editions r LEFT JOIN assets a ON a.release_id = r.id GROUP BY r.id, r.title""",
 )
 def library_entries_nested(releases, assets):
@@ -179,17 +183,21 @@ def library_search(releases, assets, assertions):
     return library.search(s, " RE ", ["nintendogameboy", "Sony PlayStation", "MAME"], ["usa", "Japan"], ["box_front", "disc"]).select("id", *library.SORT)
 
 
-@_query("release_editions", sql=" SELECT id, title, platform, region, edition FROM release_editions WHERE (lower(title), lower(platform), lower(region), lower(edition), id) > (SELECT (lower(title), lower(platform), lower(region), lower(edition), id) FROM release_editions WHERE id = 7) ORDER BY lower(title), lower(platform), lower(region), lower(edition), id LIMIT 50")
+@_query("release_editions", sql=""" SELECT id, title, platform, region, edition FROM release_editions
+      WHERE (lower(title), lower(platform), lower(region), lower(edition), id) > (SELECT (lower(title), lower(platform), lower(region), lower(edition), id)
+      FROM release_editions WHERE id = 7) ORDER BY lower(title), lower(platform), lower(region), lower(edition), id LIMIT 50""")
 def library_page_keyset(releases):
     return library.page(releases, 50, releases.where("id = 7")).select("id", *library.SORT)
 
 
-@_query("release_editions", "assets", sql=" SELECT lower(regexp_replace(platform, '[^\\p{L}\\p{N}]', '', 'g')) AS platform_key, min(trim(platform)) AS platform FROM release_editions WHERE id IN (SELECT release_id FROM assets) GROUP BY 1")
+@_query("release_editions", "assets", sql=""" SELECT lower(regexp_replace(platform, '[^\\p{L}\\p{N}]', '', 'g')) AS platform_key, min(trim(platform)) AS platform FROM release_editions
+      WHERE id IN (SELECT release_id FROM assets) GROUP BY 1""")
 def platforms_with_media(releases, assets):
     return library.platforms_with_media(releases, assets)
 
 
-@_query("release_editions", "assets", sql=" SELECT release_id, title, asset_type, k1, k2, k3 FROM (SELECT * FROM assets ORDER BY k1 DESC, k2 DESC, release_id DESC, k3 DESC LIMIT 24) a JOIN release_editions r ON r.id = a.release_id")
+@_query("release_editions", "assets", sql=""" SELECT release_id, title, asset_type, k1, k2, k3 FROM (SELECT * FROM assets ORDER BY k1 DESC, k2 DESC, release_id DESC, k3 DESC LIMIT 24) a
+      JOIN release_editions r ON r.id = a.release_id""")
 def latest_media(releases, assets):
     return library.latest_media(releases, assets, 24)
 
@@ -219,7 +227,9 @@ def _matches(high: int, medium: int) -> str:
     pick AS (SELECT *, row_number() OVER (PARTITION BY ct, cp, cr, ce ORDER BY CASE WHEN same AND lower(re) <> 'standard' THEN 1 ELSE 0 END,
       CASE WHEN same THEN CASE rr WHEN 'world' THEN 0 WHEN 'usa' THEN 1 WHEN 'europe' THEN 2 WHEN 'japan' THEN 3 ELSE 4 END END,
       CASE WHEN same THEN rr END, release_id) AS rn FROM one),
-    named AS (SELECT candidate_id, release_id, score, CASE WHEN score < {medium} THEN 'low' WHEN NOT same OR least(e2, e3, e4) < 0 THEN 'medium' WHEN score >= {high} THEN 'high' ELSE 'medium' END AS confidence
+    named AS (SELECT candidate_id, release_id, score,
+      CASE WHEN score < {medium} THEN 'low' WHEN NOT same OR least(e2, e3, e4) < 0 THEN 'medium' WHEN score >= {high} THEN 'high'
+      ELSE 'medium' END AS confidence
       FROM candidates c JOIN pick p ON c.title = ct AND c.platform = cp AND c.region = cr AND c.edition = ce WHERE rn = 1)"""
 
 
@@ -254,7 +264,8 @@ def competing_matches(candidates, releases):
     "release_editions",
     "work",
     sql=_PAIRS
-    + """, open AS (SELECT title, platform, region, edition, count(*) AS items FROM candidates WHERE candidate_id IN (SELECT work_id FROM work WHERE review_status IN ('pending', 'deferred')) GROUP BY ALL)
+    + """, open AS (SELECT title, platform, region, edition, count(*) AS items FROM candidates WHERE candidate_id IN (SELECT work_id FROM work
+      WHERE review_status IN ('pending', 'deferred')) GROUP BY ALL)
     SELECT release_id, cast(sum(items) AS BIGINT) AS items FROM scored JOIN open ON title = ct AND platform = cp AND region = cr AND edition = ce WHERE score >= 50 GROUP BY release_id""",
 )
 def needs_review(candidates, releases, work):
@@ -276,28 +287,35 @@ def run_counters(all_runs, work):
     "work",
     sql=_COUNTERS
     + """, s AS (SELECT run_id, avg(share) AS m FROM (SELECT run_id, source_id, count(*) FILTER (WHERE state = 'done') / count(*) AS share FROM work GROUP BY ALL) GROUP BY run_id)
-    SELECT n.run_id, greatest(done - unavailable - skipped - dismissed, 0) AS acquired, round(coalesce(m, 0.0), 9) AS mean_share, round(CASE WHEN queued + parked + done > 0 THEN done / (queued + parked + done) ELSE 0.0 END, 9) AS done_share FROM n LEFT JOIN s ON s.run_id = n.run_id""",
+    SELECT n.run_id, greatest(done - unavailable - skipped - dismissed, 0) AS acquired, round(coalesce(m, 0.0), 9) AS mean_share, round(CASE WHEN queued + parked + done > 0 THEN done / (queued + parked + done)
+      ELSE 0.0 END, 9) AS done_share FROM n LEFT JOIN s ON s.run_id = n.run_id""",
 )
 def run_progress(all_runs, work):
     return runs.progress(all_runs, work).withColumns({c: F.round(c, 9) for c in ("mean_share", "done_share")})
 
 
-@_query("runs", "work", sql=", q AS (SELECT w.run_id, row_number() OVER (PARTITION BY w.run_id, source_id ORDER BY work_id) AS turn, work_id, source_id FROM work w JOIN runs r ON r.run_id = w.run_id AND status = 'running' WHERE state = 'queued' AND source_id <> 'src3') SELECT * FROM q WHERE turn <= 2")
+@_query("runs", "work", sql=""", q AS (SELECT w.run_id, row_number() OVER (PARTITION BY w.run_id, source_id ORDER BY work_id) AS turn, work_id, source_id FROM work w
+      JOIN runs r ON r.run_id = w.run_id AND status = 'running' WHERE state = 'queued' AND source_id <> 'src3') SELECT * FROM q WHERE turn <= 2""")
 def fair_queue(all_runs, work):
     return runs.fair_queue(all_runs, work, 2, ["src3"])
 
 
-@_query("runs", "work", sql=", s AS (SELECT w.run_id, work_id, CASE WHEN status = 'cancelled' THEN NULL WHEN status = 'completed' AND state = 'queued' THEN 'completed_run' WHEN state = 'parked' AND review_status NOT IN ('pending', 'deferred') THEN 'closed_review' END AS reason FROM work w JOIN runs r ON r.run_id = w.run_id WHERE state <> 'done') SELECT * FROM s WHERE reason IS NOT NULL")
+@_query("runs", "work", sql=""", s AS (SELECT w.run_id, work_id,
+      CASE WHEN status = 'cancelled' THEN NULL WHEN status = 'completed' AND state = 'queued' THEN 'completed_run' WHEN state = 'parked' AND review_status NOT IN ('pending', 'deferred') THEN 'closed_review' END AS reason
+      FROM work w JOIN runs r ON r.run_id = w.run_id WHERE state <> 'done') SELECT * FROM s WHERE reason IS NOT NULL""")
 def stale_work(all_runs, work):
     return runs.stale(all_runs, work)
 
 
-@_query("work", sql=" SELECT work_id, review_status, (SELECT count(*) FROM work WHERE review_status IN ('pending', 'deferred')) AS total FROM work WHERE review_status IN ('pending', 'deferred') ORDER BY work_id LIMIT 50 OFFSET 100")
+@_query("work", sql=""" SELECT work_id, review_status, (SELECT count(*) FROM work WHERE review_status IN ('pending', 'deferred')) AS total FROM work
+      WHERE review_status IN ('pending', 'deferred') ORDER BY work_id LIMIT 50 OFFSET 100""")
 def undecided_page(work):
     return runs.undecided_page(work, 50, 100)
 
 
-@_query("source_failures", sql=", f AS (SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY sequence DESC) AS rank, sequence, CASE WHEN cast(json_extract(props, '$.k') AS INT) % 2 = 0 THEN 'discovery' ELSE 'download' END AS stage, count(*) OVER (PARTITION BY source_id) AS failures FROM source_failures) SELECT * FROM f WHERE rank <= 3")
+@_query("source_failures", sql=""", f AS (SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY sequence DESC) AS rank, sequence,
+      CASE WHEN cast(json_extract(props, '$.k') AS INT) % 2 = 0 THEN 'discovery'
+      ELSE 'download' END AS stage, count(*) OVER (PARTITION BY source_id) AS failures FROM source_failures) SELECT * FROM f WHERE rank <= 3""")
 def source_failures(log):
     return runs.failures(log, 3)
 
@@ -312,7 +330,9 @@ def vault_unreferenced(assets):
     return vault.unreferenced(assets.where("k3 % 2 = 0"), assets.where("k1 % 3 = 0"))
 
 
-@_query("assets", sql=", d AS (SELECT DISTINCT md5('d' || cast(release_id AS VARCHAR) || asset_type) AS derived_hash, object_hash FROM assets) SELECT derived_hash, count(*) AS originals, bool_and(object_hash IN (SELECT object_hash FROM assets WHERE k3 % 2 = 0)) AS in_use FROM d GROUP BY derived_hash")
+@_query("assets", sql=""", d AS (SELECT DISTINCT md5('d' || cast(release_id AS VARCHAR) || asset_type) AS derived_hash, object_hash
+      FROM assets) SELECT derived_hash, count(*) AS originals, bool_and(object_hash IN (SELECT object_hash FROM assets WHERE k3 % 2 = 0)) AS in_use FROM d
+      GROUP BY derived_hash""")
 def derived_in_use(assets):
     derived = assets.select(F.md5(F.concat(F.lit("d"), F.col("release_id").cast("string"), "asset_type").cast("binary")).alias("derived_hash"), "object_hash")
     return vault.derived_in_use(derived, assets.where("k3 % 2 = 0"))
@@ -328,13 +348,16 @@ def derived_in_use(assets):
         ELSE 'cover' || CASE media_type WHEN 'image/png' THEN '.png' WHEN 'image/tiff' THEN '.tif' WHEN 'application/pdf' THEN '.pdf' ELSE '' END END AS file
       FROM assets a JOIN release_editions r ON r.id = release_id JOIN label USING (asset_type)),
     h AS (SELECT *, count(*) OVER (PARTITION BY lower(folder || '/' || file)) AS holders FROM p)
-    SELECT release_id, asset_type, k1, k2, k3, object_hash, byte_len, folder || '/' || CASE WHEN holders = 1 THEN file WHEN contains(file, '.') THEN regexp_replace(file, '\\.([^.]*)$', ' (' || object_hash[1:8] || ').\\1') ELSE file || ' (' || object_hash[1:8] || ')' END AS path FROM h""",
+    SELECT release_id, asset_type, k1, k2, k3, object_hash, byte_len, folder || '/' ||
+      CASE WHEN holders = 1 THEN file WHEN contains(file, '.') THEN regexp_replace(file, '\\.([^.]*)$', ' (' || object_hash[1:8] || ').\\1')
+      ELSE file || ' (' || object_hash[1:8] || ')' END AS path FROM h""",
 )
 def export_paths(releases, assets):
     return library.export_paths(releases, assets)
 
 
-@_query("assertions", sql=" SELECT release_id, k1, k2, k3, lower(regexp_replace(value, '[^\\p{L}\\p{N}]', '', 'g')) AS name_key, lower(regexp_replace(value, '\\s', '', 'g')) AS comparable FROM assertions")
+@_query("assertions", sql=""" SELECT release_id, k1, k2, k3, lower(regexp_replace(value, '[^\\p{L}\\p{N}]', '', 'g')) AS name_key, lower(regexp_replace(value, '\\s', '', 'g')) AS comparable
+      FROM assertions""")
 def title_keys(assertions):
     return assertions.select("release_id", "k1", "k2", "k3", text.name_key(F.col("value")).alias("name_key"), text.comparable(F.col("value")).alias("comparable"))
 
@@ -357,19 +380,25 @@ def release_name_parse(releases):
     return releases.select("id", text.parsed_release_name(name).alias("n")).select("id", "n.*")
 
 
-@_query("assets", sql=" SELECT release_id AS record_id, CASE WHEN bool_and(width IS NOT NULL) THEN string_agg(DISTINCT sha1(object_hash), ',' ORDER BY sha1(object_hash)) END AS dump_set FROM assets GROUP BY release_id")
+@_query("assets", sql=""" SELECT release_id AS record_id, CASE WHEN bool_and(width IS NOT NULL) THEN string_agg(DISTINCT sha1(object_hash), ','
+      ORDER BY sha1(object_hash)) END AS dump_set FROM assets GROUP BY release_id""")
 def dump_sets(assets):
     return linking.dump_sets(assets.select(F.col("release_id").alias("record_id"), F.when(F.col("width").isNotNull(), F.upper(F.sha1(F.col("object_hash").cast("binary")))).alias("sha1")))
 
 
-_REC = """, rec AS (SELECT id AS record_id, 'src' || cast(id % 3 AS VARCHAR) AS own, CASE WHEN id % 4 = 0 THEN title || region END AS dump_set, lower(trim(title)) AS t, lower(platform) AS p, lower(region) AS r, lower(edition) AS e FROM release_editions WHERE id % 2 = 0),
-    kn AS (SELECT id AS release_id, 'src' || cast(id % 3 AS VARCHAR) AS source_id, CASE WHEN id % 5 = 0 THEN title || region END AS dump_set, lower(trim(title)) AS t, lower(platform) AS p, lower(region) AS r, lower(edition) AS e FROM release_editions WHERE id % 2 = 1),
+_REC = """, rec AS (SELECT id AS record_id, 'src' || cast(id % 3 AS VARCHAR) AS own,
+      CASE WHEN id % 4 = 0 THEN title || region END AS dump_set, lower(trim(title)) AS t, lower(platform) AS p, lower(region) AS r, lower(edition) AS e
+      FROM release_editions WHERE id % 2 = 0),
+    kn AS (SELECT id AS release_id, 'src' || cast(id % 3 AS VARCHAR) AS source_id,
+      CASE WHEN id % 5 = 0 THEN title || region END AS dump_set, lower(trim(title)) AS t, lower(platform) AS p, lower(region) AS r, lower(edition) AS e
+      FROM release_editions WHERE id % 2 = 1),
     dm AS (SELECT DISTINCT record_id, own, release_id FROM rec JOIN kn USING (p, r, e) WHERE rec.dump_set = kn.dump_set AND own <> source_id),
     tm AS (SELECT DISTINCT record_id, own, release_id FROM rec JOIN kn USING (p, r, e, t) WHERE own <> source_id AND record_id NOT IN (SELECT record_id FROM dm)),
     m AS (SELECT *, 'dumps' AS evidence FROM dm UNION ALL SELECT *, 'title' FROM tm),
     f AS (SELECT *, NOT EXISTS (SELECT 1 FROM kn WHERE kn.release_id = m.release_id AND kn.source_id = m.own) AS free FROM m),
     g AS (SELECT record_id, evidence, count(*) AS n, count(*) FILTER (WHERE free) AS nf, min(release_id) FILTER (WHERE free) AS release_id FROM f GROUP BY ALL)
-    SELECT rec.record_id, coalesce(evidence, 'none') AS evidence, CASE WHEN n = 1 AND nf = 1 THEN 'linked' WHEN nf > 0 THEN 'uncertain' ELSE 'unlinked' END AS outcome, CASE WHEN n = 1 AND nf = 1 THEN release_id END AS release_id FROM rec LEFT JOIN g USING (record_id)"""
+    SELECT rec.record_id, coalesce(evidence, 'none') AS evidence, CASE WHEN n = 1 AND nf = 1 THEN 'linked' WHEN nf > 0 THEN 'uncertain'
+      ELSE 'unlinked' END AS outcome, CASE WHEN n = 1 AND nf = 1 THEN release_id END AS release_id FROM rec LEFT JOIN g USING (record_id)"""
 
 
 @_query("release_editions", sql=_REC)
@@ -382,19 +411,25 @@ def link_by_dumps_then_title(releases):
     return linking.link(records, known)
 
 
-@_query("release_editions", "candidates", sql=", l AS (SELECT lower(trim(title)) || platform || region || edition AS k, count(*) AS n, min(id) AS listed_id FROM release_editions GROUP BY 1) SELECT candidate_id AS id, lower(trim(title)) || platform || region || edition AS title, listed_id FROM candidates JOIN l ON l.k = lower(trim(title)) || platform || region || edition WHERE n = 1")
+@_query("release_editions", "candidates", sql=""", l AS (SELECT lower(trim(title)) || platform || region || edition AS k, count(*) AS n, min(id) AS listed_id FROM release_editions
+      GROUP BY 1) SELECT candidate_id AS id, lower(trim(title)) || platform || region || edition AS title, listed_id FROM candidates
+      JOIN l ON l.k = lower(trim(title)) || platform || region || edition WHERE n = 1""")
 def unique_title_join(releases, candidates):
     key = F.concat(text.normalised(F.col("title")), "platform", "region", "edition").alias("title")
     out = library.unique_titles(candidates.select(F.col("candidate_id").alias("id"), key), releases.select("id", key))
     return out.select("id", "title", "listed_id")
 
 
-@_query("release_editions", sql=", o AS (SELECT *, bool_or(platform = 'Nintendo - Game Boy') OVER (PARTITION BY title, region) AS any_own FROM release_editions) SELECT id, title, region, platform FROM o WHERE platform = 'Nintendo - Game Boy' OR NOT any_own")
+@_query("release_editions", sql=""", o AS (SELECT *, bool_or(platform = 'Nintendo - Game Boy') OVER (PARTITION BY title, region) AS any_own
+      FROM release_editions) SELECT id, title, region, platform FROM o WHERE platform = 'Nintendo - Game Boy' OR NOT any_own""")
 def fallback_join(releases):
     return library.own_or_general(releases, F.col("platform") == "Nintendo - Game Boy", ["title", "region"]).select("id", "title", "region", "platform")
 
 
-@_query("release_editions", sql=", g AS (SELECT lower(regexp_replace(platform, '[^\\p{L}\\p{N}]', '', 'g')) AS platform_key, lower(trim(title)) AS name, min(title) AS title FROM release_editions GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY platform_key ORDER BY name) AS rn, count(*) OVER (PARTITION BY platform_key) AS cnt FROM g) SELECT platform_key, title, rn FROM r WHERE rn <= least(10, (cnt * 15 + 99) // 100)")
+@_query("release_editions", sql=""", g AS (SELECT lower(regexp_replace(platform, '[^\\p{L}\\p{N}]', '', 'g')) AS platform_key, lower(trim(title)) AS name, min(title) AS title
+      FROM release_editions GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY platform_key
+      ORDER BY name) AS rn, count(*) OVER (PARTITION BY platform_key) AS cnt FROM g) SELECT platform_key, title, rn FROM r
+      WHERE rn <= least(10, (cnt * 15 + 99) // 100)""")
 def every_game_first_n(releases):
     return library.first_games(releases, 10, 15)
 
@@ -418,7 +453,10 @@ def region_selection(releases):
     return library.in_regions(releases, [" germany", "EUROPE"]).select("id", "region")
 
 
-@_query("assets", sql=", cap AS (SELECT DISTINCT source_id, asset_type FROM assets WHERE k2 = 3 AND k3 % 4 = 1), ask(selector) AS (VALUES ('any'), ('packaging'), ('box_front'), ('manual'), ('insert'), ('disc')), h AS (SELECT selector, source_id FROM ask JOIN cap ON selector = asset_type UNION SELECT 'any', source_id FROM cap) SELECT ask.selector, coalesce(string_agg(source_id, ',' ORDER BY source_id), '') AS sources, count(source_id) > 0 AS covered FROM ask LEFT JOIN h ON h.selector = ask.selector GROUP BY ask.selector")
+@_query("assets", sql=""", cap AS (SELECT DISTINCT source_id, asset_type FROM assets
+      WHERE k2 = 3 AND k3 % 4 = 1), ask(selector) AS (VALUES ('any'), ('packaging'), ('box_front'), ('manual'), ('insert'), ('disc')), h AS (SELECT selector, source_id
+      FROM ask JOIN cap ON selector = asset_type UNION SELECT 'any', source_id FROM cap) SELECT ask.selector, coalesce(string_agg(source_id, ','
+      ORDER BY source_id), '') AS sources, count(source_id) > 0 AS covered FROM ask LEFT JOIN h ON h.selector = ask.selector GROUP BY ask.selector""")
 def plan_coverage(assets):
     asked = assets.sparkSession.createDataFrame([(x,) for x in ("any", "packaging", "box_front", "manual", "insert", "disc")], "selector string")
     return planning.covered(asked, assets.where("k2 = 3 and k3 % 4 = 1").select("source_id", "asset_type").distinct())
@@ -434,7 +472,9 @@ def store_difference(assets):
     return assets.where("k1 % 3 = 0").select("object_hash", "asset_type").subtract(assets.where("k3 % 2 = 0").select("object_hash", "asset_type"))
 
 
-@_query("release_editions", sql=", w AS (SELECT DISTINCT title, CASE WHEN id % 3 = 0 THEN platform END AS only_platform FROM release_editions WHERE id % 17 = 0) SELECT t.platform, t.title FROM (SELECT DISTINCT platform, title FROM release_editions) t JOIN w ON w.title = t.title WHERE only_platform IS NULL OR only_platform = t.platform")
+@_query("release_editions", sql=""", w AS (SELECT DISTINCT title, CASE WHEN id % 3 = 0 THEN platform END AS only_platform FROM release_editions
+      WHERE id % 17 = 0) SELECT t.platform, t.title FROM (SELECT DISTINCT platform, title FROM release_editions) t JOIN w ON w.title = t.title
+      WHERE only_platform IS NULL OR only_platform = t.platform""")
 def request_targets(releases):
     wanted = releases.where("id % 17 = 0").select("title", F.when(F.col("id") % 3 == 0, F.col("platform")).alias("only_platform")).distinct()
     return planning.targets(releases, wanted)

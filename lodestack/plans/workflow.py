@@ -12,7 +12,8 @@ _STATUS = """, done AS (SELECT id, max(position) FILTER (WHERE missing = 0) AS l
     st AS (SELECT rel.id, CASE WHEN family IS NOT NULL THEN coalesce(last, -1) END AS last FROM rel LEFT JOIN done ON done.id = rel.id)"""
 _TITLES = """, claims AS (SELECT *, CASE WHEN k2 % 2 = 0 THEN 'alt' ELSE '' END AS q FROM assertions),
     lc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY release_id, q, source_id ORDER BY k1 DESC, k2 DESC, k3 DESC) AS rn FROM claims) WHERE rn = 1),
-    vt AS (SELECT release_id, q, lower(regexp_replace(value, '\\s', '', 'g')) AS key, count(*) AS n, min((k1, k2, k3, source_id)) AS seen, arg_min(value, (k1, k2, k3, source_id)) AS value FROM lc GROUP BY ALL),
+    vt AS (SELECT release_id, q, lower(regexp_replace(value, '\\s', '', 'g')) AS key, count(*) AS n, min((k1, k2, k3, source_id)) AS seen, arg_min(value, (k1, k2, k3, source_id)) AS value
+      FROM lc GROUP BY ALL),
     ct AS (SELECT release_id, trim(value) AS value FROM (SELECT *, row_number() OVER (PARTITION BY release_id, q ORDER BY n DESC, seen) AS rn FROM vt) WHERE rn = 1)"""
 
 
@@ -52,11 +53,15 @@ def search_facets(releases, assets, assertions, work):
 
 
 _OWN = """, items AS (SELECT candidate_id, title, platform, region, edition, candidate_id % 50 + 1 AS a, candidate_id % 90 + 2 AS b FROM candidates WHERE candidate_id % 3 = 0),
-    own AS (SELECT candidate_id, s.release_id, s.game_id, score, e2, e3, e4, rr, re FROM items i JOIN scored s ON i.title = ct AND i.platform = cp AND i.region = cr AND i.edition = ce AND (s.release_id = a OR s.release_id = b)),
-    t AS (SELECT *, max(score) OVER (PARTITION BY candidate_id) AS best FROM own), u AS (SELECT *, min(game_id) OVER w = max(game_id) OVER w AS one FROM t WHERE score = best WINDOW w AS (PARTITION BY candidate_id)),
+    own AS (SELECT candidate_id, s.release_id, s.game_id, score, e2, e3, e4, rr, re FROM items i
+      JOIN scored s ON i.title = ct AND i.platform = cp AND i.region = cr AND i.edition = ce AND (s.release_id = a OR s.release_id = b)),
+    t AS (SELECT *, max(score) OVER (PARTITION BY candidate_id) AS best FROM own), u AS (SELECT *, min(game_id) OVER w = max(game_id) OVER w AS one
+      FROM t WHERE score = best WINDOW w AS (PARTITION BY candidate_id)),
     pick AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY CASE WHEN lower(re) = 'standard' THEN 0 ELSE 1 END,
       CASE rr WHEN 'world' THEN 0 WHEN 'usa' THEN 1 WHEN 'europe' THEN 2 WHEN 'japan' THEN 3 ELSE 4 END, rr, release_id) AS rn FROM u WHERE one),
-    answer AS (SELECT candidate_id, release_id, score, CASE WHEN score < 50 THEN 'low' WHEN least(e2, e3, e4) < 0 THEN 'medium' WHEN score >= 80 THEN 'high' ELSE 'medium' END AS confidence FROM pick WHERE rn = 1)"""
+    answer AS (SELECT candidate_id, release_id, score,
+      CASE WHEN score < 50 THEN 'low' WHEN least(e2, e3, e4) < 0 THEN 'medium' WHEN score >= 80 THEN 'high' ELSE 'medium' END AS confidence FROM pick
+      WHERE rn = 1)"""
 
 
 def _items(candidates):
@@ -80,7 +85,8 @@ _DECIDED = """, it AS (SELECT work_id AS item_id, review_status AS status, work_
     j AS (SELECT de.*, status, saw = seen AS fresh, status IN ('pending', 'deferred') AS free FROM de JOIN it USING (item_id)),
     f AS (SELECT item_id, min(turn) AS closed FROM j WHERE fresh AND free AND decision <> 'defer' GROUP BY item_id),
     o AS (SELECT j.*, CASE WHEN NOT fresh THEN 'changed' WHEN NOT free OR turn > closed THEN 'final' ELSE 'applied' END AS outcome FROM j LEFT JOIN f USING (item_id)),
-    now AS (SELECT it.item_id, coalesce(arg_max(CASE decision WHEN 'accept' THEN 'accepted' WHEN 'reject' THEN 'rejected' ELSE 'deferred' END, turn) FILTER (WHERE outcome = 'applied'), any_value(it.status)) AS status, any_value(it.seen) AS seen,
+    now AS (SELECT it.item_id, coalesce(arg_max(CASE decision WHEN 'accept' THEN 'accepted' WHEN 'reject' THEN 'rejected'
+      ELSE 'deferred' END, turn) FILTER (WHERE outcome = 'applied'), any_value(it.status)) AS status, any_value(it.seen) AS seen,
       CASE WHEN count(*) FILTER (WHERE outcome = 'applied') > 0 THEN 'applied' ELSE coalesce(arg_min(outcome, turn), 'none') END AS outcome FROM it LEFT JOIN o USING (item_id) GROUP BY it.item_id)"""
 
 
@@ -108,22 +114,26 @@ def decision_summary(work):
     "work",
     sql=""", w AS (SELECT w.run_id, r.status, work_id, state, review_status AS review,
       CASE WHEN state = 'parked' AND review_status = 'rejected' THEN 'done' WHEN state = 'parked' AND review_status = 'accepted' AND r.status <> 'cancelled' THEN 'queued' ELSE state END AS now FROM work w JOIN runs r ON r.run_id = w.run_id)
-    SELECT run_id, CASE WHEN status = 'completed' AND bool_or(now = 'queued' AND state = 'parked') OVER (PARTITION BY run_id) THEN 'running' ELSE status END AS status, work_id, now AS state, work_id AS item_id, now = 'done' AND state = 'parked' AS dismissed FROM w""",
+    SELECT run_id, CASE WHEN status = 'completed' AND bool_or(now = 'queued' AND state = 'parked') OVER (PARTITION BY run_id) THEN 'running'
+      ELSE status END AS status, work_id, now AS state, work_id AS item_id, now = 'done' AND state = 'parked' AS dismissed FROM w""",
 )
 def requeued_work(all_runs, work):
     rows = work.join(all_runs, "run_id").select("run_id", "status", "work_id", "state", F.col("work_id").alias("item_id"))
     return reviews.requeued(rows, work.select(F.col("work_id").alias("item_id"), F.col("review_status").alias("status")))
 
 
-@_query("runs", "work", sql=""", q AS (SELECT r.run_id, r.status, count(*) FILTER (WHERE state = 'queued') AS queued FROM runs r LEFT JOIN work w ON w.run_id = r.run_id GROUP BY ALL), t(target) AS (VALUES ('running'), ('paused'), ('cancelled'), ('completed'))
-    SELECT run_id, target, CASE WHEN status = target THEN 'unchanged' WHEN target = 'completed' AND queued > 0 THEN 'has_queued_work' WHEN (status, target) IN (('running', 'paused'), ('paused', 'running'), ('running', 'cancelled'), ('paused', 'cancelled'), ('running', 'completed')) THEN 'applied' ELSE 'refused' END AS outcome FROM q, t""")
+@_query("runs", "work", sql=""", q AS (SELECT r.run_id, r.status, count(*) FILTER (WHERE state = 'queued') AS queued FROM runs r LEFT
+      JOIN work w ON w.run_id = r.run_id GROUP BY ALL), t(target) AS (VALUES ('running'), ('paused'), ('cancelled'), ('completed'))
+    SELECT run_id, target, CASE WHEN status = target THEN 'unchanged' WHEN target = 'completed' AND queued > 0 THEN 'has_queued_work' WHEN (status, target) IN (('running', 'paused'), ('paused', 'running'), ('running', 'cancelled'), ('paused', 'cancelled'), ('running', 'completed')) THEN 'applied'
+      ELSE 'refused' END AS outcome FROM q, t""")
 def run_moves(all_runs, work):
     queued = work.where("state = 'queued'").groupBy("run_id").agg(F.count("*").alias("queued"))
     rows = all_runs.join(queued, "run_id", "left").withColumn("target", F.explode(F.array(*[F.lit(t) for t in ("running", "paused", "cancelled", "completed")])))
     return rows.select("run_id", "target", reviews.run_move(F.col("status"), F.col("target"), F.coalesce("queued", F.lit(0))).alias("outcome"))
 
 
-_GAMES = """, rec AS (SELECT id AS record_id, 'src' || cast(id % 3 AS VARCHAR) AS own, lower(title) AS t, lower(platform) AS p, lower(region) AS r, lower(edition) AS e FROM release_editions WHERE id % 4 = 0),
+_GAMES = """, rec AS (SELECT id AS record_id, 'src' || cast(id % 3 AS VARCHAR) AS own, lower(title) AS t, lower(platform) AS p, lower(region) AS r, lower(edition) AS e
+      FROM release_editions WHERE id % 4 = 0),
     ed AS (SELECT id, game_id, lower(title) AS t, lower(platform) AS p, lower(region) AS r, lower(edition) AS e, 'src' || cast(id % 4 AS VARCHAR) AS s FROM release_editions WHERE id % 4 <> 0),
     f AS (SELECT record_id, game_id, row_number() OVER (PARTITION BY record_id ORDER BY CASE WHEN s = own THEN 0 ELSE 1 END, id) AS rn FROM rec JOIN ed USING (t, p)
       WHERE NOT EXISTS (SELECT 1 FROM ed x WHERE x.game_id = ed.game_id AND x.p = rec.p AND x.r = rec.r AND x.e = rec.e AND x.s <> rec.own))
@@ -146,7 +156,9 @@ def dump_peers(releases):
     return reference.dump_peers(releases.where("id % 5 = 0").select(source, F.col("id").alias("release_id"), dump), sets, releases)
 
 
-@_query("release_editions", "assets", sql=", h AS (SELECT DISTINCT release_id, source_id, game_id FROM assets JOIN release_editions r ON r.id = release_id WHERE k1 % 97 = 0) SELECT DISTINCT a.release_id AS a, b.release_id AS b FROM h a JOIN h b ON a.game_id = b.game_id AND a.source_id = b.source_id AND a.release_id < b.release_id")
+@_query("release_editions", "assets", sql=""", h AS (SELECT DISTINCT release_id, source_id, game_id FROM assets JOIN release_editions r ON r.id = release_id
+      WHERE k1 % 97 = 0) SELECT DISTINCT a.release_id AS a, b.release_id AS b FROM h a
+      JOIN h b ON a.game_id = b.game_id AND a.source_id = b.source_id AND a.release_id < b.release_id""")
 def editions_sharing_a_source(releases, assets):
     return reference.sharing_a_source(releases, assets.where("k1 % 97 = 0").select("release_id", "source_id"))
 
@@ -158,7 +170,9 @@ def retail_filter(releases):
     return releases.select("id", summaries.is_retail(F.col("title"), edition).alias("retail"))
 
 
-@_query("release_editions", sql=" SELECT coalesce(split_part(platform, ' - ', 1), '') AS maker, string_agg(DISTINCT split_part(platform, ' - ', 2), '|' ORDER BY split_part(platform, ' - ', 2)) AS consoles FROM release_editions WHERE contains(platform, ' - ') AND contains(lower(platform), 'o') GROUP BY 1")
+@_query("release_editions", sql=""" SELECT coalesce(split_part(platform, ' - ', 1), '') AS maker, string_agg(DISTINCT split_part(platform, ' - ', 2), '|'
+      ORDER BY split_part(platform, ' - ', 2)) AS consoles FROM release_editions WHERE contains(platform, ' - ') AND contains(lower(platform), 'o')
+      GROUP BY 1""")
 def consoles_by_maker(releases):
     return summaries.consoles(releases.where("contains(platform, ' - ')"), " O ").select("maker", F.array_join("consoles", "|").alias("consoles"))
 
@@ -168,12 +182,14 @@ def originals_by_hash(assets):
     return summaries.originals_by_hash(assets).select("object_hash", F.array_join("media_types", ",").alias("media_types"))
 
 
-@_query("assets", sql=" SELECT release_id, max(object_hash) FILTER (WHERE asset_type = 'box_front') AS front, max(object_hash) FILTER (WHERE asset_type = 'box_back') AS back, max(object_hash) FILTER (WHERE asset_type = 'spine') AS spine FROM assets GROUP BY release_id HAVING count(*) FILTER (WHERE asset_type = 'box_front') > 0")
+@_query("assets", sql=""" SELECT release_id, max(object_hash) FILTER (WHERE asset_type = 'box_front') AS front, max(object_hash) FILTER (WHERE asset_type = 'box_back') AS back, max(object_hash) FILTER (WHERE asset_type = 'spine') AS spine
+      FROM assets GROUP BY release_id HAVING count(*) FILTER (WHERE asset_type = 'box_front') > 0""")
 def packaging_slots(assets):
     return summaries.packaging_slots(assets.select("release_id", "asset_type", "object_hash"))
 
 
-@_query("assets", sql=""", c AS (SELECT release_id, source_id, media_type AS location, asset_type AS field, object_hash AS value, row_number() OVER (ORDER BY k1, k2, k3, release_id) AS seq, k1 % 10 = 0 AS again FROM assets)
+@_query("assets", sql=""", c AS (SELECT release_id, source_id, media_type AS location, asset_type AS field, object_hash AS value, row_number() OVER (ORDER BY k1, k2, k3, release_id) AS seq, k1 % 10 = 0 AS again
+      FROM assets)
     SELECT release_id, source_id, location, field, '' AS qualifier, value, max(CASE WHEN again THEN seq + (SELECT max(seq) FROM c WHERE NOT again) + 1 ELSE seq END) AS seq FROM c GROUP BY ALL""")
 def observed_claims(assets):
     own = assets.withColumn("all", F.lit(0))
@@ -195,6 +211,7 @@ def games_without_orphans(assets):
     return snapshots.without_orphans(games, assets.where("release_id % 2 = 0").select(F.col("release_id").alias("game_id")))
 
 
-@_query("assertions", sql=" SELECT release_id, k1, k2, k3, list_aggregate(list_sort(list_distinct(list_filter(string_split_regex(lower(value), '[^\\p{L}\\p{N}]+'), lambda w: w <> ''))), 'string_agg', ' ') AS words FROM assertions")
+@_query("assertions", sql=""" SELECT release_id, k1, k2, k3, list_aggregate(list_sort(list_distinct(list_filter(string_split_regex(lower(value), '[^\\p{L}\\p{N}]+'), lambda w: w <> ''))), 'string_agg', ' ') AS words
+      FROM assertions""")
 def platform_words(assertions):
     return assertions.select("release_id", "k1", "k2", "k3", F.array_join(text.word_set(F.col("value")), " ").alias("words"))
