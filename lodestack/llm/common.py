@@ -198,7 +198,7 @@ def numbered(df: DataFrame, order: list[str], weight: str, start: str, rows_a_pa
             own = [batch.column(c) for c in schema.names[:-3]]
             yield pa.RecordBatch.from_arrays([*own, column(np.full(len(upto), part), pa.int32()), column(before, pa.int64()), column(upto, pa.int64())], schema.names)
 
-    dealt = materialise(rows.repartitionByRange(n, *by).sortWithinPartitions(*by).mapInArrow(lean(sums), schema), "numbered")
+    dealt = materialise(rows.repartitionByRange(n, *by).sortWithinPartitions(*by).mapInArrow(lean(sums, "*"), schema), "numbered")
     from pyspark.sql import Window
 
     small = dealt.groupBy("_part").agg(F.max("_upto").alias("_sum"))
@@ -223,14 +223,14 @@ KEPT: dict[str, Callable[[], None]] = {}
 
 def drop_kept(but: str | None) -> None:
     for name, drop in KEPT.items():
-        if name != but:
+        if but not in (name, "*"):
             drop()
 
 
 def lean(run, keep: str | None = None):
     """`run` for a Python worker that gives memory back when its task is over: workers stay for further
     tasks, and allocators would keep what the largest batch took. Of what tasks before have left in the
-    worker only `keep` stays."""
+    worker only `keep` stays, or all of it for "*"."""
 
     def kept_small(batches):
         drop_kept(keep)

@@ -198,7 +198,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = Non
         .join(firsts, ["length", "_group"])
         .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_first") + F.col("_place")).cast("long").alias("rank"))
     )
-    return ranked.mapInArrow(lean(_lookup(plan.runs)), PIECES + ", sequence_id long, offset long")
+    return ranked.mapInArrow(lean(_lookup(plan.runs), "encoders"), PIECES + ", sequence_id long, offset long")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

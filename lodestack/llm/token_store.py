@@ -35,6 +35,7 @@ from lodestack.llm import tokens
 from lodestack.llm.common import column, lean, mix, new_path, numbered, table, writing
 
 MEAN, LEAST, MOST, WINDOW = 512, 128, 4096, 8
+MEMORY = 1_000_000  # pre-tokens remembered by a worker, some 150 MB
 KEY = 16
 PART = "kind int, doc_id long, route long, key binary, n long, data binary, root binary"
 MANIFEST = "file string, first_start long, last_start long, documents long, root binary"
@@ -92,7 +93,7 @@ def _parts(path: str):
                 rows: list[tuple] = []
                 seen: set[bytes] = set()
                 piece = batch.slice(at, 512)
-                streams = list(tokens.ids_of(piece.column(1), path))
+                streams = list(tokens.ids_of(piece.column(1), path, MEMORY))
                 starts = np.cumsum([0, *map(len, streams)])
                 allowed = marks(np.concatenate([*streams, np.zeros(WINDOW, streams[0].dtype)]))
                 first = np.searchsorted(allowed, starts, "right")
@@ -174,7 +175,7 @@ def write_store(docs: DataFrame, folder: str, vocabulary: str | None = None) ->
     parts = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(_parts(vocabulary), "encoders"), PART)
     schema = parts.schema
     with writing(spark):
-        parts.repartition("route").sortWithinPartitions("key").mapInArrow(lean(_once), schema).drop("route").write.partitionBy("kind").parquet(f"{folder}/parts")
+        parts.repartition("route").sortWithinPartitions("key").mapInArrow(lean(_once, "encoders"), schema).drop("route").write.partitionBy("kind").parquet(f"{folder}/parts")
     found = spark.read.schema("doc_id long, key binary, n long, data binary, root binary, kind int").parquet(f"{folder}/parts")
     recipes = found.where("kind = 0").select("doc_id", "n", F.col("data").alias("keys"), "root")
     ordered = numbered(recipes, ["doc_id", "n", "root"], "n", "start").select("doc_id", "start", "n", "keys", "root")
@@ -188,7 +189,7 @@ def write_store(docs: DataFrame, folder: str, vocabulary: str | None = None) ->
 def _manifest_of(spark: SparkSession, folder: str) -> DataFrame:
     """The manifest that the recipe files as they are now should have."""
     stored = spark.read.schema(RECIPE).parquet(f"{folder}/recipes").select("doc_id", "start", "n", "root", F.col("_metadata.file_name").alias("file"))
-    return stored.repartition("file").sortWithinPartitions("file", "start", "doc_id", "n", "root").mapInArrow(lean(_manifest_by_file), MANIFEST)
+    return stored.repartition("file").sortWithinPartitions("file", "start", "doc_id", "n", "root").mapInArrow(lean(_manifest_by_file, "encoders"), MANIFEST)
 
 
 def _manifest_by_file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,11 +236,11 @@ def read_store(spark: SparkSession, folder: str, root: bytes | None = None) -> D
     manifest other than that of the store's `root`, as write_store returned it."""
     recipes = spark.read.schema(RECIPE).parquet(f"{folder}/recipes")
     chunks = spark.read.schema("doc_id long, key binary, n long, data binary, root binary, kind int").parquet(f"{folder}/parts").where("kind = 1")
-    sums = chunks.select("key", "n", "data").mapInArrow(lean(_chunk_sums), "key binary, n long, crc long")
-    uses = recipes.select("start", "keys", "root").mapInArrow(lean(_recipe_keys), "start long, at int, key binary")
+    sums = chunks.select("key", "n", "data").mapInArrow(lean(_chunk_sums, "encoders"), "key binary, n long, crc long")
+    uses = recipes.select("start", "keys", "root").mapInArrow(lean(_recipe_keys, "encoders"), "start long, at int, key binary")
     joined = uses.join(sums, "key", "left")
     per_doc = joined.groupBy("start").agg(F.collect_list(F.struct("at", "n", "crc")).alias("parts"))
-    totals = per_doc.mapInArrow(lean(_document_sums), "start long, n_tokens long, ids_crc32 long")
+    totals = per_doc.mapInArrow(lean(_document_sums, "encoders"), "start long, n_tokens long, ids_crc32 long")
     out = recipes.select("doc_id", "start", "n").join(totals, "start")
     checked = F.when(F.col("n") == F.col("n_tokens"), F.col("n_tokens")).otherwise(F.raise_error(F.lit("a recipe's length differs from its chunks'")).cast("long"))
     out = out.select("doc_id", "start", checked.alias("n_tokens"), "ids_crc32")
@@ -255,7 +256,7 @@ def read_ids(spark: SparkSession, folder: str, doc_ids: DataFrame) -> DataFrame:
     """doc_id, start and ids (array of int) of the documents named in `doc_ids`."""
     recipes = spark.read.schema(RECIPE).parquet(f"{folder}/recipes").join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
     chunks = spark.read.parquet(f"{folder}/parts").where("kind = 1").select("key", "n", "data")
-    uses = recipes.select("start", "keys", "root").mapInArrow(lean(_recipe_keys), "start long, at int, key binary")
+    uses = recipes.select("start", "keys", "root").mapInArrow(lean(_recipe_keys, "encoders"), "start long, at int, key binary")
     parts = uses.join(chunks, "key").groupBy("start").agg(F.array_sort(F.collect_list(F.struct("at", "n", "data"))).alias("p"))
 
     def unpack(batches):
@@ -263,7 +264,7 @@ def read_ids(spark: SparkSession, folder: str, doc_ids: DataFrame) -> DataFrame:
             ids = [np.concatenate([_ids(x["data"], x["n"]) for x in p]).astype(np.int32) for p in batch.column("p").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("start"), pa.array(ids, pa.list_(pa.int32()))], ["start", "ids"])
 
-    return recipes.select("doc_id", "start").join(parts.mapInArrow(lean(unpack), "start long, ids array<int>"), "start").select("doc_id", "start", "ids")
+    return recipes.select("doc_id", "start").join(parts.mapInArrow(lean(unpack, "encoders"), "start long, ids array<int>"), "start").select("doc_id", "start", "ids")
 
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from lodestack.llm.common import KEPT
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
-_MEMORY = 320_000  # pre-tokens remembered by a worker, some 50 MB
+_MEMORY = 320_000  # pre-tokens remembered by a worker, some 50 MB, in two halves: the newer one, and the one before it
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -63,6 +63,8 @@ class Encoder:
         self.find = _pattern().findall
         self.letters = _byte_letters()
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.memory = _MEMORY
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
@@ -83,12 +85,15 @@ class Encoder:
         except UnicodeEncodeError:
             return self._whole(text)
         tokens = self.find(text)
-        if len(self.known) > _MEMORY:
-            self.known.clear()
+        if len(self.known) > self.memory // 2:
+            self.before, self.known = self.known, {}
         try:
             return b"".join(map(self.known.__getitem__, tokens))
         except KeyError:
-            self._learn(set(tokens).difference(self.known))
+            missing = set(tokens).difference(self.known)
+            again = {t: self.before[t] for t in missing if t in self.before}
+            self.known |= again  # what is still in use moves to the newer half
+            self._learn(missing.difference(again))
             return b"".join(map(self.known.__getitem__, tokens))
 
 
@@ -106,9 +111,10 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def ids_of(texts, path: str) -> Iterator[np.ndarray]:
-    """For each text (null: empty) its ids and the end id."""
+def ids_of(texts, path: str, memory: int = _MEMORY) -> Iterator[np.ndarray]:
+    """For each text (null: empty) its ids and the end id. `memory` pre-tokens are remembered."""
     code = encoder(path)
+    code.memory = memory
     end = np.array([END], code.kind).tobytes()
     for text in texts:
         yield np.frombuffer(code.encode(text.as_py() if hasattr(text, "as_py") else text) + end, code.kind)

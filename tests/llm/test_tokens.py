@@ -215,3 +215,13 @@ def test_plan_is_near_the_bound():
     plan = packing.Plan(counts, 2048).solve()
     assert plan.sequences <= -(-sum(k * n for k, n in counts.items()) // 2048) * 1.002 + 1
     assert len(plan.runs) < 100_000
+
+
+def test_tasks_drop_what_others_kept(monkeypatch):
+    from lodestack.llm import common
+
+    held = {"x": {1: 2}, "y": {3: 4}}
+    monkeypatch.setattr(common, "KEPT", {n: d.clear for n, d in held.items()})
+    assert list(common.lean(iter, "*")([1])) == [1] and held == {"x": {1: 2}, "y": {3: 4}}
+    assert list(common.lean(iter, "x")([])) == [] and held == {"x": {1: 2}, "y": {}}
+    assert list(common.lean(iter)([])) == [] and held["x"] == {}
