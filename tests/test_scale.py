@@ -34,3 +34,16 @@ def test_only_pairs_of_the_best_score_are_gathered(spark):
     best = matching._all(matching.scored(c.withColumn("c_points", F.lit(100)), r))
     assert best.count() == 100
     assert {(x["release_id"] - x["candidate_id"], x["score"], x["confidence"]) for x in matching.matched(candidates, releases).collect()} == {(0, 100, "high")}
+
+
+def test_games_meet_what_records_say_once(spark):
+    n = 400
+    known = spark.range(n).select("id", F.lit(7).cast("long").alias("game_id"), F.lit("P").alias("platform"), F.lit("USA").alias("region"), F.lit("Standard").alias("edition"))
+    titled = spark.range(n).select(F.col("id").alias("release_id"), F.lit("s1").alias("source_id"), F.lit("T").alias("title"))
+    records = spark.range(n).select((F.col("id") + n).alias("record_id"), F.concat(F.lit("s"), (F.col("id") % 2).cast("string")).alias("source_id"), F.lit(" t").alias("title"), F.lit("p").alias("platform"), F.when(F.col("id") % 4 > 1, "Japan").alias("region"), F.lit("x").alias("edition"))
+    rows, found = ran(reference.games_for_new_editions(records, known, titled, titled.select("release_id", "source_id")))
+    assert len(rows) == n and {r["game_id"] for r in rows} == {7}  # a region that is missing, too
+    assert most(found) <= 4 * n
+    same = records.withColumns({"region": F.lit("usa"), "edition": F.lit("standard")})
+    rows, _ = ran(reference.games_for_new_editions(same, known, titled, titled.select("release_id", "source_id")))
+    assert {(r["record_id"] % 2, r["game_id"]) for r in rows} == {(0, None), (1, 7)}
