@@ -47,3 +47,12 @@ def test_games_meet_what_records_say_once(spark):
     same = records.withColumns({"region": F.lit("usa"), "edition": F.lit("standard")})
     rows, _ = ran(reference.games_for_new_editions(same, known, titled, titled.select("release_id", "source_id")))
     assert {(r["record_id"] % 2, r["game_id"]) for r in rows} == {(0, None), (1, 7)}
+
+
+def test_pairs_of_editions_are_made_once_and_not_kept(spark):
+    n = 80
+    editions = spark.range(n).select("id", F.lit(0).cast("long").alias("game_id"))
+    held = spark.range(n).select(F.col("id").alias("release_id"), F.explode(F.array(F.lit("s1"), F.lit("s2"), F.concat(F.lit("t"), (F.col("id") % 2).cast("string")))).alias("source_id"))
+    rows, found = ran(reference.sharing_a_source(editions, held.unionByName(held)))
+    assert sorted((r["a"], r["b"]) for r in rows) == [(a, b) for a in range(n) for b in range(a + 1, n)]
+    assert most(found, "Aggregate") <= 6 * n
