@@ -56,3 +56,14 @@ def test_pairs_of_editions_are_made_once_and_not_kept(spark):
     rows, found = ran(reference.sharing_a_source(editions, held.unionByName(held)))
     assert sorted((r["a"], r["b"]) for r in rows) == [(a, b) for a in range(n) for b in range(a + 1, n)]
     assert most(found, "Aggregate") <= 6 * n
+
+
+def test_ranks_shuffle_rows_once(spark):
+    rows = spark.range(2000).select((F.col("id") * 7919 % 2000).alias("k"), (F.col("id") % 3).alias("g"), F.lit("x").alias("wide"))
+    got, found = ran(ranked(rows, ["g"], ["k"], "place", "total"))
+    assert not [1 for name, _ in found if name == "ShuffleExchangeExec"]  # the shuffle by ranges is over, its result written
+    places = {}
+    for r in sorted(got, key=lambda r: (r["g"], r["k"])):
+        places[r["g"]] = places.get(r["g"], 0) + 1
+        assert r["place"] == places[r["g"]]
+    assert {r["total"] for r in got} == set(places.values())
