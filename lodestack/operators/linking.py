@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestack.functions.text import normalised
+from lodestack.functions.text import digest, normalised
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,13 +50,15 @@ def existing_imports(records: DataFrame, provenance: DataFrame, assets: DataFram
     title, platform, region and edition, the same place, and the game and the edition where the record
     names one. records: record_id, source_id, location, asset_type, object_hash, byte_len, title, platform,
     region, edition, game_id and release_id or null. provenance: asset_id, source_id, location. assets:
-    asset_id, release_id and the object. One hash join on nine equal columns; what may be null is judged
-    on its rows."""
-    names = ["title", "platform", "region", "edition"]
-    key = ["source_id", "asset_type", "object_hash", "byte_len", "place", *[f"n_{c}" for c in names]]
-    known = provenance.join(assets, "asset_id").join(editions.select(F.col("id").alias("release_id"), "game_id", *names), "release_id")
-    known = known.select("asset_id", F.col("release_id").alias("known_id"), F.col("game_id").alias("known_game"), "source_id", "asset_type", "object_hash", "byte_len", _same_place(F.col("location")).alias("place"), *[normalised(F.col(c)).alias(f"n_{c}") for c in names])
-    asked = records.select("record_id", "game_id", "release_id", *key[:4], _same_place(F.col("location")).alias("place"), *[normalised(F.col(c)).alias(f"n_{c}") for c in names])
+    asset_id, release_id and the object. What has to be equal goes through the joins as digests of 16 bytes,
+    made before the rows are shuffled; what may be null is judged on the rows that are found."""
+    place, thing = digest(F.col("source_id"), _same_place(F.col("location"))), digest(F.col("asset_type"), F.col("object_hash"), F.col("byte_len"))
+    names = digest(*[normalised(F.col(c)) for c in ("title", "platform", "region", "edition")])
+    whole = F.substring(F.unhex(F.sha2(F.concat("place", "thing", "names"), 256)), 1, 16)
+    known = provenance.select("asset_id", place.alias("place")).join(assets.select("asset_id", F.col("release_id").alias("known_id"), thing.alias("thing")), "asset_id")
+    known = known.join(editions.select(F.col("id").alias("known_id"), F.col("game_id").alias("known_game"), names.alias("names")), "known_id")
+    known = known.select(whole.alias("key"), "asset_id", "known_id", "known_game")
+    asked = records.select("record_id", "game_id", "release_id", place.alias("place"), thing.alias("thing"), names.alias("names")).select(whole.alias("key"), "record_id", "game_id", "release_id")
     fit = (F.col("game_id").isNull() | (F.col("game_id") == F.col("known_game"))) & (F.col("release_id").isNull() | (F.col("release_id") == F.col("known_id")))
-    found = asked.join(known, key).where(fit).groupBy("record_id").agg(F.min(F.struct("asset_id", "known_id", "known_game")).alias("k"))
+    found = asked.join(known, "key").where(fit).groupBy("record_id").agg(F.min(F.struct("asset_id", "known_id", "known_game")).alias("k"))
     return found.select("record_id", "k.asset_id", F.col("k.known_id").alias("release_id"), F.col("k.known_game").alias("game_id"))

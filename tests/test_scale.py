@@ -67,3 +67,21 @@ def test_ranks_shuffle_rows_once(spark):
         places[r["g"]] = places.get(r["g"], 0) + 1
         assert r["place"] == places[r["g"]]
     assert {r["total"] for r in got} == set(places.values())
+
+
+def test_known_imports_meet_by_digests(spark):
+    names = [F.lit(x).alias(c) for c, x in (("title", "T"), ("platform", "P"), ("region", "USA"), ("edition", "Standard"))]
+    editions = spark.range(10).select("id", F.lit(5).cast("long").alias("game_id"), *names)
+    assets = spark.range(200).select(F.col("id").alias("asset_id"), (F.col("id") % 10).alias("release_id"), F.lit("manual").alias("asset_type"), F.col("id").cast("string").alias("object_hash"), F.lit(3).cast("long").alias("byte_len"))
+    provenance = assets.select("asset_id", F.lit("s").alias("source_id"), F.lit("/a/b").alias("location"))
+    asked = assets.select(F.col("asset_id").alias("record_id"), "asset_type", "object_hash", "byte_len", F.lit("s").alias("source_id"), F.lit("/a//x/../b").alias("location"), F.lit(None).cast("long").alias("game_id"), F.when(F.col("asset_id") < 50, F.col("release_id")).when(F.col("asset_id") < 100, 77).alias("release_id"), *names)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows, found = ran(linking.existing_imports(asked, provenance, assets, editions))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(tuple(r) for r in rows) == [(k, k, k % 10, 5) for k in range(200) if not 50 <= k < 100]
+    kinds = {p.output().apply(i).dataType().simpleString() for name, p in found if name == "ShuffleExchangeExec" for i in range(p.output().size())}
+    assert kinds and "string" not in kinds
+    pairs = spark.createDataFrame([("a", "b:c"), ("a:b", "c"), ("1", ""), ("", "1"), (None, "1")], "x string, y string").select(digest(F.col("x"), F.col("y")).alias("d")).collect()
+    assert len({bytes(r["d"]) for r in pairs if r["d"] is not None}) == 4 and pairs[4]["d"] is None
