@@ -85,3 +85,13 @@ def test_known_imports_meet_by_digests(spark):
     assert kinds and "string" not in kinds
     pairs = spark.createDataFrame([("a", "b:c"), ("a:b", "c"), ("1", ""), ("", "1"), (None, "1")], "x string, y string").select(digest(F.col("x"), F.col("y")).alias("d")).collect()
     assert len({bytes(r["d"]) for r in pairs if r["d"] is not None}) == 4 and pairs[4]["d"] is None
+
+
+def test_exported_rows_are_not_written_to_be_counted(spark, monkeypatch):
+    releases = spark.range(30).select("id", F.lit("P").alias("platform"), F.concat(F.lit("T"), (F.col("id") % 15).cast("string")).alias("title"), F.lit("USA").alias("region"), F.lit("Standard").alias("edition"))
+    assets = spark.range(900).select((F.col("id") % 30).alias("release_id"), F.lit("manual").alias("asset_type"), F.md5(F.col("id").cast("string").cast("binary")).alias("object_hash"), F.lit(1).cast("long").alias("byte_len"), F.concat(F.when(F.col("id") % 2 == 0, "A").otherwise("a"), F.when(F.col("id") < 30, "1").otherwise("2"), F.lit(".png")).alias("original_filename"), F.lit("image/png").alias("media_type"))
+    kept, write = [], library.written
+    monkeypatch.setattr(library, "written", lambda df, name: kept.append(out := write(df, name)) or out)
+    rows = library.export_paths(releases, assets).collect()
+    assert sum(t.count() for t in kept) <= 4
+    assert len(rows) == 900 and len({r["path"].lower() for r in rows}) == 900 and all("(" in r["path"].rsplit("/", 1)[1] for r in rows)
