@@ -95,3 +95,29 @@ def test_exported_rows_are_not_written_to_be_counted(spark, monkeypatch):
     rows = library.export_paths(releases, assets).collect()
     assert sum(t.count() for t in kept) <= 4
     assert len(rows) == 900 and len({r["path"].lower() for r in rows}) == 900 and all("(" in r["path"].rsplit("/", 1)[1] for r in rows)
+
+
+def _of_one_title(spark, n, key):
+    one = spark.range(n).select("id", F.lit(1).cast("long").alias("game_id"), F.lit("T").alias("title"), F.lit("P").alias("platform"), F.lit("USA").alias("region"), F.concat(F.lit("e"), (F.col("id") % 100).cast("string")).alias("edition"))
+    return one.withColumnRenamed("id", key)
+
+
+def test_lists_are_not_shuffled(spark, monkeypatch):
+    candidates, releases = _of_one_title(spark, 300, "candidate_id"), _of_one_title(spark, 400, "id")
+    rows, found = ran(matching.competing_lists(candidates, releases))
+    usual = sorted(map(tuple, rows))
+    assert [x[0] for x in usual] == list(range(300)) and {len(x[1]) for x in usual} == {400}
+    assert [(m["release_id"], m["score"], m["e_edition"]) for m in usual[7][1]][:5] == [(7, 100, 5), (107, 100, 5), (207, 100, 5), (307, 100, 5), (0, 90, -5)]
+    sizes = [p.metrics().apply("dataSize").value() for name, p in found if name == "ShuffleExchangeExec"]
+    assert sizes and sum(sizes) < 200_000  # the lists are 120,000 rows
+    assert not [name for name, _ in found if name == "BroadcastExchangeExec"]
+    monkeypatch.setattr(matching, "CHUNK", 1)
+    assert sorted(map(tuple, matching.competing_lists(candidates, releases).collect())) == usual
+
+
+def test_lists_hold_what_scores_without_a_title(spark):
+    c = spark.createDataFrame([(1, "T", "P", "USA", "x"), (2, "", "P", "USA", "x"), (3, "U", "P", "USA", "x")], "candidate_id long, title string, platform string, region string, edition string")
+    r = spark.createDataFrame([(11, 1, "T", "P", "USA", "x"), (12, 2, None, "P", "USA", "x"), (13, 3, "T", "", "Japan", "x")], "id long, game_id long, title string, platform string, region string, edition string")
+    got = {x["candidate_id"]: [(m["release_id"], m["score"]) for m in x["matches"]] for x in matching.competing_lists(c, r, 30).collect()}
+    assert got == {1: [(11, 100), (12, 50), (13, 40)], 2: [(11, 50), (12, 50)], 3: [(12, 50)]}
+    assert {x["release_id"]: x["items"] for x in matching.competing_releases(c, r, 30).collect()} == {11: 2, 12: 3, 13: 1}
