@@ -1,7 +1,7 @@
 """How much work plans do on tables whose keys are hot: rows that joins make, what is shuffled, what is kept."""
 
 from lodestack.functions.text import digest
-from lodestack.operators import library, linking, matching, reference
+from lodestack.operators import library, linking, matching, reference, runs
 from lodestack.operators.ranks import ranked
 from pyspark.sql import functions as F
 
@@ -121,3 +121,12 @@ def test_lists_hold_what_scores_without_a_title(spark):
     got = {x["candidate_id"]: [(m["release_id"], m["score"]) for m in x["matches"]] for x in matching.competing_lists(c, r, 30).collect()}
     assert got == {1: [(11, 100), (12, 50), (13, 40)], 2: [(11, 50), (12, 50)], 3: [(12, 50)]}
     assert {x["release_id"]: x["items"] for x in matching.competing_releases(c, r, 30).collect()} == {11: 2, 12: 3, 13: 1}
+
+
+def test_no_signatures_go_through_the_driver(spark):
+    """Signatures of candidates and releases, the ids of open work: all grow, and none is broadcast."""
+    candidates, releases = _of_one_title(spark, 300, "candidate_id"), _of_one_title(spark, 400, "id")
+    work = spark.range(300).select(F.col("id").alias("work_id"), F.lit("pending").alias("review_status"))
+    rows, found = ran(matching.competing_releases(runs.undecided_candidates(candidates, work), releases))
+    assert {x["items"] for x in rows} == {300} and len(rows) == 400
+    assert not [name for name, _ in found if name == "BroadcastExchangeExec"]
