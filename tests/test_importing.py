@@ -166,3 +166,11 @@ def test_many_records_of_one_title(spark):
 def test_empty(spark):
     got = run(spark, Plain(), [])
     assert all(got[n].count() == 0 for n in got)
+
+
+def test_empty_catalog_is_known_to_the_planner(spark, sf):
+    from lodestack.plans import changes
+    from lodestack.plans.bridge import relation
+
+    for df in changes._import(relation(spark, sf, "release_editions"))[:3]:
+        assert "LocalRelation <empty>" in df._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
