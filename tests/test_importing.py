@@ -174,3 +174,20 @@ def test_empty_catalog_is_known_to_the_planner(spark, sf):
 
     for df in changes._import(relation(spark, sf, "release_editions"))[:3]:
         assert "LocalRelation <empty>" in df._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
+
+
+def test_dump_sets_are_asked_once_a_source_and_moment(spark, monkeypatch):
+    """Thirty records of two sources with one dump set and titles of their own: each import judges all of the other source again."""
+    rows = [(100 + k, f"s{k % 2}", f"r{k}", "f", f"T{k}", "GB", "USA", "Standard", "a") for k in range(30)]
+    sizes, written = {}, importing.written
+
+    def counted(df, name):
+        out = written(df, name)
+        sizes.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(importing, "written", counted)
+    plain = Plain()
+    placed = {r[0]: plain.add(*r) for r in rows}
+    compared(run(spark, Plain(), rows[::-1]), plain, placed)
+    assert sizes["asked-again"] == [225] and sizes["questions"] == [29, 0]
