@@ -1,4 +1,5 @@
 import os
+import re
 
 import duckdb
 import pytest
@@ -282,3 +283,24 @@ def test_summaries_and_search(spark):
     claims_ = spark.createDataFrame([(2, "s", "old", 1, 1, 1), (2, "s", "new", 2, 1, 1)], "release_id long, source_id string, value string, k1 long, k2 int, k3 long")
     told = reference.described_items(items, df, claims_).orderBy("pos").collect()
     assert [(r["pos"], r["id"], r["titles"] and r["titles"][0]["value"]) for r in told] == [(0, 0, None), (1, 2, "new")]
+
+
+def test_assets_of_one_id_tell_their_sources_in_one_order(spark, sf, tmp_path):
+    """Two sources share asset 320011: its SQL leaves their order open, ours doesn't depend on that of the rows."""
+    line = spark.read.parquet(f"{sf}/lineitem.parquet").limit(1).drop("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey")
+    told = []
+    for n, keys in enumerate([[(2, 11), (1, 10_011)], [(1, 10_011), (2, 11)]]):
+        d = str(tmp_path / str(n))
+        rows = spark.createDataFrame([(3, 7, number, supplier) for number, supplier in keys], "l_orderkey long, l_partkey long, l_linenumber int, l_suppkey long")
+        rows.coalesce(1).crossJoin(line).write.parquet(f"{d}/lineitem.parquet")
+        spark.read.parquet(f"{sf}/part.parquet").where("p_partkey = 7").write.parquet(f"{d}/part.parquet")
+        [row] = registry.queries()["whole_entries"](spark, d).collect()
+        con = duckdb.connect()
+        for t in ("lineitem", "part"):
+            con.execute(f"create view {t} as select * from '{d}/{t}.parquet/*.parquet'")
+        cur = con.execute(registry.oracle_sql()["whole_entries"])
+        [theirs] = [dict(zip([c[0] for c in cur.description], r)) for r in cur.fetchall()]
+        assert {k: v for k, v in row.asDict().items() if k != "assets"} == {k: v for k, v in theirs.items() if k != "assets"}
+        assert sorted(re.split("[:;|]", row["assets"])) == sorted(re.split("[:;|]", theirs["assets"]))
+        told.append([a.split(":")[2] for a in row["assets"].split("|")])
+    assert told == [["src2@1;src3@1;src2@2;src3@2"] * 2] * 2
