@@ -3,6 +3,8 @@
 from lodestack.functions.text import digest
 from lodestack.operators import library, linking, matching, reference, runs
 from lodestack.operators.ranks import ranked
+from lodestack.plans import registry, workflow  # noqa: F401  (it registers its queries)
+from lodestack.plans.bridge import relation
 from pyspark.sql import functions as F
 
 
@@ -58,6 +60,24 @@ def test_pairs_of_editions_are_made_once_and_not_kept(spark):
     assert most(found, "Aggregate") <= 6 * n
 
 
+def test_editions_that_share_a_source_are_found_in_all_assets(spark, sf):
+    held, game = {}, {r["id"]: r["game_id"] for r in relation(spark, sf, "release_editions").collect()}
+    for r in relation(spark, sf, "assets").select("release_id", "source_id").distinct().collect():
+        held.setdefault(r["release_id"], set()).add(r["source_id"])
+    want = {(a, b) for a in held for b in held if a < b and game[a] == game[b] and held[a] & held[b]}
+    rows = sorted((r["a"], r["b"]) for r in registry.queries()["editions_sharing_a_source"](spark, sf).collect())
+    assert rows == sorted(want) and len(want) > 200
+
+
+def test_editions_of_like_sources_meet_as_sets(spark):
+    n = 200
+    editions = spark.range(n).select("id", F.lit(0).cast("long").alias("game_id"))
+    held = spark.range(n).select(F.col("id").alias("release_id"), F.explode(F.array(*[F.concat(F.lit("s"), ((F.col("id") % 2) * 9 + k).cast("string")) for k in range(9)])).alias("source_id"))
+    rows, found = ran(reference.sharing_a_source(editions, held))
+    assert sorted((r["a"], r["b"]) for r in rows) == [(a, b) for a in range(n) for b in range(a + 1, n) if (b - a) % 2 == 0]
+    assert most(found, "Join") <= 9 * 2 * reference.SHARES**2  # shares of alike editions, not editions
+
+
 def test_ranks_shuffle_rows_once(spark):
     rows = spark.range(2000).select((F.col("id") * 7919 % 2000).alias("k"), (F.col("id") % 3).alias("g"), F.lit("x").alias("wide"))
     got, found = ran(ranked(rows, ["g"], ["k"], "place", "total"))
