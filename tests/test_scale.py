@@ -1,7 +1,7 @@
 """How much work plans do on tables whose keys are hot: rows that joins make, what is shuffled, what is kept."""
 
 from lodestack.functions.text import digest
-from lodestack.operators import library, linking, matching, reference, runs
+from lodestack.operators import importing, library, linking, matching, reference, rounds, runs
 from lodestack.operators.ranks import ranked
 from lodestack.plans import registry, workflow  # noqa: F401  (it registers its queries)
 from lodestack.plans.bridge import relation
@@ -150,3 +150,20 @@ def test_no_signatures_go_through_the_driver(spark):
     rows, found = ran(matching.competing_releases(runs.undecided_candidates(candidates, work), releases))
     assert {x["items"] for x in rows} == {300} and len(rows) == 400
     assert not [name for name, _ in found if name == "BroadcastExchangeExec"]
+
+
+def test_rounds_of_an_import_make_no_pairs_of_records(spark, monkeypatch):
+    """Records of two sources with one dump set and titles of their own: whether one edition has it is told by a few of them."""
+    n, made, write = 120, [], rounds.written
+
+    def counted(df, name):
+        made.append((name, most(ran(df)[1], "Join")))
+        return write(df, name)
+
+    monkeypatch.setattr(rounds, "written", counted)
+    title = F.concat(F.lit("T"), F.col("id").cast("string"))
+    records = spark.range(n).select((F.col("id") + 1000).alias("seq"), F.concat(F.lit("s"), (F.col("id") % 2).cast("string")).alias("source_id"), title.alias("record_id"), F.lit("f").alias("location"), title.alias("title"), *[F.lit(x).alias(c) for c, x in (("platform", "GB"), ("region", "USA"), ("edition", "Standard"), ("dump_set", "a"))])
+    nothing = [spark.createDataFrame([], s) for s in ("id long, game_id long, platform string, region string, edition string", "release_id long, source_id string, location string, field string, qualifier string, value string, seq long", "source_id string, record_id string, release_id long, dump_set string")]
+    rows = importing.imported(*nothing, records).select("seq", "release_id", "outcome").collect()
+    assert {r["seq"]: (r["release_id"], r["outcome"]) for r in rows} == {1000: (1000, "founded"), 1001: (1000, "linked")} | {1000 + k: (1000 + k, "founded") for k in range(2, n)}
+    assert {name for name, _ in made} == {"placed"} and max(k for _, k in made) <= 8 * n
