@@ -135,6 +135,13 @@ def test_lists_are_not_shuffled(spark, monkeypatch):
     assert sorted(map(tuple, matching.competing_lists(candidates, releases).collect())) == usual
 
 
+def test_lists_make_no_row_for_a_pair(spark):
+    candidates, releases = _of_one_title(spark, 300, "candidate_id"), _of_one_title(spark, 400, "id")
+    rows, found = ran(matching.competing_lists(candidates, releases))
+    assert len(rows) == 300 and {len(x[1]) for x in rows} == {400}
+    assert most(found, "Join") <= 100  # a row for each signature; pairs of signatures are 10,000
+
+
 def test_lists_hold_what_scores_without_a_title(spark):
     c = spark.createDataFrame([(1, "T", "P", "USA", "x"), (2, "", "P", "USA", "x"), (3, "U", "P", "USA", "x")], "candidate_id long, title string, platform string, region string, edition string")
     r = spark.createDataFrame([(11, 1, "T", "P", "USA", "x"), (12, 2, None, "P", "USA", "x"), (13, 3, "T", "", "Japan", "x")], "id long, game_id long, title string, platform string, region string, edition string")
